@@ -1,0 +1 @@
+"""No operator here is a stream: every input is a bounded table, so nothing lives in this folder."""
