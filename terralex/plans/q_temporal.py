@@ -220,9 +220,10 @@ interp AS (SELECT station, day, sum(v / (gap + 1e0)) / sum(1e0 / (gap + 1e0)) AS
 @query(
     "temporal_interpolation",
     INTERP
-    + """SELECT p.sample_id, p.station, p.day, round(i.interp, 6) AS interp, coalesce(i.conf, 0e0) AS interp_conf
+    + """SELECT p.sample_id, p.station, p.day, round(i.interp, 7) AS interp, coalesce(i.conf, 0e0) AS interp_conf
 FROM placed p LEFT JOIN interp i ON p.station = i.station AND p.day = i.day""",
     ("observations", "placed"),
 )
 def temporal_interpolation(t):
-    return r6(tp.temporal_interpolation(t.placed(), t.observations(), "target_a", 10), "interp")
+    out = tp.temporal_interpolation(t.placed(), t.observations(), "target_a", 10)
+    return out.withColumn("interp", F.round("interp", 7))
