@@ -106,3 +106,39 @@ def melt(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
 def global_row(stats: DataFrame) -> Column:
     """A one-row table as a scalar struct, so using it needs no join."""
     return stats.select(F.struct(*stats.columns)).scalar()
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, segments: int = 200) -> DataFrame:
+    """Average rank of every distinct value per key: (keys…, value, n_equal, before, rank, n).
+
+    Equal values are counted first, so a hot value is one row. The distinct values of a key are cut
+    at sketched quantiles, numbered inside each piece, and shifted by the pieces before it.
+    """
+    keys = list(keys) or ["_all"]
+    base = df.withColumn("_all", F.lit(1)) if keys == ["_all"] else df
+    tally = (
+        base.select(*keys, F.col(value).cast("double").alias(value))
+        .filter(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("n_equal"))
+    )
+    cuts = [i / segments for i in range(1, segments)]
+    edges = tally.groupBy(*keys).agg(
+        F.percentile_approx(value, cuts, ACCURACY).alias("_cuts"), F.sum("n_equal").alias("n")
+    )
+    placed = tally.join(edges, keys).withColumn(
+        "_seg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    )
+    inside = Window.partitionBy(*keys, "_seg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (
+        placed.groupBy(*keys, "_seg").agg(F.sum("n_equal").alias("_c"))
+        .select(*keys, "_seg", F.coalesce(F.sum("_c").over(across), F.lit(0)).alias("_off"))
+    )
+    run = placed.withColumn("_in", F.coalesce(F.sum("n_equal").over(inside), F.lit(0))).join(shift, [*keys, "_seg"])
+    before = F.col("_off") + F.col("_in")
+    out = run.select(
+        *keys, value, "n_equal", before.alias("before"),
+        (before + (F.col("n_equal") + 1) / F.lit(2.0)).alias("rank"), "n",
+    )
+    return out.drop("_all")

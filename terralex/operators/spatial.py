@@ -265,7 +265,8 @@ def haversine_knn_features(
         for c in cols:
             values = F.transform(first, lambda x: F.struct(x[c].cast("double").alias("v"), (1.0 / (x["dist"] + 1.0)).alias("w")))
             out[f"knn{k}_{c}_mean"] = mean_of(F.transform(values, lambda x: x["v"]))
-            out[f"knn{k}_{c}_wmean"] = weighted_mean(values, "v", "w", floor=1e-8)
+            # No neighbour with a value: the weighted mean is 0, the plain mean missing.
+            out[f"knn{k}_{c}_wmean"] = F.coalesce(weighted_mean(values, "v", "w", floor=1e-8), F.lit(0.0))
     out["nn_dist_km"] = F.col("_nb")[0]["dist"]
     return joined.select(*query.columns, *[v.alias(n) for n, v in out.items()])
 
