@@ -44,3 +44,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="terralex-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder (a temporary one only under a local master)."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can read")
+        folder = tempfile.mkdtemp(prefix="terralex-scratch-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
