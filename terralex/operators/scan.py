@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEG = "_seg"
+SEG = "_scan_seg"
 SEGMENT_DAYS = 30
 
 
@@ -76,12 +76,12 @@ def dense_position(
     across = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy(*keys, SEG)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, SEG, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_off"))
+        .agg(F.count(F.lit(1)).alias("_scan_n"))
+        .select(*keys, SEG, F.coalesce(F.sum("_scan_n").over(across), F.lit(0)).alias("_scan_off"))
     )
-    numbered = tagged.withColumn("_rn", F.row_number().over(inside))
+    numbered = tagged.withColumn("_scan_rn", F.row_number().over(inside))
     return numbered.join(offsets, [*keys, SEG]).select(
-        *df.columns, (F.col("_off") + F.col("_rn") - 1).cast("bigint").alias(name)
+        *df.columns, (F.col("_scan_off") + F.col("_scan_rn") - 1).cast("bigint").alias(name)
     )
 
 

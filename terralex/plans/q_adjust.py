@@ -56,7 +56,7 @@ def variance_decompress(t):
   0.75e0 + (event_id % 25) / 1e2 AS conf FROM events),
 y AS (SELECT *, g + 0.35e0 * (d - g) AS adj, least(greatest((conf - 0.8e0) * 1.5e0, 0), 0.35e0) AS a FROM x),
 z AS (SELECT *, CASE WHEN ps IS NULL OR ps <= 0 THEN 0 WHEN ps / (adj + 1e-6) < 0.6 OR ps / (adj + 1e-6) > 1.6 THEN a * 0.35e0 ELSE a END AS al FROM y)
-SELECT event_id, round(greatest(al * coalesce(ps, 0) + (1 - al) * adj, 0), 6) AS blended FROM z""".replace(", x AS", "WITH x AS", 1),
+SELECT event_id, round(greatest(al * coalesce(ps, 0) + (1 - al) * adj, 0), 9) AS blended FROM z""".replace(", x AS", "WITH x AS", 1),
 )
 def confidence_blend(t):
     k, v = F.col("event_id") % 4, F.col("value")
@@ -66,7 +66,7 @@ def confidence_blend(t):
         (F.lit(0.75) + (F.col("event_id") % 25) / 100.0).alias("conf"),
     )
     mixed = cb.confidence_blend(F.col("g"), F.col("d"), F.col("ps"), F.col("conf"), "conductance")
-    return rows.select("event_id", F.round(mixed, 6).alias("blended"))
+    return rows.select("event_id", F.round(mixed, 9).alias("blended"))
 
 
 @query(
