@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.operators.quantiles import exact_quantiles, global_row, melt, value_ranks
+from terralex.operators.quantiles import exact_quantiles, global_row, melt, ranked_tally, value_ranks
 
 
 def missing_profile(df: DataFrame, cols: Sequence[str], sparse: float = 0.95) -> DataFrame:
@@ -149,21 +149,10 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: in
     return asked.join(found, ["a", "b"], "left").na.fill({"rho": 0.0, "n": 0})
 
 
-def _weighted_ranks(cells: DataFrame, side: str, segments: int = 200) -> DataFrame:
-    from pyspark.sql import Window
-
+def _weighted_ranks(cells: DataFrame, side: str) -> DataFrame:
+    """Average ranks of one side's distinct values, cells weighted by their rows."""
     tally = cells.groupBy("a", "b", side).agg(F.sum("c").alias("c"))
-    edges = tally.groupBy("a", "b").agg(
-        F.percentile_approx(side, [i / segments for i in range(1, segments)], 10_000).alias("_cuts"), F.sum("c").alias("n")
-    )
-    placed = tally.join(edges, ["a", "b"]).withColumn("_seg", F.size(F.filter("_cuts", lambda v: v < F.col(side))))
-    inside = Window.partitionBy("a", "b", "_seg").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy("a", "b").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    shift = placed.groupBy("a", "b", "_seg").agg(F.sum("c").alias("_t")).select(
-        "a", "b", "_seg", F.coalesce(F.sum("_t").over(across), F.lit(0)).alias("_off")
-    )
-    run = placed.withColumn("_in", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(shift, ["a", "b", "_seg"])
-    return run.withColumn("rank", F.col("_off") + F.col("_in") + (F.col("c") + 1) / 2.0)
+    return ranked_tally(tally, ["a", "b"], side, "c").withColumn("rank", F.col("before") + (F.col("c") + 1) / 2.0)
 
 
 def spearman_matrix(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact quantiles that survive a group holding most of the table.
 
 ``percentile`` keeps every distinct value of a group in one buffer. That is right for groups of
-bounded size. A larger group is first narrowed with mergeable sketches to the few rows around each
-wanted rank; only those are ordered, and the result is still exact.
+bounded size. The distinct values of a larger group are cut into pieces at sketched quantiles; the
+counts per piece tell which pieces hold the wanted ranks, and only those are ordered. The cuts only
+balance the work, so the result is exact.
 """
 
 from __future__ import annotations
@@ -28,63 +29,59 @@ def exact_quantiles(
     keys = list(keys) or ["_all"]
     base = df.withColumn("_all", F.lit(1)) if keys == ["_all"] else df
     base = base.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if group_limit < ACCURACY:
-        # Below the sketch's resolution its rank error could pass the margin; keep every row then.
-        margin = 1.0
-    else:
-        margin = 4.0 / ACCURACY
 
-    large = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_limit)
+    # Equal values are counted first. The shuffle is on key and value, so a large group spreads out,
+    # and everything below reads that one shuffle.
+    tally = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    large = tally.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > group_limit).select(*keys)
     small = (
-        base.join(large.select(*keys), keys, "left_anti")
+        tally.join(large, keys, "left_anti")
         .groupBy(*keys)
-        .agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        .agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_c")).alias("_q"))
         .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     )
-    ranked = _large_groups(base, large, keys, probs, names, margin)
+    ranked = _large_groups(tally.join(large, keys), keys, probs, names)
     out = small.unionByName(ranked)
     return out.drop("_all")
 
 
-def _large_groups(
-    base: DataFrame, large: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str], margin: float
-) -> DataFrame:
-    rows = base.join(large, keys)
-    edges = [min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)]
-    sketch = rows.groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_e")
-    )
-    bounds = [
-        F.struct(
-            F.lit(i).alias("i"),
-            (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank"),
-            F.col("_e")[2 * i].alias("lo"),
-            F.col("_e")[2 * i + 1].alias("hi"),
-        )
-        for i, p in enumerate(probs)
-    ]
-    wanted = sketch.select(*keys, F.explode(F.array(*bounds)).alias("_b"))
-    # Combined map-side: one row per distinct value and group.
-    tally = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    near = tally.join(wanted, keys).filter(F.col("_v") <= F.col("_b.hi"))
-    below = near.groupBy(*keys, F.col("_b.i").alias("_i")).agg(
-        F.coalesce(F.sum(F.when(F.col("_v") < F.col("_b.lo"), F.col("_c"))), F.lit(0)).alias("_below")
-    )
-    inside = near.filter(F.col("_v") >= F.col("_b.lo")).select(
-        *keys, F.col("_b.i").alias("_i"), F.col("_b.rank").alias("_rank"), "_v", "_c"
-    )
-    order = Window.partitionBy(*keys, "_i").orderBy("_v")
-    run = inside.withColumn("_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = run.join(below, [*keys, "_i"]).withColumn("_end", F.col("_end") + F.col("_below"))
-    start = F.col("_end") - F.col("_c")
-    at = lambda r: F.max(F.when((start <= r) & (r < F.col("_end")), F.col("_v")))
-    found = placed.groupBy(*keys, "_i").agg(
-        at(F.floor("_rank")).alias("_lo"), at(F.ceil("_rank")).alias("_hi"), F.first("_rank").alias("_rank")
+def _cut(tally: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``_seg``: which of up to 256 pieces of the key's value range a distinct value is in.
+
+    A value is placed among 15 coarse cuts and then among the 15 finer ones in between.
+    """
+    cuts = [i / 256 for i in range(1, 256)]
+    edges = tally.groupBy(*keys).agg(F.percentile_approx(value, cuts, ACCURACY).alias("_cuts"))
+    edges = edges.withColumn("_coarse", F.array(*[F.col("_cuts")[16 * i - 1] for i in range(1, 16)]))
+    below = lambda a: F.size(F.filter(a, lambda c: c < F.col(value)))
+    placed = tally.join(edges, keys).withColumn("_hi", below(F.col("_coarse")))
+    fine = below(F.slice("_cuts", F.col("_hi") * 16 + 1, 15))
+    return placed.withColumn("_seg", F.col("_hi") * 16 + fine).drop("_cuts", "_coarse", "_hi")
+
+
+def _piece_starts(placed: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """(keys…, _seg, _start, _size, _n): how many rows come before each piece."""
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.groupBy(*keys, "_seg").agg(F.sum(count).alias("_size")).select(
+        *keys, "_seg", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+        F.sum("_size").over(whole).alias("_n"),
     )
-    part = F.col("_rank") - F.floor("_rank")
-    value = F.col("_lo") + part * (F.col("_hi") - F.col("_lo"))
-    picks = [F.max(F.when(F.col("_i") == i, value)).alias(n) for i, n in enumerate(names)]
-    return found.groupBy(*keys).agg(*picks)
+
+
+def _large_groups(tally: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    placed = _cut(tally, keys, "_v").repartition(*keys, "_seg")
+    pieces = _piece_starts(placed, keys, "_c")
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank")) for i, p in enumerate(probs)])
+    ends = lambda r: (F.floor(r) < F.col("_start") + F.col("_size")) & (F.ceil(r) >= F.col("_start"))
+    wanted = pieces.withColumn("_ask", F.filter(asked, lambda a: ends(a["rank"]))).filter(F.size("_ask") > 0)
+    order = Window.partitionBy(*keys, "_seg").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.join(wanted.drop("_n", "_size"), [*keys, "_seg"]).withColumn("_end", F.col("_start") + F.sum("_c").over(order))
+    each = run.select(*keys, "_v", "_c", "_end", F.explode("_ask").alias("_a")).select(*keys, "_v", "_c", "_end", "_a.*")
+    at = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_v")))
+    found = each.groupBy(*keys, "i").agg(at(F.floor("rank")).alias("_lo"), at(F.ceil("rank")).alias("_hi"), F.max("rank").alias("rank"))
+    value = F.col("_lo") + (F.col("rank") - F.floor("rank")) * (F.col("_hi") - F.col("_lo"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, value)).alias(n) for i, n in enumerate(names)])
 
 
 def medians_wide(df: DataFrame, keys: Sequence[str], cols: Sequence[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -108,11 +105,20 @@ def global_row(stats: DataFrame) -> Column:
     return stats.select(F.struct(*stats.columns)).scalar()
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, segments: int = 200) -> DataFrame:
+def ranked_tally(tally: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
+    """Add to one row per key and distinct value how many rows come ``before`` it, and the key's ``n``."""
+    keys = list(keys)
+    placed = _cut(tally, keys, value).repartition(*keys, "_seg")
+    inside = Window.partitionBy(*keys, "_seg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    run = placed.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    joined = run.join(_piece_starts(placed, keys, count), [*keys, "_seg"])
+    return joined.select(*tally.columns, (F.col("_start") + F.col("_in")).alias("before"), F.col("_n").alias("n"))
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Average rank of every distinct value per key: (keys…, value, n_equal, before, rank, n).
 
-    Equal values are counted first, so a hot value is one row. The distinct values of a key are cut
-    at sketched quantiles, numbered inside each piece, and shifted by the pieces before it.
+    Equal values are counted first, so a hot value is one row.
     """
     keys = list(keys) or ["_all"]
     base = df.withColumn("_all", F.lit(1)) if keys == ["_all"] else df
@@ -122,23 +128,5 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, segments: int =
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n_equal"))
     )
-    cuts = [i / segments for i in range(1, segments)]
-    edges = tally.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, ACCURACY).alias("_cuts"), F.sum("n_equal").alias("n")
-    )
-    placed = tally.join(edges, keys).withColumn(
-        "_seg", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    )
-    inside = Window.partitionBy(*keys, "_seg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        placed.groupBy(*keys, "_seg").agg(F.sum("n_equal").alias("_c"))
-        .select(*keys, "_seg", F.coalesce(F.sum("_c").over(across), F.lit(0)).alias("_off"))
-    )
-    run = placed.withColumn("_in", F.coalesce(F.sum("n_equal").over(inside), F.lit(0))).join(shift, [*keys, "_seg"])
-    before = F.col("_off") + F.col("_in")
-    out = run.select(
-        *keys, value, "n_equal", before.alias("before"),
-        (before + (F.col("n_equal") + 1) / F.lit(2.0)).alias("rank"), "n",
-    )
-    return out.drop("_all")
+    out = ranked_tally(tally, keys, value, "n_equal")
+    return out.withColumn("rank", F.col("before") + (F.col("n_equal") + 1) / F.lit(2.0)).drop("_all")

@@ -45,12 +45,15 @@ def carry_last(
     """
     keys, order = list(keys), list(order)
     tagged = df.withColumn(SEG, segment).withColumns({f"_src_{n}": c for n, c in cols.items()})
+    # One shuffle serves the window, the summary and the join back.
+    tagged = tagged.repartition(*keys, SEG)
     inside = Window.partitionBy(*keys, SEG).orderBy(*_ordering(order, reverse))
     inside = inside.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     across = Window.partitionBy(*keys).orderBy(*_ordering([SEG], reverse))
     across = across.rowsBetween(Window.unboundedPreceding, -1)
 
-    place = F.struct(*order)
+    # A plain ordering column keeps the aggregate hashed; a struct would have it sort.
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     pick = F.min_by if reverse else F.max_by
     held = {n: pick(F.col(f"_src_{n}"), F.when(F.col(f"_src_{n}").isNotNull(), place)) for n in cols}
     summary = tagged.groupBy(*keys, SEG).agg(*[v.alias(f"_sum_{n}") for n, v in held.items()])
@@ -71,7 +74,7 @@ def dense_position(
 ) -> DataFrame:
     """Zero-based row number within the key, from per-segment numbers and segment offsets."""
     keys, order = list(keys), list(order)
-    tagged = df.withColumn(SEG, segment)
+    tagged = df.withColumn(SEG, segment).repartition(*keys, SEG)
     inside = Window.partitionBy(*keys, SEG).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -119,29 +119,30 @@ def knn(
     """
     by, payload = list(by), list(payload)
     place = [*by, "lat", "lon"]
-    asks = points.select(*place).distinct().withColumn("_ax", F.array(*metric.axes(F.col("lat"), F.col("lon"))))
-    # At most k references of one coordinate can be among anyone's k nearest.
-    same = Window.partitionBy(*place).orderBy(ref_id)
-    held = (
-        refs.select(*by, "lat", "lon", F.col(ref_id).alias("id"), *[c for c in payload])
-        .withColumn("_n", F.row_number().over(same.partitionBy(*place).orderBy("id")))
-        .filter(F.col("_n") <= k)
-        .drop("_n")
-        .withColumn("_ax", F.array(*metric.axes(F.col("lat"), F.col("lon"))))
-    )
     dims = len(metric.axes(F.lit(0.0), F.lit(0.0)))
+    cells = [f"c{d}" for d in range(dims)]
     sizes = [metric.finest * 2.0**j for j in range(metric.levels)]
+    axes = F.array(*metric.axes(F.col("lat"), F.col("lon")))
     at = lambda j: F.struct(
         F.lit(j).alias("lv"), *[F.floor(F.col("_ax")[d] / F.lit(sizes[j])).cast("bigint").alias(f"c{d}") for d in range(dims)]
     )
-    cells = [f"c{d}" for d in range(dims)]
     levels = F.explode(F.array(*[at(j) for j in range(metric.levels)])).alias("_c")
 
-    spread = held.select("*", levels).select(*held.columns, "_c.*")
-    counts = spread.groupBy(*by, "lv", *cells).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
+    # At most k references of one coordinate can be among anyone's k nearest: one row per coordinate.
+    same = Window.partitionBy(*place).orderBy("id")
+    held = (
+        refs.select(*by, "lat", "lon", F.col(ref_id).alias("id"), *payload)
+        .withColumn("_n", F.row_number().over(same))
+        .filter(F.col("_n") <= k)
+        .groupBy(*place)
+        .agg(F.sort_array(F.collect_list(F.struct("id", *payload))).alias("_held"))
+        .withColumn("_ax", axes)
+    )
+    spread = held.select(*place, F.size("_held").alias("_n"), levels).select(*place, "_n", "_c.*")
+    counts = spread.groupBy(*by, "lv", *cells).agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= k)
+    asks = points.select(*place).distinct().withColumn("_ax", axes)
     start = (
-        asks.select(*place, levels)
-        .select(*place, "_c.*")
+        asks.select(*place, levels).select(*place, "_c.*")
         .join(counts, [*by, "lv", *cells])
         .groupBy(*place)
         .agg(F.min("lv").alias("_lv"))
@@ -159,16 +160,18 @@ def knn(
         asks.join(start, place, "left").withColumn("lv", level)
         .select(*place, "lv", F.explode(shifts).alias("_c")).select(*place, "lv", "_c.*")
     )
-    near = spread.select(
-        *by, "lv", *cells, F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon"), "id", *[F.col(c).alias(f"_p_{c}") for c in payload]
-    )
+    near = spread.select(*by, "lv", *cells, F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon"))
     pairs = looks.join(near, [*by, "lv", *cells]).withColumn(
         "dist", metric.distance(F.col("lat"), F.col("lon"), F.col("_rlat"), F.col("_rlon"))
     )
-    best = Window.partitionBy(*place).orderBy("dist", "id")
-    kept = pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
-    item = F.struct("_r", "dist", "id", *[F.col(f"_p_{c}").alias(c) for c in payload])
-    return kept.groupBy(*place).agg(F.sort_array(F.collect_list(item)).alias(name))
+    # k coordinates hold k references; equally far ones are all kept so that ids settle the tie.
+    best = Window.partitionBy(*place).orderBy("dist")
+    kept = pairs.withColumn("_r", F.rank().over(best)).filter(F.col("_r") <= k)
+    rows = held.select(*by, F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon"), "_held")
+    full = kept.join(rows, [*by, "_rlat", "_rlon"])
+    item = F.transform("_held", lambda x: F.struct(F.col("dist"), x["id"].alias("id"), *[x[c].alias(c) for c in payload]))
+    ordered = F.sort_array(F.flatten(F.collect_list(item)))
+    return full.groupBy(*place).agg(F.slice(ordered, 1, k).alias(name))
 
 
 def nearest_station_fill(
@@ -211,7 +214,7 @@ def neighbor_stations(stations: DataFrame, k: int = 5, max_deg: float = 2.0) ->
     # k+1 always include the station itself unless more than k others share its coordinate.
     pairs = stations.join(near, ["region", "lat", "lon"]).select("station", F.explode("near").alias("n"))
     pairs = pairs.filter((F.col("n.id") != F.col("station")) & (F.col("n.dist") <= max_deg))
-    rank = Window.partitionBy("station").orderBy("n._r")
+    rank = Window.partitionBy("station").orderBy("n.dist", "n.id")
     return pairs.withColumn("_k", F.row_number().over(rank)).filter(F.col("_k") <= k).select(
         "station", F.col("n.id").alias("neighbor"), F.col("n.dist").alias("dist")
     )

@@ -13,6 +13,10 @@ from terralex.functions.scalars import key_normalize
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key by ``order``; an aggregate, so copies collapse before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
+    if len(order) == 1:
+        # Plain columns keep the aggregate hashed.
+        picks = [F.min(c).alias(c) if c == order[0] else F.min_by(c, order[0]).alias(c) for c in rest]
+        return df.groupBy(*keys).agg(*picks).select(*df.columns)
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")
     return df.groupBy(*keys).agg(first).select(*keys, "_r.*").select(*df.columns)
 

@@ -27,12 +27,13 @@ def lag_last_valid(obs: DataFrame, cols: Sequence[str], segment_days: int = SEGM
     """Per column, its last non-null value on an earlier row of the station, and the days since."""
     held: dict[str, Column] = {}
     for c in cols:
-        held[f"lag_{c}"] = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("day").alias("d")))
+        held[f"lag_{c}"] = F.col(c)
+        held[f"lag_{c}_on"] = F.when(F.col(c).isNotNull(), F.col("day"))
     out = carry_last(obs, ["station"], ["day"], day_segment(F.col("day"), segment_days), held)
     return out.select(
         *obs.columns,
-        *[F.col(f"lag_{c}.v").alias(f"lag_{c}") for c in cols],
-        *[F.datediff("day", F.col(f"lag_{c}.d")).alias(f"lag_{c}_days") for c in cols],
+        *[F.col(f"lag_{c}") for c in cols],
+        *[F.datediff("day", F.col(f"lag_{c}_on")).alias(f"lag_{c}_days") for c in cols],
     )
 
 
@@ -86,9 +87,9 @@ def asof_payload(
     tagged = obs.select("station", "day", F.lit(history_tag).alias("_tag"), payload.alias("_pay")).unionByName(
         wanted.select("station", "day", F.lit(1 - history_tag).alias("_tag")), allowMissingColumns=True
     )
+    tagged = tagged.withColumn("_at", F.unix_date("day") * 2 + F.col("_tag"))
     carried = carry_last(
-        tagged, ["station"], ["day", "_tag"], day_segment(F.col("day"), segment_days),
-        {name: F.col("_pay")}, reverse=reverse,
+        tagged, ["station"], ["_at"], day_segment(F.col("day"), segment_days), {name: F.col("_pay")}, reverse=reverse
     )
     return carried.filter(F.col("_tag") == 1 - history_tag).select("station", "day", name)
 

@@ -31,9 +31,14 @@ def vocab(tokens: DataFrame, max_size: int = MAX_VOCAB, min_count: int = MIN_COU
 
     The cap bounds the table, so numbering it in one task and broadcasting it are safe.
     """
-    counted = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("doc_id", "pos")).alias("_first"))
-    top = counted.filter(F.col("count") >= min_count).orderBy(F.desc("count"), F.asc("_first")).limit(max_size)
-    rank = Window.orderBy(F.desc("count"), F.asc("_first"))
+    # First by word and document, then by word: plain columns, so both aggregates are hashed.
+    per_doc = tokens.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
+    counted = per_doc.groupBy("word").agg(
+        F.sum("_c").alias("count"), F.min("doc_id").alias("_doc"), F.min_by("_p", "doc_id").alias("_pos")
+    )
+    first = [F.desc("count"), F.asc("_doc"), F.asc("_pos")]
+    top = counted.filter(F.col("count") >= min_count).orderBy(*first).limit(max_size)
+    rank = Window.orderBy(*first)
     everything = Window.partitionBy()
     return top.select(
         (F.row_number().over(rank) - 1).cast("bigint").alias("word_id"), "word", "count",
@@ -136,7 +141,7 @@ def negative_slots(vocabulary: DataFrame, slots: int = SLOTS, power: float = NEG
     )
 
 
-def negative_samples(pairs: DataFrame, table: DataFrame, k: int, slots: int = SLOTS, seed: int = 42, cells: int = 4096) -> DataFrame:
+def negative_samples(pairs: DataFrame, table: DataFrame, k: int, slots: int = SLOTS, seed: int = 42, cells: int = 65_536) -> DataFrame:
     """k draws from the sampling table per pair, the positive word not excluded.
 
     A drawn slot finds its word through an equi-join on a coarse cell of the table.
