@@ -20,7 +20,9 @@ def hash_uniform(seed: int | str, *keys: Column | str) -> Column:
     """A reproducible draw in [0, 1) from the row's keys, the same on every engine with md5."""
     parts = [F.lit(str(seed))] + [F.col(k) if isinstance(k, str) else k for k in keys]
     text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    digits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10)
+    # Never null, so no plan evaluates the hash once more just to test it.
+    return F.coalesce(digits, F.lit("0")).cast("bigint") / F.lit(4294967296.0)
 
 
 # --- calendar ---------------------------------------------------------------------------------

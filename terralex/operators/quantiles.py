@@ -70,7 +70,7 @@ def _piece_starts(placed: DataFrame, keys: list[str], count: str) -> DataFrame:
 
 
 def _large_groups(tally: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    placed = _cut(tally, keys, "_v").repartition(*keys, "_seg")
+    placed = _cut(tally, keys, "_v")
     pieces = _piece_starts(placed, keys, "_c")
     asked = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank")) for i, p in enumerate(probs)])
     ends = lambda r: (F.floor(r) < F.col("_start") + F.col("_size")) & (F.ceil(r) >= F.col("_start"))
@@ -108,7 +108,7 @@ def global_row(stats: DataFrame) -> Column:
 def ranked_tally(tally: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """Add to one row per key and distinct value how many rows come ``before`` it, and the key's ``n``."""
     keys = list(keys)
-    placed = _cut(tally, keys, value).repartition(*keys, "_seg")
+    placed = _cut(tally, keys, value)
     inside = Window.partitionBy(*keys, "_seg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     run = placed.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0)))
     joined = run.join(_piece_starts(placed, keys, count), [*keys, "_seg"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terralex.sources.spread import spread_small
+
 TARGETS = ("target_a", "target_b", "target_c")
 AUX = ("aux_1", "aux_2")
 
@@ -116,7 +118,8 @@ class Tables:
     def corpus(self) -> DataFrame:
         from terralex.operators.text import tokenize
 
-        return tokenize(self.read("documents"), "doc_id", "text")
+        docs = self.read("documents").select("doc_id", "text")
+        return tokenize(spread_small(docs, "doc_id"), "doc_id", "text")
 
 
 SQL_VIEWS = {

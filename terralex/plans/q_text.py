@@ -10,6 +10,7 @@ from terralex.operators import embed as em
 from terralex.operators import text as tx
 from terralex.plans.q_temporal import r6
 from terralex.plans.registry import query
+from terralex.session import cut_lineage
 from terralex.sources.vectors_io import vector_line
 
 WINDOW, NEGATIVES, DIM, SLOTS = 2, 2, 4, 1_000_000
@@ -73,26 +74,31 @@ def vocabulary(t):
     return tx.vocab(t.corpus())
 
 
-def sub(t):
-    return tx.renumber(tx.subsample(tx.encode(t.corpus(), vocabulary(t))))
+def kept_words(t):
+    """The vocabulary, written once: several steps read this small table."""
+    return cut_lineage(vocabulary(t))
 
 
-def pairs(t):
-    return tx.skipgram_pairs(sub(t), WINDOW)
+def sub(t, words, scope="document"):
+    """The thinned corpus, written once before it is numbered, as numbering reads it twice."""
+    return tx.renumber(cut_lineage(tx.subsample(tx.encode(t.corpus(), words))), scope)
 
 
-def slots(t):
-    return tx.negative_slots(vocabulary(t), SLOTS)
+def pairs(t, words):
+    return tx.skipgram_pairs(sub(t, words), WINDOW)
 
 
-def examples(t):
-    p = pairs(t)
-    return tx.training_examples(p, tx.negative_samples(p, slots(t), NEGATIVES, SLOTS))
+def slots(words):
+    return tx.negative_slots(words, SLOTS)
 
 
-def embeddings(t):
+def examples(t, words):
+    p = pairs(t, words)
+    return tx.training_examples(p, tx.negative_samples(p, slots(words), NEGATIVES, SLOTS))
+
+
+def embeddings(v):
     """Both sides random, so that every term of loss and gradient counts."""
-    v = vocabulary(t)
     other = em.initial_embeddings(v, DIM, 7).select("word_id", F.col("center_vec").alias("context_vec"))
     return em.initial_embeddings(v, DIM, 42).drop("context_vec").join(other, "word_id")
 
@@ -144,12 +150,12 @@ def encode_corpus(t):
 
 @query("subsample_frequent", SQL_SUB + "SELECT doc_id, pos, word_id, place FROM sub", ("corpus",))
 def subsample_frequent(t):
-    return sub(t).drop("freq")
+    return sub(t, kept_words(t)).drop("freq")
 
 
 @query("skipgram_pairs", SQL_PAIRS + "SELECT doc_id, place, shift, center, context FROM pairs", ("corpus",))
 def skipgram_pairs(t):
-    return pairs(t).drop("pos")
+    return pairs(t, kept_words(t)).drop("pos")
 
 
 @query(
@@ -163,18 +169,18 @@ FROM (SELECT *, unnest([s FOR s IN range(-{WINDOW}, {WINDOW} + 1) IF s <> 0]) AS
     ("corpus",),
 )
 def skipgram_pairs_corpus(t):
-    numbered = tx.renumber(tx.subsample(tx.encode(t.corpus(), vocabulary(t))), "corpus")
-    return tx.skipgram_pairs(numbered, WINDOW, scope="corpus").select("place", "shift", "center", "context")
+    return tx.skipgram_pairs(sub(t, kept_words(t), "corpus"), WINDOW, scope="corpus").select("place", "shift", "center", "context")
 
 
 @query("negative_slots", SQL_SLOTS + "SELECT word_id, word, slot_start, slot_end FROM slots WHERE slot_end > slot_start", ("corpus",))
 def negative_slots(t):
-    return slots(t)
+    return slots(vocabulary(t))
 
 
 @query("negative_samples", SQL_NEGS + "SELECT center, negative, count(*) AS times FROM negs GROUP BY ALL", ("corpus",))
 def negative_samples(t):
-    drawn = tx.negative_samples(pairs(t), slots(t), NEGATIVES, SLOTS)
+    words = kept_words(t)
+    drawn = tx.negative_samples(pairs(t, words), slots(words), NEGATIVES, SLOTS)
     return drawn.groupBy("center", "negative").agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -186,7 +192,8 @@ def negative_samples(t):
     ("corpus",),
 )
 def sgns_forward_loss(t):
-    return em.forward_loss(examples(t), embeddings(t)).withColumn("loss", F.round("loss", 8))
+    words = kept_words(t)
+    return em.forward_loss(examples(t, words), embeddings(words)).withColumn("loss", F.round("loss", 8))
 
 
 @query(
@@ -202,17 +209,16 @@ def sgns_forward_loss(t):
     ("corpus",),
 )
 def sgns_gradient_step(t):
-    out = em.gradient_step(examples(t), embeddings(t), 0.05, DIM)
+    words = kept_words(t)
+    out = em.gradient_step(cut_lineage(examples(t, words)), cut_lineage(embeddings(words)), 0.05, DIM)
     parts = {"c": "center_vec", "x": "context_vec"}
     return out.select("word_id", *[F.round(F.col(v)[d], 6).alias(f"{p}{d}") for d in range(DIM) for p, v in parts.items()])
 
 
 @query("sgns_train")
 def sgns_train(t):
-    from terralex.session import cut_lineage
-
-    words = cut_lineage(vocabulary(t))
-    p = cut_lineage(tx.skipgram_pairs(tx.renumber(tx.subsample(tx.encode(t.corpus(), words))), WINDOW))
+    words = kept_words(t)
+    p = cut_lineage(pairs(t, words))
     emb, _ = em.train(p, tx.negative_slots(words, SLOTS), words, 8, NEGATIVES, epochs=1, rounds=2, slots=SLOTS)
     return em.embedding_sum(emb).join(words.select("word_id", "word"), "word_id")
 
