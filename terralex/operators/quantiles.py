@@ -33,7 +33,7 @@ def exact_quantiles(
     # Equal values are counted first. The shuffle is on key and value, so a large group spreads out,
     # and everything below reads that one shuffle.
     tally = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    large = tally.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > group_limit).select(*keys)
+    large = tally.groupBy(*keys).agg(F.sum("_c").alias("_d")).filter(F.col("_d") > group_limit).select(*keys)
     small = (
         tally.join(large, keys, "left_anti")
         .groupBy(*keys)
@@ -45,13 +45,13 @@ def exact_quantiles(
     return out.drop("_all")
 
 
-def _cut(tally: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add ``_seg``: which of up to 256 pieces of the key's value range a distinct value is in.
+def _cut(tally: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """Add the key's rows ``_n`` and ``_seg``: which of up to 256 pieces of its values a value is in.
 
     A value is placed among 15 coarse cuts and then among the 15 finer ones in between.
     """
     cuts = [i / 256 for i in range(1, 256)]
-    edges = tally.groupBy(*keys).agg(F.percentile_approx(value, cuts, ACCURACY).alias("_cuts"))
+    edges = tally.groupBy(*keys).agg(F.percentile_approx(value, cuts, ACCURACY).alias("_cuts"), F.sum(count).alias("_n"))
     edges = edges.withColumn("_coarse", F.array(*[F.col("_cuts")[16 * i - 1] for i in range(1, 16)]))
     below = lambda a: F.size(F.filter(a, lambda c: c < F.col(value)))
     placed = tally.join(edges, keys).withColumn("_hi", below(F.col("_coarse")))
@@ -60,23 +60,22 @@ def _cut(tally: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _piece_starts(placed: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """(keys…, _seg, _start, _size, _n): how many rows come before each piece."""
+    """(keys…, _seg, _n, _size, _start): how many rows come before each piece."""
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.groupBy(*keys, "_seg").agg(F.sum(count).alias("_size")).select(
-        *keys, "_seg", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
-        F.sum("_size").over(whole).alias("_n"),
+    return placed.groupBy(*keys, "_seg", "_n").agg(F.sum(count).alias("_size")).select(
+        *keys, "_seg", "_n", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
 
 
 def _large_groups(tally: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    placed = _cut(tally, keys, "_v")
+    placed = _cut(tally, keys, "_v", "_c")
     pieces = _piece_starts(placed, keys, "_c")
     asked = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank")) for i, p in enumerate(probs)])
     ends = lambda r: (F.floor(r) < F.col("_start") + F.col("_size")) & (F.ceil(r) >= F.col("_start"))
     wanted = pieces.withColumn("_ask", F.filter(asked, lambda a: ends(a["rank"]))).filter(F.size("_ask") > 0)
     order = Window.partitionBy(*keys, "_seg").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.join(wanted.drop("_n", "_size"), [*keys, "_seg"]).withColumn("_end", F.col("_start") + F.sum("_c").over(order))
+    run = placed.drop("_n").join(wanted.drop("_n", "_size"), [*keys, "_seg"]).withColumn("_end", F.col("_start") + F.sum("_c").over(order))
     each = run.select(*keys, "_v", "_c", "_end", F.explode("_ask").alias("_a")).select(*keys, "_v", "_c", "_end", "_a.*")
     at = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_v")))
     found = each.groupBy(*keys, "i").agg(at(F.floor("rank")).alias("_lo"), at(F.ceil("rank")).alias("_hi"), F.max("rank").alias("rank"))
@@ -108,10 +107,10 @@ def global_row(stats: DataFrame) -> Column:
 def ranked_tally(tally: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
     """Add to one row per key and distinct value how many rows come ``before`` it, and the key's ``n``."""
     keys = list(keys)
-    placed = _cut(tally, keys, value)
+    placed = _cut(tally, keys, value, count)
     inside = Window.partitionBy(*keys, "_seg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     run = placed.withColumn("_in", F.coalesce(F.sum(count).over(inside), F.lit(0)))
-    joined = run.join(_piece_starts(placed, keys, count), [*keys, "_seg"])
+    joined = run.join(_piece_starts(placed, keys, count).drop("_n"), [*keys, "_seg"])
     return joined.select(*tally.columns, (F.col("_start") + F.col("_in")).alias("before"), F.col("_n").alias("n"))
 
 

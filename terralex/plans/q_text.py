@@ -52,7 +52,7 @@ SQL_NEGS = (
     + ", drawn AS (SELECT p.*, d.draw, CAST(floor("
     + U.format("'42:n:', doc_id, ':', place, ':', shift, ':', draw")
     + f""" * {SLOTS}) AS BIGINT) AS slot FROM pairs p, (SELECT unnest(range(1, {NEGATIVES} + 1)) AS draw) d),
-negs AS MATERIALIZED (SELECT d.center, s.word_id AS negative FROM drawn d ASOF JOIN (SELECT * FROM slots WHERE slot_end > slot_start) s ON d.slot >= s.slot_start)
+negs AS MATERIALIZED (SELECT d.center, d.slot, s.word_id AS negative FROM drawn d ASOF JOIN (SELECT * FROM slots WHERE slot_end > slot_start) s ON d.slot >= s.slot_start)
 """
 )
 SQL_EX = (
@@ -103,7 +103,7 @@ def embeddings(v):
     return em.initial_embeddings(v, DIM, 42).drop("context_vec").join(other, "word_id")
 
 
-@query("tokenize", "SELECT doc_id, pos, word FROM corpus", ("corpus",))
+@query("tokenize", "SELECT doc_id, CAST(pos AS INT) AS pos, word FROM corpus", ("corpus",))
 def tokenize(t):
     return t.corpus()
 
@@ -143,12 +143,12 @@ def oov_check(t):
     return tx.out_of_vocabulary(words, vocabulary(t))
 
 
-@query("encode_corpus", SQL_ENC + "SELECT doc_id, pos, word_id FROM enc", ("corpus",))
+@query("encode_corpus", SQL_ENC + "SELECT doc_id, CAST(pos AS INT) AS pos, word_id FROM enc", ("corpus",))
 def encode_corpus(t):
     return tx.encode(t.corpus(), vocabulary(t)).drop("freq")
 
 
-@query("subsample_frequent", SQL_SUB + "SELECT doc_id, pos, word_id, place FROM sub", ("corpus",))
+@query("subsample_frequent", SQL_SUB + "SELECT doc_id, CAST(pos AS INT) AS pos, word_id, place FROM sub", ("corpus",))
 def subsample_frequent(t):
     return sub(t, kept_words(t)).drop("freq")
 
@@ -177,11 +177,18 @@ def negative_slots(t):
     return slots(vocabulary(t))
 
 
-@query("negative_samples", SQL_NEGS + "SELECT center, negative, count(*) AS times FROM negs GROUP BY ALL", ("corpus",))
+@query(
+    "negative_samples",
+    SQL_NEGS + "SELECT center, count(*) AS draws, CAST(sum(negative) AS BIGINT) AS negative_sum, min(negative) AS negative_min, max(negative) AS negative_max, CAST(sum(slot) AS BIGINT) AS slot_sum FROM negs GROUP BY center",
+    ("corpus",),
+)
 def negative_samples(t):
     words = kept_words(t)
     drawn = tx.negative_samples(pairs(t, words), slots(words), NEGATIVES, SLOTS)
-    return drawn.groupBy("center", "negative").agg(F.count(F.lit(1)).alias("times"))
+    return drawn.groupBy("center").agg(
+        F.count(F.lit(1)).alias("draws"), F.sum("negative").alias("negative_sum"), F.min("negative").alias("negative_min"),
+        F.max("negative").alias("negative_max"), F.sum("slot").alias("slot_sum"),
+    )
 
 
 @query(

@@ -45,6 +45,15 @@ def rows(columns, data):
     return names, sorted(out, key=lambda r: tuple((x is not None, str(type(x)), str(x)) for x in r))
 
 
+FAMILY = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
+def type_notes(df, con, sql):
+    """Columns whose Spark and SQL types differ."""
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [(c, t, want.get(c)) for c, t in df.dtypes if FAMILY.get(t, t) != want.get(c)]
+
+
 def compare(df, con, sql):
     names, got = rows(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
@@ -75,8 +84,9 @@ def main(argv):
         start = time.time()
         try:
             if name in ORACLES:
-                problem = compare(QUERIES[name](spark, sf_dir), con, ORACLES[name])
-                note = "ok"
+                df = QUERIES[name](spark, sf_dir)
+                problem = compare(df, con, ORACLES[name])
+                note = f"ok {type_notes(df, con, ORACLES[name]) or ''}"
             else:
                 note = f"rows-only {len(QUERIES[name](spark, sf_dir).collect())}"
                 problem = None
