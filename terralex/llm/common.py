@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+import terralex
 from terralex.session import scratch_folder
 
 #: A word: a run of characters other than the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, as ``--py-files`` would."""
+    context, root = spark.sparkContext, Path(terralex.__file__).parent
+    if context.applicationId in _SHIPPED or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="terralex-code-")) / "terralex.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with this package importable on the executors."""
+    ship_code(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_folder(df.sparkSession, name)
@@ -31,5 +60,20 @@ def in_fold(doc_id: str, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == fold
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> DataFrame:
+    """doc_id, label and text of at most ``rows`` labelled ids outside the held-out fold, chosen by hash.
+
+    The chosen ids are at most ``rows`` pairs of numbers, so they may be broadcast.
+    """
+    chosen = (
+        labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~in_fold("doc_id", folds, held_out))
+        .groupBy("doc_id")
+        .agg(F.max(label).cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(rows)
+    )
+    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

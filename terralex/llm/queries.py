@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from terralex.llm import mixing, sharding
+from terralex.llm import embeddings, mixing, pii, quality, sharding, simhash, tokencount, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_tokens": tokencount.op2_tokens,
     "op3_shard": sharding.op3_shard,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_simhash": simhash.op5_simhash,
+    "op7_embeddings": embeddings.op7_embeddings,
+    "op8_quality": quality.op8_quality,
+    "op9_pii": pii.op9_pii,
 }
 
-ORACLES: dict[str, str] = {}
+#: Queries that SQL can express over whole tables; the others have brute-force tests.
+ORACLES = {"op7_embeddings": embeddings.OP7_SQL}
