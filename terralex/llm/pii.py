@@ -5,8 +5,9 @@ match that the base rules drop as a whole (two card numbers side by side, a phon
 an address), written-out mail addresses, and numbers of the right shape only. Five labelers vote on
 every candidate, base spans included: shape, validity, gazetteer, boundary and context; each says
 yes, no or nothing. Expectation-maximisation over the counts of all vote patterns of all documents
-estimates how reliable each labeler is for each kind, without any label. Its posteriors train the
-final classifier, a logistic model over kind and votes, and a candidate it accepts is added.
+estimates how reliable each labeler is for each kind, without any label. Its posteriors train the final
+classifier, a logistic model over kind and votes. A candidate it accepts is added if it keeps its kind's
+rule (checksum, range, number of digits); what breaks the rule is a candidate only to learn from.
 
 There are at most 4 x 3^5 vote patterns, so the fit works on that many counts whatever the input.
 
@@ -275,7 +276,8 @@ def find_personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     )
     counts = [(r["kind"], r["pattern"], float(r["count"])) for r in sorted(seen, key=lambda r: (r["kind"], r["pattern"]))]
     scores = train(counts, estimate(counts))
-    accepted = sorted(k * 3 ** len(LABELERS) + p for (k, p), s in scores.items() if s >= accept)
+    valid = LABELERS.index("validity")
+    accepted = sorted(k * 3 ** len(LABELERS) + p for (k, p), s in scores.items() if s >= accept and _uncode(p)[valid] == 2)
     chosen = F.array(*[F.lit(a) for a in accepted]) if accepted else F.array().cast("array<int>")
     added = F.filter("more", lambda s: F.array_contains(chosen, s["kind"] * 3 ** len(LABELERS) + s["pattern"]))
     both = found.withColumn("added", added).withColumn("all_spans", F.array_sort(F.concat("base", "added")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terralex.llm import embeddings, mixing, pii, quality, sharding, simhash, tokencount, toxicity
+from terralex.llm import decontamination, embeddings, language_model, mixing, pii, quality, sharding, simhash, tokencount, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_shard": sharding.op3_shard,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
+    "op6_language_model": language_model.op6_language_model,
     "op7_embeddings": embeddings.op7_embeddings,
     "op8_quality": quality.op8_quality,
     "op9_pii": pii.op9_pii,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
 #: Queries that SQL can express over whole tables; the others have brute-force tests.
