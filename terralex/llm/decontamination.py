@@ -1,16 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages are windows of 64 words, half overlapping. Document frequencies of the benchmark's words
-   are counted over all passages of all documents and give the inverse-frequency weights.
-2. A randomised SVD of the TF-IDF passages (of the items and of a bounded, hashed sample of documents)
+1. Passages are windows of 64 words, half overlapping. In how many passages each benchmark word occurs
+   is counted over all documents and gives the inverse-frequency weights. Words in more than
+   ``MOST_SHARE`` of the passages are left out of the vectors, but every item keeps its ``RAREST`` rarest.
+2. A randomised SVD of the weighted passages (of the items and of a bounded, hashed sample of documents)
    yields the latent axes: tasks multiply their sparse passages with the test matrix and its products,
-   and only matrices of fixed size meet.
-3. Every passage of every document is projected, its cosine with every item is taken, in blocks of
-   items, and passages above ``CANDIDATE`` are candidates.
+   and only matrices of fixed size meet. Items go in blocks of at most ``RANK``, each with its own axes,
+   so that no item falls out of them.
+3. Every passage of every document is projected, and its latent product with every item over the full
+   lengths of both is its cosine; passages above ``CANDIDATE`` are candidates.
 4. A candidate is checked on the words around it: the longest common subsequence with the item covers
    ``LCS`` of it, or a smaller part and also the answer, the item's last sentence.
 
-Words are white-space tokens in lower case without outer punctuation.
+Words are white-space tokens in lower case without outer punctuation. Up to ``ITEMS_A_PASS`` items are
+searched in one pass over the documents.
 
 Nulls: a null text is the empty text and leaks nothing; a null or wordless item is no item; a null
 document id is carried along. Repeated rows are each found. Empty tables give an empty result.
@@ -30,13 +33,16 @@ from pyspark.sql import types as T
 from terralex.llm.common import map_batches, saved, ship_code, text_or_empty
 
 HALF_WINDOW = 32
-DIMS = 1 << 15
-RANK = 64
+RANK = 256
 OVERSAMPLE = 8
 POWER_ROUNDS = 2
 SAMPLE_DOCS = 2_000
-ITEM_BLOCK = 20_000
-CANDIDATE = 0.5
+#: An item counts as so many passages in the decomposition, so that the axes keep every item.
+ITEM_WEIGHT = 1_000.0
+ITEMS_A_PASS = 2048
+RAREST = 12
+MOST_SHARE = 0.01
+CANDIDATE = 0.3
 LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.65, 0.8
 CHUNK_TOKENS = 1 << 17
 MEMORY = 300_000
@@ -55,7 +61,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Items:
-    """One block of the benchmark: word numbers of every item and of its answer."""
+    """The items of one pass: word numbers of every item and of its answer."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids: list = []
@@ -70,7 +76,6 @@ class Items:
             self.ids.append(item)
             self.words.append([self.numbers.setdefault(w, len(self.numbers)) for w in words])
             self.answers.append([self.numbers[w] for w in last if w in self.numbers])
-        self.dims = max(1, min(DIMS, len(self.numbers)))
 
 
 class TokenReader:
@@ -141,13 +146,12 @@ def passage_frequencies(texts: DataFrame, items: Items) -> tuple[np.ndarray, int
     return out, passages
 
 
-def _tfidf(ids: np.ndarray, row: np.ndarray, weights: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of unit length: (row, dimension, value)."""
-    key, tf = np.unique(row.astype(np.int64) * dims + ids % dims, return_counts=True)
-    rows, cols = key // dims, key % dims
-    value = (1 + np.log(tf)) * weights[cols]
-    norm = np.sqrt(np.bincount(rows, value**2))
-    return rows, cols, value / np.maximum(norm[rows], 1e-12)
+def _tfidf(ids: np.ndarray, row: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows: (row, column, value)."""
+    size = len(weights)
+    key, tf = np.unique(row.astype(np.int64) * size + ids, return_counts=True)
+    rows, cols = key // size, key % size
+    return rows, cols, (1 + np.log(tf)) * weights[cols]
 
 
 def _product(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, matrix: np.ndarray) -> np.ndarray:
@@ -166,13 +170,39 @@ def _product(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, matrix: np.n
     return out
 
 
-def latent_axes(sample: DataFrame, items: Items, weights: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """(dims, rank) right singular directions by randomised subspace iteration over the sample's passages.
-
-    A round sends a matrix of dims x (rank + oversample) from each of at most eight tasks.
+class Block:
+    """At most ``RANK`` items: the words that stand for them, their weights, and, once fitted, their axes."""
+
+    def __init__(self, items: Items, members: range, frequency: np.ndarray, passages: int):
+        share = frequency / max(1, passages)
+        kept: set[int] = set()
+        for k in members:
+            words = sorted(set(items.words[k]), key=lambda w: (frequency[w], w))
+            kept.update(words[:RAREST])
+            kept.update(w for w in words[RAREST:] if share[w] <= MOST_SHARE)
+        chosen = np.array(sorted(kept))
+        self.members = members
+        self.column = np.full(len(items.numbers), -1, np.int32)
+        self.column[chosen] = np.arange(len(chosen))
+        self.weights = (np.log((passages + 1) / (frequency[chosen] + 1)) + 1e-3) ** 2
+        words = [self.column[np.array(items.words[k])] for k in members]
+        self.words = [w[w >= 0] for w in words]
+
+    def fit(self, axes: np.ndarray) -> None:
+        self.table = (self.weights[:, None] * axes).astype(np.float32)
+        self.squares = self.weights**2
+        self.vectors = np.stack([self.table[w].sum(0) for w in self.words])
+        length = np.sqrt([self.squares[w].sum() for w in self.words])
+        self.vectors /= np.maximum(length, 1e-12)[:, None].astype(np.float32)
+
+
+def latent_axes(sample: DataFrame, items: Items, block: Block) -> np.ndarray:
+    """(words, rank) right singular directions by randomised subspace iteration over the sample's passages.
+
+    A round sends one matrix of words x (rank + oversample) from each of at most eight tasks.
     """
-    numbers, dims = items.numbers, items.dims
-    width = min(rank + OVERSAMPLE, dims)
+    numbers, column, weights = items.numbers, block.column, block.weights
+    width = min(RANK + OVERSAMPLE, len(weights))
     few = sample.coalesce(8)
 
     def multiply(matrix: np.ndarray) -> np.ndarray:
@@ -181,23 +211,24 @@ def latent_axes(sample: DataFrame, items: Items, weights: np.ndarray, rank: int
             for b in batches:
                 for _, parts in reader.chunks(b.column("text")):
                     ids, half, _, _ = _halves(parts)
-                    if len(ids):
-                        total += _product(*_tfidf(ids, half, weights, dims), matrix)
+                    cols = column[ids]
+                    if (cols >= 0).any():
+                        total += _product(*_tfidf(cols[cols >= 0], half[cols >= 0], weights), matrix)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         total = np.zeros_like(matrix)
         for r in few.select("text").transform(map_batches, run, "part binary").collect():
             total += np.frombuffer(r["part"]).reshape(matrix.shape)
-        own_ids = np.array([w for words in items.words for w in words])
-        own_rows = np.repeat(np.arange(len(items.words)), [len(w) for w in items.words])
-        return total + _product(*_tfidf(own_ids, own_rows, weights, dims), matrix)
+        own = np.concatenate(block.words)
+        rows = np.repeat(np.arange(len(block.words)), [len(w) for w in block.words])
+        return total + ITEM_WEIGHT * _product(*_tfidf(own, rows, weights), matrix)
 
-    q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dims, width)))[0]
+    q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(weights), width)))[0]
     for _ in range(POWER_ROUNDS):
         q = np.linalg.qr(multiply(q))[0]
     gram = q.T @ multiply(q)
     values, turn = np.linalg.eigh((gram + gram.T) / 2)
-    return q @ turn[:, np.argsort(-values)[:rank]]
+    return q @ turn[:, np.argsort(-values)[:RANK]]
 
 
 def lcs(item: list[int], words: np.ndarray) -> int:
@@ -214,15 +245,10 @@ def lcs(item: list[int], words: np.ndarray) -> int:
 
 
 class Searcher:
-    """Finds the items of one block in texts."""
-
-    def __init__(self, items: Items, weights: np.ndarray, axes: np.ndarray):
-        self.items = items
-        word_axis = np.arange(len(items.numbers)) % items.dims
-        self.table = (weights[word_axis, None] * axes[word_axis]).astype(np.float32)
-        vectors = np.stack([self.table[w].sum(0) for w in items.words]) if items.words else np.zeros((0, axes.shape[1]), np.float32)
-        norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.vectors = (vectors / np.maximum(norm, 1e-12)).astype(np.float32)
+    """Finds the items of one pass in texts."""
+
+    def __init__(self, items: Items, blocks: list[Block]):
+        self.items, self.blocks = items, blocks
         self.reader = TokenReader(items.numbers)
 
     def __getstate__(self):
@@ -234,32 +260,51 @@ class Searcher:
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item place, cosine, LCS share, answer share) of every leak; the best check of each row and item."""
-        if not len(self.vectors):
-            return
         for rows, parts in self.reader.chunks(texts):
             ids, half, first, n = _halves(parts)
-            if not len(ids):
-                continue
-            sums = np.zeros((n, self.table.shape[1]), np.float32)
-            for i in range(0, len(ids), CHUNK_TOKENS):
-                h = half[i : i + CHUNK_TOKENS]
-                cut = np.concatenate([[0], 1 + np.flatnonzero(h[1:] != h[:-1])])
-                sums[h[cut]] += np.add.reduceat(self.table[ids[i : i + CHUNK_TOKENS]], cut, axis=0)
             text = np.repeat(np.arange(len(parts)), np.diff(np.append(first, n)))
-            inside = np.flatnonzero(text[1:] == text[:-1])
-            windows = sums.copy()
-            windows[inside] += sums[inside + 1]
-            norm = np.linalg.norm(windows, axis=1)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for i in range(0, n, 8192):
-                cosine = (windows[i : i + 8192] / np.maximum(norm[i : i + 8192, None], 1e-12)) @ self.vectors.T
-                for w, k in zip(*np.nonzero(cosine >= CANDIDATE)):
-                    t = text[i + w]
-                    found = self._check(parts[t], (i + w - first[t]) * HALF_WINDOW, k)
-                    if found and (found[0], found[1]) > best.get((t, k), (0, 0, 0.0))[:2]:
-                        best[t, k] = (*found, float(cosine[w, k]))
-            for (t, k), (share, answer, cos) in sorted(best.items()):
-                yield rows[t], k, cos, share, answer
+            for block in self.blocks:
+                for window, k, cosine in self._candidates(block, ids, half, text):
+                    t = text[window]
+                    found = self._check(parts[t], (window - first[t]) * HALF_WINDOW, k)
+                    if found and found > best.get((t, k), (0, 0))[:2]:
+                        best[t, k] = (*found, cosine)
+            for (t, k), (share, answer, cosine) in sorted(best.items()):
+                yield rows[t], k, cosine, share, answer
+
+    @staticmethod
+    def _candidates(block: Block, ids: np.ndarray, half: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(window, item place, cosine): a window is named by its first half."""
+        cols = block.column[ids]
+        kept = np.flatnonzero(cols >= 0)
+        if not len(kept):
+            return
+        for i in range(0, len(kept), CHUNK_TOKENS):
+            # Half windows with words of the block, and the windows that begin or end with them.
+            c, h = cols[kept[i : i + CHUNK_TOKENS]], half[kept[i : i + CHUNK_TOKENS]]
+            if i:  # the half before may go on here
+                at = np.flatnonzero(half[kept[:i]] >= h[0] - 1)
+                c, h = np.concatenate([cols[kept[at]], c]), np.concatenate([half[kept[at]], h])
+            cut = np.concatenate([[0], 1 + np.flatnonzero(h[1:] != h[:-1])])
+            own = h[cut]
+            sums = np.add.reduceat(block.table[c], cut, axis=0)
+            squares = np.add.reduceat(block.squares[c], cut)
+            windows = np.unique(np.concatenate([own, np.maximum(own - 1, 0)]))
+            windows = windows[np.isin(windows, own) | (text[windows] == text[np.minimum(windows + 1, len(text) - 1)])]
+
+            def part(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                at = np.minimum(np.searchsorted(own, place), len(own) - 1)
+                there = own[at] == place
+                return np.where(there[:, None], sums[at], 0), np.where(there, squares[at], 0.0)
+
+            x, n = part(windows)
+            ahead, m = part(windows + 1)
+            same = (windows + 1 < len(text)) & (text[np.minimum(windows + 1, len(text) - 1)] == text[windows])
+            x, n = x + ahead * same[:, None], n + m * same
+            cosine = (x @ block.vectors.T) / np.sqrt(np.maximum(n, 1e-12))[:, None]
+            for w, k in zip(*np.nonzero(cosine >= CANDIDATE)):
+                yield int(windows[w]), block.members[k], float(cosine[w, k])
 
     def _check(self, words: np.ndarray, start: int, k: int) -> tuple[float, float] | None:
         item, answer = self.items.words[k], self.items.answers[k]
@@ -272,14 +317,13 @@ class Searcher:
 
 
 def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
-    """A searcher for each block of items, its statistics counted over all of ``docs`` (doc_id and text)."""
+    """A searcher for each pass, its statistics counted over all of ``docs`` (doc_id and text)."""
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     named = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
-    n_items = named.count()
-    blocks = max(1, -(-n_items // ITEM_BLOCK))
+    passes = max(1, -(-named.count() // ITEMS_A_PASS))
     sample = None
-    for block in range(blocks):
-        part = named if blocks == 1 else named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+    for n in range(passes):
+        part = named if passes == 1 else named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
         items = Items(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1])))
         if not items.words:
             continue
@@ -287,14 +331,11 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
             share = min(1.0, SAMPLE_DOCS / max(1, texts.count()))
             chosen = F.pmod(F.xxhash64("doc_id", F.lit("latent")), F.lit(1_000_000)) < int(share * 1_000_000) + 1
             sample = saved(texts.filter(chosen).select("text"), "lsa-sample")
-        seen, passages = passage_frequencies(texts, items)
-        idf = np.log((passages + 1) / (seen + 1)) + 1e-3
-        weights = np.zeros(items.dims)
-        counts = np.zeros(items.dims)
-        np.add.at(weights, np.arange(len(idf)) % items.dims, idf)
-        np.add.at(counts, np.arange(len(idf)) % items.dims, 1)
-        weights = (weights / np.maximum(counts, 1)) ** 2
-        yield Searcher(items, weights, latent_axes(sample, items, weights))
+        frequency, passages = passage_frequencies(texts, items)
+        blocks = [Block(items, range(i, min(i + RANK, len(items.words))), frequency, passages) for i in range(0, len(items.words), RANK)]
+        for block in blocks:
+            block.fit(latent_axes(sample, items, block))
+        yield Searcher(items, blocks)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
