@@ -104,7 +104,8 @@ def encode(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         place = np.minimum(np.arange(len(data)) - word_at[np.maximum(word_of_byte, 0)], 63)
         value = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * POWERS[place], np.uint64(0))
         hashes = np.add.reduceat(value, word_at)
-        count = np.maximum(1, np.bincount(word_passage, minlength=n))
+        words = np.bincount(word_passage, minlength=n)
+        count = np.maximum(1, words)
         chars = np.bincount(word_passage, np.add.reduceat(inside.astype(np.int64), word_at), minlength=n)
         base = N_SHARES + N_STEPS
         for k, lag in enumerate((1, 2, 8)):
@@ -113,7 +114,7 @@ def encode(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
         keys = np.unique(hashes * np.uint64(0x9E3779B97F4A7C15) + word_passage.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), return_index=True)[1]
         x[:, base + 3] = np.bincount(word_passage[keys], minlength=n) / count
         x[:, base + 4] = chars / count / 10
-        x[:, base + 5] = np.log1p(count) / 5
+        x[:, base + 5] = np.log1p(words) / 5
     return x, owner
 
 
