@@ -125,6 +125,7 @@ class ChainedImputer:
     means: dict[str, float]
     steps: list[tuple[str, list[str], list[float], float]] = field(default_factory=list)
     rounds: int = 0
+    converged: bool = False
 
     def _start(self, df: DataFrame) -> DataFrame:
         known = {c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double") for c in self.cols}
@@ -140,13 +141,18 @@ class ChainedImputer:
         return out.drop(*[f"_miss_{c}" for c in self.cols])
 
 
-def fit_chained_imputer(df: DataFrame, cols: Sequence[str], max_rounds: int = 10, tol: float = 1e-3) -> ChainedImputer:
+def fit_chained_imputer(df: DataFrame, cols: Sequence[str], max_rounds: int = 500, tol: float = 1e-3) -> ChainedImputer:
     """Round-robin regression of each incomplete column on all others, fewest missing first.
 
     Every fit is one aggregation; a round ends with a checkpoint, so plans stay short. Rounds stop
-    when no filled value moves by more than ``tol`` of the largest absolute value.
+    when no filled value moves by more than ``tol`` of the largest absolute value; ``converged`` says
+    whether that came about. A column without any value is left out.
     """
     cols = list(cols)
+    filled = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    cols = [c for c in cols if filled[c]]
+    if not cols:
+        return ChainedImputer([], {}, converged=True)
     facts = df.agg(
         *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.sum(F.col(c).isNull().cast("int")).alias(f"n_{c}") for c in cols],
         F.max(F.greatest(F.lit(0.0), *[F.abs(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in cols])).alias("top"),
@@ -154,6 +160,7 @@ def fit_chained_imputer(df: DataFrame, cols: Sequence[str], max_rounds: int = 10
     model = ChainedImputer(cols, {c: float(facts[f"m_{c}"] or 0.0) for c in cols})
     todo = sorted((c for c in cols if facts[f"n_{c}"]), key=lambda c: (facts[f"n_{c}"], cols.index(c)))
     if not todo:
+        model.converged = True
         return model
     current = cut_lineage(model._start(df.select(*cols)))
     for _ in range(max_rounds):
@@ -169,5 +176,6 @@ def fit_chained_imputer(df: DataFrame, cols: Sequence[str], max_rounds: int = 10
         current = after.drop(*[f"_old_{c}" for c in todo])
         model.rounds += 1
         if moved is None or moved < tol * float(facts["top"]):
+            model.converged = True
             break
     return model

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from terralex.functions.scalars import hash_uniform, sanitize, year_fraction
 from terralex.operators.impute import Moments, linear, median_impute, moments, ridge
 from terralex.operators.metrics import regression_metrics, roc_auc
+from terralex.operators.quantiles import with_facts
 from terralex.operators.scan import block_segment, dense_position
 from terralex.operators.spatial import haversine_knn_features
 from terralex.session import cut_lineage
@@ -70,13 +71,12 @@ def group_kfold(df: DataFrame, group: str, n: int = 5, seed: int = 42) -> DataFr
 
 def temporal_holdout(df: DataFrame, day: str, id_col: str, share: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
     """Add ``is_train``: the first share of rows by (day, id), over everything or per group."""
-    keys = list(by) or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(1))
+    keys = list(by)
     segment = F.struct(F.unix_date(F.col(day).cast("date")).alias("d"), block_segment(F.col(id_col), 65_536).alias("b"))
-    placed = dense_position(base, keys, [day, id_col], segment, "_holdout_pos")
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_holdout_n"))
-    out = placed.join(sizes, keys).withColumn("is_train", F.col("_holdout_pos") < F.floor(F.col("_holdout_n") * F.lit(float(share))))
-    return out.drop("_holdout_pos", "_holdout_n", "_all")
+    placed = dense_position(df, keys, [day, id_col], segment, "_holdout_pos")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_holdout_n"))
+    out = with_facts(placed, sizes, keys).withColumn("is_train", F.col("_holdout_pos") < F.floor(F.col("_holdout_n") * F.lit(float(share))))
+    return out.drop("_holdout_pos", "_holdout_n")
 
 
 # --- out-of-fold predictions and stacking ----------------------------------------------------
@@ -275,16 +275,18 @@ def cap_by_groups(df: DataFrame, group: str, max_rows: int, seed: int = 42) -> D
 
 def hyperparameter_search(
     df: DataFrame, features: Sequence[str], label: str, group: str, make: Callable[..., object],
-    space: Mapping[str, Sequence], trials: int, n_folds: int = 3, max_rows: int = 40_000, seed: int = 42,
+    space: Mapping[str, Sequence], trials: int, n_folds: int = 3, max_rows: int | None = None, seed: int = 42,
     inverse: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Random search over grouped folds, scored by R² in real units, best first.
 
-    ``space`` lists each parameter's values; ``inverse`` takes label and prediction back.
+    ``space`` lists each parameter's values; ``inverse`` takes label and prediction back. All rows are
+    searched on unless ``max_rows`` asks for about so many, as whole groups.
     """
     draw = random.Random(seed)
     inverse = inverse or (lambda c: c)
-    data = cut_lineage(group_kfold(cap_by_groups(df, group, max_rows, seed), group, n_folds))
+    rows = df if max_rows is None else cap_by_groups(df, group, max_rows, seed)
+    data = cut_lineage(group_kfold(rows, group, n_folds))
     results = []
     for t in range(trials):
         params = {k: draw.choice(list(v)) for k, v in space.items()}

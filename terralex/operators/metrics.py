@@ -16,12 +16,13 @@ def _r2(truth: str, pred: str) -> Column:
     return F.when(spread > 0, 1.0 - err / spread)
 
 
-def score_match(pred: DataFrame, truth: DataFrame, col: str) -> DataFrame:
+def score_match(pred: DataFrame, truth: DataFrame, col: str, order: Sequence[str] = ()) -> DataFrame:
     """Predictions with the truth of their station and day; no row or no value there is a miss.
 
-    ``truth`` has one row per station and day.
+    Of several rows of a station and day the first by ``order`` counts.
     """
-    right = truth.select("station", "day", F.col(col).alias("truth"))
+    first = F.min_by(F.struct(col), F.struct(*(order or [col]))).alias("_t")
+    right = truth.groupBy("station", "day").agg(first).select("station", "day", F.col(f"_t.{col}").alias("truth"))
     return pred.join(right, ["station", "day"], "left").withColumn("matched", F.col("truth").isNotNull())
 
 

@@ -162,9 +162,9 @@ def spearman_matrix(df: DataFrame, features: Sequence[str], targets: Sequence[st
     return rho.join(mean, "a").select(F.col("a").alias("feature"), F.col("b").alias("target"), "rho", "mean_abs_rho")
 
 
-def collinear_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.85, limit: int = 80) -> DataFrame:
-    """Feature pairs, among the first ``limit`` features, whose |rho| reaches the threshold."""
-    rho = spearman_pairs(df, list(itertools.combinations(features[:limit], 2)), min_rows=2)
+def collinear_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.85) -> DataFrame:
+    """Feature pairs whose |rho| reaches the threshold."""
+    rho = spearman_pairs(df, list(itertools.combinations(features, 2)), min_rows=2)
     return rho.filter(F.abs("rho") >= threshold).select(F.col("a").alias("feature_1"), F.col("b").alias("feature_2"), "rho")
 
 

@@ -26,13 +26,14 @@ def exact_quantiles(
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """One row per key with linearly interpolated quantiles of the non-null values."""
-    keys = list(keys) or ["_all"]
-    base = df.withColumn("_all", F.lit(1)) if keys == ["_all"] else df
-    base = base.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    keys = list(keys)
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
 
     # Equal values are counted first. The shuffle is on key and value, so a large group spreads out,
     # and everything below reads that one shuffle.
     tally = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    if not keys:
+        return _large_groups(tally, keys, probs, names)
     large = tally.groupBy(*keys).agg(F.sum("_c").alias("_d")).filter(F.col("_d") > group_limit).select(*keys)
     small = (
         tally.join(large, keys, "left_anti")
@@ -41,8 +42,14 @@ def exact_quantiles(
         .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     )
     ranked = _large_groups(tally.join(large, keys), keys, probs, names)
-    out = small.unionByName(ranked)
-    return out.drop("_all")
+    return small.unionByName(ranked)
+
+
+def with_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the one row per key of ``facts``; without keys its only row, read as a scalar."""
+    if keys:
+        return df.join(facts, list(keys))
+    return df.withColumn("_facts", global_row(facts)).select("*", "_facts.*").drop("_facts")
 
 
 def _cut(tally: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
@@ -54,7 +61,7 @@ def _cut(tally: DataFrame, keys: list[str], value: str, count: str) -> DataFrame
     edges = tally.groupBy(*keys).agg(F.percentile_approx(value, cuts, ACCURACY).alias("_cuts"), F.sum(count).alias("_n"))
     edges = edges.withColumn("_coarse", F.array(*[F.col("_cuts")[16 * i - 1] for i in range(1, 16)]))
     below = lambda a: F.size(F.filter(a, lambda c: c < F.col(value)))
-    placed = tally.join(edges, keys).withColumn("_hi", below(F.col("_coarse")))
+    placed = with_facts(tally, edges, keys).withColumn("_hi", below(F.col("_coarse")))
     fine = below(F.slice("_cuts", F.col("_hi") * 16 + 1, 15))
     return placed.withColumn("_seg", F.col("_hi") * 16 + fine).drop("_cuts", "_coarse", "_hi")
 
@@ -79,7 +86,9 @@ def _large_groups(tally: DataFrame, keys: list[str], probs: Sequence[float], nam
     each = run.select(*keys, "_v", "_c", "_end", F.explode("_ask").alias("_a")).select(*keys, "_v", "_c", "_end", "_a.*")
     at = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_v")))
     found = each.groupBy(*keys, "i").agg(at(F.floor("rank")).alias("_lo"), at(F.ceil("rank")).alias("_hi"), F.max("rank").alias("rank"))
-    value = F.col("_lo") + (F.col("rank") - F.floor("rank")) * (F.col("_hi") - F.col("_lo"))
+    # Weighed as the built-in percentile does, so that both give the same bits.
+    part = F.col("rank") - F.floor("rank")
+    value = F.when(part == 0, F.col("_lo")).otherwise((F.ceil("rank") - F.col("rank")) * F.col("_lo") + part * F.col("_hi"))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, value)).alias(n) for i, n in enumerate(names)])
 
 
@@ -119,13 +128,12 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
     Equal values are counted first, so a hot value is one row.
     """
-    keys = list(keys) or ["_all"]
-    base = df.withColumn("_all", F.lit(1)) if keys == ["_all"] else df
+    keys = list(keys)
     tally = (
-        base.select(*keys, F.col(value).cast("double").alias(value))
+        df.select(*keys, F.col(value).cast("double").alias(value))
         .filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n_equal"))
     )
     out = ranked_tally(tally, keys, value, "n_equal")
-    return out.withColumn("rank", F.col("before") + (F.col("n_equal") + 1) / F.lit(2.0)).drop("_all")
+    return out.withColumn("rank", F.col("before") + (F.col("n_equal") + 1) / F.lit(2.0))

@@ -312,27 +312,29 @@ def season_idw_enrichment(obs: DataFrame, enriched: DataFrame, cols: Sequence[st
 
 # --- points of interest ----------------------------------------------------------------------
 
-KM_PER_DEGREE = 111.32
-
-
-def radius_pairs(locs: DataFrame, pois: DataFrame, radius_km: float, max_abs_lat: float = 60.0) -> DataFrame:
+def radius_pairs(locs: DataFrame, pois: DataFrame, radius_km: float) -> DataFrame:
     """Per distinct location and tag, how many points lie within the radius and how near the nearest is.
 
-    A cell is one radius high and, at the highest latitude allowed, one radius wide. Points of one
-    coordinate and tag are counted first, so a pile of copies pairs once.
+    Cells are cubes over points of the unit sphere, one chord of the radius wide, so poles and the
+    date line are like any other place. Points of one coordinate and tag are counted first, so a pile
+    of copies pairs once.
     """
     import math
 
-    high = radius_km / KM_PER_DEGREE * 1.01
-    wide = high / math.cos(math.radians(max_abs_lat))
+    half_angle = min(radius_km / (2 * EARTH_RADIUS_KM), math.pi / 2)
+    side = max(2 * math.sin(half_angle) * 1.0001, 1e-9)
+
+    def cube() -> list[Column]:
+        lat, lon = F.radians("lat"), F.radians("lon")
+        xyz = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+        return [cell(v, side).alias(n) for v, n in zip(xyz, ("ci", "cj", "ck"))]
+
     piles = pois.groupBy("lat", "lon", "tag").agg(F.count(F.lit(1)).alias("_n"))
-    left = locs.select("lat", "lon").distinct()
-    left = left.withColumn("_c", F.explode(_around(high, wide, F.col("lat"), F.col("lon")))).select("lat", "lon", "_c.*")
-    right = piles.select(
-        F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "tag", "_n",
-        cell(F.col("lat"), high).alias("ci"), cell(F.col("lon"), wide).alias("cj"),
-    )
-    pairs = left.join(right, ["ci", "cj"]).withColumn(
+    near = [F.struct(*[F.lit(s).alias(n) for s, n in zip(shift, "abc")]) for shift in itertools.product((-1, 0, 1), repeat=3)]
+    left = locs.select("lat", "lon").distinct().select("lat", "lon", *cube()).withColumn("_s", F.explode(F.array(*near)))
+    left = left.select("lat", "lon", (F.col("ci") + F.col("_s.a")).alias("ci"), (F.col("cj") + F.col("_s.b")).alias("cj"), (F.col("ck") + F.col("_s.c")).alias("ck"))
+    right = piles.select(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "tag", "_n", *cube())
+    pairs = left.join(right, ["ci", "cj", "ck"]).withColumn(
         "km", haversine_km(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))
     ).filter(F.col("km") <= radius_km)
     deg = degree_distance(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))

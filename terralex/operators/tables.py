@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from terralex.functions.scalars import key_normalize
 
@@ -52,13 +53,34 @@ def incremental_fill(
 ) -> DataFrame:
     """The cache extended by the keys of ``df`` it does not hold yet; only those are computed.
 
-    A cache without the required columns is computed anew.
+    A cache without the required columns is computed anew. A key the cache holds twice keeps one row.
     """
     wanted = df.select(*keys).distinct()
     if cache is None or not set(required) <= set(cache.columns):
         return compute(wanted)
     missing = wanted.join(cache.select(*keys), list(keys), "left_anti")
-    return cache.unionByName(compute(missing), allowMissingColumns=True)
+    kept = dedup_keep_first(cache, keys, [c for c in cache.columns if c not in keys])
+    return kept.unionByName(compute(missing), allowMissingColumns=True)
+
+
+def fill_cache(
+    df: DataFrame, path: str, keys: Sequence[str], compute: Callable[[DataFrame], DataFrame], required: Sequence[str]
+) -> DataFrame:
+    """``incremental_fill`` against the Parquet table at ``path``: new rows are appended there, and the table returned.
+
+    A table there without the required columns is an error.
+    """
+    spark = df.sparkSession
+    try:
+        cache = spark.read.parquet(path)
+    except AnalysisException:
+        cache = None
+    wanted = df.select(*keys).distinct()
+    if cache is not None and not set(required) <= set(cache.columns):
+        raise ValueError(f"the table at {path} lacks {sorted(set(required) - set(cache.columns))}; name a new path")
+    missing = wanted if cache is None else wanted.join(cache.select(*keys), list(keys), "left_anti")
+    compute(missing).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def union_by_name(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -23,13 +23,17 @@ def daily_grain(obs: DataFrame, order: Sequence[str], cols: Sequence[str]) -> Da
     return obs.groupBy("station", "day").agg(first).select("station", "day", "_row.*")
 
 
-def lag_last_valid(obs: DataFrame, cols: Sequence[str], segment_days: int = SEGMENT_DAYS) -> DataFrame:
-    """Per column, its last non-null value on an earlier row of the station, and the days since."""
+def lag_last_valid(obs: DataFrame, cols: Sequence[str], segment_days: int = SEGMENT_DAYS, row_id: str | None = None) -> DataFrame:
+    """Per column, its last non-null value on an earlier row of the station, and the days since.
+
+    Where a day has several rows, ``row_id`` orders them; without it days must be unique per station.
+    """
+    order = ["day", row_id] if row_id else ["day"]
     held: dict[str, Column] = {}
     for c in cols:
         held[f"lag_{c}"] = F.col(c)
         held[f"lag_{c}_on"] = F.when(F.col(c).isNotNull(), F.col("day"))
-    out = carry_last(obs, ["station"], ["day"], day_segment(F.col("day"), segment_days), held)
+    out = carry_last(obs, ["station"], order, day_segment(F.col("day"), segment_days), held)
     return out.select(
         *obs.columns,
         *[F.col(f"lag_{c}") for c in cols],
@@ -38,30 +42,33 @@ def lag_last_valid(obs: DataFrame, cols: Sequence[str], segment_days: int = SEGM
 
 
 def rolling_last_n(
-    obs: DataFrame, col: str, sizes: Sequence[int], segment_days: int = SEGMENT_DAYS, block: int = 4096
+    obs: DataFrame, col: str, sizes: Sequence[int], segment_days: int = SEGMENT_DAYS, block: int = 4096, row_id: str | None = None
 ) -> DataFrame:
     """Mean of the last n non-null values before the row.
 
+    Where a day has several rows, ``row_id`` orders them; without it days must be unique per station.
+
     A row without a value repeats what the latest row with a value got, so that row's own value
     does not enter. The first row with a value has no mean.
     """
     segment = day_segment(F.col("day"), segment_days)
-    valued = obs.filter(F.col(col).isNotNull()).select("station", "day", col)
+    place = ["day", row_id] if row_id else ["day"]
+    valued = obs.filter(F.col(col).isNotNull()).select("station", *place, col)
     placed = with_halo(
-        dense_position(valued, ["station"], ["day"], segment), "pos", block, before=max(sizes)
+        dense_position(valued, ["station"], place, segment), "pos", block, before=max(sizes)
     )
     order = Window.partitionBy("station", "_block").orderBy("pos")
     means = (
         placed.select(
-            "station", "day", "_core",
+            "station", *place, "_core",
             *[F.avg(col).over(order.rowsBetween(-n, -1)).alias(f"_m{n}") for n in sizes],
         )
         .filter("_core")
-        .select("station", "day", F.struct(*[F.col(f"_m{n}") for n in sizes]).alias("_means"))
+        .select("station", *place, F.struct(*[F.col(f"_m{n}") for n in sizes]).alias("_means"))
     )
-    joined = obs.join(means, ["station", "day"], "left")
+    joined = obs.join(means, ["station", *place], "left")
     # A first row's mean is null inside a non-null struct, so the struct itself is what carries.
-    carried = carry_last(joined, ["station"], ["day"], segment, {"_got": F.col("_means")}, include_current=True)
+    carried = carry_last(joined, ["station"], place, segment, {"_got": F.col("_means")}, include_current=True)
     return carried.select(*obs.columns, *[F.col(f"_got._m{n}").alias(f"roll{n}_{col}") for n in sizes])
 
 
@@ -205,9 +212,10 @@ def nearest_rows(wanted: DataFrame, obs: DataFrame, payload: Column, max_days: i
     return out.select("station", "day", F.col("hit.p").alias("found"), F.when(F.col("hit").isNotNull(), F.col("gap")).alias("gap"))
 
 
-def sameday_lookup(samples: DataFrame, obs: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill null columns of a sample from its station's row of the same day."""
-    right = obs.select("station", "day", *[F.col(c).alias(f"_l_{c}") for c in cols])
+def sameday_lookup(samples: DataFrame, obs: DataFrame, cols: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Fill null columns of a sample from its station's row of the same day, the first by ``order`` if it has several."""
+    first = daily_grain(obs, order or cols, cols)
+    right = first.select("station", "day", *[F.col(c).alias(f"_l_{c}") for c in cols])
     joined = samples.join(right, ["station", "day"], "left")
     return _fill(samples, joined, {c: F.col(f"_l_{c}") for c in cols})
 

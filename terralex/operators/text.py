@@ -6,6 +6,8 @@ rows are partitioned and a recomputed task makes the same choice again.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,11 +160,12 @@ def negative_samples(pairs: DataFrame, table: DataFrame, k: int, slots: int = SL
     return drawn.join(spans, "_cell").filter(hit).drop("_cell", "slot_start", "slot_end")
 
 
-def training_examples(pairs: DataFrame, negatives: DataFrame) -> DataFrame:
+def training_examples(pairs: DataFrame, negatives: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Positive and negative (center, other, label) rows with how often each occurs.
 
-    Equal rows are counted map-side; within one step they share the same gradient.
+    Equal rows are counted map-side; within one step they share the same gradient. ``by`` names columns
+    to keep apart, such as the step.
     """
-    positive = pairs.select("center", F.col("context").alias("other"), F.lit(1).alias("label"))
-    negative = negatives.select("center", F.col("negative").alias("other"), F.lit(0).alias("label"))
-    return positive.unionByName(negative).groupBy("center", "other", "label").agg(F.count(F.lit(1)).alias("times"))
+    positive = pairs.select(*by, "center", F.col("context").alias("other"), F.lit(1).alias("label"))
+    negative = negatives.select(*by, "center", F.col("negative").alias("other"), F.lit(0).alias("label"))
+    return positive.unionByName(negative).groupBy(*by, "center", "other", "label").agg(F.count(F.lit(1)).alias("times"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralex.sources.spread import spread_small
+from terralex.sources.spread import spread
 
 TARGETS = ("target_a", "target_b", "target_c")
 AUX = ("aux_1", "aux_2")
@@ -119,7 +119,7 @@ class Tables:
         from terralex.operators.text import tokenize
 
         docs = self.read("documents").select("doc_id", "text")
-        return tokenize(spread_small(docs, "doc_id"), "doc_id", "text")
+        return tokenize(spread(docs, "doc_id"), "doc_id", "text")
 
 
 SQL_VIEWS = {

@@ -141,14 +141,14 @@ def coverage_by_column(t):
 
 @query(
     "describe_targets",
-    """SELECT col, count(value) AS count, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, round(min(value), 2) AS min,
-  round(quantile_cont(value, 0.25), 2) AS q25, round(median(value), 2) AS median, round(quantile_cont(value, 0.75), 2) AS q75, round(max(value), 2) AS max
+    """SELECT col, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
+  round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS max
 FROM (SELECT * FROM observations UNPIVOT (value FOR col IN (target_a, target_b, target_c))) GROUP BY col""",
     ("observations",),
 )
 def describe_targets(t):
     out = qa.describe_targets(t.observations(), TARGETS)
-    return out.withColumns({c: F.round(c, 2) for c in ("mean", "std", "min", "q25", "median", "q75", "max")})
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "min", "q25", "median", "q75", "max")})
 
 
 @query(

@@ -178,19 +178,20 @@ pairs AS (SELECT l.lat, l.lon, p.tag, """
     + """ AS km, sqrt((l.lat - p.lat)**2 + (l.lon - p.lon)**2) AS deg FROM locs l JOIN pois p ON abs(l.lat - p.lat) < 0.2 AND abs(l.lon - p.lon) < 0.4),
 agg AS (SELECT lat, lon, count(*) FILTER (tag = 'AUTOMOBILE') AS n_automobile, count(*) FILTER (tag = 'BUILDING') AS n_building,
   count(*) FILTER (tag = 'FURNITURE') AS n_furniture, count(*) FILTER (tag = 'HOUSEHOLD') AS n_household,
-  max(CASE WHEN tag IN ('BUILDING', 'FURNITURE') THEN 1 ELSE 0 END) AS hb, min(deg) FILTER (tag IN ('BUILDING', 'FURNITURE')) AS nd
+  count(*) FILTER (tag = 'MACHINERY') AS n_machinery, max(CASE WHEN tag IN ('BUILDING', 'FURNITURE') THEN 1 ELSE 0 END) AS hb, min(deg) FILTER (tag IN ('BUILDING', 'FURNITURE')) AS nd
   FROM pairs WHERE km <= 10 GROUP BY ALL)
 SELECT l.lat, l.lon, coalesce(n_automobile, 0) AS n_automobile, coalesce(n_building, 0) AS n_building,
-  coalesce(n_furniture, 0) AS n_furniture, coalesce(n_household, 0) AS n_household, coalesce(hb, 0) AS has_barrier,
+  coalesce(n_furniture, 0) AS n_furniture, coalesce(n_household, 0) AS n_household, coalesce(n_machinery, 0) AS n_machinery, coalesce(hb, 0) AS has_barrier,
   round(nd * 111320e0, 4) AS barrier_m,
-  CASE WHEN coalesce(greatest(n_automobile, n_building, n_furniture, n_household), 0) = 0 THEN 0
-    WHEN n_automobile = greatest(n_automobile, n_building, n_furniture, n_household) THEN 1
-    WHEN n_building = greatest(n_automobile, n_building, n_furniture, n_household) THEN 2
-    WHEN n_furniture = greatest(n_automobile, n_building, n_furniture, n_household) THEN 3 ELSE 4 END AS dominant
+  CASE WHEN coalesce(greatest(n_automobile, n_building, n_furniture, n_household, n_machinery), 0) = 0 THEN 0
+    WHEN n_automobile = greatest(n_automobile, n_building, n_furniture, n_household, n_machinery) THEN 1
+    WHEN n_building = greatest(n_automobile, n_building, n_furniture, n_household, n_machinery) THEN 2
+    WHEN n_furniture = greatest(n_automobile, n_building, n_furniture, n_household, n_machinery) THEN 3
+    WHEN n_household = greatest(n_automobile, n_building, n_furniture, n_household, n_machinery) THEN 4 ELSE 5 END AS dominant
 FROM locs l LEFT JOIN agg USING (lat, lon)""",
     ("samples", "pois"),
 )
 def poi_radius_features(t):
-    tags = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
+    tags = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     out = sp.poi_radius_features(t.samples(), t.pois(), 10.0, tags, ["BUILDING", "FURNITURE"], tags)
     return out.withColumn("barrier_m", F.round("barrier_m", 4))

@@ -108,7 +108,7 @@ def tokenize(t):
     return t.corpus()
 
 
-@query("text_corpus_scan")
+@query("text_corpus_scan", "SELECT doc_id, text FROM documents")
 def text_corpus_scan(t):
     return t.read("documents").select("doc_id", "text")
 
@@ -161,7 +161,7 @@ def skipgram_pairs(t):
 @query(
     "skipgram_pairs_corpus",
     SQL_SUB
-    + ", num AS (SELECT doc_id, pos, word_id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS place FROM sub), win AS (SELECT *, floor("
+    + ", num AS MATERIALIZED (SELECT doc_id, pos, word_id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS place FROM sub), win AS MATERIALIZED (SELECT *, floor("
     + U.format("'42:w:', doc_id, ':', pos")
     + f""" * {WINDOW}) + 1 AS w FROM num)
 SELECT a.place, b.place - a.place AS shift, a.word_id AS center, b.word_id AS context
@@ -226,7 +226,7 @@ def sgns_gradient_step(t):
 def sgns_train(t):
     words = kept_words(t)
     p = cut_lineage(pairs(t, words))
-    emb, _ = em.train(p, tx.negative_slots(words, SLOTS), words, 8, NEGATIVES, epochs=1, rounds=2, slots=SLOTS)
+    emb, _ = em.train(p, tx.negative_slots(words, SLOTS), words, 8, NEGATIVES, epochs=3, rounds=2, lr=0.001, slots=SLOTS)
     return em.embedding_sum(emb).join(words.select("word_id", "word"), "word_id")
 
 

@@ -97,6 +97,7 @@ def train_word_vectors(
     if words.isEmpty():
         raise ValueError("the vocabulary is empty; lower min_count or use more text")
     thin = cut_lineage(text.subsample(text.encode(tokens, words), seed=seed))
-    pairs = cut_lineage(text.skipgram_pairs(text.renumber(thin, scope), window, seed, scope))
+    placed = cut_lineage(text.renumber(thin, scope))
+    pairs = lambda epoch: text.skipgram_pairs(placed, window, f"{seed}.{epoch}", scope)
     emb, losses = embed.train(pairs, text.negative_slots(words), words, dim, negatives, epochs, rounds, seed=seed)
     return embed.embedding_sum(emb).join(words.select("word_id", "word"), "word_id").select("word_id", "word", "vec"), losses

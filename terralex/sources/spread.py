@@ -1,18 +1,13 @@
-"""Spreading small inputs over the cores."""
+"""Spreading documents over the tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SPLIT_BYTES = 128 * 1024 * 1024
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition by a unique key into ``spark.sql.shuffle.partitions`` parts.
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Repartition by a unique key when the input is too small to occupy every core by its splits.
-
-    A file with a single row group is read by one task whatever its rows cost later. Inputs with at
-    least one full split per core are left alone, so a large table is never shuffled for this.
+    Splits follow bytes, and a file with one row group is one task whatever its rows cost later.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < SPLIT_BYTES * cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
