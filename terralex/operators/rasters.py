@@ -15,11 +15,14 @@ def composite_median(pixels: DataFrame, samples: DataFrame, bands: Sequence[str]
     """Per sample and band: median over the lookback's dates per pixel, then over pixels; and indices.
 
     ``pixels`` is (loc_id, day, band, y, x, value), ``samples`` (loc_id, day). Scenes are joined per
-    distinct (location, day).
+    distinct (location, day), by periods as long as the lookback: an ask meets the two it reaches into.
     """
     asked = samples.select("loc_id", F.col("day").alias("asked")).distinct()
+    period = lambda d: F.floor(F.unix_date(d) / F.lit(lookback_days + 1))
+    reach = F.sequence(period(F.date_sub("asked", lookback_days)), period(F.col("asked")))
     inside = (F.col("day") <= F.col("asked")) & (F.col("day") >= F.date_sub("asked", lookback_days))
-    seen = asked.join(pixels.filter(F.col("band").isin(*bands)), "loc_id").filter(inside)
+    scenes = pixels.filter(F.col("band").isin(*bands)).withColumn("_period", period(F.col("day")))
+    seen = asked.withColumn("_period", F.explode(reach)).join(scenes, ["loc_id", "_period"]).filter(inside).drop("_period")
     per_pixel = exact_quantiles(seen, ["loc_id", "asked", "band", "y", "x"], "value", [0.5], ["m"])
     per_band = exact_quantiles(per_pixel, ["loc_id", "asked", "band"], "m", [0.5], ["m"])
     wide = per_band.groupBy("loc_id", F.col("asked").alias("day")).agg(

@@ -220,7 +220,7 @@ BANDS = ("green", "red", "nir08", "swir16")
 SQL_SCENE = """, scene AS (SELECT e.label AS loc_id, DATE '2024-01-01' + CAST(p.loc_id % 120 AS INT) AS day,
   CASE p.y // 2 WHEN 0 THEN 'green' WHEN 1 THEN 'red' WHEN 2 THEN 'nir08' ELSE 'swir16' END AS band, p.y % 2 AS y, p.x, p.value
   FROM pixels p JOIN embeddings e ON e.vec_id = p.loc_id),
-asked AS (SELECT label AS loc_id, DATE '2024-01-01' + CAST(max(vec_id % 120) AS INT) AS day FROM embeddings GROUP BY label)
+asked AS (SELECT DISTINCT label AS loc_id, DATE '2024-01-01' + CAST(vec_id % 4 * 30 + 29 AS INT) AS day FROM embeddings)
 """
 
 
@@ -243,7 +243,7 @@ def composite_median(t):
         F.col("label").alias("loc_id"), F.date_add(start, (F.col("loc_id") % 120).cast("int")).alias("day"),
         band.alias("band"), (F.col("y") % 2).alias("y"), "x", "value",
     )
-    asked = e.groupBy(F.col("label").alias("loc_id")).agg(F.date_add(start, F.max(F.col("vec_id") % 120).cast("int")).alias("day"))
+    asked = e.select(F.col("label").alias("loc_id"), F.date_add(start, (F.col("vec_id") % 4 * 30 + 29).cast("int")).alias("day")).distinct()
     return r6(ra.composite_median(scene, asked, BANDS).select("loc_id", "day", *BANDS), *BANDS)
 
 
