@@ -30,9 +30,11 @@ def load_observations(t):
     )
     value = F.when(F.col("event_type") == "error", F.when(e == 0, "NA").when(e == 1, "#n/a").otherwise("<5")).otherwise(F.col("value").cast("string"))
     raw = t.read("events").select(F.col("user_id").alias("station"), text.alias("date_time"), value.alias("EC_Phys_Water"))
-    out = ob.parse_observations(raw, t.stations(), ["EC_Phys_Water"])
+    path = scratch_folder(t.spark, "stations")
+    raw.repartition("station").write.partitionBy("station").option("header", True).csv(path)
+    out = ob.load_observations(t.spark, path, t.stations(), ["EC_Phys_Water"])
     return out.select(
-        "station", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.round("lat", 4).alias("lat"),
+        F.col("station").cast("bigint").alias("station"), F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.round("lat", 4).alias("lat"),
         F.round("lon", 4).alias("lon"), F.round("EC_Phys_Water", 4).alias("EC_Phys_Water"),
     )
 
@@ -44,7 +46,9 @@ def load_samples(t):
         F.round("lat", 4).cast("string").alias("Latitude"), F.round("lon", 4).cast("string").alias("Longitude"),
         text.alias("Sample Date"), F.col("target_a").cast("string").alias("target_a"),
     )
-    return ob.parse_samples(raw, ["target_a"])
+    path = scratch_folder(t.spark, "samples")
+    raw.write.option("header", True).csv(path)
+    return ob.load_samples(t.spark, path, ["target_a"])
 
 
 @query(
