@@ -30,6 +30,9 @@ from terralex.llm.common import map_batches, text_or_empty
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 MEMORY = 300_000
+#: Beginnings of up to so many characters are remembered.
+SHARED_START = 10
+ONE = (1,)
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -57,10 +60,16 @@ class PrefixCounter:
         self.rank = {p: i for i, p in enumerate(self.names)}
         # A piece that its own text does not merge to is never a token.
         self.tokens = {p: i for p, i in self.rank.items() if self.merged(p) == [p]}
-        self.longest = max(map(len, self.tokens))
+        # Lengths of the tokens by their last two characters, longest first; one character is always one.
+        lengths: dict[str, set[int]] = {}
+        for p in self.tokens:
+            if len(p) > 1:
+                lengths.setdefault(p[-2:], {1}).add(len(p))
+        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
         self.memory = memory
         self.fits: dict[int, bool] = {}
         self.seen: dict[str, bytes] = {}
+        self.starts: dict[str, tuple[int, int]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by its definition: the best-ranked neighbours merge first, left before right."""
@@ -100,14 +109,26 @@ class PrefixCounter:
         return known
 
     def _solve(self, text: str) -> list[int]:
-        token_of, fits, longest = self.tokens.get, self.fits.get, self.longest
+        token_of, fits, lengths, starts = self.tokens.get, self.fits.get, self.lengths.get, self.starts
+        if len(starts) > self.memory:
+            starts.clear()
         counts: list[int] = []
         last: list[int] = []  # the token that ends each prefix; -1 for a character that is no piece
         for end in range(1, len(text) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            # Words begin alike: what a short beginning costs is remembered on its own.
+            if end <= SHARED_START:
+                known = starts.get(text[:end])
+                if known is not None:
+                    counts.append(known[0])
+                    last.append(known[1])
+                    continue
+            for n in lengths(text[end - 2 : end], ONE) if end > 1 else ONE:
+                start = end - n
+                if start < 0:
+                    continue
                 token = token_of(text[start:end])
                 if token is None:
-                    if end - start > 1:
+                    if n > 1:
                         continue
                     token, cost = -1, len(text[start].encode("utf-8", "surrogatepass"))
                 else:
@@ -119,6 +140,8 @@ class PrefixCounter:
                 counts.append((counts[start - 1] if start else 0) + cost)
                 last.append(token)
                 break
+            if end <= SHARED_START:
+                starts[text[:end]] = (counts[-1], last[-1])
         return counts
 
     @staticmethod
