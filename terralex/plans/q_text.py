@@ -226,7 +226,7 @@ def sgns_gradient_step(t):
 def sgns_train(t):
     words = kept_words(t)
     p = cut_lineage(pairs(t, words))
-    emb, _ = em.train(p, tx.negative_slots(words, SLOTS), words, 8, NEGATIVES, epochs=3, rounds=2, lr=0.001, slots=SLOTS)
+    emb, _ = em.train(p, tx.negative_slots(words, SLOTS), words, 8, NEGATIVES, epochs=2, rounds=2, lr=0.001, slots=SLOTS)
     return em.embedding_sum(emb).join(words.select("word_id", "word"), "word_id")
 
 
