@@ -43,11 +43,14 @@ HASHES = 4
 BASE = 1.5
 LEVELS = 64
 FLOOR = 2
-BUCKET_TOKENS = 1 << 22
+BUCKET_TOKENS = 1 << 20
 LEAST_BUCKETS = 64
+#: Bits of a key beyond its bucket's: two of a bucket's million keys meet about once in two buckets.
+KEY_BITS = 40
 TUNING_ROWS = 2_000
-MEMORY = 300_000
-CHUNK_TOKENS = 1 << 19
+MEMORY = 150_000
+CHUNK_TOKENS = 1 << 17
+FLUSH_KEYS = 1 << 21
 GRID = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99])
 BINS = 8
 #: Spark's xxhash64 of a string with its default seed, so that both sides agree.
@@ -77,6 +80,12 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(_mix(before + np.uint64(2)) + word)
 
 
+def _trim(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys by their bucket and ``KEY_BITS`` more."""
+    spare = max(0, 64 - bits - KEY_BITS)
+    return keys >> np.uint64(spare) << np.uint64(spare)
+
+
 class Words:
     """Hashes and exact head counts of words, remembered for a bounded number of them."""
 
@@ -149,12 +158,13 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.Recor
     if not len(keys):
         return
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
+    packed = (keys << np.uint64(bits) >> np.uint64(64 - KEY_BITS)).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
     cuts = np.concatenate([[0], 1 + np.flatnonzero(bucket[1:] != bucket[:-1]), [len(keys)]])
     spans = list(zip(cuts[:-1], cuts[1:]))
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[cuts[:-1]]),
-            pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+            pa.array([packed[a:b].tobytes() for a, b in spans], pa.binary()),
             pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
         ],
         names=["bucket", "keys", "counts"],
@@ -175,15 +185,20 @@ def pair_counts(training: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words({})
+        held: list[np.ndarray] = []
         for b in batches:
             for _, tokens in _chunks(b.column("text")):
                 h = [words.hashes[words.look_up(part)] for part in _parts(tokens)]
                 h = np.concatenate([[np.uint64(_word_hash(END))], *h])
-                keys, n = np.unique(pair_keys(h[:-1], h[1:]), return_counts=True)
-                yield from _blobs(keys, n, bits)
+                held.append(_trim(pair_keys(h[:-1], h[1:]), bits))
+                if sum(map(len, held)) >= FLUSH_KEYS:
+                    yield from _blobs(*np.unique(np.concatenate(held), return_counts=True), bits)
+                    held = []
+        if held:
+            yield from _blobs(*np.unique(np.concatenate(held), return_counts=True), bits)
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, counts = _read_blobs(table)
+        keys, counts = _read_blobs(table, bits)
         keys, counts = _summed(keys, counts)
         keep = counts >= FLOOR
         batches = list(_blobs(keys[keep], np.minimum(counts[keep], 2**32 - 1), bits))
@@ -199,12 +214,17 @@ def _parts(tokens: list[list[bytes]]) -> Iterator[list[bytes]]:
         yield flat[i : i + CHUNK_TOKENS]
 
 
-def _read_blobs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.frombuffer(k.as_py(), np.uint64) for k in table["keys"]]
-    counts = [np.frombuffer(c.as_py(), np.uint32) for c in table["counts"]]
-    if not keys:
+def _read_blobs(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of one bucket's rows."""
+    if not len(table):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    width = KEY_BITS // 8
+    packed = np.concatenate([np.frombuffer(k.as_buffer(), np.uint8) for k in table["keys"]]).reshape(-1, width)
+    counts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for c in table["counts"]]).astype(np.int64)
+    rest = np.zeros((len(packed), 8), np.uint8)
+    rest[:, :width] = packed
+    bucket = np.uint64(table["bucket"][0].as_py())
+    return bucket << np.uint64(64 - bits) | rest.view(np.uint64)[:, 0] << np.uint64(64 - KEY_BITS) >> np.uint64(bits), counts
 
 
 def levels_of(counts: np.ndarray, floor: int) -> np.ndarray:
@@ -228,6 +248,7 @@ class CountFilter:
 
     def estimate(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts: probes level after level until one is missing."""
+        keys = _trim(keys, self.bits)
         level = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         origin = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.segment)
@@ -258,7 +279,7 @@ def build_filter(entries: DataFrame, bits: int, size: int = FILTER_BYTES) -> Cou
     segment = size * 8 >> bits
 
     def fill(table: pa.Table) -> pa.Table:
-        keys, counts = _read_blobs(table)
+        keys, counts = _read_blobs(table, bits)
         flags = np.zeros(segment, bool)
         level = levels_of(counts, floor)
         for j in range(1, int(level.max(initial=0)) + 1):
@@ -335,15 +356,16 @@ def train(training: DataFrame, size: int = FILTER_BYTES) -> tuple[Model, DataFra
     vocabulary = saved(word_counts(training), "lm-vocabulary")
     tokens, distinct = vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens = tokens or 0
-    head = {bytes(r["word"]): r["n"] for r in vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    head = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
     head.setdefault(END, 0)
-    bits = max(LEAST_BUCKETS, -(-tokens // BUCKET_TOKENS)).bit_length() - 1
+    bits = (max(LEAST_BUCKETS, -(-tokens // BUCKET_TOKENS)) - 1).bit_length()
     pairs = saved(pair_counts(training, bits), "lm-pairs")
 
     def word_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = np.array([_word_hash(w.as_py()) for w in b.column("word")], np.uint64)
-            yield from _blobs(*_summed(unigram_keys(h), b.column("n").to_numpy()), bits)
+            yield from _blobs(*_summed(_trim(unigram_keys(h), bits), b.column("n").to_numpy()), bits)
 
     singles = vocabulary.filter(F.col("n") >= FLOOR).transform(map_batches, word_entries, BLOBS)
     counts = build_filter(pairs.unionByName(singles), bits, size)
@@ -362,6 +384,7 @@ def score_documents(docs: DataFrame, size: int = FILTER_BYTES, tuning_rows: int
     sample = training.filter(F.pmod(F.xxhash64("doc_id", F.lit("tuning")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     untuned = context.broadcast(model)
     model.weights = _tuned(sample, untuned)
+    untuned.unpersist()
     shared = context.broadcast(model)
     space = float(model.tokens + model.distinct + 1)
 

@@ -313,6 +313,8 @@ def test_filter_holds_log_counts(spark):
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
     counts = np.maximum(2, (rng.pareto(1, len(keys)) * 3).astype(np.int64))
+    keys = np.unique(language_model._trim(keys, 6))
+    counts = counts[: len(keys)]
     blobs = [b.to_pylist() for b in language_model._blobs(keys, counts, 6)]
     entries = spark.createDataFrame([(r["bucket"], bytearray(r["keys"]), bytearray(r["counts"])) for b in blobs for r in b], "bucket int, keys binary, counts binary")
     f = language_model.build_filter(entries, 6, 1 << 16)
