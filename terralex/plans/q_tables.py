@@ -95,7 +95,10 @@ def predictions_sink(t):
     return t.spark.read.option("header", True).schema("station long, day string, pred double").csv(path)
 
 
-@query("embeddings_load")
+@query(
+    "embeddings_load",
+    "SELECT vec_id AS word_id, concat('w', vec_id) AS word, [round(CAST(x AS DOUBLE), 6) FOR x IN embedding] AS vec FROM embeddings",
+)
 def embeddings_load(t):
     from terralex.functions.vectors import as_doubles
     from terralex.sources import vectors_io as vio
