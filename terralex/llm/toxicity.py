@@ -232,11 +232,13 @@ def select_features(sample: DataFrame, counts: np.ndarray, most: int = FEATURES)
     return [r["feature"] for r in picked.select("feature").collect()]
 
 
-def fit_logistic(rows: list[list[int]], y: np.ndarray, size: int, ridge: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias for binary features by accelerated full-batch gradient steps."""
+def fit_logistic(ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, size: int, ridge: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias for binary features by accelerated full-batch gradient steps.
+
+    ``ids`` has the features of the rows one after the other, ``lengths`` how many each row has.
+    """
     n = max(1, len(y))
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ids = np.array([i for r in rows for i in r], np.int64)
+    at = np.repeat(np.arange(len(lengths)), lengths)
     share = (y.sum() + 1) / (len(y) + 2)
     w, b = np.zeros(size), float(np.log(share / (1 - share)))
     if not len(ids):
@@ -285,8 +287,11 @@ def _scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, fit_rows: int)
             ids = [reader.features(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(ids, pa.list_(pa.int32()))], names=["label", "ids"])
 
-    fitted = sorted((r["label"], r["ids"]) for r in sample.transform(map_batches, present, "label int, ids array<int>").collect())
-    weights, bias = fit_logistic([ids for _, ids in fitted], np.array([y for y, _ in fitted], float), len(names))
+    fitted = sample.transform(map_batches, present, "label int, ids array<int>").toArrow()
+    lists = pa.concat_arrays([*fitted["ids"].chunks, pa.array([], pa.list_(pa.int32()))])
+    lengths = np.diff(lists.offsets.to_numpy())
+    weights, bias = fit_logistic(lists.flatten().to_numpy(), lengths, fitted["label"].to_numpy().astype(float), len(names))
+    del fitted, lists
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(counts, selected)
