@@ -45,6 +45,7 @@ MOST_SHARE = 0.01
 CANDIDATE = 0.3
 LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.65, 0.8
 CHUNK_TOKENS = 1 << 17
+WINDOWS_AT_ONCE = 4096
 MEMORY = 300_000
 SEED = 10
 
@@ -78,29 +79,35 @@ class Items:
             self.answers.append([self.numbers[w] for w in last if w in self.numbers])
 
 
+class Numbers(dict):
+    """Word number by raw token: -1 for words of no item, -2 for punctuation; remembers what it has looked up."""
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__()
+        self.numbers = numbers
+
+    def __missing__(self, token: str) -> int:
+        w = word_of(token)
+        n = self[token] = self.numbers.get(w, -1) if w else -2
+        return n
+
+
 class TokenReader:
-    """Word numbers of texts (-1 for words of no item), with a bounded memory of tokens seen."""
+    """Word numbers of texts, with a bounded memory of tokens seen."""
 
     def __init__(self, numbers: dict[str, int]):
-        self.numbers, self.known = numbers, {}
+        self.known = Numbers(numbers)
 
-    def read(self, text: str) -> list[int]:
-        known = self.known
+    def read(self, text: str) -> np.ndarray:
+        if len(self.known) > MEMORY:
+            self.known = Numbers(self.known.numbers)
         tokens = text.lower().split()
-        out = [known.get(t) for t in tokens]
-        if None in out:
-            if len(known) > MEMORY:
-                known = self.known = {}
-            for i, n in enumerate(out):
-                if n is None:
-                    w = word_of(tokens[i])
-                    out[i] = known[tokens[i]] = self.numbers.get(w, -1) if w else -2
-        return out
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int32, len(tokens))
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         rows, parts, n = [], [], 0
         for i, t in enumerate(texts):
-            ids = np.array(self.read(t.as_py()), np.int32)
+            ids = self.read(t.as_py())
             ids = ids[ids > -2]  # tokens of punctuation alone are no words
             rows.append(i)
             parts.append(ids)
@@ -187,6 +194,8 @@ class Block:
         self.weights = (np.log((passages + 1) / (frequency[chosen] + 1)) + 1e-3) ** 2
         words = [self.column[np.array(items.words[k])] for k in members]
         self.words = [w[w >= 0] for w in words]
+        # A window around a leak holds a third of the item's kept words at least.
+        self.need = max(1, min(3, min(len(w) for w in self.words) // 3))
 
     def fit(self, axes: np.ndarray) -> None:
         self.table = (self.weights[:, None] * axes).astype(np.float32)
@@ -199,13 +208,15 @@ class Block:
 def latent_axes(sample: DataFrame, items: Items, block: Block) -> np.ndarray:
     """(words, rank) right singular directions by randomised subspace iteration over the sample's passages.
 
-    A round sends one matrix of words x (rank + oversample) from each of at most eight tasks.
+    A round sends one matrix of words x (rank + oversample), in single precision, from each of four tasks.
     """
     numbers, column, weights = items.numbers, block.column, block.weights
     width = min(RANK + OVERSAMPLE, len(weights))
-    few = sample.coalesce(8)
+    few = sample.coalesce(4)
+
+    def multiply(exact: np.ndarray) -> np.ndarray:
+        matrix = exact.astype(np.float32)
 
-    def multiply(matrix: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader, total = TokenReader(numbers), np.zeros_like(matrix)
             for b in batches:
@@ -216,12 +227,12 @@ def latent_axes(sample: DataFrame, items: Items, block: Block) -> np.ndarray:
                         total += _product(*_tfidf(cols[cols >= 0], half[cols >= 0], weights), matrix)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-        total = np.zeros_like(matrix)
-        for r in few.select("text").transform(map_batches, run, "part binary").collect():
-            total += np.frombuffer(r["part"]).reshape(matrix.shape)
+        total = np.zeros_like(exact)
+        for r in few.select("text").transform(map_batches, run, "part binary").toLocalIterator():
+            total += np.frombuffer(r["part"], np.float32).reshape(exact.shape)
         own = np.concatenate(block.words)
         rows = np.repeat(np.arange(len(block.words)), [len(w) for w in block.words])
-        return total + ITEM_WEIGHT * _product(*_tfidf(own, rows, weights), matrix)
+        return total + ITEM_WEIGHT * _product(*_tfidf(own, rows, weights), exact)
 
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(weights), width)))[0]
     for _ in range(POWER_ROUNDS):
@@ -278,33 +289,32 @@ class Searcher:
         """(window, item place, cosine): a window is named by its first half."""
         cols = block.column[ids]
         kept = np.flatnonzero(cols >= 0)
-        if not len(kept):
-            return
-        for i in range(0, len(kept), CHUNK_TOKENS):
-            # Half windows with words of the block, and the windows that begin or end with them.
-            c, h = cols[kept[i : i + CHUNK_TOKENS]], half[kept[i : i + CHUNK_TOKENS]]
-            if i:  # the half before may go on here
-                at = np.flatnonzero(half[kept[:i]] >= h[0] - 1)
-                c, h = np.concatenate([cols[kept[at]], c]), np.concatenate([half[kept[at]], h])
-            cut = np.concatenate([[0], 1 + np.flatnonzero(h[1:] != h[:-1])])
-            own = h[cut]
-            sums = np.add.reduceat(block.table[c], cut, axis=0)
-            squares = np.add.reduceat(block.squares[c], cut)
-            windows = np.unique(np.concatenate([own, np.maximum(own - 1, 0)]))
-            windows = windows[np.isin(windows, own) | (text[windows] == text[np.minimum(windows + 1, len(text) - 1)])]
-
-            def part(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                at = np.minimum(np.searchsorted(own, place), len(own) - 1)
-                there = own[at] == place
-                return np.where(there[:, None], sums[at], 0), np.where(there, squares[at], 0.0)
-
-            x, n = part(windows)
-            ahead, m = part(windows + 1)
-            same = (windows + 1 < len(text)) & (text[np.minimum(windows + 1, len(text) - 1)] == text[windows])
-            x, n = x + ahead * same[:, None], n + m * same
-            cosine = (x @ block.vectors.T) / np.sqrt(np.maximum(n, 1e-12))[:, None]
+        c, h, n = cols[kept], half[kept], len(text)
+        each = np.bincount(h, minlength=n + 1)
+        more = np.append(text[1:] == text[:-1], False)
+        windows = np.flatnonzero(each[:n] + each[1:] * more >= block.need)
+        for i in range(0, len(windows), WINDOWS_AT_ONCE):
+            part = windows[i : i + WINDOWS_AT_ONCE]
+            wanted = np.zeros(n + 1, bool)
+            wanted[part] = True
+            wanted[part[more[part]] + 1] = True
+            a, b = np.searchsorted(h, [part[0], part[-1] + 2])
+            near = wanted[h[a:b]]
+            own_c, own_h = c[a:b][near], h[a:b][near]
+            cut = np.concatenate([[0], 1 + np.flatnonzero(own_h[1:] != own_h[:-1])])
+            halves = own_h[cut]
+            sums = np.add.reduceat(block.table[own_c], cut, axis=0)
+            squares = np.add.reduceat(block.squares[own_c], cut)
+
+            def at(place: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                k = np.minimum(np.searchsorted(halves, place), len(halves) - 1)
+                there = there & (halves[k] == place)
+                return sums[k] * there[:, None], squares[k] * there
+
+            (x, s), (y, r) = at(part, np.ones(len(part), bool)), at(part + 1, more[part])
+            cosine = ((x + y) @ block.vectors.T) / np.sqrt(np.maximum(s + r, 1e-12))[:, None]
             for w, k in zip(*np.nonzero(cosine >= CANDIDATE)):
-                yield int(windows[w]), block.members[k], float(cosine[w, k])
+                yield int(part[w]), block.members[k], float(cosine[w, k])
 
     def _check(self, words: np.ndarray, start: int, k: int) -> tuple[float, float] | None:
         item, answer = self.items.words[k], self.items.answers[k]
