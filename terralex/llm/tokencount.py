@@ -29,9 +29,9 @@ from terralex.llm.common import map_batches, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-MEMORY = 300_000
+MEMORY = 600_000
 #: Beginnings of up to so many characters are remembered.
-SHARED_START = 10
+SHARED_START = 8
 ONE = (1,)
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
