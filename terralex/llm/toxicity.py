@@ -46,6 +46,8 @@ AS_SIGN, AS_REPEAT, AS_SEPARATOR, AS_IS = -1.0, -0.5, -0.5, -9.0
 CLASSES = 28
 BOUNDARY, OTHER = 0, 27
 BEAM = 48
+#: A longer token is decoded in pieces of so many characters.
+PIECE = 64
 
 SPELLED = re.compile(r"(?<!\S)[^\W_](?:[ .*_-][^\W_]){3,}(?=[\s.,!?;:]|$)")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -148,9 +150,10 @@ class Restorer:
         token = raw.lstrip(LEADING).rstrip(TRAILING)
         if not token:
             return []
-        if len(token) > 64 or not self.suspicious(token):
+        if not self.suspicious(token):
             return [token]
-        return [w for w in self.decode(token).split() if w]
+        decoded = "".join(self.decode(token[i : i + PIECE]) for i in range(0, len(token), PIECE))
+        return [w for w in decoded.split() if w]
 
 
 def features_of(word: str) -> list[str]:
@@ -171,7 +174,7 @@ class Reader:
         found = set(lowered.split())
         for m in SPELLED.finditer(lowered):
             span = m.group()
-            found.update(span[i : i + 64] for i in range(0, len(span), 64))
+            found.update(span[i : i + PIECE] for i in range(0, len(span), PIECE))
         return found
 
     def words(self, text: str) -> set[str]:
