@@ -7,14 +7,14 @@
    the task before the shuffle and dealt out in buckets whose number follows the corpus.
 3. A key with count c enters a Bloom filter at the levels 1 .. 1 + floor(log_b(c / floor)), the log
    frequency. Every bucket owns a segment of the filter and builds it alone. A reader probes level
-   after level until one is missing, which gives the quantised count, never below it but for the
-   filter's false positives. The filter has ``FILTER_BYTES`` bytes whatever the corpus, so it may be
-   broadcast. Keys seen once are left to the smoothing. The floor is 2, and rises only where the
-   count-of-counts shows that the levels above it would fill more than half of the filter; all
-   counting stays complete.
+   after level until one is missing, which gives the quantised count, never above it but for the
+   filter's false positives. Keys seen once enter too. The filter's size follows the counted levels, so
+   that at most half of it is filled, and it is broadcast whole: about a byte for each distinct key and
+   level. Only a caller that names a size gets a filter of that size, whose floor rises until it fits.
 4. A word's probability mixes its relative frequency after the word before with its smoothed unigram
-   probability. The weight, by how often the word before was seen, is estimated by leaving one out on
-   a bounded sample of training rows.
+   probability. The weight, by how often the word before was seen, is estimated by leaving one out over
+   all training rows. Scoring sums every document's logarithms for each weight in question, so that
+   the tuning needs no pass of its own.
 
 Nulls: a null text is the empty text: one end token. A null id falls into the fold of the empty id.
 Repeated rows are scored each. An empty table gives an empty result; without training rows all counts
@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,16 +37,15 @@ from terralex.llm.common import in_fold, map_batches, saved, ship_code, text_or_
 
 FOLDS, HELD_OUT = 7, 2
 HEAD = 1 << 17
-FILTER_BYTES = 1 << 25
+LEAST_FILTER_BYTES = 1 << 16
 HASHES = 4
 BASE = 1.5
 LEVELS = 64
-FLOOR = 2
+FLOOR = 1
 BUCKET_TOKENS = 1 << 20
 LEAST_BUCKETS = 64
 #: Bits of a key beyond its bucket's: two of a bucket's million keys meet about once in two buckets.
 KEY_BITS = 40
-TUNING_ROWS = 2_000
 MEMORY = 150_000
 CHUNK_TOKENS = 1 << 17
 FLUSH_KEYS = 1 << 21
@@ -181,7 +179,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pair_counts(training: DataFrame, bits: int) -> DataFrame:
-    """(bucket, keys, counts): exact counts of the pairs seen at least twice; counts beyond 32 bits stay at the top."""
+    """(bucket, keys, counts): exact counts of all pairs; counts beyond 32 bits stay at the top."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words({})
@@ -200,8 +198,7 @@ def pair_counts(training: DataFrame, bits: int) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         keys, counts = _read_blobs(table, bits)
         keys, counts = _summed(keys, counts)
-        keep = counts >= FLOOR
-        batches = list(_blobs(keys[keep], np.minimum(counts[keep], 2**32 - 1), bits))
+        batches = list(_blobs(keys, np.minimum(counts, 2**32 - 1), bits))
         return pa.Table.from_batches(batches) if batches else pa.table({"bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
 
     return training.select("text").transform(map_batches, run, BLOBS).groupBy("bucket").applyInArrow(merge, BLOBS)
@@ -262,20 +259,26 @@ class CountFilter:
         return np.where(level > 0, self.floor * BASE ** (level - 1.0), 0.0)
 
 
-def build_filter(entries: DataFrame, bits: int, size: int = FILTER_BYTES) -> CountFilter:
-    """From (bucket, keys, counts): every bucket sets the bits of its own segment; ``size`` bytes reach the driver."""
+def build_filter(entries: DataFrame, bits: int, size: int | None = None, least: int = 2) -> CountFilter:
+    """From (bucket, keys, counts): every bucket sets the bits of its own segment, and all reach the driver.
+
+    Counts from ``least`` on enter. Without a ``size`` the filter has room for all of them.
+    """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in b.column("counts"):
-                n, k = np.unique(levels_of(np.frombuffer(c.as_py(), np.uint32), FLOOR), return_counts=True)
+                n, k = np.unique(levels_of(np.frombuffer(c.as_py(), np.uint32), least), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32)), pa.array(k.astype(np.int64))], names=["level", "keys"])
 
     spectrum = {r["level"]: r["n"] for r in entries.select("counts").transform(map_batches, tally, "level int, keys bigint").groupBy("level").agg(F.sum("keys").alias("n")).collect()}
+    if size is None:
+        wanted = HASHES * sum(n * level for level, n in spectrum.items()) // 4
+        size = 1 << (max(LEAST_FILTER_BYTES, 1 << bits, wanted) - 1).bit_length()
     lowest = 1
     while HASHES * sum(n * (level - lowest + 1) for level, n in spectrum.items() if level >= lowest) > 4 * size:
         lowest += 1
-    floor = int(np.ceil(FLOOR * BASE ** (lowest - 1) - 1e-9))
+    floor = int(np.ceil(least * BASE ** (lowest - 1) - 1e-9))
     segment = size * 8 >> bits
 
     def fill(table: pa.Table) -> pa.Table:
@@ -296,10 +299,10 @@ def build_filter(entries: DataFrame, bits: int, size: int = FILTER_BYTES) -> Cou
 
 
 class Model:
-    """What the workers need: filter, head counts, totals and mixing weights; its size is bounded."""
+    """What the workers need: filter, head counts and totals."""
 
-    def __init__(self, counts: CountFilter, head: dict[bytes, int], tokens: int, distinct: int, weights: np.ndarray):
-        self.counts, self.head, self.tokens, self.distinct, self.weights = counts, head, tokens, distinct, weights
+    def __init__(self, counts: CountFilter, head: dict[bytes, int], tokens: int, distinct: int):
+        self.counts, self.head, self.tokens, self.distinct = counts, head, tokens, distinct
 
     def look(self, words: Words, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every token: hash, exact head count (-1 outside the head), and count for the model."""
@@ -310,16 +313,25 @@ class Model:
         known[tail] = self.counts.estimate(unigram_keys(h[tail]))
         return h, exact, known
 
-    def parts(self, h: np.ndarray, known: np.ndarray, before: np.ndarray, seen_before: np.ndarray, one_out: bool = False):
-        """Unigram probability, relative frequency after the word before, and the bin of its weight."""
-        pairs = self.counts.estimate(pair_keys(before, h))
-        pairs = np.minimum(pairs, seen_before)
-        if one_out:
-            pairs, seen_before = np.maximum(pairs - 1, 0), seen_before - 1
-        unigram = (known + 1) / (self.tokens + self.distinct + 1)
-        follow = np.where(seen_before > 0, pairs / np.maximum(seen_before, 1), 0.0)
-        slot = np.clip(np.log2(np.maximum(seen_before, 1)) / 2, 0, BINS - 1).astype(int)
-        return unigram, follow, slot, seen_before > 0
+    def parts(self, h: np.ndarray, known: np.ndarray, before: np.ndarray, seen_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unigram probability, and how often the word follows the word before."""
+        pairs = np.minimum(self.counts.estimate(pair_keys(before, h)), seen_before)
+        return (known + 1) / (self.tokens + self.distinct + 1), pairs
+
+
+def mixed(pairs: np.ndarray, seen_before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Relative frequency after the word before, the bin of its weight, and whether there is one."""
+    follow = np.where(seen_before > 0, pairs / np.maximum(seen_before, 1), 0.0)
+    slot = np.clip(np.log2(np.maximum(seen_before, 1)) / 2, 0, BINS - 1).astype(int)
+    return follow, slot, seen_before > 0
+
+
+def by_weight(unigram: np.ndarray, follow: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """(groups, weights): log10 probabilities summed by group, for every weight of the grid."""
+    out = np.empty((groups, len(GRID)))
+    for g, w in enumerate(GRID):
+        out[:, g] = np.bincount(group, np.log10(w * follow + (1 - w) * unigram), minlength=groups)
+    return out
 
 
 def _framed(model: Model, words: Words, tokens: list[list[bytes]]):
@@ -330,28 +342,7 @@ def _framed(model: Model, words: Words, tokens: list[list[bytes]]):
     return h, exact, known, np.concatenate([[end_hash], h[:-1]]), np.concatenate([[end_count], known[:-1]])
 
 
-def _tuned(sample: DataFrame, model: Broadcast) -> np.ndarray:
-    """The best mixing weight of every bin, leaving each token itself out of the counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        words = Words(m.head)
-        total = np.zeros((BINS, len(GRID)))
-        for b in batches:
-            for _, tokens in _chunks(b.column("text")):
-                h, _, known, before, seen = _framed(m, words, tokens)
-                unigram, follow, slot, any_seen = m.parts(h, known, before, seen, one_out=True)
-                for g, w in enumerate(GRID):
-                    total[:, g] += np.bincount(slot[any_seen], np.log(w * follow + (1 - w) * unigram)[any_seen], minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(BINS), len(GRID))), pa.array(np.tile(np.arange(len(GRID)), BINS)), pa.array(total.ravel())], names=["slot", "g", "s"])
-
-    sums = np.zeros((BINS, len(GRID)))
-    for r in sample.select("text").transform(map_batches, run, "slot bigint, g bigint, s double").groupBy("slot", "g").agg(F.sum("s").alias("s")).collect():
-        sums[r["slot"], r["g"]] = r["s"]
-    return GRID[sums.argmax(1)]
-
-
-def train(training: DataFrame, size: int = FILTER_BYTES) -> tuple[Model, DataFrame]:
+def train(training: DataFrame, size: int | None = None) -> tuple[Model, DataFrame]:
     """The model and the exact vocabulary (word, n)."""
     vocabulary = saved(word_counts(training), "lm-vocabulary")
     tokens, distinct = vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -367,24 +358,33 @@ def train(training: DataFrame, size: int = FILTER_BYTES) -> tuple[Model, DataFra
             h = np.array([_word_hash(w.as_py()) for w in b.column("word")], np.uint64)
             yield from _blobs(*_summed(_trim(unigram_keys(h), bits), b.column("n").to_numpy()), bits)
 
-    singles = vocabulary.filter(F.col("n") >= FLOOR).transform(map_batches, word_entries, BLOBS)
-    counts = build_filter(pairs.unionByName(singles), bits, size)
-    return Model(counts, head, tokens, distinct, np.zeros(BINS)), vocabulary
+    singles = vocabulary.transform(map_batches, word_entries, BLOBS)
+    counts = build_filter(pairs.unionByName(singles), bits, size, FLOOR)
+    return Model(counts, head, tokens, distinct), vocabulary
+
+
+def best_weights(scored: DataFrame) -> np.ndarray:
+    """For every bin the place in ``GRID`` of the weight with the largest sum of ``tuning`` over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS * len(GRID))
+        for b in batches:
+            total += b.column("tuning").flatten().to_numpy().reshape(-1, BINS * len(GRID)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "s"])
+
+    sums = np.zeros(BINS * len(GRID))
+    for r in scored.filter("tuning IS NOT NULL").select("tuning").transform(map_batches, run, "place bigint, s double").groupBy("place").agg(F.sum("s").alias("s")).collect():
+        sums[r["place"]] = r["s"]
+    return sums.reshape(BINS, len(GRID)).argmax(1)
 
 
-def score_documents(docs: DataFrame, size: int = FILTER_BYTES, tuning_rows: int = TUNING_ROWS) -> DataFrame:
+def score_documents(docs: DataFrame, size: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
     context = docs.sparkSession.sparkContext
     ship_code(docs.sparkSession)
     rows = docs.select("doc_id", text_or_empty().alias("text"), in_fold("doc_id", FOLDS, HELD_OUT).alias("held_out"))
     training = rows.filter(~F.col("held_out"))
     model, vocabulary = train(training, size)
-    n_training = model.head[END]
-    share = min(1.0, tuning_rows / n_training) if n_training else 1.0
-    sample = training.filter(F.pmod(F.xxhash64("doc_id", F.lit("tuning")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    untuned = context.broadcast(model)
-    model.weights = _tuned(sample, untuned)
-    untuned.unpersist()
     shared = context.broadcast(model)
     space = float(model.tokens + model.distinct + 1)
 
@@ -394,11 +394,19 @@ def score_documents(docs: DataFrame, size: int = FILTER_BYTES, tuning_rows: int
         for b in batches:
             for at, tokens in _chunks(b.column("text")):
                 h, exact, known, before, seen = _framed(m, words, tokens)
-                unigram, follow, slot, any_seen = m.parts(h, known, before, seen)
-                w = np.where(any_seen, m.weights[slot], 0.0)
-                starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])[:-1]])
+                unigram, pairs = m.parts(h, known, before, seen)
+                follow, slot, any_seen = mixed(pairs, seen)
+                lengths = [len(t) for t in tokens]
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                row = np.repeat(np.arange(len(tokens)), lengths)
+                sums = by_weight(unigram[any_seen], follow[any_seen], (row * BINS + slot)[any_seen], len(tokens) * BINS)
+                # Training tokens are left out of their own counts.
+                held_out = b.column("held_out").take(pa.array(at))
+                own = ~held_out.to_numpy(zero_copy_only=False)[row]
+                follow, slot, others_seen = mixed(np.maximum(pairs[own] - 1, 0), seen[own] - 1)
+                tuning = by_weight(unigram[own][others_seen], follow[others_seen], slot[others_seen], BINS)
                 in_head = exact >= 0
-                score = np.add.reduceat(np.log10(w * follow + (1 - w) * unigram), starts)
+                unseen = np.add.reduceat(np.where(any_seen, 0.0, np.log10(unigram)), starts)
                 base = np.add.reduceat(np.log10(np.where(in_head, (exact + 1) / space, 1.0)), starts)
                 known_head = np.add.reduceat((exact > 0).astype(np.int64), starts)
                 tails = []
@@ -407,20 +415,26 @@ def score_documents(docs: DataFrame, size: int = FILTER_BYTES, tuning_rows: int
                     tails.append([{"word": k, "n": v} for k, v in Counter(t[i] for i in out).items()])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("row_no").take(pa.array(at)), b.column("doc_id").take(pa.array(at)), b.column("held_out").take(pa.array(at)),
-                        pa.array([len(t) for t in tokens], pa.int64()), pa.array(known_head), pa.array(base), pa.array(score),
+                        b.column("row_no").take(pa.array(at)), b.column("doc_id").take(pa.array(at)), held_out,
+                        pa.array(lengths, pa.int64()), pa.array(known_head), pa.array(base), pa.array(unseen),
+                        pa.array(list(sums.reshape(len(tokens), -1)), pa.list_(pa.float64())),
+                        pa.array([tuning.ravel()] + [None] * (len(tokens) - 1), pa.list_(pa.float64())),
                         pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
                     ],
-                    names=["row_no", "doc_id", "held_out", "n_tokens", "known_head", "base_head", "score", "tail"],
+                    names=["row_no", "doc_id", "held_out", "n_tokens", "known_head", "base_head", "unseen", "sums", "tuning", "tail"],
                 )
 
     out = T.StructType(
         [T.StructField("row_no", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType())]
         + [T.StructField(n, T.LongType()) for n in ("n_tokens", "known_head")]
-        + [T.StructField(n, T.DoubleType()) for n in ("base_head", "score")]
+        + [T.StructField(n, T.DoubleType()) for n in ("base_head", "unseen")]
+        + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("sums", "tuning")]
         + [T.StructField("tail", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])))]
     )
     scored = saved(rows.withColumn("row_no", F.monotonically_increasing_id()).transform(map_batches, run, out), "lm-scored")
+    score = F.col("unseen")
+    for slot, g in enumerate(best_weights(scored)):
+        score = score + F.col("sums")[int(slot * len(GRID) + g)]
     counted = (
         scored.select("row_no", F.explode("tail").alias("t"))
         .select("row_no", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
@@ -439,7 +453,7 @@ def score_documents(docs: DataFrame, size: int = FILTER_BYTES, tuning_rows: int
         (F.col("known_head") + F.coalesce("known_tail", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base_head") + F.coalesce("base_tail", F.lit(0.0))).alias("base_score"),
-        "score",
+        score.alias("score"),
     )
 
 

@@ -325,6 +325,49 @@ def test_filter_holds_log_counts(spark):
     assert language_model.build_filter(entries, 6, 1 << 12).floor > 2
 
 
+def test_filter_follows_the_corpus_and_every_row_tunes(docs, texts):
+    import zlib
+
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    cut = {i: language_model.words_of(t) + [b""] for i, t in texts.items()}
+    counts, pairs = Counter(), Counter()
+    for i, ws in cut.items():
+        if not held[i]:
+            counts.update(ws)
+            pairs.update(zip([b"", *ws[:-1]], ws))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model, _ = language_model.train(rows.filter(~language_model.in_fold("doc_id", 7, 2)))
+    keys = language_model.pair_keys(*(np.array([language_model._word_hash(p[k]) for p in pairs], np.uint64) for k in (0, 1)))
+    guess, true = model.counts.estimate(keys), np.array(list(pairs.values()))
+    assert model.counts.floor == 1 and (true == 1).any() and (guess >= np.maximum(1, true / language_model.BASE) - 1e-9).all()
+    assert (guess <= true).mean() > 0.95
+    levels = language_model.levels_of(np.concatenate([true, list(counts.values())]), 1).sum()
+    assert len(model.counts.data) * 8 >= 2 * language_model.HASHES * levels
+
+    space = sum(counts.values()) + len(counts) + 1
+    quantised = dict(zip(pairs, guess))
+
+    def frame(i, own):
+        for a, b in zip([b"", *cut[i][:-1]], cut[i]):
+            seen = counts[a] - own
+            slot = int(min(max(math.log2(max(seen, 1)) / 2, 0), language_model.BINS - 1))
+            n = min(quantised.get((a, b), 0.0), counts[a])
+            yield (counts[b] + 1) / space, max(n - own, 0) / max(seen, 1), slot, seen > 0
+
+    sums = np.zeros((language_model.BINS, len(language_model.GRID)))
+    for i in texts:
+        if not held[i]:
+            for unigram, follow, slot, known in frame(i, 1):
+                if known:
+                    sums[slot] += np.log10(language_model.GRID * follow + (1 - language_model.GRID) * unigram)
+    weights = language_model.GRID[sums.argmax(1)]
+    got = {r["doc_id"]: r["score"] for r in language_model.score_documents(docs).collect()}
+    for i in texts:
+        if not held[i]:
+            want = sum(math.log10(weights[k] * f + (1 - weights[k]) * u) if known else math.log10(u) for u, f, k, known in frame(i, 0))
+            assert got[i] == pytest.approx(want)
+
+
 def test_language_model_edges(edge, empty):
     got = language_model.score_documents(edge, size=1 << 16).collect()
     assert len(got) == len(EDGE) and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 6))
