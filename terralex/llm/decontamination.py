@@ -8,8 +8,12 @@
    and only matrices of fixed size meet. Items go in blocks of at most ``RANK``, each with its own axes,
    so that no item falls out of them.
 3. Every passage of every document is projected, and its latent product with every item over the full
-   lengths of both is its cosine; passages above ``CANDIDATE`` are candidates.
-4. A candidate is checked on the words around it: the longest common subsequence with the item covers
+   lengths of both is its cosine; passages above ``CANDIDATE`` are candidates. Items longer than a
+   window go in passages of their own.
+4. So are passages that hold ``CONTAINED`` of the weight of a piece of an item. Pieces have at most
+   ``HALF_WINDOW`` words, so an unedited copy lies whole in some window and is never missed, whatever
+   words stand around it.
+5. A candidate is checked on the words around it: the longest common subsequence with the item covers
    ``LCS`` of it, or a smaller part and also the answer, the item's last sentence.
 
 Words are white-space tokens in lower case without outer punctuation. Up to ``ITEMS_A_PASS`` items are
@@ -43,6 +47,7 @@ ITEMS_A_PASS = 2048
 RAREST = 12
 MOST_SHARE = 0.01
 CANDIDATE = 0.3
+CONTAINED = 0.4
 LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.65, 0.8
 CHUNK_TOKENS = 1 << 17
 WINDOWS_AT_ONCE = 4096
@@ -61,14 +66,21 @@ def words_of(text: str) -> list[str]:
     return [w for w in map(word_of, text.lower().split()) if w]
 
 
+def cut_evenly(words: list[int], most: int) -> list[list[int]]:
+    """The words in as few parts of at most ``most`` as possible, of nearly the same length."""
+    n = -(-len(words) // most)
+    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
+
+
 class Items:
-    """The items of one pass: word numbers of every item and of its answer."""
+    """The items of one pass: word numbers of every item, of its answer, and of its passages with their items' places."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids: list = []
         self.words: list[list[int]] = []
         self.answers: list[list[int]] = []
         self.numbers: dict[str, int] = {}
+        self.passages: list[tuple[int, list[int]]] = []
         for item, text in rows:
             words = words_of(text)
             if not words:
@@ -77,6 +89,7 @@ class Items:
             self.ids.append(item)
             self.words.append([self.numbers.setdefault(w, len(self.numbers)) for w in words])
             self.answers.append([self.numbers[w] for w in last if w in self.numbers])
+            self.passages += [(len(self.ids) - 1, w) for w in cut_evenly(self.words[-1], 2 * HALF_WINDOW)]
 
 
 class Numbers(dict):
@@ -177,22 +190,68 @@ def _product(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, matrix: np.n
     return out
 
 
+def telling_words(parts: list[list[int]], frequency: np.ndarray, passages: int) -> np.ndarray:
+    """The words that stand for some parts of items: the ``RAREST`` of each, and all that few passages have."""
+    kept: set[int] = set()
+    for part in parts:
+        words = sorted(set(part), key=lambda w: (frequency[w], w))
+        kept.update(words[:RAREST])
+        kept.update(w for w in words[RAREST:] if frequency[w] <= MOST_SHARE * passages)
+    return np.array(sorted(kept))
+
+
+def word_weights(frequency: np.ndarray, passages: int) -> np.ndarray:
+    return (np.log((passages + 1) / (frequency + 1)) + 1e-3) ** 2
+
+
+class Pieces:
+    """Short pieces of all items of a pass, found by their words."""
+
+    def __init__(self, items: Items, frequency: np.ndarray, passages: int):
+        parts = [(k, w) for k, words in enumerate(items.words) for w in cut_evenly(words, HALF_WINDOW)]
+        chosen = telling_words([w for _, w in parts], frequency, passages)
+        self.owner = np.array([k for k, _ in parts])
+        self.column = np.full(len(items.numbers), -1, np.int32)
+        self.column[chosen] = np.arange(len(chosen))
+        self.weights = word_weights(frequency[chosen], passages)
+        pairs = sorted({(self.column[w], n) for n, (_, words) in enumerate(parts) for w in words if self.column[w] >= 0})
+        cols, self.posting = (np.array(x) for x in zip(*pairs))
+        self.first = np.searchsorted(cols, np.arange(len(chosen) + 1))
+        self.totals = np.bincount(self.posting, self.weights[cols], minlength=len(parts))
+
+    def candidates(self, ids: np.ndarray, half: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(window, item place, largest contained share of a piece): a window is named by its first half."""
+        cols = self.column[ids]
+        c, h = cols[cols >= 0].astype(np.int64), half[cols >= 0]
+        before = np.append(False, text[1:] == text[:-1])[h]
+        size, pieces = len(self.weights), len(self.owner)
+        key = np.unique(np.concatenate([h, h[before] - 1]) * size + np.concatenate([c, c[before]]))
+        window, c = key // size, key % size
+        held = np.bincount(window, self.weights[c], minlength=len(text))
+        enough = held[window] >= CONTAINED * self.totals.min()
+        window, c = window[enough], c[enough]
+        if not len(window):
+            return
+        times = self.first[c + 1] - self.first[c]
+        each = np.repeat(np.arange(len(c)), times)
+        place = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+        met, at = np.unique(window[each] * pieces + self.posting[self.first[c[each]] + place], return_inverse=True)
+        share = np.bincount(at, self.weights[c[each]]) / self.totals[met % pieces]
+        for i in np.flatnonzero(share >= CONTAINED):
+            yield int(met[i] // pieces), int(self.owner[met[i] % pieces]), float(share[i])
+
+
 class Block:
-    """At most ``RANK`` items: the words that stand for them, their weights, and, once fitted, their axes."""
+    """At most ``RANK`` passages of items: the words that stand for them, their weights, and, once fitted, their axes."""
 
     def __init__(self, items: Items, members: range, frequency: np.ndarray, passages: int):
-        share = frequency / max(1, passages)
-        kept: set[int] = set()
-        for k in members:
-            words = sorted(set(items.words[k]), key=lambda w: (frequency[w], w))
-            kept.update(words[:RAREST])
-            kept.update(w for w in words[RAREST:] if share[w] <= MOST_SHARE)
-        chosen = np.array(sorted(kept))
-        self.members = members
+        own = [items.passages[k][1] for k in members]
+        chosen = telling_words(own, frequency, passages)
+        self.members = [items.passages[k][0] for k in members]
         self.column = np.full(len(items.numbers), -1, np.int32)
         self.column[chosen] = np.arange(len(chosen))
-        self.weights = (np.log((passages + 1) / (frequency[chosen] + 1)) + 1e-3) ** 2
-        words = [self.column[np.array(items.words[k])] for k in members]
+        self.weights = word_weights(frequency[chosen], passages)
+        words = [self.column[np.array(w)] for w in own]
         self.words = [w[w >= 0] for w in words]
         # A window around a leak holds a third of the item's kept words at least.
         self.need = max(1, min(3, min(len(w) for w in self.words) // 3))
@@ -258,8 +317,8 @@ def lcs(item: list[int], words: np.ndarray) -> int:
 class Searcher:
     """Finds the items of one pass in texts."""
 
-    def __init__(self, items: Items, blocks: list[Block]):
-        self.items, self.blocks = items, blocks
+    def __init__(self, items: Items, blocks: list[Block], pieces: Pieces):
+        self.items, self.blocks, self.pieces = items, blocks, pieces
         self.reader = TokenReader(items.numbers)
 
     def __getstate__(self):
@@ -270,17 +329,25 @@ class Searcher:
         self.reader = TokenReader(self.items.numbers)
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
-        """(row, item place, cosine, LCS share, answer share) of every leak; the best check of each row and item."""
+        """(row, item place, cosine, LCS share, answer share) of every leak; the best check of each row and item.
+
+        The cosine is 0 where only the contained share made it a candidate.
+        """
         for rows, parts in self.reader.chunks(texts):
             ids, half, first, n = _halves(parts)
             text = np.repeat(np.arange(len(parts)), np.diff(np.append(first, n)))
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            near: dict[tuple[int, int], float] = {}
             for block in self.blocks:
                 for window, k, cosine in self._candidates(block, ids, half, text):
-                    t = text[window]
-                    found = self._check(parts[t], (window - first[t]) * HALF_WINDOW, k)
-                    if found and found > best.get((t, k), (0, 0))[:2]:
-                        best[t, k] = (*found, cosine)
+                    near[window, k] = max(cosine, near.get((window, k), 0.0))
+            for window, k, _ in self.pieces.candidates(ids, half, text):
+                near.setdefault((window, k), 0.0)
+            best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            for (window, k), cosine in near.items():
+                t = text[window]
+                found = self._check(parts[t], (window - first[t]) * HALF_WINDOW, k)
+                if found and (*found, cosine) > best.get((t, k), (0, 0, 0)):
+                    best[t, k] = (*found, cosine)
             for (t, k), (share, answer, cosine) in sorted(best.items()):
                 yield rows[t], k, cosine, share, answer
 
@@ -342,10 +409,10 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
             chosen = F.pmod(F.xxhash64("doc_id", F.lit("latent")), F.lit(1_000_000)) < int(share * 1_000_000) + 1
             sample = saved(texts.filter(chosen).select("text"), "lsa-sample")
         frequency, passages = passage_frequencies(texts, items)
-        blocks = [Block(items, range(i, min(i + RANK, len(items.words))), frequency, passages) for i in range(0, len(items.words), RANK)]
+        blocks = [Block(items, range(i, min(i + RANK, len(items.passages))), frequency, passages) for i in range(0, len(items.passages), RANK)]
         for block in blocks:
             block.fit(latent_axes(sample, items, block))
-        yield Searcher(items, blocks)
+        yield Searcher(items, blocks, Pieces(items, frequency, passages))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

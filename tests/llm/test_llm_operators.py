@@ -589,6 +589,25 @@ def test_leaks_found_and_clean_documents_left(spark, docs, texts):
     assert exact <= got
 
 
+def test_no_unedited_copy_is_missed(spark):
+    rng = random.Random(12)
+    common, rare = [f"c{i}" for i in range(40)], [f"r{i}" for i in range(600)]
+    filler = [f"f{i}" for i in range(3000)]
+    items = [(k, " ".join(rare[12 * k : 12 * k + 12])) for k in range(40)]
+    items += [(100 + k, " ".join(rng.sample(common, 12))) for k in range(10)]
+    items += [(200, " ".join(rng.choices(filler, k=1000))), (201, " ".join(rng.choices(common + filler, k=300)))]
+    docs = [(n, " ".join(rng.choices(common, k=40) + rng.choices(filler, k=200))) for n in range(300)]
+    planted = []
+    for item, text in items:
+        for lead in (0, 7, 31, 45):
+            host = rng.sample(rare, 60)
+            planted.append((10_000 + len(planted), " ".join([*host[:lead], text, *host[lead:]]), item))
+    rows = spark.createDataFrame(docs + [p[:2] for p in planted], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(rows, bench).collect()}
+    assert not [(d, i) for d, _, i in planted if (d, i) not in got]
+
+
 def test_decontamination_edges(edge, empty, spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six"), (None, "nothing of this kind at all anywhere")], "item_id bigint, text string")
     got = decontamination.find_leaks(edge, bench).collect()
