@@ -3,13 +3,13 @@
 1. Passages are windows of 64 words, half overlapping. In how many passages each benchmark word occurs
    is counted over all documents and gives the inverse-frequency weights. Words in more than
    ``MOST_SHARE`` of the passages are left out of the vectors, but every item keeps its ``RAREST`` rarest.
-2. A randomised SVD of the weighted passages (of the items and of a bounded, hashed sample of documents)
-   yields the latent axes: tasks multiply their sparse passages with the test matrix and its products,
-   and only matrices of fixed size meet. Items go in blocks of at most ``RANK``, each with its own axes,
-   so that no item falls out of them.
+2. A randomised SVD of the weighted passages of all documents and of the items yields the latent axes:
+   tasks multiply their sparse passages with the test matrix and its products, and only matrices of fixed
+   size meet, summed in slices. Items go in blocks of at most ``BLOCK``, each with its own axes, at most
+   ``RANK`` and half as many as the block's passages, so that words that go together share axes.
 3. Every passage of every document is projected, and its latent product with every item over the full
-   lengths of both is its cosine; passages above ``CANDIDATE`` are candidates. Items longer than a
-   window go in passages of their own.
+   lengths of both is its cosine, or the plain product of shared words if that is larger; passages above
+   ``CANDIDATE`` are candidates. Items longer than a window go in passages of their own.
 4. So are passages that hold ``CONTAINED`` of the weight of a piece of an item. Pieces have at most
    ``HALF_WINDOW`` words, so an unedited copy lies whole in some window and is never missed, whatever
    words stand around it.
@@ -37,12 +37,11 @@ from pyspark.sql import types as T
 from terralex.llm.common import map_batches, saved, ship_code, text_or_empty
 
 HALF_WINDOW = 32
-RANK = 256
+BLOCK = 256
+RANK = 128
 OVERSAMPLE = 8
 POWER_ROUNDS = 2
-SAMPLE_DOCS = 2_000
-#: An item counts as so many passages in the decomposition, so that the axes keep every item.
-ITEM_WEIGHT = 1_000.0
+SLICES = 16
 ITEMS_A_PASS = 2048
 RAREST = 12
 MOST_SHARE = 0.01
@@ -242,7 +241,7 @@ class Pieces:
 
 
 class Block:
-    """At most ``RANK`` passages of items: the words that stand for them, their weights, and, once fitted, their axes."""
+    """At most ``BLOCK`` passages of items: the words that stand for them, their weights, and, once fitted, their axes."""
 
     def __init__(self, items: Items, members: range, frequency: np.ndarray, passages: int):
         own = [items.passages[k][1] for k in members]
@@ -257,48 +256,76 @@ class Block:
         self.need = max(1, min(3, min(len(w) for w in self.words) // 3))
 
     def fit(self, axes: np.ndarray) -> None:
-        self.table = (self.weights[:, None] * axes).astype(np.float32)
+        self.rank = axes.shape[1]
         self.squares = self.weights**2
-        self.vectors = np.stack([self.table[w].sum(0) for w in self.words])
-        length = np.sqrt([self.squares[w].sum() for w in self.words])
-        self.vectors /= np.maximum(length, 1e-12)[:, None].astype(np.float32)
+        length = np.maximum(np.sqrt([self.squares[w].sum() for w in self.words]), 1e-12)
+        latent = self.weights[:, None] * axes
+        self.vectors = np.stack([latent[w].sum(0) / n for w, n in zip(self.words, length)]).astype(np.float32)
+        plain = np.stack([np.bincount(w, minlength=len(axes)) / n for w, n in zip(self.words, length)], axis=1)
+        self.table = np.hstack([latent, self.squares[:, None] * plain]).astype(np.float32)
 
 
-def latent_axes(sample: DataFrame, items: Items, block: Block) -> np.ndarray:
-    """(words, rank) right singular directions by randomised subspace iteration over the sample's passages.
+def sparse_passages(texts: DataFrame, items: Items, blocks: list[Block]) -> DataFrame:
+    """(words, half): of every chunk of the documents, the numbers of words that stand for items, and their passages."""
+    numbers = items.numbers
+    kept = np.logical_or.reduce([block.column >= 0 for block in blocks])
 
-    A round sends one matrix of words x (rank + oversample), in single precision, from each of four tasks.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = TokenReader(numbers)
+        for b in batches:
+            for _, parts in reader.chunks(b.column("text")):
+                ids, half, _, _ = _halves(parts)
+                near = kept[ids]
+                if near.any():
+                    own = [ids[near].astype(np.int32).tobytes(), half[near].astype(np.int32).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in own], names=["words", "half"])
+
+    return texts.select("text").transform(map_batches, run, "words binary, half binary")
+
+
+def latent_axes(passages: DataFrame, block: Block) -> np.ndarray:
+    """(words, rank) right singular directions by randomised subspace iteration over all sparse passages.
+
+    In a round every task sends one matrix of words x (rank + oversample), in single precision and in
+    slices, which are summed before they reach the driver.
     """
-    numbers, column, weights = items.numbers, block.column, block.weights
-    width = min(RANK + OVERSAMPLE, len(weights))
-    few = sample.coalesce(4)
+    column, weights = block.column, block.weights
+    rank = min(RANK, max(1, len(block.words) // 2), len(weights))
+    width = min(rank + OVERSAMPLE, len(weights))
+    edges = np.linspace(0, len(weights), SLICES + 1).astype(int)
 
     def multiply(exact: np.ndarray) -> np.ndarray:
         matrix = exact.astype(np.float32)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader, total = TokenReader(numbers), np.zeros_like(matrix)
+            total = np.zeros_like(exact)
             for b in batches:
-                for _, parts in reader.chunks(b.column("text")):
-                    ids, half, _, _ = _halves(parts)
-                    cols = column[ids]
-                    if (cols >= 0).any():
-                        total += _product(*_tfidf(cols[cols >= 0], half[cols >= 0], weights), matrix)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-        total = np.zeros_like(exact)
-        for r in few.select("text").transform(map_batches, run, "part binary").toLocalIterator():
-            total += np.frombuffer(r["part"], np.float32).reshape(exact.shape)
+                for words, half in zip(b.column("words"), b.column("half")):
+                    cols = column[np.frombuffer(words.as_py(), np.int32)]
+                    own = cols >= 0
+                    if own.any():
+                        total += _product(*_tfidf(cols[own], np.frombuffer(half.as_py(), np.int32)[own], weights), matrix)
+            parts = [total[i:j].astype(np.float32).tobytes() for i, j in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], names=["slice", "part"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = np.sum([np.frombuffer(x.as_py(), np.float32) for x in table["part"]], axis=0, dtype=np.float64)
+            return pa.table({"slice": table["slice"][:1], "part": pa.array([total.tobytes()], pa.binary())})
+
         own = np.concatenate(block.words)
         rows = np.repeat(np.arange(len(block.words)), [len(w) for w in block.words])
-        return total + ITEM_WEIGHT * _product(*_tfidf(own, rows, weights), exact)
+        total = _product(*_tfidf(own, rows, weights), exact)
+        for r in passages.transform(map_batches, run, "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary").collect():
+            i, j = edges[r["slice"]], edges[r["slice"] + 1]
+            total[i:j] += np.frombuffer(r["part"], np.float64).reshape(j - i, width)
+        return total
 
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(weights), width)))[0]
     for _ in range(POWER_ROUNDS):
         q = np.linalg.qr(multiply(q))[0]
     gram = q.T @ multiply(q)
     values, turn = np.linalg.eigh((gram + gram.T) / 2)
-    return q @ turn[:, np.argsort(-values)[:RANK]]
+    return q @ turn[:, np.argsort(-values)[:rank]]
 
 
 def lcs(item: list[int], words: np.ndarray) -> int:
@@ -379,7 +406,8 @@ class Searcher:
                 return sums[k] * there[:, None], squares[k] * there
 
             (x, s), (y, r) = at(part, np.ones(len(part), bool)), at(part + 1, more[part])
-            cosine = ((x + y) @ block.vectors.T) / np.sqrt(np.maximum(s + r, 1e-12))[:, None]
+            both = x + y
+            cosine = np.maximum(both[:, : block.rank] @ block.vectors.T, both[:, block.rank :]) / np.sqrt(np.maximum(s + r, 1e-12))[:, None]
             for w, k in zip(*np.nonzero(cosine >= CANDIDATE)):
                 yield int(part[w]), block.members[k], float(cosine[w, k])
 
@@ -398,20 +426,16 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     named = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
     passes = max(1, -(-named.count() // ITEMS_A_PASS))
-    sample = None
     for n in range(passes):
         part = named if passes == 1 else named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
         items = Items(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1])))
         if not items.words:
             continue
-        if sample is None:
-            share = min(1.0, SAMPLE_DOCS / max(1, texts.count()))
-            chosen = F.pmod(F.xxhash64("doc_id", F.lit("latent")), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-            sample = saved(texts.filter(chosen).select("text"), "lsa-sample")
         frequency, passages = passage_frequencies(texts, items)
-        blocks = [Block(items, range(i, min(i + RANK, len(items.passages))), frequency, passages) for i in range(0, len(items.passages), RANK)]
+        blocks = [Block(items, range(i, min(i + BLOCK, len(items.passages))), frequency, passages) for i in range(0, len(items.passages), BLOCK)]
+        sparse = saved(sparse_passages(texts, items, blocks), "lsa-passages")
         for block in blocks:
-            block.fit(latent_axes(sample, items, block))
+            block.fit(latent_axes(sparse, block))
         yield Searcher(items, blocks, Pieces(items, frequency, passages))
 
 

@@ -608,6 +608,32 @@ def test_no_unedited_copy_is_missed(spark):
     assert not [(d, i) for d, _, i in planted if (d, i) not in got]
 
 
+def test_axes_come_from_all_documents(spark):
+    rng = random.Random(13)
+    # Words 2i and 2i + 1 of a theme stand together in documents, but never in one item.
+    themes = [[f"t{k}w{i}" for i in range(16)] for k in range(12)]
+    items = [(2 * k + odd, " ".join(theme[odd::2])) for k, theme in enumerate(themes) for odd in (0, 1)]
+    docs = [(n, " ".join(rng.sample(themes[rng.randrange(12)], 12) + rng.choices([f"f{i}" for i in range(500)], k=30))) for n in range(4000)]
+    rows, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    searcher = next(decontamination.searchers(rows, bench))
+    (block,) = searcher.blocks
+    assert block.rank == len(items) // 2
+    axes = block.table[:, : block.rank] / block.weights[:, None]
+    gram = np.zeros((len(axes), len(axes)))
+    for text in [t for _, t in docs] + [t for _, t in items]:
+        ids = searcher.reader.read(text)
+        for i in range(0, len(ids), 32):
+            part = [block.column[w] for w in ids[i : i + 32] if w >= 0]
+            cols, tf = np.unique([c for c in part if c >= 0], return_counts=True)
+            cols = cols.astype(int)
+            v = (1 + np.log(tf)) * block.weights[cols]
+            gram[np.ix_(cols, cols)] += np.outer(v, v)
+    best = np.linalg.eigvalsh(gram)[::-1][: block.rank].sum()
+    assert np.trace(axes.T @ gram @ axes) >= 0.999 * best
+    # The other half of an item's theme shares no word with it and is near it all the same.
+    assert all(block.vectors[k] @ block.vectors[k ^ 1] > 0.3 for k in range(len(items)))
+
+
 def test_decontamination_edges(edge, empty, spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six"), (None, "nothing of this kind at all anywhere")], "item_id bigint, text string")
     got = decontamination.find_leaks(edge, bench).collect()
