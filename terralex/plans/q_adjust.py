@@ -137,5 +137,7 @@ def drop_sparse_columns(t):
 def chained_regression_impute(t):
     cols = ["lat", "lon", "dom", *TARGETS, *AUX]
     rows = t.observations().join(t.stations(), "station").withColumn("dom", F.dayofmonth("day").cast("double"))
-    model = im.fit_chained_imputer(rows, cols, max_rounds=5)  # each round is eight fits; the default is 500
+    model = im.fit_chained_imputer(rows, cols)
+    if not model.converged:
+        raise RuntimeError(f"filled values have not settled after {model.rounds} rounds")
     return model.transform(rows).select("station", "day", *cols)

@@ -340,6 +340,16 @@ def test_imputer_leaves_out_a_column_without_values(spark):
     assert [r["c"] for r in model.transform(df).collect()] == [None] * 4
 
 
+def test_registered_imputation_never_returns_unsettled_values(spark, sf_dir, monkeypatch):
+    from terralex.plans import q_adjust
+    from terralex.plans.catalog import QUERIES
+
+    fit = impute.fit_chained_imputer
+    monkeypatch.setattr(q_adjust.im, "fit_chained_imputer", lambda rows, cols, **more: fit(rows.limit(200), cols, **{"max_rounds": 1} | more, tol=0.0))
+    with pytest.raises(RuntimeError, match="not settled"):
+        QUERIES["chained_regression_impute"](spark, sf_dir)
+
+
 def test_cache_is_filled_on_disk(spark, tmp_path):
     from terralex.operators.tables import fill_cache
 
