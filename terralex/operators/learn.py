@@ -6,6 +6,8 @@ targets or trials, never over rows or groups.
 
 from __future__ import annotations
 
+import functools
+import math
 import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -14,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +25,9 @@ from terralex.functions.scalars import hash_uniform, sanitize, year_fraction
 from terralex.operators.impute import Moments, linear, median_impute, moments, ridge
 from terralex.operators.metrics import regression_metrics, roc_auc
 from terralex.operators.quantiles import with_facts
-from terralex.operators.scan import block_segment, dense_position
+from terralex.operators.scan import block_segment, dense_position, numbered
 from terralex.operators.spatial import haversine_knn_features
-from terralex.session import cut_lineage
+from terralex.session import cut_lineage, ship_code
 
 Factory = Callable[[int], object]
 VECTOR = "_features"
@@ -349,32 +351,66 @@ def rf_modellability(df: DataFrame, features: Sequence[str], targets: Sequence[s
     return each.groupBy("target").agg(mean.alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"), verdict.alias("verdict"))
 
 
-def permutation_importance(model, df: DataFrame, features: Sequence[str], label: str, id_col: str, repeats: int = 5, top: int = 15) -> DataFrame:
-    """Mean loss of R² when one feature's values are exchanged between rows.
+def keyed_permutation(place: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
+    """Where a permutation of 0 .. n-1 chosen by ``key`` sends some places.
 
-    Two hash orders of the rows are matched by position, so nothing is shuffled on one machine.
+    A Feistel network permutes the smallest square that holds n; places that land outside walk on until
+    they are inside again, which keeps it a permutation of the n. Nothing is stored.
     """
-    def ordered(seed: str, cols: Sequence[str]) -> DataFrame:
-        u = df.select(id_col, *cols).withColumn("_u", hash_uniform(seed, F.col(id_col))).withColumn("_all", F.lit(1))
-        return dense_position(u, ["_all"], ["_u", id_col], F.floor(F.col("_u") * 4096).cast("int"), "_pos").drop("_u", "_all")
+    side = max(2, math.isqrt(max(n - 1, 0)) + 1)
+    salts = np.random.default_rng([key, n]).integers(1, 1 << 62, (rounds, 2)).astype(np.uint64) | np.uint64(1)
 
-    base_rows = cut_lineage(df)
-    score = lambda rows, tag: model.transform(assemble(rows, features)).select(
-        tag.alias("feature"), F.lit(0).alias("rep"), F.col(label).alias("truth"), F.col("prediction").alias("pred")
-    )
-    df = base_rows
-    base = regression_metrics(score(df, F.lit("_base"))).first()["r2"]
-    here = ordered("base", [c for c in df.columns if c != id_col])
-    parts = None
-    for f in features:
-        for r in range(repeats):
-            other = ordered(f"{f}.{r}", [f]).select("_pos", F.col(f).alias("_new"))
-            mixed = here.join(other, "_pos").withColumn(f, F.col("_new")).drop("_new", "_pos")
-            part = score(mixed, F.lit(f)).withColumn("rep", F.lit(r))
-            parts = part if parts is None else parts.unionByName(part)
-    each = regression_metrics(parts, by=["feature", "rep"])
-    drop = F.lit(base) - F.col("r2")
-    out = each.groupBy("feature").agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("spread"))
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x // np.uint64(side), x % np.uint64(side)
+        for a, b in salts:
+            h = (right + b) * a
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, (left + (h >> np.uint64(32)) % np.uint64(side)) % np.uint64(side)
+        return left * np.uint64(side) + right
+
+    out = once(place.astype(np.uint64))
+    while (outside := np.flatnonzero(out >= np.uint64(n))).size:
+        out[outside] = once(out[outside])
+    return out.astype(np.int64)
+
+
+def _permuted(numbered_rows: DataFrame, n: int, keys: int, seed: int) -> DataFrame:
+    """Every row's ``pos`` and ``x`` once per key, with the place it is sent to as ``pos``."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pos = batch["pos"].to_numpy()
+            for k in range(keys):
+                yield pd.DataFrame({"pos": keyed_permutation(pos, n, seed * 1_000_003 + k), "key": k, "x": batch["x"]})
+
+    return numbered_rows.select("pos", "x").mapInPandas(send, "pos bigint, key int, x array<double>")
+
+
+def permutation_importance(
+    model, df: DataFrame, features: Sequence[str], label: str, id_col: str, repeats: int = 5, top: int = 15, seed: int = 42
+) -> DataFrame:
+    """Mean loss of R² when one feature's values are exchanged between rows.
+
+    Rows are numbered once. Every shuffle is a computed permutation of the numbers: a row sends its values
+    to its partner, and one join brings each row what it is sent for all repeats, in which every feature
+    in turn takes the partner's value. The rows' order decides their numbers, so ``id_col`` must be unique.
+    """
+    clean = F.array(*[sanitize(F.col(f).cast("double"), fill_missing=True) for f in features])
+    rows = cut_lineage(numbered(df.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("truth"), clean.alias("x")), ["_id"]))
+    n = rows.count()
+    if not n:
+        return df.sparkSession.createDataFrame([], "feature string, importance double, spread double")
+    ship_code(df.sparkSession)
+    sent = _permuted(rows, n, repeats, seed).withColumnRenamed("x", "_sent")
+    met = rows.select("pos", "truth", "x").join(sent, "pos")
+    swapped = F.transform(F.col("x"), lambda v, i: F.when(i == F.col("f"), F.get("_sent", i)).otherwise(v))
+    changed = met.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).select("f", F.col("key").alias("rep"), "truth", array_to_vector(swapped).alias(VECTOR))
+    own = rows.select(F.lit(-1).alias("f"), F.lit(0).alias("rep"), "truth", array_to_vector("x").alias(VECTOR))
+    scored = model.transform(changed.unionByName(own)).select("f", "rep", "truth", F.col("prediction").alias("pred"))
+    each = cut_lineage(regression_metrics(scored, by=["f", "rep"]).select("f", "r2"))
+    base = F.lit(each.filter("f = -1").first()["r2"])
+    names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("f") + 1)
+    out = each.filter("f >= 0").groupBy(names.alias("feature")).agg(F.avg(base - F.col("r2")).alias("importance"), F.stddev_pop(base - F.col("r2")).alias("spread"))
     return out.orderBy(F.desc("importance"), "feature").limit(top)
 
 
@@ -412,107 +448,175 @@ def fit_yeo_johnson(df: DataFrame, col: str, low: float = -2.0, high: float = 4.
 # --- per-station regressions -----------------------------------------------------------------
 
 
-def _station_terms(obs: DataFrame, col: str, aux: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Complete rows with standardised terms, quadratic ones where the rows allow them, and the scaling."""
-    import math
+def _season(day: str = "day") -> list[Column]:
+    month = F.month(day) * F.lit(2 * math.pi / 12)
+    return [F.sin(month), F.cos(month), year_fraction(F.col(day))]
 
-    month = F.month("day") * F.lit(2 * math.pi / 12)
-    raw = obs.filter(F.coalesce(*[F.when(F.col(c).isNull(), 1) for c in (col, *aux)]).isNull()).select(
-        "station", "day", F.col(col).cast("double").alias("y"),
-        F.array(*[F.col(a).cast("double") for a in aux], F.sin(month), F.cos(month), year_fraction(F.col("day"))).alias("x"),
-    )
-    p = len(aux) + 3
-    scale = raw.groupBy("station").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("x")[i]) for i in range(p)]).alias("mean"),
-        F.array(*[F.stddev_pop(F.col("x")[i]) for i in range(p)]).alias("std"),
-        # At most one row per calendar day: these arrays are bounded.
-        F.slice(F.sort_array(F.collect_list("y")), 1, 2).alias("low2"),
-        F.slice(F.sort_array(F.collect_list("y"), asc=False), 1, 2).alias("high2"),
-    ).filter(F.col("n") >= 5)
-    return raw, scale
 
+def _linear_terms(x: str, mean: str, std: str) -> Column:
+    return F.zip_with(F.zip_with(x, mean, lambda a, m: a - m), std, lambda d, s: d / F.when(s < 1e-12, 1.0).otherwise(s))
 
-def _standard(x: str, mean: str, std: str, p: int, n: str, n_aux: int) -> Column:
-    from terralex.operators.tables import polynomial_allowed
 
-    z = F.zip_with(F.zip_with(x, mean, lambda a, m: a - m), std, lambda d, s: d / F.when(s < 1e-12, 1.0).otherwise(s))
-    allowed = polynomial_allowed(F.col(n), p, n_aux)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    squares = F.array(*[F.when(allowed, F.col("_z")[i] * F.col("_z")[j]).otherwise(0.0) for i, j in pairs])
-    return z, squares
+def _with_squares(z: Column, p: int, allowed: Column) -> Column:
+    """1, the terms and, where allowed, their products."""
+    squares = F.array(*[z[i] * z[j] for i in range(p) for j in range(i, p)])
+    return F.concat(F.array(F.lit(1.0)), z, F.when(allowed, squares).otherwise(F.array().cast("array<double>")))
 
 
-def station_ridge(
-    samples: DataFrame, obs: DataFrame, col: str, aux: Sequence[str], medians: DataFrame | None = None
-) -> DataFrame:
+def _without_day(df: DataFrame, keys: Sequence[str], value: str, day: str) -> DataFrame:
+    """Per key the least and largest value, their days, and the same over all other days: ranges that may leave a day out."""
+    per_day = df.groupBy(*keys, day).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    ends = per_day.groupBy(*keys).agg(F.min(F.struct("_lo", day)).alias("_l"), F.max(F.struct("_hi", day)).alias("_h"))
+    others = per_day.join(ends, list(keys)).groupBy(*keys).agg(
+        F.min(F.when(F.col(day) != F.col(f"_l.{day}"), F.col("_lo"))).alias("lo_else"), F.max(F.when(F.col(day) != F.col(f"_h.{day}"), F.col("_hi"))).alias("hi_else")
+    )
+    return ends.join(others, list(keys)).select(
+        *keys, F.col("_l._lo").alias("lo"), F.col(f"_l.{day}").alias("lo_day"), F.col("_h._hi").alias("hi"), F.col(f"_h.{day}").alias("hi_day"), "lo_else", "hi_else"
+    )
+
+
+def station_ridge(samples: DataFrame, obs: DataFrame, col: str, aux: Sequence[str], min_rows: int = 5, min_share: float = 0.15) -> DataFrame:
     """Per-station regression on auxiliary values and season, fitted without the sample's own day.
 
-    Each station's normal equations are one aggregation; a day's contribution is subtracted before
-    the small system is solved, so no station's rows are gathered. The penalty is max(1, 300/n).
-    Predictions are clipped to the station's range (that day left out) widened by 40 %.
+    A station uses the auxiliaries known in ``min_share`` of its other days' labelled rows, ``min_rows`` of
+    them at least, and the rows that have all of these; a missing value of the asked day takes their
+    median. Scaling, the rule for quadratic terms, fit and range all leave the asked day out. The penalty
+    is max(1, 300/n). Predictions are clipped to the range widened by 40 %.
+
+    Moments are summed once per station and set of auxiliaries. A left-out day's rows, few each, are taken
+    off them, new means and spreads turn into a linear map of the terms, and a station's days are solved
+    as one array. Only moments and asked days meet in a task; days are bounded by the calendar.
     """
-    import math
-
-    from terralex.operators.quantiles import medians_wide
-
-    p = len(aux) + 3
-    raw, scale = _station_terms(obs, col, aux)
-    z, squares = _standard("x", "mean", "std", p, "n", len(aux))
-    rows = raw.join(scale, "station").withColumn("_z", z)
-    rows = rows.withColumn("t", F.concat(F.array(F.lit(1.0)), F.col("_z"), squares, F.array("y"))).select("station", "day", "y", "t")
-    dim = 2 + p + p * (p + 1) // 2
-    upper = [(i, j) for i in range(dim) for j in range(i, dim)]
-    products = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in upper]), lambda q: F.get("t", q["i"]) * F.get("t", q["j"]))
+    p, bits = len(aux) + 3, [F.lit(1 << i).cast("long") for i in range(len(aux))]
+    number = {a: F.col(a).cast("double") for a in aux}
+    rows = obs.filter(F.col(col).isNotNull() & F.col("station").isNotNull()).select("station", "day", F.col(col).cast("double").alias("y"), *[v.alias(a) for a, v in number.items()])
+    whole = rows.groupBy("station").agg(F.count(F.lit(1)).alias("_n"), *[F.count(a).alias(f"_c_{a}") for a in aux])
+    labelled = F.col(col).isNotNull()
+    own_day = obs.groupBy("station", "day").agg(
+        F.count_if(labelled).alias("_own"), *[F.count_if(labelled & F.col(a).isNotNull()).alias(f"_own_{a}") for a in aux], *[F.avg(v).alias(f"_x_{a}") for a, v in number.items()]
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    left = F.col("_n") - zero("_own")
+    enough = F.greatest(F.lit(float(min_rows)), left * min_share)
+    mask = sum((F.when(F.col(f"_c_{a}") - zero(f"_own_{a}") >= enough, b).otherwise(0) for a, b in zip(aux, bits)), F.lit(0).cast("long"))
+    asked = (
+        samples.filter(F.col("station").isNotNull()).select("station", "day").distinct().join(own_day, ["station", "day"], "left").join(whole, "station")
+        .filter(left >= min_rows).select("station", "day", mask.alias("mask"), *[f"_x_{a}" for a in aux]).filter("mask <> 0")
+    )
+    used = lambda i: F.col("mask").bitwiseAND(bits[i]) != 0
+    # Most stations have one set of auxiliaries, some another one where a day tips the balance.
+    sets = asked.select("station", "mask").distinct()
+    complete = [~used(i) | F.col(a).isNotNull() for i, a in enumerate(aux)]
+    terms = F.array(*[F.when(used(i), F.col(a)).otherwise(0.0) for i, a in enumerate(aux)], *_season())
+    train = rows.join(sets, "station").filter(functools.reduce(lambda a, b: a & b, complete)).select("station", "mask", "day", "y", terms.alias("x"))
+    key = ["station", "mask"]
+    facts = train.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("x")[i]) for i in range(p)]).alias("mean"), F.array(*[F.stddev_pop(F.col("x")[i]) for i in range(p)]).alias("std"),
+        F.array(*[F.median(F.col("x")[i]) for i in range(len(aux))]).alias("median"),
+    ).filter(F.col("n") >= min_rows)
+    n_aux = F.bit_count("mask")
+    allowed = (F.col("n") > 3 * ((n_aux + 3) * (n_aux + 4) / 2)) & (n_aux >= 2)
+    z = _linear_terms("x", "mean", "std")
+    termed = train.join(facts, key).withColumn("_z", z).select(*key, "day", "y", F.concat(_with_squares(F.col("_z"), p, allowed), F.array("y")).alias("t"))
+    products = F.flatten(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.transform(F.sequence(i, F.size("t") - 1), lambda j: F.get("t", i) * F.get("t", j))))
     # One partial sum per matrix entry and station, combined map-side.
-    sums = rows.select("station", F.posexplode(products).alias("at", "v")).groupBy("station", "at").agg(F.sum("v").alias("v"))
-    gram = sums.groupBy("station").agg(F.sort_array(F.collect_list(F.struct("at", "v")))["v"].alias("gram"))
-
-    med = medians if medians is not None else medians_wide(raw.select("station", *[F.col("x")[i].alias(a) for i, a in enumerate(aux)]), ["station"], aux)
-    own_day = obs.select("station", "day", *[F.col(a).cast("double").alias(f"_o_{a}") for a in aux])
-    asked = samples.filter(F.col("station").isNotNull()).select("station", "day").distinct()
-    month = F.month("day") * F.lit(2 * math.pi / 12)
-    asked = asked.join(own_day, ["station", "day"], "left").join(med, "station").withColumn(
-        "x", F.array(*[F.coalesce(f"_o_{a}", a) for a in aux], F.sin(month), F.cos(month), year_fraction(F.col("day")))
-    ).select("station", "day", "x").join(scale, "station").withColumn("_z", z)
-    asked = asked.withColumn("q", F.concat(F.array(F.lit(1.0)), F.col("_z"), squares))
-    jobs = (
-        asked.join(gram, "station").join(rows.select("station", "day", F.col("t").alias("own"), F.col("y").alias("own_y")), ["station", "day"], "left")
-        .withColumn("lo", F.when(F.col("own_y") == F.col("low2")[0], F.get("low2", F.lit(1))).otherwise(F.col("low2")[0]))
-        .withColumn("hi", F.when(F.col("own_y") == F.col("high2")[0], F.get("high2", F.lit(1))).otherwise(F.col("high2")[0]))
-        .select("station", "day", "q", "gram", "own", "lo", "hi")
+    sums = termed.select(*key, F.posexplode(products).alias("at", "v")).groupBy(*key, "at").agg(F.sum("v").alias("v"))
+    gram = sums.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "v")))["v"].alias("gram")).toDF("of_station", "of_mask", "gram")
+    ends = _without_day(termed, key, "y", "day")
+    own = termed.groupBy(*key, "day").agg(F.collect_list("t").alias("own"))
+    x = F.array(*[F.when(used(i), F.coalesce(f"_x_{a}", F.col("median")[i])).otherwise(0.0) for i, a in enumerate(aux)], *_season())
+    jobs = asked.join(facts, key).join(ends, key).withColumn("x", x).withColumn("q", _linear_terms("x", "mean", "std")).join(own, [*key, "day"], "left").select(
+        *key, "day", "q", "own",
+        F.when(F.col("day") == F.col("lo_day"), F.col("lo_else")).otherwise(F.col("lo")).alias("lo"), F.when(F.col("day") == F.col("hi_day"), F.col("hi_else")).otherwise(F.col("hi")).alias("hi"),
+    )
+    kinds = dict(samples.dtypes)
+    ship_code(samples.sparkSession)
+    solved = gram.groupBy("of_station", "of_mask").cogroup(jobs.groupBy(*key)).applyInPandas(
+        _left_out_solver(p, min_rows), f"station {kinds['station']}, day {kinds['day']}, reg double, reg_conf double, reg_r2 double"
     )
-    solved = jobs.mapInPandas(_solver(dim), "station long, day date, reg double, reg_conf double, reg_r2 double")
     return samples.join(solved, ["station", "day"], "left")
 
 
-def _solver(dim: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    rows_at, cols_at = np.triu_indices(dim)
+def _rescaling(mean: np.ndarray, std: np.ndarray, squares: bool) -> np.ndarray:
+    """(jobs, terms, terms) maps from 1, z and products to the same of (z - mean) / std."""
+    m, p = mean.shape
+    pairs = [(i, j) for i in range(p) for j in range(i, p)] if squares else []
+    out = np.zeros((m, 1 + p + len(pairs), 1 + p + len(pairs)))
+    out[:, 0, 0] = 1.0
+    at = np.arange(1, p + 1)
+    out[:, at, at] = 1.0 / std
+    out[:, at, 0] = -mean / std
+    for k, (i, j) in enumerate(pairs, 1 + p):
+        scale = std[:, i] * std[:, j]
+        out[:, k, k] = 1.0 / scale
+        out[:, k, 1 + i] -= mean[:, j] / scale
+        out[:, k, 1 + j] -= mean[:, i] / scale
+        out[:, k, 0] = mean[:, i] * mean[:, j] / scale
+    return out
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                full = np.zeros((dim, dim))
-                full[rows_at, cols_at] = r.gram
-                full = full + np.triu(full, 1).T
-                if r.own is not None:
-                    own = np.asarray(r.own)
-                    full = full - np.outer(own, own)
-                n = full[0, 0]
-                if n < 5:
-                    continue
-                mean = full[0, 1:-1] / n
-                y_mean, x_y = full[0, -1] / n, full[1:-1, -1] - full[0, 1:-1] * full[0, -1] / n
-                xx = full[1:-1, 1:-1] - np.outer(mean, mean) * n
-                yy = full[-1, -1] - n * y_mean**2
-                coef = np.linalg.solve(xx + max(1.0, 300.0 / n) * np.eye(len(x_y)), x_y)
-                guess = y_mean + coef @ (np.asarray(r.q)[1:] - mean)
-                left = yy - 2 * coef @ x_y + coef @ xx @ coef
-                r2 = max(0.0, 1.0 - left / yy) if yy > 1e-12 else 0.0
-                margin = (r.hi - r.lo) * 0.4
-                guess = min(max(guess, max(0.0, r.lo - margin)), r.hi + margin)
-                out.append((r.station, r.day, guess, min(r2, 0.99), r2))
-            yield pd.DataFrame(out, columns=["station", "day", "reg", "reg_conf", "reg_r2"])
+
+def solve_without_days(gram: np.ndarray, own: list, q: np.ndarray, p: int, n_aux: int, min_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions at ``q`` and R² of ridge fits on some moments, each without its own rows; NaN under ``min_rows``."""
+    dim = gram.shape[0]
+    squares = dim > p + 2
+    s = np.repeat(gram[None], len(q), 0)
+    for i, rows in enumerate(own):
+        if rows is not None and len(rows):
+            t = np.array([np.asarray(r, float) for r in rows])
+            s[i] -= t.T @ t
+    n = s[:, 0, 0]
+    fine = np.rint(n) >= min_rows
+    n = np.where(fine, n, 1.0)
+    mean = s[:, 0, 1 : p + 1] / n[:, None]
+    var = s[:, range(1, p + 1), range(1, p + 1)] / n[:, None] - mean**2
+    std = np.sqrt(np.maximum(var, 0.0))
+    std[std < 1e-7] = 1.0
+    turn = _rescaling(mean, std, squares)
+    phi = np.concatenate([np.ones((len(q), 1)), q, np.stack([q[:, i] * q[:, j] for i in range(p) for j in range(i, p)], 1)] if squares else [np.ones((len(q), 1)), q], axis=1)
+    phi = np.einsum("mij,mj->mi", turn, phi)[:, 1:]
+    xx = turn @ s[:, :-1, :-1] @ turn.transpose(0, 2, 1)
+    xy = np.einsum("mij,mj->mi", turn, s[:, :-1, -1])
+    if squares:
+        # Without its day a station may have too few rows for the products.
+        f = n_aux + 3
+        few = np.rint(n) <= 3 * (f * (f + 1) // 2)
+        xx[few, p + 1 :], xx[few, :, p + 1 :], xy[few, p + 1 :] = 0.0, 0.0, 0.0
+        phi[few, p:] = 0.0
+    middle, y = xx[:, 0, 1:] / n[:, None], xy[:, 0] / n
+    xx = xx[:, 1:, 1:] - n[:, None, None] * middle[:, :, None] * middle[:, None, :]
+    xy = xy[:, 1:] - n[:, None] * middle * y[:, None]
+    yy = s[:, -1, -1] - n * y**2
+    alpha = np.maximum(1.0, 300.0 / n)
+    coef = np.linalg.solve(xx + alpha[:, None, None] * np.eye(xx.shape[1]), xy[:, :, None])[:, :, 0]
+    guess = y + ((phi - middle) * coef).sum(1)
+    rest = yy - 2 * (coef * xy).sum(1) + np.einsum("mi,mij,mj->m", coef, xx, coef)
+    r2 = np.where(yy > 1e-12, np.maximum(0.0, 1.0 - rest / np.where(yy > 1e-12, yy, 1.0)), 0.0)
+    return np.where(fine, guess, np.nan), r2
+
+
+def _left_out_solver(p: int, min_rows: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def solve(key: tuple, gram: pd.DataFrame, jobs: pd.DataFrame) -> pd.DataFrame:
+        names = ["station", "day", "reg", "reg_conf", "reg_r2"]
+        if not len(gram) or not len(jobs):
+            return pd.DataFrame(columns=names)
+        upper = np.asarray(gram["gram"].iloc[0], float)
+        dim = int((np.sqrt(8 * len(upper) + 1) - 1) / 2)
+        full = np.zeros((dim, dim))
+        full[np.triu_indices(dim)] = upper
+        full = full + np.triu(full, 1).T
+        n_aux = bin(int(key[1])).count("1")
+        parts = []
+        step = max(1, (1 << 22) // dim**2)
+        for at in range(0, len(jobs), step):
+            part = jobs.iloc[at : at + step]
+            # Terms of auxiliaries not in use are 0 throughout, so the penalty leaves them at 0.
+            guess, r2 = solve_without_days(full, list(part["own"]), np.stack(part["q"].to_numpy()), p, n_aux, min_rows)
+            margin = (part["hi"] - part["lo"]).to_numpy() * 0.4
+            low, high = part["lo"].to_numpy() - margin, part["hi"].to_numpy() + margin
+            guess = np.minimum(np.maximum(guess, np.maximum(0.0, low)), high)
+            parts.append(pd.DataFrame({"station": part["station"], "day": part["day"], "reg": guess, "reg_conf": np.minimum(r2, 0.99), "reg_r2": r2}))
+        out = pd.concat(parts)
+        return out[out["reg"].notna()]
 
     return solve
 
@@ -525,8 +629,6 @@ def station_boosting(
     A station's confidence is its R² on the last fifth of its rows, from a model that saw only the
     first four fifths; stations under ``min_rows`` get nothing.
     """
-    import math
-
     rows = obs.filter(F.col(col).isNotNull())
     stats = rows.groupBy("station").agg(
         F.count(F.lit(1)).alias("_n"), F.avg(col).alias("_my"), *[F.avg(a).alias(f"_m_{a}") for a in aux]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralex.operators.quantiles import exact_quantiles, global_row, melt, ranked_tally, value_ranks
+from terralex.session import cut_lineage
 
 
 def missing_profile(df: DataFrame, cols: Sequence[str], sparse: float = 0.95) -> DataFrame:
@@ -114,47 +118,97 @@ def qq_line(qq: DataFrame) -> DataFrame:
     )
 
 
-def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int = 10) -> DataFrame:
-    """Spearman correlation of column pairs over rows where both are present; 0 below the minimum.
+def _null_classes(rows: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """A number per column; columns with one number are missing in the same rows.
 
-    Equal (x, y) rows are counted before anything is ranked. Ranks have mean (n+1)/2, so sums of
-    centred products give the correlation.
+    Sums of hashed null patterns propose the classes, and a count of differing rows confirms them.
     """
-    wanted = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-            for a, b in pairs
-        ]
-    )
-    cells = (
-        df.select(F.explode(F.filter(wanted, lambda p: p["x"].isNotNull() & p["y"].isNotNull())).alias("_p"))
-        .select("_p.*")
-        .groupBy("a", "b", "x", "y")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+    gone = lambda c: F.col(c).isNull().cast("int")
+    pattern = F.xxhash64(*[gone(c) for c in cols]).cast("decimal(38,0)")
+    found = rows.agg(*[F.struct(F.sum(gone(c)), F.sum(F.when(F.col(c).isNull(), pattern))).alias(c) for c in cols]).first()
+    first: dict[tuple, str] = {}
+    head = {c: first.setdefault(tuple(found[c]), c) for c in cols}
+    others = [c for c in cols if head[c] != c]
+    if others:
+        off = rows.agg(*[F.sum((gone(c) != gone(head[c])).cast("int")).alias(c) for c in others]).first()
+        head |= {c: c for c in others if off[c]}
+    number = {h: i for i, h in enumerate(dict.fromkeys(head.values()))}
+    return {c: number[head[c]] for c in cols}
+
+
+#: Columns up to which products are summed by SQL aggregates instead of matrices.
+NARROW = 10
+
+
+def _summed_products(vectors: DataFrame, widest: int) -> DataFrame:
+    """(m, s): per ``m`` the flat matrix of products of its vectors' entries, row by row, then the number of vectors."""
+    if widest <= NARROW:
+        entry = [F.sum(F.get("r", F.lit(i)) * F.get("r", F.lit(j))) for i in range(widest) for j in range(i, widest)]
+        upper = {p: k for k, p in enumerate((i, j) for i in range(widest) for j in range(i, widest))}
+        sums = vectors.groupBy("m").agg(*[e.alias(f"e{k}") for k, e in enumerate(entry)], F.count(F.lit(1)).cast("double").alias("n"), F.max(F.size("r")).alias("p"))
+        flat = [F.col(f"e{upper[min(i, j), max(i, j)]}") for i in range(widest) for j in range(widest)]
+        return sums.select("m", F.concat(F.filter(F.array(*flat), lambda v: v.isNotNull()), F.array_repeat("n", F.col("p"))).alias("s"))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for m, r in batch.groupby("m")["r"]:
+                x = np.stack(r.to_numpy())
+                sums[m] = sums.get(m, 0.0) + np.concatenate([x.T @ x, np.full((1, x.shape[1]), float(len(x)))])
+        for m, s in sums.items():
+            yield pd.DataFrame({"m": m, "at": np.arange(s.size), "s": s.ravel()})
+
+    products = vectors.select("m", "r").mapInPandas(multiply, "m int, at int, s double").groupBy("m", "at").agg(F.sum("s").alias("s"))
+    return products.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("at", "s")))["s"].alias("s"))
 
-    def ranked(side: str) -> DataFrame:
-        # Ranks come from counts of (x, y) cells, weighted back to rows.
-        return _weighted_ranks(cells, side).select("a", "b", side, F.col("rank").alias(f"r{side}"), F.col("n").alias("_n"))
 
-    both = cells.join(ranked("x"), ["a", "b", "x"]).join(ranked("y").drop("_n"), ["a", "b", "y"])
-    dx, dy = F.col("rx") - (F.col("_n") + 1) / 2.0, F.col("ry") - (F.col("_n") + 1) / 2.0
-    sums = both.groupBy("a", "b").agg(
-        F.sum(F.col("c") * dx * dy).alias("xy"), F.sum(F.col("c") * dx * dx).alias("xx"),
-        F.sum(F.col("c") * dy * dy).alias("yy"), F.sum("c").alias("n"),
-    )
+def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int = 10) -> DataFrame:
+    """Spearman correlation of column pairs over rows where both are present; 0 below the minimum.
+
+    Ranks depend on the partner only through the rows it is missing in. So a column is ranked once for
+    each class of columns that are missing in the same rows: a row is copied once per column and class,
+    not once per pair. A row's ranks come together as one vector, and the vectors' products are summed as
+    matrices. Ranks have mean (n+1)/2, so centred products give the correlation.
+    """
+    pairs = list(pairs)
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    spark = df.sparkSession
+    asked = spark.createDataFrame(pairs, "a string, b string")
+    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
+    named = _null_classes(rows, [f"c{i}" for i in range(len(cols))])
+    part = [named[f"c{i}"] for i in range(len(cols))]
+    place = {c: i for i, c in enumerate(cols)}
+    # A meeting is a pair of classes; its members are the columns of both that are asked for there.
+    members: dict[tuple[int, int], set[int]] = {}
+    for a, b in pairs:
+        i, j = place[a], place[b]
+        members.setdefault((min(part[i], part[j]), max(part[i], part[j])), set()).update((i, j))
+    meetings = [(k, sorted(v)) for k, v in sorted(members.items())]
+    groups = []
+    for m, (_, held) in enumerate(meetings):
+        present = functools.reduce(lambda x, y: x & y, [F.col(f"c{i}").isNotNull() for i in held])
+        entries = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), F.col(f"c{i}").alias("v")) for k, i in enumerate(held)])
+        groups.append(F.when(present, entries).otherwise(F.array().cast("array<struct<m:int,k:int,v:double>>")))
+    long = rows.select("_row", F.explode(F.concat(*groups)).alias("_e")).select("_row", "_e.*")
+    ranks = ranked_tally(long.groupBy("m", "k", "v").agg(F.count(F.lit(1)).alias("c")), ["m", "k"], "v", "c")
+    centred = (F.col("before") + (F.col("c") + 1) / 2.0) - (F.col("n") + 1) / 2.0
+    ranked = long.join(ranks.select("m", "k", "v", centred.alias("r")), ["m", "k", "v"])
+    vectors = ranked.groupBy("_row", "m").agg(F.sort_array(F.collect_list(F.struct("k", "r")))["r"].alias("r"))
+
+    matrix = _summed_products(vectors, max((len(h) for _, h in meetings), default=1))
+    where = []
+    for a, b in pairs:
+        i, j = place[a], place[b]
+        m, held = next((m, held) for m, (k, held) in enumerate(meetings) if k == (min(part[i], part[j]), max(part[i], part[j])))
+        where.append((a, b, m, held.index(i), held.index(j), len(held)))
+    at = lambda i, j: F.get("s", F.col(i) * F.col("p") + F.col(j))
+    placed = spark.createDataFrame(where, "a string, b string, m int, i int, j int, p int").join(matrix, "m")
+    sums = placed.select("a", "b", at("i", "j").alias("xy"), at("i", "i").alias("xx"), at("j", "j").alias("yy"), at("p", "i").alias("n"))
     rho = F.when((F.col("n") >= min_rows) & (F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
-    found = sums.select("a", "b", F.coalesce(rho, F.lit(0.0)).alias("rho"), "n")
-    asked = df.sparkSession.createDataFrame([(a, b) for a, b in pairs], "a string, b string")
+    found = sums.select("a", "b", F.coalesce(rho, F.lit(0.0)).alias("rho"), F.col("n").cast("long").alias("n"))
     return asked.join(found, ["a", "b"], "left").na.fill({"rho": 0.0, "n": 0})
 
 
-def _weighted_ranks(cells: DataFrame, side: str) -> DataFrame:
-    """Average ranks of one side's distinct values, cells weighted by their rows."""
-    tally = cells.groupBy("a", "b", side).agg(F.sum("c").alias("c"))
-    return ranked_tally(tally, ["a", "b"], side, "c").withColumn("rank", F.col("before") + (F.col("c") + 1) / 2.0)
-
-
 def spearman_matrix(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
     """(feature, target, rho, mean_abs_rho) for every feature and target."""
     rho = spearman_pairs(df, list(itertools.product(features, targets)))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralex.session import cut_lineage
+
 SEG = "_scan_seg"
 SEGMENT_DAYS = 30
 
@@ -86,6 +88,26 @@ def dense_position(
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str] = (), name: str = "pos") -> DataFrame:
+    """Rows numbered from 0 without gaps, along ``order`` if one is given.
+
+    Rows are dealt by a sampled range of ``order`` and sorted inside the partitions, whose sizes are summed
+    up; no task sees more than its partition, and the sums are one row per partition. The rows are
+    checkpointed in between, so their numbers stay the same when a task is repeated. Equal rows of
+    ``order`` are numbered as they come.
+    """
+    order = list(order)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    placed = cut_lineage(dealt.withColumn("_place", F.monotonically_increasing_id()))
+    part, inside = F.shiftrightunsigned("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    # One row per partition of the table.
+    joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.select(*df.columns, (F.col("_start") + inside).alias(name))
+
+
 def with_halo(
     df: DataFrame, pos: str, block: int, before: int = 0, after: int = 0, name: str = "_block"
 ) -> DataFrame:

@@ -120,7 +120,7 @@ def rf_modellability(t):
 def permutation_importance(t):
     rows = labelled(t, folds=False)
     fitted = SMALL["gbt"](42).setFeaturesCol(le.VECTOR).setLabelCol("target_a").fit(le.assemble(rows, FEATURES))
-    return le.permutation_importance(fitted, rows, FEATURES, "target_a", "row_id", repeats=2)
+    return le.permutation_importance(fitted, rows, FEATURES, "target_a", "row_id")
 
 
 @query("pca_projection")

@@ -194,30 +194,6 @@ def test_chained_imputer_recovers_a_linear_column(spark):
     assert unseen.filter("c IS NULL").count() == 0
 
 
-def test_station_ridge_equals_a_direct_fit(spark):
-    rng = np.random.default_rng(6)
-    n = 24
-    days = [DAY + dt.timedelta(days=9 * i) for i in range(n)]
-    x1, x2 = rng.normal(size=n), rng.normal(size=n)
-    y = 20 + 3 * x1 - 2 * x2 + rng.normal(0, 0.1, n)
-    obs = spark.createDataFrame([("s", d, float(a), float(b), float(c)) for d, a, b, c in zip(days, x1, x2, y)], "station string, day date, p double, q double, y double")
-    obs = obs.withColumn("station", F.lit(7).cast("long"))
-    asked = obs.select("station", "day")
-    got = {r["day"]: r["reg"] for r in learn.station_ridge(asked, obs, "y", ["p", "q"]).collect()}
-    month = np.array([d.month for d in days])
-    frac = np.array([d.year + d.timetuple().tm_yday / 365.25 for d in days])
-    x = np.column_stack([x1, x2, np.sin(2 * np.pi * month / 12), np.cos(2 * np.pi * month / 12), frac])
-    z = (x - x.mean(0)) / x.std(0)
-    for i in range(n):
-        keep = np.arange(n) != i
-        zt, yt = z[keep], y[keep]
-        zc, yc = zt - zt.mean(0), yt - yt.mean()
-        coef = np.linalg.solve(zc.T @ zc + max(1.0, 300 / (n - 1)) * np.eye(5), zc.T @ yc)
-        guess = yt.mean() + coef @ (z[i] - zt.mean(0))
-        spread = (yt.max() - yt.min()) * 0.4
-        assert got[days[i]] == pytest.approx(min(max(guess, max(0, yt.min() - spread)), yt.max() + spread), abs=1e-6)
-
-
 def test_calibration_edges(spark):
     stats = spark.createDataFrame([("flat", 10.0, 0.0, 10.0, 10.0)], "station string, mean double, std double, min double, max double")
     pooled = spark.createDataFrame([(10.0, 2.0)], "global_mean double, global_std double")
