@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-import terralex
-from terralex.session import scratch_folder
+from terralex.session import scratch_folder, ship_code
 
 #: A word: a run of characters other than the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
-
-_SHIPPED: set[str] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, as ``--py-files`` would."""
-    context, root = spark.sparkContext, Path(terralex.__file__).parent
-    if context.applicationId in _SHIPPED or not root.is_dir():
-        return
-    archive = Path(tempfile.mkdtemp(prefix="terralex-code-")) / "terralex.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
-
 def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package importable on the executors."""
     ship_code(df.sparkSession)
