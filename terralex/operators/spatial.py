@@ -6,6 +6,7 @@ joins its answer back. Lookups go through grid cells, as equi-joins.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Sequence
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from terralex.functions.scalars import EARTH_RADIUS_KM, degree_distance, haversine_km
 from terralex.functions.vectors import mean_of, weighted_mean
+from terralex.operators.space_tree import nearest_pairs
+from terralex.session import cut_lineage
 
 COORD_TOL = 0.005
 DISCOVERY_TOL = 0.02
@@ -83,10 +86,10 @@ def leakage_anti_join(obs: DataFrame, registry: DataFrame, *sample_sets: DataFra
 
 
 class Metric:
-    """An embedding in which nearer in space means nearer in the metric, with its cell sizes."""
+    """Coordinates in which nearer in space means nearer in the metric."""
 
-    def __init__(self, axes, finest: float, levels: int, distance):
-        self.axes, self.finest, self.levels, self.distance = axes, finest, levels, distance
+    def __init__(self, axes, distance):
+        self.axes, self.distance = axes, distance
 
 
 def _unit_sphere(lat: Column, lon: Column) -> list[Column]:
@@ -94,9 +97,8 @@ def _unit_sphere(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)]
 
 
-# The coarsest cell of each covers every point, so a query always ends with enough candidates.
-DEGREES = Metric(lambda lat, lon: [lat + 512.0, lon + 512.0], 1 / 64, 17, degree_distance)
-HAVERSINE = Metric(lambda lat, lon: [a + 1.0 for a in _unit_sphere(lat, lon)], 2.0**-14, 17, haversine_km)
+DEGREES = Metric(lambda lat, lon: [lat, lon], degree_distance)
+HAVERSINE = Metric(_unit_sphere, haversine_km)
 
 
 def knn(
@@ -112,56 +114,25 @@ def knn(
     """For each distinct (by…, lat, lon) of ``points``, its k nearest ``refs`` as an ordered array.
 
     Array elements are structs (dist, id, payload…), ordered by distance and then id. Exact at any
-    density: every query starts at the finest cell size whose own cell already holds k references.
-    The k-th nearest is then no further than that cell's diagonal, which is less than two cells, so
-    the cells around the query at the next coarser level hold all of the answer. Queries in dense
-    places therefore look at few references, and nobody looks at all of them.
+    density: an adaptive tree finds the candidates (``space_tree``), and distances settle the order. A
+    place without both coordinates has no neighbours and is nobody's.
     """
     by, payload = list(by), list(payload)
     place = [*by, "lat", "lon"]
-    dims = len(metric.axes(F.lit(0.0), F.lit(0.0)))
-    cells = [f"c{d}" for d in range(dims)]
-    sizes = [metric.finest * 2.0**j for j in range(metric.levels)]
-    axes = F.array(*metric.axes(F.col("lat"), F.col("lon")))
-    at = lambda j: F.struct(
-        F.lit(j).alias("lv"), *[F.floor(F.col("_ax")[d] / F.lit(sizes[j])).cast("bigint").alias(f"c{d}") for d in range(dims)]
-    )
-    levels = F.explode(F.array(*[at(j) for j in range(metric.levels)])).alias("_c")
+    there = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in place]) & ~F.isnan("lat") & ~F.isnan("lon")
 
     # At most k references of one coordinate can be among anyone's k nearest: one row per coordinate.
     same = Window.partitionBy(*place).orderBy("id")
-    held = (
-        refs.select(*by, "lat", "lon", F.col(ref_id).alias("id"), *payload)
+    held = cut_lineage(
+        refs.filter(there).select(*by, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(ref_id).alias("id"), *payload)
         .withColumn("_n", F.row_number().over(same))
         .filter(F.col("_n") <= k)
         .groupBy(*place)
         .agg(F.sort_array(F.collect_list(F.struct("id", *payload))).alias("_held"))
-        .withColumn("_ax", axes)
-    )
-    spread = held.select(*place, F.size("_held").alias("_n"), levels).select(*place, "_n", "_c.*")
-    counts = spread.groupBy(*by, "lv", *cells).agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= k)
-    asks = points.select(*place).distinct().withColumn("_ax", axes)
-    start = (
-        asks.select(*place, levels).select(*place, "_c.*")
-        .join(counts, [*by, "lv", *cells])
-        .groupBy(*place)
-        .agg(F.min("lv").alias("_lv"))
-    )
-    top = metric.levels - 1
-    level = F.least(F.coalesce(F.col("_lv") + 1, F.lit(top)), F.lit(top))
-    size = F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("lv") + 1)
-    shifts = F.array(
-        *[
-            F.struct(*[(F.floor(F.col("_ax")[d] / size).cast("bigint") + s[d]).alias(f"c{d}") for d in range(dims)])
-            for s in itertools.product((-1, 0, 1), repeat=dims)
-        ]
-    )
-    looks = (
-        asks.join(start, place, "left").withColumn("lv", level)
-        .select(*place, "lv", F.explode(shifts).alias("_c")).select(*place, "lv", "_c.*")
     )
-    near = spread.select(*by, "lv", *cells, F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon"))
-    pairs = looks.join(near, [*by, "lv", *cells]).withColumn(
+    asks = points.filter(there).select(*by, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).distinct()
+    axes = F.array(*[a.cast("double") for a in metric.axes(F.col("lat"), F.col("lon"))])
+    pairs = nearest_pairs(asks, held, ["lat", "lon"], axes, k, by, F.size("_held")).withColumn(
         "dist", metric.distance(F.col("lat"), F.col("lon"), F.col("_rlat"), F.col("_rlon"))
     )
     # k coordinates hold k references; equally far ones are all kept so that ids settle the tie.

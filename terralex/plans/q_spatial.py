@@ -144,28 +144,40 @@ def haversine_knn_features(t):
     return r6(out, "nn_dist_km")
 
 
+SEASON = "CASE WHEN month({0}) IN (12, 1, 2) THEN 'DJF' WHEN month({0}) IN (3, 4, 5) THEN 'MAM' WHEN month({0}) IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END"
+
+
 @query(
     "season_idw_enrichment",
-    """, enr AS (SELECT round_even(lat, 4) AS lat, round_even(lon, 4) AS lon, CASE WHEN month(day) IN (12, 1, 2) THEN 'DJF' WHEN month(day) IN (3, 4, 5) THEN 'MAM'
-    WHEN month(day) IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season, target_a, sample_id FROM samples),
-obs AS (SELECT o.station, o.day, s.lat + 0.01 AS lat, s.lon + 0.01 AS lon, 'DJF' AS season FROM observations o JOIN stations s USING (station)),
+    """, enr AS (SELECT round_even(lat, 4) AS lat, round_even(lon, 4) AS lon, """
+    + SEASON.format("o.o_orderdate")
+    + """ AS season, s.target_a FROM samples s JOIN orders o ON o.o_orderkey = s.sample_id),
+days AS (SELECT o.station, o.day + CAST((o.station * 37) % 365 AS INT) AS day, s.lat + 0.01 AS lat, s.lon + 0.01 AS lon FROM observations o JOIN stations s USING (station)),
+obs AS (SELECT *, """
+    + SEASON.format("day")
+    + """ AS season FROM days),
 bs AS (SELECT lat, lon, season, median(target_a) AS m FROM enr GROUP BY ALL),
 bt AS (SELECT lat, lon, median(target_a) AS m FROM enr GROUP BY ALL),
 q AS (SELECT DISTINCT lat, lon FROM obs),
+asked AS (SELECT DISTINCT lat, lon, season FROM obs),
 near AS (SELECT q.lat AS qlat, q.lon AS qlon, bt.lat, bt.lon, bt.m, """
     + HAV.format(a="q", b="bt")
     + """ AS dist FROM q, bt QUALIFY row_number() OVER (PARTITION BY q.lat, q.lon ORDER BY dist, bt.lat, bt.lon) <= 3),
-agg AS (SELECT qlat, qlon, sum(coalesce(bs.m, near.m) / (dist + 1)) / sum(1 / (dist + 1)) AS v, min(dist) AS km
-  FROM near LEFT JOIN bs ON bs.lat = near.lat AND bs.lon = near.lon AND bs.season = 'DJF' GROUP BY ALL)
+agg AS (SELECT a.lat AS qlat, a.lon AS qlon, a.season, sum(coalesce(bs.m, near.m) / (dist + 1)) / sum(1 / (dist + 1)) AS v, min(dist) AS km
+  FROM asked a JOIN near ON near.qlat = a.lat AND near.qlon = a.lon
+  LEFT JOIN bs ON bs.lat = near.lat AND bs.lon = near.lon AND bs.season = a.season GROUP BY ALL)
 SELECT o.station, o.day, round(v, 4) AS target_a, 1 AS has_enrichment, round(km, 6) AS enrichment_km
-FROM obs o JOIN agg ON o.lat = qlat AND o.lon = qlon""",
+FROM obs o JOIN agg ON o.lat = qlat AND o.lon = qlon AND o.season = agg.season""",
     ("samples", "observations"),
 )
 def season_idw_enrichment(t):
+    # Stations start on different days of the year, so every season is met.
+    start = F.date_add("day", ((F.col("station") * 37) % 365).cast("int")).alias("day")
     obs = t.observations().select("station", "day").join(t.stations(), "station").select(
-        "station", "day", (F.col("lat") + 0.01).alias("lat"), (F.col("lon") + 0.01).alias("lon")
+        "station", start, (F.col("lat") + 0.01).alias("lat"), (F.col("lon") + 0.01).alias("lon")
     )
-    out = sp.season_idw_enrichment(obs, t.samples(), ["target_a"])
+    dated = t.read("orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderdate").cast("date").alias("day"))
+    out = sp.season_idw_enrichment(obs, t.samples().drop("day").join(dated, "sample_id"), ["target_a"])
     out = out.select("station", "day", "target_a", "has_enrichment", "enrichment_km")
     return r6(out.withColumn("target_a", F.round("target_a", 4)), "enrichment_km")
 
