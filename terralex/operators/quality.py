@@ -8,10 +8,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralex.operators.quantiles import exact_quantiles, global_row, melt, ranked_tally, value_ranks
+from terralex.operators.quantiles import exact_quantiles, global_row, medians_wide, melt, ranked_tally, value_ranks
+from terralex.operators.scan import running_sum
+from terralex.operators.space_tree import nearest_pairs
 from terralex.session import cut_lineage
 
 
@@ -222,24 +224,90 @@ def collinear_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0
     return rho.filter(F.abs("rho") >= threshold).select(F.col("a").alias("feature_1"), F.col("b").alias("feature_2"), "rho")
 
 
-def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence[str], bins: int = 10) -> DataFrame:
-    """Mutual information (nats) of equal-frequency bins; missing features take the column median.
-
-    A value's bin comes from its average rank, so equal values share a bin. Rows without the target
-    are left out.
-    """
-    from terralex.operators.quantiles import medians_wide
-
+def _filled_pairs(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """(a, b, x, y): every feature and target of every row, missing features at the column median, rows without the target left out."""
     med = global_row(medians_wide(df, [], features))
     filled = df.withColumn("_m", med).withColumns({f: F.coalesce(F.col(f).cast("double"), F.col("_m")[f]) for f in features})
     pairs = list(itertools.product(features, targets))
     packed = F.array(
         *[F.struct(F.lit(f).alias("a"), F.lit(t).alias("b"), F.col(f).cast("double").alias("x"), F.col(t).cast("double").alias("y")) for f, t in pairs]
     )
-    cells = (
-        filled.select(F.explode(F.filter(packed, lambda p: p["x"].isNotNull() & p["y"].isNotNull())).alias("_p"))
-        .select("_p.*").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    return filled.select(F.explode(F.filter(packed, lambda p: p["x"].isNotNull() & p["y"].isNotNull())).alias("_p")).select("_p.*")
+
+
+def digamma(n: Column) -> Column:
+    """The digamma function of numbers from 1 up: six steps up, then its asymptotic series."""
+    x = n.cast("double") + 6.0
+    q = 1.0 / (x * x)
+    series = F.log(x) - 0.5 / x - q * (1.0 / 12 - q * (1.0 / 120 - q * (1.0 / 252 - q * (1.0 / 240 - q / 132))))
+    return series - functools.reduce(lambda a, b: a + b, [1.0 / (n.cast("double") + i) for i in range(6)])
+
+
+#: Steps a spread is cut into, so that distances are whole numbers and compare exactly.
+SPREAD_STEPS = float(1 << 30)
+
+
+def mutual_information(df: DataFrame, features: Sequence[str], targets: Sequence[str], neighbors: int = 5) -> DataFrame:
+    """Mutual information (nats) from nearest neighbours: (feature, target, mi), 0 at least.
+
+    Both values are divided by their spread. A row's distance to its k-th neighbour, in the larger of both
+    differences, is its radius; how many rows lie nearer than that in one value alone, itself included,
+    tells how much the other value narrows it down: mi = psi(n) + psi(k) - mean psi(n_x) - mean psi(n_y).
+    Equal rows are neighbours at distance 0; a radius of 0 counts the equal values. Values are whole numbers of
+    2^-30 of a spread, so that rows on a grid tie as they should.
+
+    Neighbours come from an adaptive tree, and counts from running sums over sorted values, in segments.
+    Missing features take the column median, rows without the target are left out; fewer than k + 1 rows
+    give 0.
+    """
+    key, spot = ["a", "b"], ["x", "y"]
+    pairs = cut_lineage(_filled_pairs(df, features, targets))
+    spread = lambda c: F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0)
+    facts = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), spread("x").alias("sx"), spread("y").alias("sy"))
+    step = lambda c: F.rint(F.col(c) / F.col(f"s{c}") * SPREAD_STEPS).alias(c)
+    places = cut_lineage(pairs.join(F.broadcast(facts), key).select(*key, step("x"), step("y")).groupBy(*key, *spot).agg(F.count(F.lit(1)).alias("c")))
+    near = nearest_pairs(places.select(*key, *spot), places, spot, F.array(*spot), neighbors + 1, key, F.col("c"), chebyshev=True)
+    gap = F.greatest(F.abs(F.col("x") - F.col("_rx")), F.abs(F.col("y") - F.col("_ry")))
+    outward = Window.partitionBy(*key, *spot).orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
+    within = near.withColumn("d", gap).withColumn("held", F.sum("_copies").over(outward))
+    # Rounding parts equal differences by up to two steps; nearer than 1 is equal.
+    radius = within.filter(F.col("held") > neighbors).groupBy(*key, *spot).agg(F.greatest(F.min("d") - 2.0, F.lit(1.0)).alias("r"))
+    radius = cut_lineage(radius.join(places, [*key, *spot]))
+    # On each axis: rows below the upper edge come in, rows up to the lower edge go out again.
+    null = F.lit(None).cast("double")
+    edge = lambda axis, sign, at: F.struct(
+        F.lit(axis).alias("axis"), (F.col(axis) + sign * F.col("r")).alias("v"), F.lit(at).alias("at"), F.lit(float(sign)).alias("sign")
+    )
+    edges = radius.select(*key, *spot, F.explode(F.array(*[e for c in spot for e in (edge(c, 1, 0), edge(c, -1, 2))])).alias("_e")).select(
+        *key, *spot, "_e.*", F.lit(0).cast("long").alias("rows")
     )
+    held = places.select(*key, null.alias("x"), null.alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in spot])).alias("_e"), "c")
+    values = held.select(*key, "_e.axis", "_e.v", "c").groupBy(*key, "axis", "v").agg(F.sum("c").alias("rows"))
+    values = values.select(*key, null.alias("x"), null.alias("y"), "axis", "v", F.lit(1).alias("at"), F.lit(0.0).alias("sign"), "rows")
+    summed = running_sum(edges.unionByName(values), [*key, "axis"], ["v", "at"], "rows")
+    counts = summed.filter("sign <> 0").groupBy(*key, *spot, "axis").agg(F.sum(F.col("sign") * F.col("running")).alias("m"))
+    mean = counts.join(places, [*key, *spot]).groupBy(*key, "axis").agg((F.sum(F.col("c") * digamma(F.col("m"))) / F.sum("c")).alias("p"))
+    both = mean.groupBy(*key).agg(F.sum("p").alias("p"))
+    known = facts.filter(F.col("n") > neighbors).join(both, key)
+    mi = F.greatest(F.lit(0.0), digamma(F.col("n")) + digamma(F.lit(neighbors)) - F.col("p"))
+    asked = df.sparkSession.createDataFrame(list(itertools.product(features, targets)), "a string, b string")
+    found = asked.join(known.select(*key, mi.alias("mi")), key, "left")
+    return found.select(F.col("a").alias("feature"), F.col("b").alias("target"), F.coalesce("mi", F.lit(0.0)).alias("mi"))
+
+
+def _weighted_ranks(cells: DataFrame, side: str) -> DataFrame:
+    """Average ranks of one side's distinct values, cells weighted by their rows."""
+    tally = cells.groupBy("a", "b", side).agg(F.sum("c").alias("c"))
+    return ranked_tally(tally, ["a", "b"], side, "c").withColumn("rank", F.col("before") + (F.col("c") + 1) / 2.0)
+
+
+def binned_information(df: DataFrame, features: Sequence[str], targets: Sequence[str], bins: int = 10) -> DataFrame:
+    """Mutual information (nats) of equal-frequency bins; missing features take the column median.
+
+    A value's bin comes from its average rank, so equal values share a bin. Rows without the target
+    are left out.
+    """
+    cells = _filled_pairs(df, features, targets).groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("c"))
     place = lambda: F.floor((F.col("rank") - 0.5) * bins / F.col("n"))
     bin_of = lambda side: _weighted_ranks(cells, side).select("a", "b", side, place().alias(f"b{side}"))
     joint = (

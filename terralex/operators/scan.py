@@ -108,6 +108,21 @@ def numbered(df: DataFrame, order: Sequence[str] = (), name: str = "pos") -> Dat
     return joined.select(*df.columns, (F.col("_start") + inside).alias(name))
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "running") -> DataFrame:
+    """The sum of ``value`` over a row and all rows of its key before it; equal rows come in any order.
+
+    Rows are dealt by a sampled range of key and order. A range is a segment: it is summed up by itself, and
+    one row per key and segment carries the sums on.
+    """
+    keys, order = list(keys), list(order)
+    dealt = df.repartitionByRange(*keys, *order).withColumn(SEG, F.spark_partition_id())
+    placed = cut_lineage(dealt)
+    inside = Window.partitionBy(*keys, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*keys, SEG).agg(F.sum(value).alias("_size")).select(*keys, SEG, F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_before"))
+    return placed.withColumn("_in", F.sum(value).over(inside)).join(before, [*keys, SEG]).select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))
+
+
 def with_halo(
     df: DataFrame, pos: str, block: int, before: int = 0, after: int = 0, name: str = "_block"
 ) -> DataFrame:

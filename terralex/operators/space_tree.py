@@ -133,7 +133,7 @@ class _Few:
             r.append(refs.start + j)
         a, r = np.concatenate(a), np.concatenate(r)
         out = batch[list(names)].iloc[a].reset_index(drop=True)
-        out["_reach"] = reach[a]
+        out["_reach"], out["_copies"] = reach[a], self.copies[r]
         for c, v in self.place.items():
             out[f"_r{c}"] = v[r]
         return out
@@ -187,7 +187,7 @@ def nearest_pairs(
     in which nearness is measured. Only places equal in ``by`` meet; the groups' hashes tell them apart.
     ``copies`` counts the references at a place. Returns the columns of ``by``, the ask's place, the
     reference's place with ``_r`` in front, and ``_reach``: a bound of the k-th distance (squared if not
-    ``chebyshev``), null where there are fewer than k.
+    ``chebyshev``), null where there are fewer than k, and ``_copies`` of the reference.
     """
     by, place = list(by), list(place)
     spark = asks.sparkSession
@@ -200,9 +200,9 @@ def nearest_pairs(
     names = [*by, *place]
     kinds = dict(asks.dtypes)
     row = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    pairs_row = f"{row}, _reach double, " + ", ".join(f"_r{c} {kinds[c]}" for c in place)
+    pairs_row = f"{row}, _reach double, _copies bigint, " + ", ".join(f"_r{c} {kinds[c]}" for c in place)
     bounded = F.when(F.col("_reach") < float("inf"), F.col("_reach")).alias("_reach")
-    out = [*names, bounded, *[f"_r{c}" for c in place]]
+    out = [*names, bounded, "_copies", *[f"_r{c}" for c in place]]
     leaf_rows = max(LEAF_ROWS, 4 * k)
     depth = min(max(0, math.ceil(math.log2(n / leaf_rows))) if n > leaf_rows else 0, int(math.log2(MOST_LEAVES)))
     if n <= FEW:
@@ -243,6 +243,7 @@ def nearest_pairs(
             limit = np.minimum(piece["_reach"].to_numpy(), kth_distance(dist, copies, k) * (1 + 1e-9) + 1e-18)
             a, r = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
             out = piece[[*names, "_reach"]].iloc[a].reset_index(drop=True)
+            out["_copies"] = copies[r]
             for c in place:
                 out[f"_r{c}"] = refs[c].to_numpy()[r]
             yield out

@@ -211,7 +211,7 @@ def collinear_pairs(t):
 
 
 @query(
-    "mutual_information",
+    "binned_information",
     """, fl AS (SELECT station, day, coalesce(aux_1, (SELECT median(aux_1) FROM observations)) AS aux_1,
     coalesce(aux_2, (SELECT median(aux_2) FROM observations)) AS aux_2, target_a, target_b, target_c FROM observations),
 u AS (SELECT a.f, b.g, a.x, b.y FROM (SELECT station, day, col AS f, value AS x FROM fl UNPIVOT (value FOR col IN (aux_1, aux_2))) a
@@ -224,6 +224,35 @@ m AS (SELECT *, sum(c) OVER (PARTITION BY f, g, bx) AS cx, sum(c) OVER (PARTITIO
 SELECT f AS feature, g AS target, round(sum(c / n * ln(c * n / (cx * cy))), 6) AS mi FROM m GROUP BY f, g""",
     ("observations",),
 )
+def binned_information(t):
+    return r6(qa.binned_information(t.observations(), AUX, TARGETS), "mi")
+
+
+def _digamma(n: str) -> str:
+    x = f"({n} + 6e0)"
+    series = f"ln{x} - 5e-1 / {x} - (1 / 12e0 - (1 / 120e0 - (1 / 252e0 - (1 / 240e0 - 1 / 132e0 / ({x} * {x})) / ({x} * {x})) / ({x} * {x})) / ({x} * {x})) / ({x} * {x})"
+    return f"({series} - " + " - ".join(f"1 / ({n} + {i}e0)" for i in range(6)) + ")"
+
+
+@query(
+    "mutual_information",
+    """, fl AS (SELECT station, day, coalesce(aux_1, (SELECT median(aux_1) FROM observations)) AS aux_1,
+    coalesce(aux_2, (SELECT median(aux_2) FROM observations)) AS aux_2, target_a, target_b, target_c FROM observations),
+u AS (SELECT a.f, b.g, a.x, b.y FROM (SELECT station, day, col AS f, value AS x FROM fl UNPIVOT (value FOR col IN (aux_1, aux_2))) a
+  JOIN (SELECT station, day, col AS g, value AS y FROM fl UNPIVOT (value FOR col IN (target_a, target_b, target_c))) b USING (station, day)),
+s AS (SELECT f, g, round_even(x / stddev_pop(x) OVER w * 1073741824e0, 0) AS x, round_even(y / stddev_pop(y) OVER w * 1073741824e0, 0) AS y, count(*) OVER w AS n
+  FROM u WINDOW w AS (PARTITION BY f, g)),
+p AS (SELECT f, g, x, y, any_value(n) AS n, count(*) AS c FROM s GROUP BY f, g, x, y),
+d AS (SELECT p.f, p.g, p.x, p.y, p.c, p.n, greatest(abs(p.x - q.x), abs(p.y - q.y)) AS d, q.c AS k FROM p JOIN p q ON p.f = q.f AND p.g = q.g),
+h AS (SELECT f, g, x, y, c, n, d, sum(k) OVER (PARTITION BY f, g, x, y ORDER BY d) AS held FROM d),
+r AS (SELECT f, g, x, y, any_value(c) AS c, any_value(n) AS n, greatest(min(d) - 2, 1e0) AS r FROM h WHERE held > 5 GROUP BY f, g, x, y),
+m AS (SELECT r.f, r.g, r.x, r.y, any_value(r.c) AS c, any_value(r.n) AS n, CAST(sum(q.c) FILTER (abs(q.x - r.x) < r.r) AS DOUBLE) AS nx, CAST(sum(q.c) FILTER (abs(q.y - r.y) < r.r) AS DOUBLE) AS ny
+  FROM r JOIN p q ON q.f = r.f AND q.g = r.g GROUP BY r.f, r.g, r.x, r.y)
+SELECT f AS feature, g AS target, round(greatest(0e0, """
+    + _digamma("any_value(n)") + " + " + _digamma("5e0") + " - sum(c * (" + _digamma("nx") + " + " + _digamma("ny")
+    + """)) / sum(c)), 6) AS mi FROM m GROUP BY f, g""",
+    ("observations",),
+)
 def mutual_information(t):
     return r6(qa.mutual_information(t.observations(), AUX, TARGETS), "mi")
 

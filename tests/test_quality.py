@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from terralex.operators import quality
+from terralex.operators import quality, scan, space_tree
 
 
 def average_ranks(v):
@@ -81,3 +81,62 @@ def test_spearman_of_few_and_no_rows(spark):
     assert [(r["rho"], r["n"]) for r in quality.spearman_pairs(empty, [("a", "b")]).collect()] == [(0.0, 0)]
     matrix = quality.spearman_matrix(empty, ["a"], ["b"]).collect()
     assert [(r["feature"], r["target"], r["rho"], r["mean_abs_rho"]) for r in matrix] == [("a", "b", 0.0, 0.0)]
+
+
+# --- mutual information ----------------------------------------------------------------------
+
+
+def psi(n):
+    """Digamma of whole numbers by its definition: harmonic sums."""
+    return -0.57721566490153286 + sum(1.0 / i for i in range(1, int(n)))
+
+
+def information(x, y, k=5):
+    x, y = x / (x.std() or 1.0), y / (y.std() or 1.0)
+    n = len(x)
+    if n <= k:
+        return 0.0
+    dx, dy = np.abs(x[:, None] - x[None]), np.abs(y[:, None] - y[None])
+    radius = np.sort(np.maximum(dx, dy), axis=1)[:, k]
+    total = 0.0
+    for i in range(n):
+        near = (lambda d: (d < radius[i] - 1e-9).sum()) if radius[i] > 1e-9 else (lambda d: (d < 1e-9).sum())
+        total += psi(near(dx[i])) + psi(near(dy[i]))
+    return max(0.0, psi(n) + psi(k) - total / n)
+
+
+@pytest.mark.parametrize("few", [1 << 16, -1])
+def test_information_of_neighbours(spark, monkeypatch, few):
+    monkeypatch.setattr(space_tree, "FEW", few)
+    monkeypatch.setattr(space_tree, "LEAF_ROWS", 32)
+    rng = np.random.default_rng(4)
+    n = 500
+    a = rng.normal(size=n)
+    data = {
+        "near": a + rng.normal(size=n) * 0.3, "free": rng.normal(size=n), "steps": np.round(a * 2) / 2, "holes": np.where(rng.random(n) < 0.4, np.nan, a),
+        "flat": np.ones(n), "t1": a, "t2": np.where(rng.random(n) < 0.3, np.nan, np.round(a, 1)), "t3": np.where(np.arange(n) < 4, a, np.nan),
+    }
+    features, targets = ["near", "free", "steps", "holes", "flat"], ["t1", "t2", "t3"]
+    got = {(r["feature"], r["target"]): r["mi"] for r in quality.mutual_information(table(spark, data), features, targets).collect()}
+    assert set(got) == set(itertools.product(features, targets))
+    for f, t in got:
+        x = np.where(np.isnan(data[f]), np.nanmedian(data[f]), data[f])
+        there = ~np.isnan(data[t])
+        assert got[f, t] == pytest.approx(information(x[there], data[t][there]), abs=1e-6), (f, t)
+    assert got["near", "t1"] > 0.5 > 0.1 > got["free", "t1"] and got["flat", "t1"] < 1e-9
+
+
+def test_information_of_no_rows(spark):
+    empty = table(spark, {"a": np.array([1.0]), "b": np.array([2.0])}).limit(0)
+    assert [tuple(r) for r in quality.mutual_information(empty, ["a"], ["b"]).collect()] == [("a", "b", 0.0)]
+
+
+def test_running_sums_over_segments(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v), int(c)) for g, v, c in zip(rng.choice([0, 0, 0, 1, 2], 3000), rng.permutation(3000), rng.integers(0, 9, 3000))]
+    got = scan.running_sum(spark.createDataFrame(rows, "g int, v double, c long"), ["g"], ["v"], "c").collect()
+    want, total = {}, {}
+    for g, v, c in sorted(rows):
+        total[g] = total.get(g, 0) + c
+        want[g, v] = total[g]
+    assert {(r["g"], r["v"]): r["running"] for r in got} == want
