@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralex.operators.quantiles import value_ranks
+from terralex.operators.temporal import daily_grain, needed_order
 
 
 def _r2(truth: str, pred: str) -> Column:
@@ -16,13 +17,13 @@ def _r2(truth: str, pred: str) -> Column:
     return F.when(spread > 0, 1.0 - err / spread)
 
 
-def score_match(pred: DataFrame, truth: DataFrame, col: str, order: Sequence[str] = ()) -> DataFrame:
+def score_match(pred: DataFrame, truth: DataFrame, col: str, order: Sequence[str] | None = None) -> DataFrame:
     """Predictions with the truth of their station and day; no row or no value there is a miss.
 
-    Of several rows of a station and day the first by ``order`` counts.
+    Of several rows of a station and day the first by ``order``, by default by ``date``, counts, also if it is
+    the one without a value.
     """
-    first = F.min_by(F.struct(col), F.struct(*(order or [col]))).alias("_t")
-    right = truth.groupBy("station", "day").agg(first).select("station", "day", F.col(f"_t.{col}").alias("truth"))
+    right = daily_grain(truth, needed_order(truth, order), [col]).select("station", "day", F.col(col).alias("truth"))
     return pred.join(right, ["station", "day"], "left").withColumn("matched", F.col("truth").isNotNull())
 
 

@@ -146,7 +146,8 @@ def knn(
 
 
 def nearest_station_fill(
-    samples: DataFrame, stations: DataFrame, obs: DataFrame, cols: Sequence[str], max_deg: float = 0.5, max_days: int = 30
+    samples: DataFrame, stations: DataFrame, obs: DataFrame, cols: Sequence[str], max_deg: float = 0.5, max_days: int = 30,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Samples without a station or any of the columns: nearest station's nearest row in time."""
     from terralex.operators.temporal import nearest_rows
@@ -156,7 +157,7 @@ def nearest_station_fill(
     near = knn(needy, stations, "station", 1).withColumn("_hit", F.col("near")[0]).filter(F.col("_hit.dist") <= max_deg)
     near = near.select("lat", "lon", F.col("_hit.id").alias("_near"))
     wanted = needy.select("lat", "lon", "day").join(near, ["lat", "lon"]).select(F.col("_near").alias("station"), "day").distinct()
-    found = nearest_rows(wanted, obs, F.struct(*cols), max_days).select(F.col("station").alias("_near"), "day", "found")
+    found = nearest_rows(wanted, obs, F.struct(*cols), max_days, order).select(F.col("station").alias("_near"), "day", "found")
     joined = samples.join(near, ["lat", "lon"], "left").join(found, ["_near", "day"], "left")
     fill = {c: F.when(empty, F.col(f"found.{c}")) for c in cols}
     return joined.select(*[F.coalesce(c, fill[c]).alias(c) if c in fill else F.col(c) for c in samples.columns])
@@ -191,7 +192,10 @@ def neighbor_stations(stations: DataFrame, k: int = 5, max_deg: float = 2.0) ->
     )
 
 
-def neighbor_idw(samples: DataFrame, stations: DataFrame, obs: DataFrame, cols: Sequence[str], k: int = 5, max_deg: float = 2.0) -> DataFrame:
+def neighbor_idw(
+    samples: DataFrame, stations: DataFrame, obs: DataFrame, cols: Sequence[str], k: int = 5, max_deg: float = 2.0,
+    order: Sequence[str] | None = None,
+) -> DataFrame:
     """What the neighbouring stations last measured before the sample's day.
 
     Each neighbour gives its last row strictly before the day, whose values may be null. Per column:
@@ -203,7 +207,7 @@ def neighbor_idw(samples: DataFrame, stations: DataFrame, obs: DataFrame, cols:
     asked = sample_days(samples)
     pairs = asked.join(neighbor_stations(stations, k, max_deg), "station")
     wanted = pairs.select(F.col("neighbor").alias("station"), "day").distinct()
-    last = asof_payload(wanted, obs, F.struct(*cols), "_row", "before").withColumnRenamed("station", "neighbor")
+    last = asof_payload(wanted, obs, F.struct(*cols), "_row", "before", order=order).withColumnRenamed("station", "neighbor")
     joined = pairs.join(last, ["neighbor", "day"]).withColumn("w", 1.0 / (F.col("dist") + 0.01))
     aggs = []
     for c in cols:

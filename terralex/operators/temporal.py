@@ -1,8 +1,9 @@
 """Lags, rolling means, as-of and nearest-in-time lookups over station histories.
 
-Histories have one row per station and day (see :func:`daily_grain`), so a station's rows are
-bounded by the calendar. Samples are unbounded: they are reduced to their distinct station-days
-before any ordered step, and joined back on that key.
+Histories have one row or a few per station and day, so a station's rows are bounded by the calendar.
+Several rows of a day are told apart by ``order``, by default their ``date`` (as the reader of station
+files gives it); a history without either must have one row a day. Samples are unbounded: they are
+reduced to their distinct station-days before any ordered step, and joined back on that key.
 """
 
 from __future__ import annotations
@@ -17,6 +18,20 @@ from terralex.operators.scan import SEGMENT_DAYS, carry_last, day_segment, dense
 MICROS_PER_DAY = 86_400_000_000
 
 
+def row_order(obs: DataFrame, order: Sequence[str] | None) -> list[str]:
+    """What orders the rows of a day: the columns named, else ``date`` where there is one."""
+    if order is not None:
+        return list(order)
+    return ["date"] if "date" in obs.columns else []
+
+
+def needed_order(obs: DataFrame, order: Sequence[str] | None) -> list[str]:
+    found = row_order(obs, order)
+    if not found:
+        raise ValueError("which row of a day is the first? Name the columns that order them, or give a date column")
+    return found
+
+
 def daily_grain(obs: DataFrame, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """First row of each station-day by ``order``; combined map-side."""
     first = F.min_by(F.struct(*cols), F.struct(*order)).alias("_row")
@@ -79,33 +94,33 @@ def sample_days(samples: DataFrame) -> DataFrame:
 
 def asof_payload(
     wanted: DataFrame, obs: DataFrame, payload: Column, name: str, side: str = "before",
-    segment_days: int = SEGMENT_DAYS,
+    segment_days: int = SEGMENT_DAYS, order: Sequence[str] | None = None,
 ) -> DataFrame:
     """For each wanted station-day the payload of the nearest history row.
 
-    ``side``: ``before`` is strictly earlier, ``upto`` may be the same day, ``after`` is strictly
-    later. Both sides are tagged and stacked, so this is one ordered pass and no range join.
+    ``side``: ``before`` is strictly earlier, ``upto`` may be the same day, ``after`` is strictly later,
+    ``from`` is the same day or later. Of a day's rows the last counts looking back, the first looking
+    ahead. Both sides are tagged and stacked, so this is one ordered pass and no range join.
     """
-    reverse = side == "after"
+    reverse = side in ("after", "from")
     # The tag orders rows of one day so that only the allowed ones come first.
-    history_tag = 0 if side == "upto" else 1
-    if reverse:
-        history_tag = 0
-    tagged = obs.select("station", "day", F.lit(history_tag).alias("_tag"), payload.alias("_pay")).unionByName(
+    history_tag = 1 if side in ("before", "from") else 0
+    within = [F.col(c).alias(f"_o{i}") for i, c in enumerate(row_order(obs, order))]
+    tagged = obs.select("station", "day", F.lit(history_tag).alias("_tag"), payload.alias("_pay"), *within).unionByName(
         wanted.select("station", "day", F.lit(1 - history_tag).alias("_tag")), allowMissingColumns=True
     )
     tagged = tagged.withColumn("_at", F.unix_date("day") * 2 + F.col("_tag"))
     carried = carry_last(
-        tagged, ["station"], ["_at"], day_segment(F.col("day"), segment_days), {name: F.col("_pay")}, reverse=reverse
+        tagged, ["station"], ["_at", *[f"_o{i}" for i in range(len(within))]], day_segment(F.col("day"), segment_days), {name: F.col("_pay")}, reverse=reverse
     )
     return carried.filter(F.col("_tag") == 1 - history_tag).select("station", "day", name)
 
 
-def asof_last(samples: DataFrame, obs: DataFrame, col: str, segment_days: int = SEGMENT_DAYS) -> DataFrame:
+def asof_last(samples: DataFrame, obs: DataFrame, col: str, segment_days: int = SEGMENT_DAYS, order: Sequence[str] | None = None) -> DataFrame:
     """Last non-null value strictly before the sample's day at its station, and the days since."""
     valued = obs.filter(F.col(col).isNotNull())
     pay = F.struct(F.col(col).alias("v"), F.col("day").alias("d"))
-    found = asof_payload(sample_days(samples), valued, pay, "_hit", "before", segment_days)
+    found = asof_payload(sample_days(samples), valued, pay, "_hit", "before", segment_days, order)
     return samples.join(found, ["station", "day"], "left").select(
         *samples.columns,
         F.col("_hit.v").alias(f"asof_{col}"),
@@ -130,24 +145,27 @@ def trailing_window_join(samples: DataFrame, obs: DataFrame, col: str, windows:
 
 
 def recent_arrays(
-    obs: DataFrame, payload: Column, n: int, order_desc: bool, segment_days: int = SEGMENT_DAYS, block: int = 4096
+    obs: DataFrame, payload: Column, n: int, order_desc: bool, segment_days: int = SEGMENT_DAYS, block: int = 4096,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per history row an array of its own and up to n-1 neighbouring payloads, oldest first.
 
     Neighbours are the earlier rows, or the later ones with ``order_desc`` false.
     """
+    within = row_order(obs, order)
     placed = dense_position(
-        obs.select("station", "day", payload.alias("_p")), ["station"], ["day"], day_segment(F.col("day"), segment_days)
+        obs.select("station", "day", *within, payload.alias("_p")), ["station"], ["day", *within], day_segment(F.col("day"), segment_days)
     )
     edge = {"before": n} if order_desc else {"after": n}
     halo = with_halo(placed, "pos", max(block, n), **edge)
-    order = Window.partitionBy("station", "_block").orderBy("pos")
-    frame = order.rowsBetween(-(n - 1), 0) if order_desc else order.rowsBetween(0, n - 1)
-    return halo.withColumn("items", F.collect_list("_p").over(frame)).filter("_core").select("station", "day", "items")
+    by_pos = Window.partitionBy("station", "_block").orderBy("pos")
+    frame = by_pos.rowsBetween(-(n - 1), 0) if order_desc else by_pos.rowsBetween(0, n - 1)
+    return halo.withColumn("items", F.collect_list("_p").over(frame)).filter("_core").select("station", "day", *within, "items")
 
 
 def history_sequences(
-    samples: DataFrame, obs: DataFrame, cols: Sequence[str], n: int, excluded: DataFrame | None = None
+    samples: DataFrame, obs: DataFrame, cols: Sequence[str], n: int, excluded: DataFrame | None = None,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """The last n history rows before the sample's day, as an array of structs; under 2 rows gives null.
 
@@ -164,8 +182,9 @@ def history_sequences(
         month[0].alias("month_sin"), month[1].alias("month_cos"),
         doy[0].alias("doy_sin"), doy[1].alias("doy_cos"),
     )
-    arrays = recent_arrays(usable, step, n, order_desc=True)
-    found = asof_payload(sample_days(samples), arrays, F.col("items"), "_seq", "before")
+    within = row_order(usable, order)
+    arrays = recent_arrays(usable, step, n, order_desc=True, order=within)
+    found = asof_payload(sample_days(samples), arrays, F.col("items"), "_seq", "before", order=within)
     return samples.join(found, ["station", "day"], "left").select(
         *samples.columns, F.when(F.size("_seq") >= 2, F.col("_seq")).alias("sequence")
     )
@@ -196,11 +215,12 @@ def sequence_normalize(seqs: DataFrame, features: Sequence[str], n: int, fit_on:
     return with_stats.withColumn("normalized", padded).withColumn("length", length).drop("_st")
 
 
-def nearest_rows(wanted: DataFrame, obs: DataFrame, payload: Column, max_days: int | None) -> DataFrame:
-    """The history row nearest in days to each wanted station-day; the earlier row wins a tie."""
+def nearest_rows(wanted: DataFrame, obs: DataFrame, payload: Column, max_days: int | None, order: Sequence[str] | None = None) -> DataFrame:
+    """The history row nearest to each wanted station-day: the day's own first row, else the nearer of the last
+    row before and the first after, the earlier one in a tie of days."""
     pay = F.struct(F.col("day").alias("d"), payload.alias("p"))
-    back = asof_payload(wanted, obs, pay, "_b", "upto")
-    ahead = asof_payload(wanted, obs, pay, "_a", "after")
+    back = asof_payload(wanted, obs, pay, "_b", "before", order=order)
+    ahead = asof_payload(wanted, obs, pay, "_a", "from", order=order)
     gap_b, gap_a = F.datediff("day", F.col("_b.d")), F.datediff(F.col("_a.d"), "day")
     earlier = F.col("_a").isNull() | (gap_b <= gap_a)
     hit = F.when(F.col("_b").isNotNull() & earlier, F.col("_b")).otherwise(F.col("_a"))
@@ -212,15 +232,20 @@ def nearest_rows(wanted: DataFrame, obs: DataFrame, payload: Column, max_days: i
     return out.select("station", "day", F.col("hit.p").alias("found"), F.when(F.col("hit").isNotNull(), F.col("gap")).alias("gap"))
 
 
-def sameday_lookup(samples: DataFrame, obs: DataFrame, cols: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Fill null columns of a sample from its station's row of the same day, the first by ``order`` if it has several."""
-    first = daily_grain(obs, order or cols, cols)
+def sameday_lookup(samples: DataFrame, obs: DataFrame, cols: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """Fill null columns of a sample from its station's first row of the same day, nulls there included.
+
+    ``order`` or a column ``date`` tells which row is the first.
+    """
+    first = daily_grain(obs, needed_order(obs, order), cols)
     right = first.select("station", "day", *[F.col(c).alias(f"_l_{c}") for c in cols])
     joined = samples.join(right, ["station", "day"], "left")
     return _fill(samples, joined, {c: F.col(f"_l_{c}") for c in cols})
 
 
-def nearest_date_fill(samples: DataFrame, obs: DataFrame, cols: Sequence[str], max_days: int = 30) -> DataFrame:
+def nearest_date_fill(
+    samples: DataFrame, obs: DataFrame, cols: Sequence[str], max_days: int = 30, order: Sequence[str] | None = None
+) -> DataFrame:
     """Samples at a station with none of the columns: take the nearest history row within the limit.
 
     The nearest row within 30 days is also the nearest within 7 days whenever there is one there,
@@ -228,7 +253,7 @@ def nearest_date_fill(samples: DataFrame, obs: DataFrame, cols: Sequence[str], m
     """
     empty = F.coalesce(*[F.col(c) for c in cols]).isNull()
     wanted = sample_days(samples.filter(empty))
-    found = nearest_rows(wanted, obs, F.struct(*cols), max_days)
+    found = nearest_rows(wanted, obs, F.struct(*cols), max_days, order)
     joined = samples.join(found, ["station", "day"], "left")
     return _fill(samples, joined, {c: F.when(empty, F.col(f"found.{c}")) for c in cols})
 
@@ -239,16 +264,16 @@ def _fill(samples: DataFrame, joined: DataFrame, source: dict[str, Column]) -> D
     return joined.select(*kept, *added)
 
 
-def temporal_interpolation(samples: DataFrame, obs: DataFrame, col: str, k: int) -> DataFrame:
+def temporal_interpolation(samples: DataFrame, obs: DataFrame, col: str, k: int, order: Sequence[str] | None = None) -> DataFrame:
     """Mean of the k values nearest in time, weight 1/(days+1), never the sample's own day.
 
     Equal gaps are taken earlier day first. Confidence falls with the smallest gap.
     """
     valued = obs.filter(F.col(col).isNotNull())
     item = F.struct(F.col("day").alias("d"), F.col(col).cast("double").alias("v"))
-    wanted = sample_days(samples)
-    back = asof_payload(wanted, recent_arrays(valued, item, k, True), F.col("items"), "_b", "before")
-    ahead = asof_payload(wanted, recent_arrays(valued, item, k, False), F.col("items"), "_a", "after")
+    wanted, within = sample_days(samples), row_order(obs, order)
+    back = asof_payload(wanted, recent_arrays(valued, item, k, True, order=within), F.col("items"), "_b", "before", order=within)
+    ahead = asof_payload(wanted, recent_arrays(valued, item, k, False, order=within), F.col("items"), "_a", "after", order=within)
     both = back.join(ahead, ["station", "day"])
     none = F.array().cast("array<struct<d:date,v:double>>")
     every = F.concat(F.coalesce("_b", none), F.coalesce("_a", none))

@@ -27,7 +27,7 @@ sc AS (SELECT pr.*, o.target_a AS truth FROM pr LEFT JOIN observations o USING (
 
 @query("score_match", BIASED + "SELECT station, day, round(pred, 6) AS pred, truth, truth IS NOT NULL AS matched FROM sc", ("observations",))
 def score_match(t):
-    return r6(mt.score_match(biased(t), t.observations(), "target_a"), "pred")
+    return r6(mt.score_match(biased(t), t.observations(), "target_a", ["day"]), "pred")
 
 
 @query(
@@ -61,7 +61,7 @@ FROM sc WHERE truth IS NOT NULL GROUP BY station HAVING count(*) >= 2 AND var_po
     ("observations",),
 )
 def worst_k(t):
-    scored = mt.score_match(biased(t), t.observations(), "target_a")
+    scored = mt.score_match(biased(t), t.observations(), "target_a", ["day"])
     return mt.worst_k(r6(mt.per_station_r2(scored).select("station", "r2", "n"), "r2"), "r2", 5, "station")
 
 

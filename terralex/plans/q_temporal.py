@@ -186,7 +186,7 @@ FROM aux_samples s LEFT JOIN observations o ON s.station = o.station AND s.day =
     ("observations", "placed"),
 )
 def sameday_lookup(t):
-    return tp.sameday_lookup(_with_aux(t), t.observations(), AUX)
+    return tp.sameday_lookup(_with_aux(t), t.observations(), AUX, ["day"])
 
 
 @query(

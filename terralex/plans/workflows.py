@@ -15,21 +15,26 @@ from terralex.session import cut_lineage
 KEY = "sample_id"
 
 
-def station_features(samples: DataFrame, stations: DataFrame, obs: DataFrame, targets: Sequence[str], aux: Sequence[str]) -> DataFrame:
+def station_features(
+    samples: DataFrame, stations: DataFrame, obs: DataFrame, targets: Sequence[str], aux: Sequence[str], order: Sequence[str] | None = None
+) -> DataFrame:
     """Everything known about a sample before its day, from its own and neighbouring stations.
 
-    ``samples`` has (sample_id, lat, lon, day), ``obs`` one row per station and day.
+    ``samples`` has (sample_id, lat, lon, day), ``obs`` rows per station and day, as the reader of station
+    files gives them. Several rows of a day come by ``order``, by default by ``date``; without both a day
+    has one row.
     """
+    order = temporal.row_order(obs, order) or ["day"]
     none = {c: F.lit(None).cast("double") for c in aux if c not in samples.columns}
     out = spatial.coord_to_station(samples, stations).withColumns(none)
-    out = temporal.sameday_lookup(out, obs, aux)
-    out = temporal.nearest_date_fill(out, obs, aux)
+    out = temporal.sameday_lookup(out, obs, aux, order)
+    out = temporal.nearest_date_fill(out, obs, aux, order=order)
     # Each fill reads its input more than once.
-    out = cut_lineage(spatial.nearest_station_fill(out, stations, obs, aux))
+    out = cut_lineage(spatial.nearest_station_fill(out, stations, obs, aux, order=order))
     for t in targets:
-        out = temporal.asof_last(out, obs, t)
+        out = temporal.asof_last(out, obs, t, order=order)
         out = temporal.trailing_window_join(out, obs, t, [90, 180, 365])
-    out = spatial.neighbor_idw(out, stations, obs, targets)
+    out = spatial.neighbor_idw(out, stations, obs, targets, order=order)
     out = calendar_features(out, "day")
     return cut_lineage(coverage_flag(coverage_flag(out, "aux_", "has_aux"), "asof_", "has_lag"))
 
@@ -76,11 +81,11 @@ def predict_targets(model: TargetModels, rows: DataFrame) -> DataFrame:
     return out
 
 
-def score_predictions(pred: DataFrame, obs: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Scores per target against the history rows of the same station and day."""
-    out = None
+def score_predictions(pred: DataFrame, obs: DataFrame, targets: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """Scores per target against the first history row of the same station and day."""
+    out, order = None, temporal.row_order(obs, order) or ["day"]
     for t in targets:
-        matched = metrics.score_match(pred.select("station", "day", F.col(f"pred_{t}").alias("pred")), obs, t)
+        matched = metrics.score_match(pred.select("station", "day", F.col(f"pred_{t}").alias("pred")), obs, t, order)
         part = matched.select(F.lit(t).alias("target"), "truth", "pred")
         out = part if out is None else out.unionByName(part)
     return metrics.regression_metrics(out, by=["target"])

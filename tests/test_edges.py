@@ -292,6 +292,34 @@ def test_several_rows_on_a_day(spark):
     assert [r["truth"] for r in metrics.score_match(samples, obs, "v", ["row_id"]).collect()] == [2.0]
 
 
+def test_the_first_and_last_row_of_a_day(spark):
+    from terralex.operators import metrics, temporal
+
+    # In this order: 9, null, 3 on the second day, 1 and 2 on the fifth.
+    rows = [("s", "2024-01-02 08:00", 9.0, 1.0), ("s", "2024-01-02 09:00", None, 2.0), ("s", "2024-01-02 10:00", 3.0, 3.0), ("s", "2024-01-05 07:00", 1.0, 4.0),
+            ("s", "2024-01-05 08:00", 2.0, 5.0), ("t", "2024-01-02 08:00", None, 6.0), ("t", "2024-01-02 09:00", 7.0, 7.0)]
+    obs = spark.createDataFrame(rows, "station string, date string, v double, w double").withColumn("date", F.col("date").cast("timestamp"))
+    obs = obs.withColumn("day", F.col("date").cast("date")).repartition(4)
+    ask = lambda *pairs: spark.createDataFrame(pairs, "station string, day string").withColumn("day", F.col("day").cast("date"))
+    got = {r["station"]: r for r in metrics.score_match(ask(("s", "2024-01-02"), ("t", "2024-01-02")), obs, "v").collect()}
+    assert got["s"]["truth"] == 9.0 and got["t"]["truth"] is None and not got["t"]["matched"]
+    filled = {r["station"]: r["v"] for r in temporal.sameday_lookup(ask(("s", "2024-01-02"), ("t", "2024-01-02")), obs, ["v"]).collect()}
+    assert filled == {"s": 9.0, "t": None}
+    asked = ask(("s", "2024-01-03"), ("s", "2024-01-04"), ("s", "2024-01-05"), ("s", "2024-01-09"))
+    back = {str(r["day"])[-2:]: r["asof_v"] for r in temporal.asof_last(asked, obs, "v").collect()}
+    assert back == {"03": 3.0, "04": 3.0, "05": 3.0, "09": 2.0}
+    # A day before: its last row. A day after: its first. The day itself: its first.
+    near = {str(r["day"])[-2:]: r["found"] for r in temporal.nearest_rows(asked, obs, F.col("w"), 30).collect()}
+    assert near == {"03": 3.0, "04": 4.0, "05": 4.0, "09": 5.0}
+    seq = {str(r["day"])[-2:]: [x["v"] for x in r["sequence"] or []] for r in temporal.history_sequences(asked, obs, ["v"], 3).collect()}
+    assert seq == {"03": [9.0, None, 3.0], "04": [9.0, None, 3.0], "05": [9.0, None, 3.0], "09": [3.0, 1.0, 2.0]}
+    # The three nearest values before or after: two rows of the second day, one of the fifth.
+    mixed = temporal.temporal_interpolation(ask(("s", "2024-01-03")), obs, "v", 3).first()["interp"]
+    assert mixed == pytest.approx((3 / 2 + 9 / 2 + 1 / 3) / (1 / 2 + 1 / 2 + 1 / 3))
+    with pytest.raises(ValueError, match="first"):
+        metrics.score_match(asked, obs.drop("date"), "v")
+
+
 def test_station_files_with_different_headers(spark, tmp_path):
     from terralex.sources import observations as ob
 
