@@ -52,30 +52,59 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
 # --- splits ----------------------------------------------------------------------------------
 
 
+def deal(loads: list[int], size: int, groups: int) -> list[int]:
+    """How many of some groups of one size each fold gets if every group in turn goes to the lightest fold, the
+    first of equals. ``loads`` is raised accordingly.
+
+    Fold f takes groups at loads L, L + size, ..; of all these the ``groups`` smallest are taken, so a load
+    below which few enough lie is searched for, and one round deals out the rest.
+    """
+    n = len(loads)
+    taken = lambda level: [max(0, -(-(level - load) // size)) for load in loads]
+    low, high = min(loads), max(loads) + size * groups + 1
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(taken(middle)) <= groups else (low, middle)
+    out = taken(low)
+    # All that is left lies at this one load, in the folds' order.
+    left = groups - sum(out)
+    for f in range(n):
+        if left and loads[f] + out[f] * size == low:
+            out[f], left = out[f] + 1, left - 1
+    for f in range(n):
+        loads[f] += out[f] * size
+    return out
+
+
 def group_kfold(df: DataFrame, group: str, n: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``fold``: groups stay whole and are dealt back and forth from the largest down.
+    """Add ``fold``: groups stay whole, and from the largest down each goes to the fold with the fewest rows.
 
-    Groups of equal size are ordered by a hash. The numbering works on one row per group, in
-    segments, so many groups do not meet in one task.
+    Groups of one size are dealt at once: only how many of them a fold gets has to be known, and a hash says
+    which. Sizes that occur are few (m of them need more than m²/2 rows), so they are dealt on the driver;
+    groups are numbered in Spark. With fewer groups than folds every group is a fold.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_u", hash_uniform(seed, F.col(group)))
-    classes = sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_c"))
-    # One row per distinct size; sizes repeat heavily, so this is small.
-    larger = Window.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = classes.select("_n", F.coalesce(F.sum("_c").over(larger), F.lit(0)).alias("_start"))
-    placed = dense_position(sizes, ["_n"], ["_u", group], F.floor(F.col("_u") * 256).cast("int"), "_pos")
-    rank = F.col("_start") + F.col("_pos")
-    turn, place = F.floor(rank / n), rank % n
-    fold = F.when(turn % 2 == 0, place).otherwise(n - 1 - place).cast("int")
-    return df.join(placed.join(starts, "_n").select(group, fold.alias("fold")), group)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_u", hash_uniform(seed, F.col(group)))
+    placed = numbered(sizes.withColumn("_smaller", -F.col("_n")), ["_smaller", "_u", group], "_pos")
+    classes = sorted(((r["_n"], r["_c"]) for r in placed.groupBy("_n").agg(F.count(F.lit(1)).alias("_c")).collect()), reverse=True)
+    loads = [0] * max(1, min(n, sum(c for _, c in classes)))
+    rows, start = [], 0
+    for size, groups in classes:
+        ends = [start + int(v) for v in np.cumsum(deal(loads, size, groups))]
+        rows.append((size, ends))
+        start += groups
+    ends = df.sparkSession.createDataFrame(rows, "_n long, _ends array<long>")
+    fold = F.size(F.filter("_ends", lambda e: e <= F.col("_pos"))).alias("fold")
+    return df.join(placed.join(ends, "_n").select(group, fold), group)
 
 
 def temporal_holdout(df: DataFrame, day: str, id_col: str, share: float = 0.8, by: Sequence[str] = ()) -> DataFrame:
     """Add ``is_train``: the first share of rows by (day, id), over everything or per group."""
     keys = list(by)
-    segment = F.struct(F.unix_date(F.col(day).cast("date")).alias("d"), block_segment(F.col(id_col), 65_536).alias("b"))
-    placed = dense_position(df, keys, [day, id_col], segment, "_holdout_pos")
+    if keys:
+        segment = F.struct(F.unix_date(F.col(day).cast("date")).alias("d"), block_segment(F.col(id_col), 65_536).alias("b"))
+        placed = dense_position(df, keys, [day, id_col], segment, "_holdout_pos")
+    else:
+        placed = numbered(df, [day, id_col], "_holdout_pos")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_holdout_n"))
     out = with_facts(placed, sizes, keys).withColumn("is_train", F.col("_holdout_pos") < F.floor(F.col("_holdout_n") * F.lit(float(share))))
     return out.drop("_holdout_pos", "_holdout_n")

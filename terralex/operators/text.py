@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralex.functions.scalars import hash_uniform
-from terralex.operators.scan import block_segment, dense_position, with_halo
+from terralex.operators.scan import block_segment, dense_position, numbered, with_halo
 
 MAX_VOCAB = 20_000
 MIN_COUNT = 12
@@ -86,32 +86,23 @@ def renumber(tokens: DataFrame, scope: str = "document") -> DataFrame:
 
     The corpus order is by document id, then position.
     """
-    inner = dense_position(tokens, ["doc_id"], ["pos"], block_segment(F.col("pos"), DOC_BLOCK), "place")
     if scope == "document":
-        return inner
+        return dense_position(tokens, ["doc_id"], ["pos"], block_segment(F.col("pos"), DOC_BLOCK), "place")
     if scope != "corpus":
         raise ValueError("scope is 'document' or 'corpus'")
-    sizes = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", block_segment(F.col("doc_id"), DOC_BLOCK))
-    before = Window.partitionBy("_g").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per block of documents, so this window is small.
-    across = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sizes.groupBy("_g").agg(F.sum("_n").alias("_b")).select("_g", F.coalesce(F.sum("_b").over(across), F.lit(0)).alias("_base"))
-    starts = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(blocks, "_g").select(
-        "doc_id", (F.col("_base") + F.col("_in")).alias("_start")
-    )
-    return inner.join(starts, "doc_id").withColumn("place", F.col("place") + F.col("_start")).drop("_start")
+    return numbered(tokens, ["doc_id", "pos"], "place")
 
 
-def skipgram_pairs(numbered: DataFrame, window: int, seed: int = 42, scope: str = "document", block: int = 4096) -> DataFrame:
+def skipgram_pairs(tokens: DataFrame, window: int, seed: int = 42, scope: str = "document", block: int = 4096) -> DataFrame:
     """Each token with the tokens up to w places away, w drawn from 1..window per token.
 
-    ``numbered`` has dense positions ``place`` of the same scope. Blocks of positions carry copies of
+    ``tokens`` have dense positions ``place`` of the same scope. Blocks of positions carry copies of
     their edges, so a huge document is spread over many tasks and no pair is lost at a block's end.
     Output: (doc_id, place, shift, center, context).
     """
     keys = ["doc_id"] if scope == "document" else []
     reach = F.floor(hash_uniform(seed, F.lit("w"), F.col("doc_id"), F.col("pos")) * window) + 1
-    placed = with_halo(numbered.withColumn("_w", reach), "place", max(block, window), window, window)
+    placed = with_halo(tokens.withColumn("_w", reach), "place", max(block, window), window, window)
     order = Window.partitionBy(*keys, "_block").orderBy("place").rowsBetween(-window, window)
     seen = placed.withColumn("_near", F.collect_list(F.struct("place", "word_id")).over(order)).filter("_core")
     close = F.filter("_near", lambda x: (x["place"] != F.col("place")) & (F.abs(x["place"] - F.col("place")) <= F.col("_w")))

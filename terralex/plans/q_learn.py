@@ -36,9 +36,13 @@ def labelled(t, folds=True):
 
 @query(
     "group_kfold",
-    """WITH s AS (SELECT user_id, count(*) AS n, concat('0x', substr(md5(concat('42:', user_id)), 1, 8))::BIGINT / 4294967296.0 AS u FROM events GROUP BY user_id),
-r AS (SELECT user_id, row_number() OVER (ORDER BY n DESC, u, user_id) - 1 AS r FROM s)
-SELECT e.event_id, e.user_id, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM events e JOIN r USING (user_id)""",
+    """WITH RECURSIVE s AS (SELECT user_id, count(*) AS n, concat('0x', substr(md5(concat('42:', user_id)), 1, 8))::BIGINT / 4294967296.0 AS u FROM events GROUP BY user_id),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, u, user_id) AS r, row_number() OVER (PARTITION BY n ORDER BY u, user_id) AS p FROM s),
+g AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL SELECT r.r, r.n, list_position(loads, list_min(loads)),
+    list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + r.n ELSE v END) FROM g JOIN r ON r.r = g.r + 1),
+f AS (SELECT n, fold - 1 AS fold, row_number() OVER (PARTITION BY n ORDER BY fold) AS p FROM g WHERE r > 0)
+SELECT e.event_id, e.user_id, CAST(f.fold AS INT) AS fold FROM events e JOIN r USING (user_id) JOIN f ON f.n = r.n AND f.p = r.p""",
 )
 def group_kfold(t):
     return le.group_kfold(t.read("events").select("event_id", "user_id"), "user_id", 5)

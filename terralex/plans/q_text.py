@@ -164,8 +164,9 @@ def skipgram_pairs(t):
     + ", num AS MATERIALIZED (SELECT doc_id, pos, word_id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS place FROM sub), win AS MATERIALIZED (SELECT *, floor("
     + U.format("'42:w:', doc_id, ':', pos")
     + f""" * {WINDOW}) + 1 AS w FROM num)
-SELECT a.place, b.place - a.place AS shift, a.word_id AS center, b.word_id AS context
-FROM (SELECT *, unnest([s FOR s IN range(-{WINDOW}, {WINDOW} + 1) IF s <> 0]) AS s FROM win) a JOIN num b ON b.place = a.place + a.s WHERE abs(a.s) <= a.w""",
+SELECT place, s AS shift, word_id AS center, c AS context FROM (SELECT place, word_id, w, unnest([s FOR s IN range(-{WINDOW}, {WINDOW} + 1) IF s <> 0]) AS s,
+  unnest([{", ".join(f"lag(word_id, {-s}) OVER o" if s < 0 else f"lead(word_id, {s}) OVER o" for s in range(-WINDOW, WINDOW + 1) if s)}]) AS c
+  FROM win WINDOW o AS (ORDER BY place)) WHERE abs(s) <= w AND c IS NOT NULL""",
     ("corpus",),
 )
 def skipgram_pairs_corpus(t):

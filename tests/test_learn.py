@@ -131,3 +131,52 @@ def test_permutation_importance_by_hand(spark):
         assert got[name] == (pytest.approx(np.mean(drops), abs=1e-9), pytest.approx(np.std(drops), abs=1e-9))
     assert got["a"][0] > got["b"][0] > 0.05 > got["c"][0]
     assert learn.permutation_importance(fitted, df.limit(0), names, "y", "id").count() == 0
+
+
+# --- splits ----------------------------------------------------------------------------------
+
+
+def greedy(sizes, n):
+    loads, out = [0] * n, []
+    for s in sizes:
+        f = loads.index(min(loads))
+        loads[f] += s
+        out.append(f)
+    return loads, out
+
+
+def test_groups_of_one_size_are_dealt_as_one_by_one():
+    draw = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(draw.integers(1, 7))
+        loads = [int(v) for v in draw.integers(0, 50, n)]
+        size, groups = int(draw.integers(1, 12)), int(draw.integers(0, 40))
+        want, counts = list(loads), [0] * n
+        for _ in range(groups):
+            f = want.index(min(want))
+            want[f] += size
+            counts[f] += 1
+        assert learn.deal(loads, size, groups) == counts and loads == want
+
+
+def test_group_kfold_balances_as_the_greedy_rule(spark):
+    draw = np.random.default_rng(2)
+    sizes = [400, 90, 90, 60, 33, 33, 33, 7, 7, 7, 7, *[int(v) for v in draw.integers(1, 5, 60)]]
+    df = spark.createDataFrame([(i, k) for i, s in enumerate(sizes) for k in range(s)], "g int, k int")
+    got = learn.group_kfold(df, "g", 5).collect()
+    fold = {}
+    for r in got:
+        fold.setdefault(r["g"], set()).add(r["fold"])
+    assert len(got) == sum(sizes) and all(len(v) == 1 for v in fold.values())
+    loads = [sum(r["fold"] == f for r in got) for f in range(5)]
+    assert loads == greedy(sorted(sizes, reverse=True), 5)[0]
+    few = learn.group_kfold(df.filter("g < 3"), "g", 5).select("g", "fold").distinct().collect()
+    assert sorted(tuple(r) for r in few) == [(0, 0), *sorted((r["g"], r["fold"]) for r in few if r["g"])] and {r["fold"] for r in few} == {0, 1, 2}
+    assert learn.group_kfold(df.limit(0), "g", 5).count() == 0
+
+
+def test_holdout_over_everything(spark):
+    df = spark.range(1000).select("id", F.date_add(F.lit(DAY), ((F.col("id") * 37) % 11).cast("int")).alias("day"))
+    got = learn.temporal_holdout(df, "day", "id", 0.8).collect()
+    order = sorted((r["day"], r["id"]) for r in got)
+    assert {(r["day"], r["id"]) for r in got if r["is_train"]} == set(order[:800])
