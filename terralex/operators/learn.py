@@ -21,12 +21,12 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terralex.functions.scalars import hash_uniform, sanitize, year_fraction
+from terralex.functions.scalars import hash_uniform, sanitize, target_inverse, target_transform, year_fraction
 from terralex.operators.impute import Moments, linear, median_impute, moments, ridge
 from terralex.operators.metrics import regression_metrics, roc_auc
 from terralex.operators.quantiles import with_facts
 from terralex.operators.scan import block_segment, dense_position, numbered
-from terralex.operators.spatial import haversine_knn_features
+from terralex.operators.spatial import fold_neighbours, neighbour_means, seen_neighbours
 from terralex.session import cut_lineage, ship_code
 
 Factory = Callable[[int], object]
@@ -247,33 +247,61 @@ def multi_seed_predict(
 
 
 def leave_group_out_eval(
-    df: DataFrame, features: Sequence[str], knn_cols: Sequence[str], label: str, id_col: str, n_folds: int,
-    estimator: Factory, ks: Sequence[int] = (5,),
+    df: DataFrame, features: Sequence[str], knn_cols: Sequence[str], label: str, id_col: str, group: str, n_folds: int = 5,
+    estimators: Mapping[str, Factory] | None = None, ks: Sequence[int] = (5, 10), transform: str | None = None, inner_folds: int = 3,
 ) -> DataFrame:
-    """Scores per fold on the training and the held-out rows.
+    """Scores per fold of a stacked model on the training and the held-out rows (column ``fold``).
 
-    Neighbour features are computed anew from each fold's training rows.
+    Neighbour features see each fold's training rows only. One search finds every row's neighbours in every
+    fold, and a fold merges those it may see. The model is stacked over inner folds by ``group``; predictions
+    are clipped to 0 and twice the largest training label. ``transform`` names the label's transform.
     """
+    names = list(neighbour_means(F.col("_nb"), knn_cols, ks))
+    base = cut_lineage(fold_neighbours(df, id_col, knn_cols, max(ks), n_folds, name="_by_fold").withColumnRenamed("fold", "_outer"))
+    there = lambda c: target_transform(F.col(c), transform) if transform else F.col(c)
+    back = lambda c: target_inverse(F.col(c), transform) if transform else F.col(c)
     parts = None
     for f in range(n_folds):
-        train, held = df.filter(F.col("fold") != f), df.filter(F.col("fold") == f)
-        extra = [f"knn{k}_{c}_{m}" for k in ks for c in knn_cols for m in ("mean", "wmean")] + ["nn_dist_km"]
-        tr = cut_lineage(assemble(haversine_knn_features(train, train, id_col, knn_cols, ks, is_train=True), [*features, *extra]))
-        va = assemble(haversine_knn_features(held, train, id_col, knn_cols, ks), [*features, *extra])
-        fitted = estimator(42).setFeaturesCol(VECTOR).setLabelCol(label).fit(tr)
-        scored = None
-        for name, rows in (("train", tr), ("held_out", va)):
-            s = fitted.transform(rows).select(F.lit(f).alias("fold"), F.lit(name).alias("part"), F.col(label).alias("truth"), F.col("prediction").alias("pred"))
-            scored = s if scored is None else scored.unionByName(s)
-        parts = scored if parts is None else parts.unionByName(scored)
+        rows = base.withColumn("_nb", seen_neighbours("_by_fold", f, id_col)).withColumns(neighbour_means(F.col("_nb"), knn_cols, ks))
+        rows = rows.drop("_nb", "_by_fold").withColumn("_label", there(label))
+        train = cut_lineage(group_kfold(rows.filter(F.col("_outer") != f), group, inner_folds))
+        top = train.agg(F.max(label).cast("double")).first()[0]
+        if top is None:
+            continue
+        found = train.agg(F.max("fold")).first()[0] + 1
+        model, _ = fit_stacked(train, [*features, *names], "_label", estimators, found)
+        for name, part in (("train", train.drop("fold")), ("held_out", rows.filter(F.col("_outer") == f))):
+            guess = F.least(F.greatest(back("_raw"), F.lit(0.0)), F.lit(2.0 * top))
+            scored = model.predict(part, "_raw").select(F.lit(f).alias("fold"), F.lit(name).alias("part"), F.col(label).alias("truth"), guess.alias("pred"))
+            parts = scored if parts is None else parts.unionByName(scored)
+    if parts is None:
+        return df.sparkSession.createDataFrame([], "fold int, part string, r2 double, rmse double, mae double, n_matched long")
     return regression_metrics(parts, by=["fold", "part"]).select("fold", "part", "r2", "rmse", "mae", "n_matched")
 
 
+@dataclass
+class TargetChain:
+    """Models of several targets, each with the predictions of those before it among its features."""
+
+    order: list[str]
+    models: dict[str, FoldModels]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Add ``chain_<target>`` to rows the models have not seen."""
+        out = df
+        for target in self.order:
+            out = self.models[target].predict(out).withColumnRenamed("pred_chain", f"chain_{target}")
+        return out
+
+
 def target_chaining(
     df: DataFrame, features: Sequence[str], order: Sequence[str], id_col: str, n_folds: int, estimator: Factory
-) -> DataFrame:
-    """Predict the targets in order; each one's out-of-fold prediction is a feature of the next."""
-    out, used = df, list(features)
+) -> tuple[DataFrame, TargetChain]:
+    """Predict the targets in order; each one's out-of-fold prediction is a feature of the next.
+
+    Returns the rows with ``chain_<target>`` columns and the models, which chain new rows.
+    """
+    out, used, chain = df, list(features), TargetChain(list(order), {})
     for target in order:
         labelled = out.filter(F.col(target).isNotNull())
         oof, models = oof_predictions(labelled, used, target, {"chain": estimator}, n_folds)
@@ -283,7 +311,8 @@ def target_chaining(
         name = f"chain_{target}"
         out = cut_lineage(guessed.withColumn(name, F.coalesce("_oof", "pred_chain")).drop("_oof", "pred_chain"))
         used.append(name)
-    return out
+        chain.models[target] = models
+    return out, chain
 
 
 # --- selection and diagnosis -----------------------------------------------------------------

@@ -124,7 +124,7 @@ def knn(
     # At most k references of one coordinate can be among anyone's k nearest: one row per coordinate.
     same = Window.partitionBy(*place).orderBy("id")
     held = cut_lineage(
-        refs.filter(there).select(*by, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(ref_id).alias("id"), *payload)
+        refs.filter(there).select(*[F.col(c).cast(points.schema[c].dataType).alias(c) for c in by], F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col(ref_id).alias("id"), *payload)
         .withColumn("_n", F.row_number().over(same))
         .filter(F.col("_n") <= k)
         .groupBy(*place)
@@ -224,6 +224,37 @@ def neighbor_idw(
     return samples.join(joined.groupBy("station", "day").agg(*aggs), ["station", "day"], "left")
 
 
+def neighbour_means(near: Column, cols: Sequence[str], ks: Sequence[int]) -> dict[str, Column]:
+    """Plain and 1/(km+1)-weighted means of the first k of an array of neighbours, and the nearest km."""
+    out: dict[str, Column] = {}
+    for k in ks:
+        first = F.slice(near, 1, k)
+        for c in cols:
+            values = F.transform(first, lambda x: F.struct(x[c].cast("double").alias("v"), (1.0 / (x["dist"] + 1.0)).alias("w")))
+            out[f"knn{k}_{c}_mean"] = mean_of(F.transform(values, lambda x: x["v"]))
+            # No neighbour with a value: the weighted mean is 0, the plain mean missing.
+            out[f"knn{k}_{c}_wmean"] = F.coalesce(weighted_mean(values, "v", "w", floor=1e-8), F.lit(0.0))
+    out["nn_dist_km"] = F.get(near, F.lit(0))["dist"]
+    return out
+
+
+def fold_neighbours(df: DataFrame, id_col: str, cols: Sequence[str], k: int, folds: int, fold: str = "fold", name: str = "by_fold") -> DataFrame:
+    """Add the k + 1 nearest rows of every fold, as an array of (fold, near): one search for all folds.
+
+    Whatever folds a row may see, its nearest rows among them are merged from this array.
+    """
+    asks = df.select("lat", "lon").distinct().withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    near = knn(asks, df, id_col, k + 1, metric=HAVERSINE, by=[fold], payload=cols)
+    held = near.groupBy("lat", "lon").agg(F.collect_list(F.struct(F.col(fold).alias("fold"), "near")).alias(name))
+    return df.join(held, ["lat", "lon"], "left").select(*df.columns, name)
+
+
+def seen_neighbours(by_fold: str, left_out: int, id_col: str) -> Column:
+    """The neighbours of a row outside one fold, nearest first, itself left out."""
+    lists = F.transform(F.filter(by_fold, lambda e: e["fold"] != left_out), lambda e: e["near"])
+    return F.filter(F.array_sort(F.flatten(lists)), lambda x: x["id"] != F.col(id_col))
+
+
 def haversine_knn_features(
     query: DataFrame, ref: DataFrame, id_col: str, cols: Sequence[str], ks: Sequence[int] = (5, 10), is_train: bool = False
 ) -> DataFrame:
@@ -237,15 +268,7 @@ def haversine_knn_features(
     joined = query.join(near, ["lat", "lon"], "left")
     others = F.filter("near", lambda x: x["id"] != F.col(id_col)) if is_train else F.col("near")
     joined = joined.withColumn("_nb", F.slice(others, 1, top))
-    out: dict[str, Column] = {}
-    for k in ks:
-        first = F.slice("_nb", 1, k)
-        for c in cols:
-            values = F.transform(first, lambda x: F.struct(x[c].cast("double").alias("v"), (1.0 / (x["dist"] + 1.0)).alias("w")))
-            out[f"knn{k}_{c}_mean"] = mean_of(F.transform(values, lambda x: x["v"]))
-            # No neighbour with a value: the weighted mean is 0, the plain mean missing.
-            out[f"knn{k}_{c}_wmean"] = F.coalesce(weighted_mean(values, "v", "w", floor=1e-8), F.lit(0.0))
-    out["nn_dist_km"] = F.col("_nb")[0]["dist"]
+    out = neighbour_means(F.col("_nb"), cols, ks)
     return joined.select(*query.columns, *[v.alias(n) for n, v in out.items()])
 
 

@@ -80,13 +80,13 @@ def multi_seed_ensemble(t):
 
 @query("leave_group_out_eval")
 def leave_group_out_eval(t):
-    return le.leave_group_out_eval(labelled(t), FEATURES, ["aux_1"], "target_a", "row_id", FOLDS, GBT["gbt"])
+    return le.leave_group_out_eval(labelled(t), FEATURES, ["aux_1"], "target_a", "row_id", "station", FOLDS, SMALL, transform="log1p")
 
 
 @query("target_chaining")
 def target_chaining(t):
     rows = cut_lineage(le.group_kfold(features(t), "station", FOLDS))
-    out = le.target_chaining(rows, ["lat", "lon", "dom", *AUX], ["target_b", "target_a"], "row_id", FOLDS, GBT["gbt"])
+    out, _ = le.target_chaining(rows, ["lat", "lon", "dom", *AUX], ["target_b", "target_a"], "row_id", FOLDS, GBT["gbt"])
     return out.select("row_id", "chain_target_b", "chain_target_a")
 
 

@@ -4,10 +4,10 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-from terralex.operators import learn, scan
+from terralex.operators import learn, scan, spatial
 
 DAY = dt.date(2020, 1, 3)
 
@@ -180,3 +180,74 @@ def test_holdout_over_everything(spark):
     got = learn.temporal_holdout(df, "day", "id", 0.8).collect()
     order = sorted((r["day"], r["id"]) for r in got)
     assert {(r["day"], r["id"]) for r in got if r["is_train"]} == set(order[:800])
+
+
+# --- evaluation by left-out groups, chains ----------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def places(spark):
+    rng = np.random.default_rng(3)
+    spots = np.column_stack([rng.uniform(-34, -30, 24), rng.uniform(17, 21, 24)])
+    rows = []
+    for i in range(240):
+        g = i % 24
+        v = float(rng.normal() + g / 4)
+        rows.append((i, g, g % 4, float(spots[g, 0]), float(spots[g, 1]), v, None if i % 7 == 0 else v * 2, abs(3 * v + float(rng.normal()))))
+    return spark.createDataFrame(rows, "id long, g int, fold int, lat double, lon double, x double, aux double, y double").cache()
+
+
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_one_search_serves_all_folds(spark, places, kind):
+    places = places.withColumn("fold", F.col("fold").cast(kind))
+    held = spatial.fold_neighbours(places, "id", ["aux"], 10, 4)
+    for f in range(4):
+        got = held.select("id", "fold", spatial.seen_neighbours("by_fold", f, "id").alias("_nb"))
+        got = {r["id"]: r for r in got.select("id", *[v.alias(n) for n, v in spatial.neighbour_means(F.col("_nb"), ["aux"], (5, 10)).items()]).collect()}
+        train, left = places.filter(F.col("fold") != f), places.filter(F.col("fold") == f)
+        want = spatial.haversine_knn_features(train, train, "id", ["aux"], (5, 10), is_train=True).collect()
+        want += spatial.haversine_knn_features(left, train, "id", ["aux"], (5, 10)).collect()
+        for r in want:
+            for c in ("knn5_aux_mean", "knn10_aux_mean", "knn5_aux_wmean", "knn10_aux_wmean", "nn_dist_km"):
+                assert got[r["id"]][c] == pytest.approx(r[c], abs=1e-9), (f, r["id"], c)
+
+
+def test_leave_group_out_scores_are_those_of_the_fold(spark, places):
+    tree = {"tree": lambda s: DecisionTreeRegressor(maxDepth=3, seed=s), "line": lambda s: LinearRegression(regParam=0.1)}
+    got = {(r["fold"], r["part"]): r for r in learn.leave_group_out_eval(places, ["x"], ["aux"], "y", "id", "g", 4, tree).collect()}
+    assert set(got) == {(f, p) for f in range(4) for p in ("train", "held_out")}
+    assert all(got[f, "held_out"]["n_matched"] == 60 and got[f, "train"]["n_matched"] == 180 for f in range(4))
+    # Fold 2 by hand.
+    train, left = places.filter("fold <> 2"), places.filter("fold = 2")
+    tr = learn.group_kfold(spatial.haversine_knn_features(train, train, "id", ["aux"], (5, 10), is_train=True).drop("fold"), "g", 3)
+    te = spatial.haversine_knn_features(left, train, "id", ["aux"], (5, 10))
+    names = ["x", *[f"knn{k}_aux_{m}" for k in (5, 10) for m in ("mean", "wmean")], "nn_dist_km"]
+    model, _ = learn.fit_stacked(tr, names, "y", tree, 3)
+    top = 2 * train.agg(F.max("y")).first()[0]
+    rows = model.predict(te, "p").select("y", "p").collect()
+    y, p = np.array([r["y"] for r in rows]), np.clip([r["p"] for r in rows], 0, top)
+    assert got[2, "held_out"]["r2"] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-6)
+
+
+def test_chained_models_predict_new_rows(spark, places):
+    make = lambda s: DecisionTreeRegressor(maxDepth=3, seed=s)
+    out, chain = learn.target_chaining(places, ["x"], ["aux", "y"], "id", 4, make)
+    new = places.select("id", (F.col("x") + 0.1).alias("x"))
+    got = {r["id"]: r for r in chain.predict(new).collect()}
+    first = {r["id"]: r["pred_chain"] for r in chain.models["aux"].predict(new).collect()}
+    assert all(got[i]["chain_aux"] == first[i] for i in got)
+    again = chain.models["y"].predict(new.join(spark.createDataFrame(list(first.items()), "id long, chain_aux double"), "id"))
+    assert {r["id"]: r["pred_chain"] for r in again.collect()} == {i: got[i]["chain_y"] for i in got}
+    assert out.count() == 240 and {"chain_aux", "chain_y"} <= set(out.columns) and set(new.columns) | {"chain_aux", "chain_y"} == set(chain.predict(new).columns)
+
+
+def test_out_of_fold_rows_are_predicted_by_the_other_folds(spark, places):
+    oof, models = learn.oof_predictions(places, ["x"], "y", {"line": lambda s: LinearRegression()}, 4)
+    rows = oof.select("id", "fold", "x", "y", "pred_line").collect()
+    for f in range(4):
+        seen = [r for r in rows if r["fold"] != f]
+        slope, at = np.polyfit([r["x"] for r in seen], [r["y"] for r in seen], 1)
+        for r in rows:
+            if r["fold"] == f:
+                assert r["pred_line"] == pytest.approx(slope * r["x"] + at, abs=1e-6)
+    assert len(models.models["line"]) == 4
