@@ -22,6 +22,7 @@ coord_to_station leakage_anti_join neighbor_idw haversine_knn_features season_id
 station_profile station_aux_stats decay_weighted_stats regression_metrics roc_auc spearman_matrix describe_targets
 tokenize vocab subsample_frequent skipgram_pairs negative_samples sgns_gradient_step
 cosine_top_k analogy_top_k method_blend variance_decompress group_median_impute composite_median link_pairing
+chained_regression_impute mutual_information station_ridge permutation_importance
 """.split()
 
 

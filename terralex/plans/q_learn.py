@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from terralex.operators import learn as le
@@ -12,12 +12,11 @@ from terralex.plans.registry import query
 from terralex.session import cut_lineage
 
 FEATURES = ["lat", "lon", "dom", "lag_target_a", "lag_target_b", *AUX]
-FOLDS = 3
-SMALL = {
-    "gbt": lambda s: GBTRegressor(maxIter=5, maxDepth=3, seed=s),
-    "forest": lambda s: RandomForestRegressor(numTrees=8, maxDepth=4, seed=s),
-}
-GBT = {"gbt": SMALL["gbt"]}
+FOLDS = 5
+LEARNERS = le.default_estimators()
+#: Folds and draws of the registered queries with very many fits.
+FEW_FOLDS = 3
+TRIALS = 3
 
 
 def features(t):
@@ -29,9 +28,9 @@ def features(t):
     return rows
 
 
-def labelled(t, folds=True):
+def labelled(t, folds=FOLDS):
     rows = features(t).filter(F.col("target_a").isNotNull())
-    return cut_lineage(le.group_kfold(rows, "station", FOLDS) if folds else rows)
+    return cut_lineage(le.group_kfold(rows, "station", folds) if folds else rows)
 
 
 @query(
@@ -63,53 +62,53 @@ def temporal_holdout(t):
 
 @query("oof_predictions")
 def oof_predictions(t):
-    oof, _ = le.oof_predictions(labelled(t), FEATURES, "target_a", SMALL, FOLDS)
-    return oof.select("row_id", "fold", "target_a", "pred_gbt", "pred_forest")
+    oof, _ = le.oof_predictions(labelled(t), FEATURES, "target_a", LEARNERS, FOLDS)
+    return oof.select("row_id", "fold", "target_a", *[f"pred_{n}" for n in LEARNERS])
 
 
 @query("stacking_ensemble")
 def stacking_ensemble(t):
-    model, oof = le.fit_stacked(labelled(t), FEATURES, "target_a", SMALL, FOLDS)
+    model, oof = le.fit_stacked(labelled(t), FEATURES, "target_a", LEARNERS, FOLDS)
     return model.predict(features(t)).select("row_id", "pred")
 
 
 @query("multi_seed_ensemble")
 def multi_seed_ensemble(t):
-    return le.multi_seed_predict(labelled(t), features(t), FEATURES, "target_a", GBT, FOLDS, n_seeds=2).select("row_id", "pred")
+    return le.multi_seed_predict(labelled(t, FEW_FOLDS), features(t), FEATURES, "target_a", LEARNERS, FEW_FOLDS).select("row_id", "pred")
 
 
 @query("leave_group_out_eval")
 def leave_group_out_eval(t):
-    return le.leave_group_out_eval(labelled(t), FEATURES, ["aux_1"], "target_a", "row_id", "station", FOLDS, SMALL, transform="log1p")
+    return le.leave_group_out_eval(labelled(t, FEW_FOLDS), FEATURES, ["aux_1"], "target_a", "row_id", "station", FEW_FOLDS, LEARNERS, transform="log1p")
 
 
 @query("target_chaining")
 def target_chaining(t):
     rows = cut_lineage(le.group_kfold(features(t), "station", FOLDS))
-    out, _ = le.target_chaining(rows, ["lat", "lon", "dom", *AUX], ["target_b", "target_a"], "row_id", FOLDS, GBT["gbt"])
+    out, _ = le.target_chaining(rows, ["lat", "lon", "dom", *AUX], ["target_b", "target_a"], "row_id", FOLDS, LEARNERS["gbt"])
     return out.select("row_id", "chain_target_b", "chain_target_a")
 
 
 @query("gain_pruning")
 def gain_pruning(t):
-    rows = labelled(t, folds=False).withColumn("fixed", F.lit(1.0))
-    kept = le.gain_pruning(rows, [*FEATURES, "fixed"], "target_a", min_features=5)
+    rows = labelled(t, folds=0).withColumn("fixed", F.lit(1.0))
+    kept = le.gain_pruning(rows, [*FEATURES, "fixed"], "target_a", min_features=30)
     return rows.select("row_id", *kept)
 
 
 @query("hyperparameter_search")
 def hyperparameter_search(t):
     make = lambda **p: GBTRegressor(seed=42, **p)
-    space = {"maxIter": [3, 6], "maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.3]}
-    rows = labelled(t, folds=False).withColumn("log_a", F.log1p("target_a"))
-    return le.hyperparameter_search(rows, FEATURES, "log_a", "station", make, space, trials=3, n_folds=2, inverse=F.expm1)
+    space = {"maxIter": [10, 20, 40], "maxDepth": [2, 3, 4, 5], "stepSize": [0.05, 0.1, 0.3]}
+    rows = labelled(t, folds=0).withColumn("log_a", F.log1p("target_a"))
+    return le.hyperparameter_search(rows, FEATURES, "log_a", "station", make, space, trials=TRIALS, inverse=F.expm1)
 
 
 @query("adversarial_validation")
 def adversarial_validation(t):
     rows = cut_lineage(features(t))
     early = F.col("day") < F.lit("2024-01-21").cast("date")
-    scored, auc, _ = le.adversarial_validation(rows.filter(early), rows.filter(~early), FEATURES, "row_id", trees=5)
+    scored, auc, _ = le.adversarial_validation(rows.filter(early), rows.filter(~early), FEATURES, "row_id")
     weighted = le.adversarial_weights(rows.filter(early).withColumn("weight", F.lit(1.0)), scored, "row_id", auc)
     return weighted.select("row_id", "weight", F.lit(auc).alias("auc"))
 
@@ -117,13 +116,13 @@ def adversarial_validation(t):
 @query("rf_modellability")
 def rf_modellability(t):
     rows = cut_lineage(features(t))
-    return le.rf_modellability(rows, FEATURES, ["target_a", "target_b"], "station", FOLDS, trees=20, depth=8)
+    return le.rf_modellability(rows, FEATURES, ["target_a", "target_b"], "station", FEW_FOLDS, trees=20, depth=8)
 
 
 @query("permutation_importance")
 def permutation_importance(t):
-    rows = labelled(t, folds=False)
-    fitted = SMALL["gbt"](42).setFeaturesCol(le.VECTOR).setLabelCol("target_a").fit(le.assemble(rows, FEATURES))
+    rows = labelled(t, folds=0)
+    fitted = LEARNERS["gbt"](42).setFeaturesCol(le.VECTOR).setLabelCol("target_a").fit(le.assemble(rows, FEATURES))
     return le.permutation_importance(fitted, rows, FEATURES, "target_a", "row_id")
 
 
@@ -155,4 +154,4 @@ def station_ridge(t):
 def station_boosting(t):
     hist = cut_lineage(order_history(t))
     asked = hist.select("station", "day", F.col("y").alias("truth"))
-    return le.station_boosting(asked, hist, "y", ["aux_1", "aux_2"], trees=5)
+    return le.station_boosting(asked, hist, "y", ["aux_1", "aux_2"])

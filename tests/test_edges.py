@@ -159,18 +159,33 @@ def test_pairs_lose_nothing_at_block_edges(spark, scope):
     assert got == want
 
 
-def test_top_k_in_several_passes(spark):
+@pytest.mark.parametrize("kind", ["even", "clusters"])
+def test_top_k_by_cells(spark, monkeypatch, kind):
     rng = np.random.default_rng(4)
-    m = rng.normal(size=(50, 6))
+    m = rng.normal(size=(300, 6))
+    if kind == "clusters":
+        # A third of all rows in one tight cluster, copies and zero vectors among the rest.
+        m[:100] = m[0] + rng.normal(size=(100, 6)) * 0.01
+        m[120:140], m[150:153] = m[120], 0.0
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, vec array<double>")
-    asks = df.select(F.col("id").alias("ask"), "vec", F.array("id").alias("excluded"))
-    one = {(r["ask"], r["rank"]): r["id"] for r in embed.top_k_vectors(df, asks, 4).collect()}
-    many = {(r["ask"], r["rank"]): r["id"] for r in embed.top_k_vectors(df, asks, 4, ask_limit=20).collect()}
+    asks = df.select(F.col("id").alias("ask"), "vec", F.array("id", F.lit(7).cast("long")).alias("excluded"))
+    one = {(r["ask"], r["rank"]): (r["id"], r["score"]) for r in embed.top_k_vectors(df, asks, 4).collect()}
+    monkeypatch.setattr(embed, "ASK_ROWS", 9)
+    many = {(r["ask"], r["rank"]): (r["id"], r["score"]) for r in embed.top_k_vectors(df, asks, 4, cell_rows=20).collect()}
     scores = m @ m.T
     np.fill_diagonal(scores, -np.inf)
-    assert one == many == {(i, j + 1): int(np.argsort(-scores[i])[j]) for i in range(50) for j in range(4)}
+    scores[:, 7] = -np.inf
+    want = -np.sort(-scores, axis=1)[:, :4]
+    for got in (one, many):
+        assert len(got) == 1200
+        for i in range(300):
+            rows = [got[i, j + 1] for j in range(4)]
+            assert np.allclose([s for _, s in rows], want[i], atol=1e-12) and len({v for v, _ in rows}) == 4
+            assert np.allclose([scores[i, v] for v, _ in rows], want[i], atol=1e-12)
     zero = spark.createDataFrame([([0.0, 0.0],)], "v array<double>").select(l2_normalize(F.col("v")).alias("n")).first()["n"]
     assert zero == [0.0, 0.0]
+    assert embed.top_k_vectors(df.limit(0), asks, 4).count() == 0 and embed.top_k_vectors(df, asks.limit(0), 4).count() == 0
 
 
 def test_training_lowers_the_loss(spark):
