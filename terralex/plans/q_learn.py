@@ -84,8 +84,8 @@ def leave_group_out_eval(t):
 
 @query("target_chaining")
 def target_chaining(t):
-    rows = cut_lineage(le.group_kfold(features(t), "station", FOLDS))
-    out, _ = le.target_chaining(rows, ["lat", "lon", "dom", *AUX], ["target_b", "target_a"], "row_id", FOLDS, LEARNERS["gbt"])
+    rows = cut_lineage(le.group_kfold(features(t), "station", FEW_FOLDS))
+    out, _ = le.target_chaining(rows, ["lat", "lon", "dom", *AUX], ["target_b", "target_a"], "row_id", FEW_FOLDS, LEARNERS["gbt"])
     return out.select("row_id", "chain_target_b", "chain_target_a")
 
 
@@ -99,7 +99,7 @@ def gain_pruning(t):
 @query("hyperparameter_search")
 def hyperparameter_search(t):
     make = lambda **p: GBTRegressor(seed=42, **p)
-    space = {"maxIter": [10, 20, 40], "maxDepth": [2, 3, 4, 5], "stepSize": [0.05, 0.1, 0.3]}
+    space = {"maxIter": [5, 10, 20], "maxDepth": [2, 3, 4, 5], "stepSize": [0.05, 0.1, 0.3]}
     rows = labelled(t, folds=0).withColumn("log_a", F.log1p("target_a"))
     return le.hyperparameter_search(rows, FEATURES, "log_a", "station", make, space, trials=TRIALS, inverse=F.expm1)
 
