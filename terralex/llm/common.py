@@ -13,6 +13,7 @@ from terralex.session import scratch_folder, ship_code
 #: A word: a run of characters other than the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def map_batches(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package importable on the executors."""
     ship_code(df.sparkSession)
