@@ -13,7 +13,7 @@ from terralex.plans.registry import query
 from terralex.session import cut_lineage
 from terralex.sources.vectors_io import vector_line
 
-WINDOW, NEGATIVES, DIM, SLOTS = 2, 2, 4, 1_000_000
+WINDOW, NEGATIVES, DIM, SLOTS = 6, 10, 200, 10_000_000
 
 U = "(concat('0x', substr(md5(concat({})), 1, 8))::BIGINT / 4294967296.0)"
 SQL_VOCAB = """, cnt AS (SELECT word, count(*) AS count, min(doc_id * 1000000 + pos) AS first FROM corpus GROUP BY word HAVING count(*) >= 12),
