@@ -134,21 +134,46 @@ def negative_slots(vocabulary: DataFrame, slots: int = SLOTS, power: float = NEG
     )
 
 
-def negative_samples(pairs: DataFrame, table: DataFrame, k: int, slots: int = SLOTS, seed: int = 42, cells: int = 65_536) -> DataFrame:
+def _spans(table: DataFrame, width: int) -> DataFrame:
+    """The words' intervals, once for every coarse cell of slots they meet."""
+    cells = F.sequence(F.floor(F.col("slot_start") / width), F.floor((F.col("slot_end") - 1) / width))
+    return table.select(F.col("word_id").alias("negative"), "slot_start", "slot_end", F.explode(cells).alias("_cell"))
+
+
+def _drawn_slots(pairs: DataFrame, k: int, slots: int, seed: int | str) -> DataFrame:
+    """``pairs`` with an array of k slots; four draws come from one digest."""
+    key = lambda g: F.concat_ws(":", F.lit(str(seed)), F.lit("n"), *[F.col(c).cast("string") for c in ("doc_id", "place", "shift")], F.lit(str(g)))
+    digests = F.array(*[F.md5(key(g)) for g in range(-(-k // 4))])
+    digits = lambda i: F.conv(F.substring(F.col("_digests")[i // 4], 8 * (i % 4) + 1, 8), 16, 10).cast("bigint")
+    draws = [F.floor(digits(i) / F.lit(4294967296.0) * slots).cast("bigint") for i in range(k)]
+    return pairs.withColumn("_digests", digests).withColumn("_slots", F.array(*draws)).drop("_digests")
+
+
+def negative_samples(pairs: DataFrame, table: DataFrame, k: int, slots: int = SLOTS, seed: int | str = 42, cells: int = 65_536) -> DataFrame:
     """k draws from the sampling table per pair, the positive word not excluded.
 
     A drawn slot finds its word through an equi-join on a coarse cell of the table.
     """
     width = max(slots // cells, 1)
-    spans = table.select(
-        F.col("word_id").alias("negative"), "slot_start", "slot_end",
-        F.explode(F.sequence(F.floor(F.col("slot_start") / width), F.floor((F.col("slot_end") - 1) / width))).alias("_cell"),
+    drawn = _drawn_slots(pairs, k, slots, seed).select("*", F.posexplode("_slots").alias("draw", "slot")).drop("_slots")
+    drawn = drawn.withColumns({"draw": F.col("draw") + 1, "_cell": F.floor(F.col("slot") / width)})
+    hit = (F.col("slot") >= F.col("slot_start")) & (F.col("slot") < F.col("slot_end"))
+    return drawn.join(_spans(table, width), "_cell").filter(hit).drop("_cell", "slot_start", "slot_end")
+
+
+def sampled_examples(
+    pairs: DataFrame, table: DataFrame, k: int, slots: int = SLOTS, seed: int | str = 42, by: Sequence[str] = (), cells: int = 65_536
+) -> DataFrame:
+    """The same rows as ``training_examples`` over ``negative_samples``, in one pass over ``pairs``."""
+    width = max(slots // cells, 1)
+    drawn = _drawn_slots(pairs, k, slots, seed).select(
+        *by, "center", "context", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.col("_slots"))).alias("slot")
     )
-    draw = F.floor(hash_uniform(seed, F.lit("n"), F.col("doc_id"), F.col("place"), F.col("shift"), F.col("draw")) * slots)
-    drawn = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("slot", draw)
-    drawn = drawn.withColumn("_cell", F.floor(F.col("slot") / width))
     hit = (F.col("slot") >= F.col("slot_start")) & (F.col("slot") < F.col("slot_end"))
-    return drawn.join(spans, "_cell").filter(hit).drop("_cell", "slot_start", "slot_end")
+    met = drawn.withColumn("_cell", F.floor(F.col("slot") / width)).join(_spans(table, width).withColumnRenamed("_cell", "_c"), (F.col("_cell") == F.col("_c")) & hit, "left")
+    label = F.col("slot").isNull().cast("int")
+    rows = met.select(*by, "center", F.when(label == 1, F.col("context")).otherwise(F.col("negative")).alias("other"), label.alias("label"))
+    return rows.groupBy(*by, "center", "other", "label").agg(F.count(F.lit(1)).alias("times"))
 
 
 def training_examples(pairs: DataFrame, negatives: DataFrame, by: Sequence[str] = ()) -> DataFrame:

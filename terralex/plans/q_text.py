@@ -50,21 +50,21 @@ SQL_NEGS = (
     SQL_PAIRS
     + SQL_SLOTS[len(SQL_VOCAB):]
     + ", drawn AS (SELECT p.*, d.draw, CAST(floor("
-    + U.format("'42:n:', doc_id, ':', place, ':', shift, ':', draw")
+    + U.format("'42:n:', doc_id, ':', place, ':', shift, ':', (draw - 1) // 4").replace("1, 8)", "1 + 8 * ((draw - 1) % 4), 8)")
     + f""" * {SLOTS}) AS BIGINT) AS slot FROM pairs p, (SELECT unnest(range(1, {NEGATIVES} + 1)) AS draw) d),
-negs AS MATERIALIZED (SELECT d.center, d.slot, s.word_id AS negative FROM drawn d ASOF JOIN (SELECT * FROM slots WHERE slot_end > slot_start) s ON d.slot >= s.slot_start)
+negs AS MATERIALIZED (SELECT d.center, d.slot, s.word_id AS negative FROM drawn d JOIN (SELECT word_id, unnest(range(slot_start, slot_end)) AS slot FROM slots) s ON d.slot = s.slot)
 """
 )
 SQL_EX = (
     SQL_NEGS
-    + """, ex AS MATERIALIZED (SELECT center, other, label, count(*) AS times FROM (SELECT center, context AS other, 1 AS label FROM pairs
+    + f""", ex AS MATERIALIZED (SELECT center, other, label, count(*) AS times FROM (SELECT center, context AS other, 1 AS label FROM pairs
   UNION ALL SELECT center, negative, 0 FROM negs) GROUP BY ALL),
-emb AS MATERIALIZED (SELECT word_id, list((u * 2 - 1) * 0.5 ORDER BY d) AS v, list((w * 2 - 1) * 0.5 ORDER BY d) AS x FROM (SELECT word_id, d, """
+emb AS MATERIALIZED (SELECT word_id, list((u * 2 - 1) * {DIM ** -0.5} ORDER BY d) AS v, list((w * 2 - 1) * {DIM ** -0.5} ORDER BY d) AS x FROM (SELECT word_id, d, """
     + U.format("'42:v:', word_id, ':', d")
     + " AS u, "
     + U.format("'7:v:', word_id, ':', d")
     + f""" AS w FROM vocab, (SELECT unnest(range({DIM})) AS d)) GROUP BY word_id),
-scored AS MATERIALIZED (SELECT e.*, c.v, o.x AS u, list_dot_product(c.v, o.x) AS dp FROM ex e JOIN emb c ON c.word_id = e.center JOIN emb o ON o.word_id = e.other),
+scored AS MATERIALIZED (SELECT e.*, list_dot_product(c.v, o.x) AS dp FROM ex e JOIN emb c ON c.word_id = e.center JOIN emb o ON o.word_id = e.other),
 sg AS MATERIALIZED (SELECT *, CASE WHEN dp >= 0 THEN 1 / (1 + exp(-dp)) ELSE exp(dp) / (1 + exp(dp)) END AS sig FROM scored)
 """
 )
@@ -94,7 +94,7 @@ def slots(words):
 
 def examples(t, words):
     p = pairs(t, words)
-    return tx.training_examples(p, tx.negative_samples(p, slots(words), NEGATIVES, SLOTS))
+    return tx.sampled_examples(p, slots(words), NEGATIVES, SLOTS)
 
 
 def embeddings(v):
@@ -209,9 +209,9 @@ def sgns_forward_loss(t):
     SQL_EX
     + ", gc AS (SELECT center AS word_id, "
     + ", ".join(f"sum((sig - label) * times * u[{d + 1}]) AS c{d}" for d in range(DIM))
-    + " FROM sg GROUP BY center), gx AS (SELECT other AS word_id, "
+    + " FROM sg JOIN (SELECT word_id, x AS u FROM emb) o ON o.word_id = sg.other GROUP BY center), gx AS (SELECT other AS word_id, "
     + ", ".join(f"sum((sig - label) * times * v[{d + 1}]) AS x{d}" for d in range(DIM))
-    + " FROM sg GROUP BY other) SELECT word_id, "
+    + " FROM sg JOIN (SELECT word_id, v FROM emb) c ON c.word_id = sg.center GROUP BY other) SELECT word_id, "
     + ", ".join(f"round(v[{d + 1}] - 0.05 * coalesce(c{d}, 0), 6) AS c{d}, round(x[{d + 1}] - 0.05 * coalesce(x{d}, 0), 6) AS x{d}" for d in range(DIM))
     + " FROM emb LEFT JOIN gc USING (word_id) LEFT JOIN gx USING (word_id)",
     ("corpus",),
@@ -226,8 +226,9 @@ def sgns_gradient_step(t):
 @query("sgns_train")
 def sgns_train(t):
     words = kept_words(t)
-    p = cut_lineage(pairs(t, words))
-    emb, _ = em.train(p, tx.negative_slots(words, SLOTS), words, 8, NEGATIVES, epochs=2, rounds=2, lr=0.001, slots=SLOTS)
+    thin = cut_lineage(sub(t, words))
+    drawn = lambda epoch: tx.skipgram_pairs(thin, WINDOW, f"42.{epoch}")
+    emb, _ = em.train(drawn, slots(words), words, DIM, NEGATIVES, epochs=3, rounds=20, slots=SLOTS)
     return em.embedding_sum(emb).join(words.select("word_id", "word"), "word_id")
 
 
