@@ -228,7 +228,7 @@ def sgns_train(t):
     words = kept_words(t)
     thin = cut_lineage(sub(t, words))
     drawn = lambda epoch: tx.skipgram_pairs(thin, WINDOW, f"42.{epoch}")
-    emb, _ = em.train(drawn, slots(words), words, DIM, NEGATIVES, epochs=3, rounds=20, slots=SLOTS)
+    emb, _ = em.train(drawn, slots(words), words, DIM, NEGATIVES, epochs=3, rounds=5, slots=SLOTS, word_cap=4, batch=2048)
     return em.embedding_sum(emb).join(words.select("word_id", "word"), "word_id")
 
 

@@ -104,5 +104,5 @@ def train_word_vectors(
     thin = cut_lineage(text.subsample(text.encode(tokens, words), seed=seed))
     placed = cut_lineage(text.renumber(thin, scope))
     pairs = lambda epoch: text.skipgram_pairs(placed, window, f"{seed}.{epoch}", scope)
-    emb, losses = embed.train(pairs, text.negative_slots(words), words, dim, negatives, epochs, rounds, seed=seed)
+    emb, losses = embed.train(pairs, text.negative_slots(words), words, dim, negatives, epochs, rounds, seed=seed, word_cap=4)
     return embed.embedding_sum(emb).join(words.select("word_id", "word"), "word_id").select("word_id", "word", "vec"), losses
