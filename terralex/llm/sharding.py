@@ -165,7 +165,8 @@ def assign_shards(
 def shard_documents(docs: DataFrame, shards: int = SHARDS, name: str = "shard") -> DataFrame:
     """All columns of ``docs`` with their shard, slot and size: a column of that name in ``docs`` gives way."""
     own = [c for c in docs.columns if c.lower() not in {"shard", "slot", "size"}]
-    keyed = docs.withColumns(key_columns()).select("k1", "k2", size_of().alias("size"), F.struct(*own).alias("_row"))
+    rows = docs.select("doc_id", "text", F.struct(*own).alias("_row"))
+    keyed = rows.withColumns(key_columns()).select("k1", "k2", size_of().alias("size"), "_row")
     counts = saved(keyed.select("k1", "k2", "size"), f"{name}-keys")
     return assign_shards(keyed, shards, counts=counts).select("_row.*", "size", "shard", "slot")
 

@@ -137,7 +137,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of every component the one with the smallest id.
 
-    Of rows with that very id, one text's rows stay, all but one of the repeats going by a row number.
+    Of rows with that very id each different text stays once; repeats go by a row number.
     Rows without an id stay.
     """
     from pyspark.sql import Window
@@ -145,7 +145,7 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     kept = near_groups(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.struct("*").alias("_row"))
     chosen = rows.join(kept, F.col("_row.doc_id") == F.col("_id"))
-    repeats = Window.partitionBy("_id").orderBy(F.xxhash64("_row.text"))
+    repeats = Window.partitionBy("_id", "_row.text").orderBy(F.xxhash64("_row.text"))
     once = chosen.withColumn("_n", F.row_number().over(repeats)).filter("_n = 1").select("_row.*")
     return once.unionByName(docs.filter("doc_id IS NULL"))
 

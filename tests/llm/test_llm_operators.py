@@ -642,3 +642,13 @@ def test_decontamination_edges(edge, empty, spark):
     assert left.columns == edge.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 5, 6]
     assert decontamination.find_leaks(empty, bench).count() == 0
     assert decontamination.find_leaks(edge, bench.limit(0)).count() == 0
+
+
+def test_stages_keep_columns_and_texts_of_repeated_ids(spark):
+    texts = [" ".join(f"w{(i * k) % 97}" for i in range(1, 60)) for k in (5, 11)]
+    rows = [(1, texts[0], "a"), (1, texts[0], "a"), (1, texts[1], "b"), (2, texts[0], "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    kept = simhash.first_of_groups(docs)
+    assert sorted(map(tuple, kept.collect())) == sorted([rows[0], rows[2]])
+    dealt = sharding.shard_documents(docs, 2)
+    assert sorted((r["doc_id"], r["text"], r["k1"]) for r in dealt.collect()) == sorted(rows)
