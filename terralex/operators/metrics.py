@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralex.functions.scalars import pearson
 from terralex.operators.quantiles import value_ranks
 from terralex.operators.temporal import daily_grain, needed_order
 
@@ -37,7 +38,7 @@ def regression_metrics(scored: DataFrame, truth: str = "truth", pred: str = "pre
         _r2("_t", "_p").alias("r2"),
         F.sqrt(F.avg(gap * gap)).alias("rmse"),
         F.avg(F.abs(gap)).alias("mae"),
-        F.corr("_t", "_p").alias("pearson"),
+        pearson("_t", "_p").alias("pearson"),
         F.sum("_h").alias("n_matched"),
         F.sum(1 - F.col("_h")).alias("n_missed"),
         F.avg("_t").alias("truth_mean"), F.min("_t").alias("truth_min"), F.max("_t").alias("truth_max"),

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terralex.functions.scalars import pearson
 from terralex.operators.quantiles import exact_quantiles, global_row, melt
 
 DAYS_PER_YEAR = 365.25
@@ -101,13 +102,12 @@ def recent_window_stats(obs: DataFrame, cols: Sequence[str], cutoff: str, years:
 
 
 def pairwise_corr(obs: DataFrame, cols: Sequence[str], cutoff: str, min_pairs: int = 10) -> DataFrame:
-    """Pearson correlation of each pair of columns per station over complete rows; 0 if too few."""
+    """Pearson correlation of each pair of columns per station over complete rows; 0 if too few, NaN if a column is constant there."""
     hist = history_until(obs, cutoff)
     aggs = []
     for a, b in itertools.combinations(cols, 2):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        r = F.corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
-        aggs.append(F.when(F.sum(both.cast("int")) >= min_pairs, r).otherwise(0.0).alias(f"corr_{a}_{b}"))
+        aggs.append(F.when(F.sum(both.cast("int")) >= min_pairs, pearson(a, b)).otherwise(0.0).alias(f"corr_{a}_{b}"))
     return hist.groupBy("station").agg(*aggs)
 
 

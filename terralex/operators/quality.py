@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralex.functions.scalars import pearson
 from terralex.operators.quantiles import exact_quantiles, global_row, medians_wide, melt, ranked_tally, value_ranks
 from terralex.operators.scan import running_sum
 from terralex.operators.space_tree import nearest_pairs
@@ -116,7 +117,7 @@ def normal_qq(df: DataFrame, col: str, chunk: int = 10_000) -> DataFrame:
 def qq_line(qq: DataFrame) -> DataFrame:
     return qq.agg(
         F.regr_slope("ordered", "theoretical").alias("slope"), F.regr_intercept("ordered", "theoretical").alias("intercept"),
-        F.corr("ordered", "theoretical").alias("r"), F.count(F.lit(1)).alias("n"),
+        pearson("ordered", "theoretical").alias("r"), F.count(F.lit(1)).alias("n"),
     )
 
 
