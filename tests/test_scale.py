@@ -1,12 +1,14 @@
 """Small rows with the shapes on which queries failed over larger tables."""
 
+import collections
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
 import pytest
 
-from terralex.operators import metrics, profiles, quality
+from terralex.operators import metrics, profiles, quality, text
 
 DAY = dt.date(2024, 1, 1)
 
@@ -26,3 +28,45 @@ def test_correlation_of_a_constant_column(spark):
     assert metrics.regression_metrics(scored.limit(1)).first()["pearson"] is None
     line = quality.qq_line(spark.createDataFrame([(0.0, 3.0), (1.0, 3.0)], "theoretical double, ordered double")).first()
     assert math.isnan(line["r"])
+
+
+def test_pairs_are_made_without_lists_of_the_frame(spark):
+    rows = [(d, p, p, (p * 7 + d) % 5) for d in (1, 2) for p in range(30)] + [(None, p, p, p) for p in range(3)]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, place long, word_id long")
+    pairs = text.skipgram_pairs(tokens, 3, block=4)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "lambda" not in plan
+    words = {(d, p): w for d, p, _, w in rows}
+    got = [tuple(r) for r in pairs.select("doc_id", "place", "shift", "center", "context").collect()]
+    assert len(set(got)) == len(got) and {(d, p) for d, p, *_ in got} == set(words)
+    assert all(c == words[d, p] and o == words[d, p + s] and 0 < abs(s) <= 3 for d, p, s, c, o in got)
+    for d, p in words:
+        reach = max(abs(s) for e, q, s, *_ in got if (e, q) == (d, p))
+        assert {s for e, q, s, *_ in got if (e, q) == (d, p)} == {s for s in range(-reach, reach + 1) if s and (d, p + s) in words}
+
+
+def test_draws_are_looked_up_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(text, "FLUSH_EXAMPLES", 50)
+    rows = [(d, p, s, (d * p) % 5, (p + s) % 5, None if d == 3 else f"t{d % 2}") for d in range(6) for p in range(5) for s in (-1, 1)]
+    pairs = spark.createDataFrame(rows, "doc_id long, place long, shift long, center long, context long, turn string")
+    # Slots 60 and 70 to 79 have no word, nor have those from 95 on.
+    table = spark.createDataFrame([(7, 0, 60), (2, 61, 62), (4, 62, 70), (900, 80, 95)], "word_id long, slot_start long, slot_end long")
+    word = {s: w for w, lo, hi in ((7, 0, 60), (2, 61, 62), (4, 62, 70), (900, 80, 95)) for s in range(lo, hi)}
+    want, counted = [], collections.Counter()
+    for d, p, s, c, o, turn in rows:
+        counted[turn, c, o, 1] += 1
+        for i in range(6):
+            slot = int(int(hashlib.md5(f"42:n:{d}:{p}:{s}:{i // 4}".encode()).hexdigest()[8 * (i % 4) :][:8], 16) / 4294967296.0 * 100)
+            if slot in word:
+                want.append((d, p, s, c, o, turn, i + 1, slot, word[slot]))
+                counted[turn, c, word[slot], 0] += 1
+    key = lambda r: tuple(str(x) for x in r)
+    for cells in (7, 100):
+        drawn = text.negative_samples(pairs, table, 6, 100, cells=cells)
+        assert drawn.columns == [*pairs.columns, "draw", "slot", "negative"]
+        assert sorted(map(tuple, drawn.collect()), key=key) == sorted(want, key=key)
+        met = text.sampled_examples(pairs, table, 6, 100, by=["turn"], cells=cells)
+        assert sorted(map(tuple, met.collect()), key=key) == sorted(((*k, n) for k, n in counted.items()), key=key)
+        for df in (drawn, met):
+            assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert text.negative_samples(pairs.limit(0), table, 6, 100).count() == 0 == text.sampled_examples(pairs.limit(0), table, 6, 100).count()
