@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from terralex.operators import metrics, profiles, quality, text
+from terralex.sources import observations
 
 DAY = dt.date(2024, 1, 1)
 
@@ -70,3 +71,14 @@ def test_draws_are_looked_up_without_a_join(spark, monkeypatch):
         for df in (drawn, met):
             assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
     assert text.negative_samples(pairs.limit(0), table, 6, 100).count() == 0 == text.sampled_examples(pairs.limit(0), table, 6, 100).count()
+
+
+def test_station_files_are_read_twice(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"S{i}").mkdir()
+        (tmp_path / f"S{i}" / "data.csv").write_text(("date_time,pH\n2024-01-01,7\n", "pH,Ca,date_time\n8,1,2024-01-02\n", "no header\n")[i])
+    registry = spark.createDataFrame([(f"S{i}", 1.0, 2.0) for i in range(3)], "station string, lat double, lon double")
+    out = observations.load_observations(spark, str(tmp_path), registry, ["pH"])
+    assert sorted((r["station"], r["day"].day, r["pH"]) for r in out.collect()) == [("S0", 1, 7.0), ("S1", 2, 8.0)]
+    # The headers were read before; the plan itself reads the lines once.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1
