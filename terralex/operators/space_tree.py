@@ -1,7 +1,8 @@
 """Nearest references through an adaptive space tree.
 
 Space is halved at medians of a sample, along its widest axis, until a leaf holds about ``LEAF_ROWS``
-references; empty space is not cut and crowded space is cut finely. The tree is a bounded table that all tasks
+references; empty space is not cut and crowded space is cut finely. Where many places share a value of an axis, the
+cut goes beside that value, or along another axis, so that both sides hold places. The tree is a bounded table that all tasks
 get. An ask first meets its own leaf, whose k-th nearest reference bounds its search, then the other leaves
 that bound reaches, and nothing else. Leaves with many asks are met in shards. A pair costs work only
 inside a leaf, as one block of distances; what a task keeps is a leaf, and what it emits is about k rows an ask.
@@ -24,6 +25,8 @@ from terralex.session import cut_lineage, ship_code
 
 LEAF_ROWS = 512
 SAMPLE_PER_LEAF = 8
+#: A cut that leaves a side with a smaller share of the places gives way to one along a narrower axis.
+LEAST_SIDE = 0.2
 #: The tree's size bound: leaves, and rows of the sample, that the driver holds.
 MOST_LEAVES = 1 << 16
 ASK_ROWS = 8192
@@ -35,6 +38,21 @@ CELLS = 1 << 20
 APART = float(1 << 24)
 
 
+def _halving(x: np.ndarray) -> tuple[int, float]:
+    """The axis and cut of points: the widest axis whose smaller side holds ``LEAST_SIDE`` of them, or else the most even one."""
+    best = (-1, 0, 0.0)
+    for axis in np.argsort(-np.ptp(x, axis=0), kind="stable"):
+        v = x[:, axis]
+        middle = np.median(v)
+        above = v[v > middle]
+        for cut in (middle, above.min()) if len(above) else (middle,):
+            right = int((v >= cut).sum())
+            best = max(best, (min(right, len(v) - right), -int(axis), float(cut)), key=lambda b: b[0])
+        if best[0] >= LEAST_SIDE * len(v):
+            break
+    return -best[1], best[2]
+
+
 @dataclass(frozen=True)
 class SpaceTree:
     """A complete binary tree of cuts, in heap order."""
@@ -51,8 +69,7 @@ class SpaceTree:
             x = held.pop(node)
             if not len(x):
                 x = np.zeros((1, points.shape[1]))
-            axis[node] = np.argmax(np.ptp(x, axis=0))
-            cut[node] = np.median(x[:, axis[node]])
+            axis[node], cut[node] = _halving(x)
             right = x[:, axis[node]] >= cut[node]
             held[2 * node + 1], held[2 * node + 2] = x[~right], x[right]
         return cls(depth, axis, cut)

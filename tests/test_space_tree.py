@@ -92,3 +92,13 @@ def test_tree_touches_every_leaf_in_reach():
     for i in range(50):
         inside = np.abs(x[:, :2] - x[i, :2]).max(1) <= 0.3
         assert {(i, v) for v in leaf[inside].tolist()} <= hit
+
+
+def test_tree_parts_a_line_that_holds_most_places():
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.exponential(size=4096) * 50, rng.normal(size=4096), np.zeros(4096)])
+    x[rng.random(4096) < 0.6, 0] = 20.0
+    tree = space_tree.SpaceTree.over(x, 6)
+    assert np.bincount(tree.leaf(x), minlength=64).max() <= 4 * 4096 / 64
+    steps = np.column_stack([np.arange(4096) % 2, np.zeros(4096)]).astype(float)
+    assert set(np.bincount(space_tree.SpaceTree.over(steps, 3).leaf(steps))) == {0, 2048}
