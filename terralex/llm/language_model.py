@@ -4,7 +4,8 @@
    counts: the ``HEAD`` most frequent words travel as a bounded table, the rest of a text's words are
    joined with the full vocabulary.
 2. Pairs of neighbouring words of all training rows are counted exactly as 64-bit keys, combined in
-   the task before the shuffle and dealt out in buckets whose number follows the corpus.
+   the task before the shuffle and dealt out, with the words, in buckets whose number follows the corpus.
+   A bucket is one row, so the filter needs no shuffle of its own.
 3. A key with count c enters a Bloom filter at the levels 1 .. 1 + floor(log_b(c / floor)), the log
    frequency. Every bucket owns a segment of the filter and builds it alone. A reader probes level
    after level until one is missing, which gives the quantised count, never above it but for the
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,18 +98,17 @@ class Words:
         if len(self.place) > MEMORY:
             self.place = {}
         place = self.place
-        out = [place.get(w, -1) for w in words]
-        if -1 in out:
-            for i, p in enumerate(out):
-                if p < 0:
-                    w = words[i]
-                    p = place.get(w)
-                    if p is None:
-                        p = place[w] = len(place)
-                        self.hashes[p] = _word_hash(w)
-                        self.counts[p] = self.head.get(w, -1)
-                    out[i] = p
-        return np.array(out, np.int64)
+        out = np.array([place.get(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            known = len(place)
+            late = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(late))
+            place.update(zip(new, range(known, known + len(new))))
+            self.hashes[known : known + len(new)] = np.array([_word_hash(w) for w in new], np.uint64)
+            self.counts[known : known + len(new)] = [self.head.get(w, -1) for w in new]
+            out[missing] = [place[w] for w in late]
+        return out
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[list[int], list[list[bytes]]]]:
@@ -163,7 +164,7 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.Recor
         [
             pa.array(bucket[cuts[:-1]]),
             pa.array([packed[a:b].tobytes() for a, b in spans], pa.binary()),
-            pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
+            pa.array([np.minimum(counts[a:b], 2**32 - 1).astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
         ],
         names=["bucket", "keys", "counts"],
     )
@@ -178,8 +179,13 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
-def pair_counts(training: DataFrame, bits: int) -> DataFrame:
-    """(bucket, keys, counts): exact counts of all pairs; counts beyond 32 bits stay at the top."""
+def key_counts(training: DataFrame, vocabulary: DataFrame, bits: int) -> DataFrame:
+    """(bucket, keys, counts): exact counts of all pairs and words, a bucket a row; counts beyond 32 bits stay at the top."""
+
+    def word_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = np.array([_word_hash(w.as_py()) for w in b.column("word")], np.uint64)
+            yield from _blobs(*_summed(_trim(unigram_keys(h), bits), b.column("n").to_numpy()), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words({})
@@ -196,12 +202,14 @@ def pair_counts(training: DataFrame, bits: int) -> DataFrame:
             yield from _blobs(*np.unique(np.concatenate(held), return_counts=True), bits)
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, counts = _read_blobs(table, bits)
-        keys, counts = _summed(keys, counts)
-        batches = list(_blobs(keys, np.minimum(counts, 2**32 - 1), bits))
+        words = _read_blobs(table.filter(table["words"]), bits)
+        pairs = _summed(*_read_blobs(table.filter(pc.invert(table["words"])), bits))
+        batches = list(_blobs(*(np.concatenate(x) for x in zip(pairs, words)), bits))
         return pa.Table.from_batches(batches) if batches else pa.table({"bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "counts": pa.array([], pa.binary())})
 
-    return training.select("text").transform(map_batches, run, BLOBS).groupBy("bucket").applyInArrow(merge, BLOBS)
+    pairs = training.select("text").transform(map_batches, run, BLOBS).withColumn("words", F.lit(False))
+    words = vocabulary.select("word", "n").transform(map_batches, word_entries, BLOBS).withColumn("words", F.lit(True))
+    return pairs.unionByName(words).groupBy("bucket").applyInArrow(merge, BLOBS)
 
 
 def _parts(tokens: list[list[bytes]]) -> Iterator[list[bytes]]:
@@ -244,23 +252,24 @@ class CountFilter:
         return _mix(keys + step) & np.uint64(segment - 1)
 
     def estimate(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts: probes level after level until one is missing."""
-        keys = _trim(keys, self.bits)
+        """Quantised counts: probes level after level until one is missing; equal keys are probed once."""
+        keys, whose = np.unique(_trim(keys, self.bits), return_inverse=True)
         level = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         origin = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.segment)
         for j in range(1, LEVELS + 1):
             for n in range(HASHES):
-                at = origin[alive] + self.places(keys[alive], j, n, self.segment)
-                alive = alive[(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                at = origin + self.places(keys, j, n, self.segment)
+                met = np.flatnonzero((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                alive, keys, origin = alive[met], keys[met], origin[met]
             if not len(alive):
                 break
             level[alive] = j
-        return np.where(level > 0, self.floor * BASE ** (level - 1.0), 0.0)
+        return np.where(level > 0, self.floor * BASE ** (level - 1.0), 0.0)[whose]
 
 
 def build_filter(entries: DataFrame, bits: int, size: int | None = None, least: int = 2) -> CountFilter:
-    """From (bucket, keys, counts): every bucket sets the bits of its own segment, and all reach the driver.
+    """From (bucket, keys, counts), a bucket a row: each sets the bits of its own segment, and all reach the driver.
 
     Counts from ``least`` on enter. Without a ``size`` the filter has room for all of them.
     """
@@ -281,19 +290,21 @@ def build_filter(entries: DataFrame, bits: int, size: int | None = None, least:
     floor = int(np.ceil(least * BASE ** (lowest - 1) - 1e-9))
     segment = size * 8 >> bits
 
-    def fill(table: pa.Table) -> pa.Table:
-        keys, counts = _read_blobs(table, bits)
-        flags = np.zeros(segment, bool)
-        level = levels_of(counts, floor)
-        for j in range(1, int(level.max(initial=0)) + 1):
-            own = keys[level >= j]
-            for n in range(HASHES):
-                flags[CountFilter.places(own, j, n, segment)] = True
-        return pa.table({"bucket": table["bucket"][:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in (b.slice(i, 1) for i in range(b.num_rows)):
+                keys, counts = _read_blobs(row, bits)
+                flags = np.zeros(segment, bool)
+                level = levels_of(counts, floor)
+                for j in range(1, int(level.max(initial=0)) + 1):
+                    own = keys[level >= j]
+                    for n in range(HASHES):
+                        flags[CountFilter.places(own, j, n, segment)] = True
+                yield pa.RecordBatch.from_arrays([row["bucket"], pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
 
     data = np.zeros(size, np.uint8)
     width = size >> bits
-    for r in entries.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary").collect():
+    for r in entries.select("bucket", "keys", "counts").transform(map_batches, fill, "bucket int, bits binary").collect():
         data[r["bucket"] * width : (r["bucket"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
     return CountFilter(data, bits, floor)
 
@@ -330,8 +341,8 @@ def by_weight(unigram: np.ndarray, follow: np.ndarray, group: np.ndarray, groups
     """(groups, weights): log10 probabilities summed by group, for every weight of the grid."""
     out = np.empty((groups, len(GRID)))
     for g, w in enumerate(GRID):
-        out[:, g] = np.bincount(group, np.log10(w * follow + (1 - w) * unigram), minlength=groups)
-    return out
+        out[:, g] = np.bincount(group, np.log(w * follow + (1 - w) * unigram), minlength=groups)
+    return out / np.log(10)  # numpy takes natural logarithms several at a time
 
 
 def _framed(model: Model, words: Words, tokens: list[list[bytes]]):
@@ -351,15 +362,7 @@ def train(training: DataFrame, size: int | None = None) -> tuple[Model, DataFram
     head = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
     head.setdefault(END, 0)
     bits = (max(LEAST_BUCKETS, -(-tokens // BUCKET_TOKENS)) - 1).bit_length()
-    pairs = saved(pair_counts(training, bits), "lm-pairs")
-
-    def word_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = np.array([_word_hash(w.as_py()) for w in b.column("word")], np.uint64)
-            yield from _blobs(*_summed(_trim(unigram_keys(h), bits), b.column("n").to_numpy()), bits)
-
-    singles = vocabulary.transform(map_batches, word_entries, BLOBS)
-    counts = build_filter(pairs.unionByName(singles), bits, size, FLOOR)
+    counts = build_filter(saved(key_counts(training, vocabulary, bits), "lm-keys"), bits, size, FLOOR)
     return Model(counts, head, tokens, distinct), vocabulary
 
 

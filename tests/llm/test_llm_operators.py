@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -325,6 +326,31 @@ def test_filter_holds_log_counts(spark):
     assert language_model.build_filter(entries, 6, 1 << 12).floor > 2
 
 
+def test_a_bucket_of_pairs_and_words_is_one_row(spark):
+    rows = spark.createDataFrame([("a b a b",), ("a b",), ("",)], "text string").repartition(3)
+    vocabulary = language_model.word_counts(rows)
+    buckets = language_model.key_counts(rows, vocabulary, 6).collect()
+    assert len({r["bucket"] for r in buckets}) == len(buckets)
+    got = Counter()
+    for r in buckets:
+        keys, counts = language_model._read_blobs(pa.table({k: [r[k]] for k in ("bucket", "keys", "counts")}), 6)
+        got.update(dict(zip(keys.tolist(), counts.tolist())))
+    h = lambda *w: [np.array([language_model._word_hash(x)], np.uint64) for x in w]
+    trim = lambda k: int(language_model._trim(k, 6)[0])
+    want = {trim(language_model.unigram_keys(*h(w))): n for w, n in ((b"a", 3), (b"b", 3), (b"", 3))}
+    # Every text is framed by ends.
+    want |= {trim(language_model.pair_keys(*h(*p))): n for p, n in (((b"", b"a"), 2), ((b"a", b"b"), 3), ((b"b", b"a"), 1), ((b"b", b""), 2), ((b"", b""), 1))}
+    assert got == want
+
+
+def test_filter_probes_equal_keys_alike():
+    rng = np.random.default_rng(5)
+    f = language_model.CountFilter(rng.integers(0, 256, 1 << 12).astype(np.uint8) | rng.integers(0, 256, 1 << 12).astype(np.uint8), 6, 1)
+    keys = rng.integers(0, 2**63, 300).astype(np.uint64)[rng.integers(0, 300, 2000)]
+    assert (f.estimate(keys) == np.concatenate([f.estimate(k[None]) for k in keys])).all()
+    assert f.estimate(keys[:0]).shape == (0,) and (f.estimate(keys) > 0).any()
+
+
 def test_filter_follows_the_corpus_and_every_row_tunes(docs, texts):
     import zlib
 
