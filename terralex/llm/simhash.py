@@ -108,7 +108,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CR
         raise ValueError("the halves are laid out for radius 4")
     variants = _half_variants(distinct)
     shared = variants.groupBy("side", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = saved(variants.join(shared, ["side", "key"]), "simhash-met")
+    # Spark takes an exploded table to be as small as its source and would broadcast it; merge joins keep it off the driver.
+    met = saved(variants.join(shared.hint("merge"), ["side", "key"]), "simhash-met")
     sparse = met.filter(F.col("n") <= crowd)
     a = sparse.select("side", "key", F.col("fp").alias("u"), F.col("flip").alias("fu"))
     b = sparse.select("side", "key", F.col("fp").alias("v"), F.col("flip").alias("fv"))
@@ -119,7 +120,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CR
     dense = saved(met.filter(F.col("n") > crowd).select("fp").distinct(), "simhash-dense")
     ball = _ball(dense, radius // 2)
     least = ball.groupBy("key").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).filter("u < top").select("key", "u")
-    stars = ball.join(least, "key").filter("u < fp").select("u", F.col("fp").alias("v"))
+    stars = ball.join(least.hint("merge"), "key").filter("u < fp").select("u", F.col("fp").alias("v"))
     return pairs.unionByName(stars)
 
 

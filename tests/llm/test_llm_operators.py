@@ -278,6 +278,15 @@ def test_links_within_radius(spark, crowd):
     assert union_find(prints, got) == union_find(prints, near)
 
 
+def test_exploded_fingerprints_are_not_broadcast(spark):
+    links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in range(200)], "fp bigint"), crowd=4)
+    plan = links._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(re.match(r"[\s:|+-]*", line)[0]) for line in plan]
+    sent = [i for i, line in enumerate(plan) if "BroadcastExchange" in line]
+    below = [line for i in sent for j, line in enumerate(plan[i + 1 :], i + 1) if all(d > depth[i] for d in depth[i + 1 : j + 1])]
+    assert any("Generate explode" in line for line in plan) and not any("Generate explode" in line for line in below)
+
+
 def test_simhash_edges(edge, empty):
     got = simhash.near_groups(edge).collect()
     groups = defaultdict(set)
