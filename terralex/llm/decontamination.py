@@ -4,8 +4,8 @@
    is counted over all documents and gives the inverse-frequency weights. Words in more than
    ``MOST_SHARE`` of the passages are left out of the vectors, but every item keeps its ``RAREST`` rarest.
 2. A randomised SVD of the weighted passages of all documents and of the items yields the latent axes:
-   tasks multiply their sparse passages with the test matrix and its products, and only matrices of fixed
-   size meet, summed in slices. Items go in blocks of at most ``BLOCK``, each with its own axes, at most
+   tasks sum the products of their sparse passages' words, which are multiplied with the test matrix and its
+   products, and only matrices of fixed size meet, summed in slices. Items go in blocks of at most ``BLOCK``, each with its own axes, at most
    ``RANK`` and half as many as the block's passages, so that words that go together share axes.
 3. Every passage of every document is projected, and its latent product with every item over the full
    lengths of both is its cosine, or the plain product of shared words if that is larger; passages above
@@ -16,7 +16,8 @@
 5. A candidate is checked on the words around it: the longest common subsequence with the item covers
    ``LCS`` of it, or a smaller part and also the answer, the item's last sentence.
 
-Words are white-space tokens in lower case without outer punctuation. Up to ``ITEMS_A_PASS`` items are
+Words are white-space tokens in lower case without outer punctuation. Texts are read once in a pass: their
+words' numbers are saved, at two or four bytes a word, and all further steps read these. Up to ``ITEMS_A_PASS`` items are
 searched in one pass over the documents.
 
 Nulls: a null text is the empty text and leaks nothing; a null or wordless item is no item; a null
@@ -26,7 +27,8 @@ document id is carried along. Repeated rows are each found. Empty tables give an
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,12 @@ MOST_SHARE = 0.01
 CANDIDATE = 0.3
 CONTAINED = 0.4
 LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.65, 0.8
+#: Rounding may take a little off a half of ``CONTAINED``.
+HALF_ENOUGH = CONTAINED / 2 - 1e-9
+CELLS = 1 << 24
+CELLS_AT_ONCE = 1 << 18
 CHUNK_TOKENS = 1 << 17
-WINDOWS_AT_ONCE = 4096
+WINDOWS_AT_ONCE = 1024
 MEMORY = 300_000
 SEED = 10
 
@@ -57,8 +63,14 @@ OUTER = re.compile(r"^\W+|\W+$")
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 
 
+#: What ``OUTER`` cuts off tokens of ASCII alone.
+ASCII_OUTER = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "_")
+
+
 def word_of(token: str) -> str:
-    return token if token.isalnum() else OUTER.sub("", token)
+    if token.isalnum():
+        return token
+    return token.strip(ASCII_OUTER) if token.isascii() else OUTER.sub("", token)
 
 
 def words_of(text: str) -> list[str]:
@@ -105,7 +117,7 @@ class Numbers(dict):
 
 
 class TokenReader:
-    """Word numbers of texts, with a bounded memory of tokens seen."""
+    """Word numbers of texts, with a bounded memory of the tokens seen that need their punctuation cut."""
 
     def __init__(self, numbers: dict[str, int]):
         self.known = Numbers(numbers)
@@ -113,56 +125,83 @@ class TokenReader:
     def read(self, text: str) -> np.ndarray:
         if len(self.known) > MEMORY:
             self.known = Numbers(self.known.numbers)
-        tokens = text.lower().split()
-        return np.fromiter(map(self.known.__getitem__, tokens), np.int32, len(tokens))
-
-    def chunks(self, texts: pa.Array) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-        rows, parts, n = [], [], 0
-        for i, t in enumerate(texts):
-            ids = self.read(t.as_py())
-            ids = ids[ids > -2]  # tokens of punctuation alone are no words
-            rows.append(i)
-            parts.append(ids)
-            n += len(ids)
-            if n >= CHUNK_TOKENS:
-                yield rows, parts
-                rows, parts, n = [], [], 0
-        if rows:
-            yield rows, parts
+        known, numbers = self.known, self.known.numbers
+        # Words of items stand for themselves, and so do letters and digits alone.
+        return np.array([numbers[t] if t in numbers else -1 if t.isalnum() else known[t] for t in text.lower().split()], np.int32)
+
+    def words(self, text: str) -> np.ndarray:
+        ids = self.read(text)
+        return ids[ids > -2]  # tokens of punctuation alone are no words
+
+
+def _chunks(parts: Iterable[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Places and words of texts, about ``CHUNK_TOKENS`` a time."""
+    rows, own, n = [], [], 0
+    for i, ids in enumerate(parts):
+        rows.append(i)
+        own.append(ids)
+        n += len(ids)
+        if n >= CHUNK_TOKENS:
+            yield rows, own
+            rows, own, n = [], [], 0
+    if rows:
+        yield rows, own
 
 
 def _halves(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Item words of several texts: their numbers, their half windows, the first half of each text, and how many halves."""
-    per_text = np.array([max(1, -(-len(p) // HALF_WINDOW)) for p in parts])
-    first = np.concatenate([[0], np.cumsum(per_text)])
-    half = np.concatenate([first[i] + np.arange(len(p)) // HALF_WINDOW for i, p in enumerate(parts)]) if parts else np.zeros(0, int)
+    lengths = np.array([len(p) for p in parts], np.int64)
+    first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-lengths // HALF_WINDOW)))])
+    _, place = _spread(np.zeros(len(parts), np.int64), lengths)
+    half = np.repeat(first[:-1], lengths) + place // HALF_WINDOW
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     held = ids >= 0
     return ids[held], half[held], first[:-1], int(first[-1])
 
 
-def passage_frequencies(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """In how many passages each word occurs, and the number of passages, over all documents."""
-    numbers, size = items.numbers, len(items.numbers)
+def numbered_words(rows: DataFrame, items: Items) -> DataFrame:
+    """``rows`` with the numbers of their texts' words (``words``) in place of ``text``, read once and saved.
+
+    Every task adds one row that counts the passages holding each word and, at the end, all its passages (``tally``).
+    """
+    numbers, size, kind = items.numbers, len(items.numbers), _kind(items)
+    keys = [f for f in rows.schema if f.name != "text"]
+    out = T.StructType([*(T.StructField(f.name, f.dataType) for f in keys), T.StructField("words", T.BinaryType()), T.StructField("tally", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = TokenReader(numbers)
-        total, passages = np.zeros(size, np.int64), 0
+        total, passages, last = np.zeros(size, np.int64), 0, None
         for b in batches:
-            for _, parts in reader.chunks(b.column("text")):
-                ids, half, _, n = _halves(parts)
+            parts = [reader.words(t.as_py()) for t in b.column("text")]
+            for _, own in _chunks(parts):
+                ids, half, _, n = _halves(own)
                 total += np.bincount(np.unique(half.astype(np.int64) * size + ids) % size, minlength=size)
                 passages += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], passages))], names=["word", "n"])
+            last = [b.column(f.name) for f in keys]
+            words = pa.array([p.astype(kind).tobytes() for p in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*last, words, pa.nulls(len(parts), pa.list_(pa.int64()))], names=out.names)
+        if last is not None:
+            tally = pa.array([np.append(total, passages)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, x.type) for x in last), pa.nulls(1, pa.binary()), tally], names=out.names)
+
+    return saved(rows.transform(map_batches, run, out), "lsa-words")
+
+
+def _kind(items: Items) -> type:
+    return np.int16 if len(items.numbers) < 1 << 15 else np.int32
+
 
-    out, passages = np.zeros(size, np.int64), 0
-    for r in texts.select("text").transform(map_batches, run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        if r["word"] < 0:
-            passages = r["n"]
-        else:
-            out[r["word"]] = r["n"]
-    return out, passages
+def _read_words(words: pa.Array, kind: type) -> Iterator[np.ndarray]:
+    return (np.frombuffer(w.as_buffer(), kind) for w in words)
+
+
+def passage_frequencies(numbered: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """In how many passages each word occurs, and the number of passages, over all documents."""
+    out = np.zeros(len(items.numbers) + 1, np.int64)
+    tallies = numbered.filter("tally IS NOT NULL").select(F.posexplode("tally").alias("word", "n")).filter("n > 0")
+    for r in tallies.groupBy("word").agg(F.sum("n").alias("n")).collect():
+        out[r["word"]] = r["n"]
+    return out[:-1], int(out[-1])
 
 
 def _tfidf(ids: np.ndarray, row: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,27 +256,69 @@ class Pieces:
         cols, self.posting = (np.array(x) for x in zip(*pairs))
         self.first = np.searchsorted(cols, np.arange(len(chosen) + 1))
         self.totals = np.bincount(self.posting, self.weights[cols], minlength=len(parts))
+        self.words = cols[np.argsort(self.posting, kind="stable")]
+        self.word_first = np.concatenate([[0], np.cumsum(np.bincount(self.posting, minlength=len(parts)))])
 
     def candidates(self, ids: np.ndarray, half: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(window, item place, largest contained share of a piece): a window is named by its first half."""
+        """(window, item place, largest contained share of a piece): a window is named by its first half.
+
+        Of a window that holds enough of a piece one half holds at least half as much, so only such windows are weighed.
+        """
         cols = self.column[ids]
         c, h = cols[cols >= 0].astype(np.int64), half[cols >= 0]
-        before = np.append(False, text[1:] == text[:-1])[h]
         size, pieces = len(self.weights), len(self.owner)
-        key = np.unique(np.concatenate([h, h[before] - 1]) * size + np.concatenate([c, c[before]]))
-        window, c = key // size, key % size
-        held = np.bincount(window, self.weights[c], minlength=len(text))
-        enough = held[window] >= CONTAINED * self.totals.min()
-        window, c = window[enough], c[enough]
-        if not len(window):
+        key = np.unique(h * size + c)
+        if not len(key):
             return
-        times = self.first[c + 1] - self.first[c]
-        each = np.repeat(np.arange(len(c)), times)
-        place = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-        met, at = np.unique(window[each] * pieces + self.posting[self.first[c[each]] + place], return_inverse=True)
-        share = np.bincount(at, self.weights[c[each]]) / self.totals[met % pieces]
+        h, c = key // size, key % size
+        held, met = np.bincount(h, self.weights[c]), []
+        before = np.append(False, text[1:] == text[:-1])
+        h, c = (x[held[h] >= HALF_ENOUGH * self.totals.min()] for x in (h, c))
+        for a, b in _cuts(h, max(1, CELLS_AT_ONCE // pieces)):
+            each, place = _spread(self.first[c[a:b]], self.first[c[a:b] + 1])
+            cell, share = _sums((h[a:b] - h[a])[each] * pieces + self.posting[place], self.weights[c[a:b]][each], HALF_ENOUGH * self.totals.min())
+            own = cell[share >= HALF_ENOUGH * self.totals[cell % pieces]]
+            own = own + h[a] * pieces
+            met += [own, own[before[own // pieces]] - pieces]
+        met = np.unique(np.concatenate([np.empty(0, np.int64), *met]))
+        window, piece = met // pieces, met % pieces
+        each, place = _spread(self.word_first[piece], self.word_first[piece + 1])
+        c, at = self.words[place], window[each]
+        more = np.append(text[1:] == text[:-1], False)[at]
+        has = _among(at * size + c, key) | more & _among((at + 1) * size + c, key)
+        share = np.bincount(each, self.weights[c] * has, minlength=len(met)) / self.totals[piece]
         for i in np.flatnonzero(share >= CONTAINED):
-            yield int(met[i] // pieces), int(self.owner[met[i] % pieces]), float(share[i])
+            yield int(window[i]), int(self.owner[piece[i]]), float(share[i])
+
+
+def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and which place, for every place of several ranges."""
+    times = end - first
+    each = np.repeat(np.arange(len(first)), times)
+    return each, np.arange(len(each)) + np.repeat(first - np.cumsum(times) + times, times)
+
+
+def _cuts(sorted_rows: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries, each of less than ``most`` rows from its first one on."""
+    a = 0
+    while a < len(sorted_rows):
+        b = int(np.searchsorted(sorted_rows, sorted_rows[a] + most))
+        yield a, b
+        a = b
+
+
+def _sums(cells: np.ndarray, value: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cells whose values sum up to ``least`` or more: counted in place, or sorted where few of very many cells are met."""
+    if len(cells) * 16 >= cells.max(initial=0):
+        total = np.bincount(cells, value)
+        met = np.flatnonzero(total >= least)
+        return met, total[met]
+    met, at = np.unique(cells, return_inverse=True)
+    return met, np.bincount(at, value, minlength=len(met))
+
+
+def _among(wanted: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)] == wanted
 
 
 class Block:
@@ -261,38 +342,95 @@ class Block:
         length = np.maximum(np.sqrt([self.squares[w].sum() for w in self.words]), 1e-12)
         latent = self.weights[:, None] * axes
         self.vectors = np.stack([latent[w].sum(0) / n for w, n in zip(self.words, length)]).astype(np.float32)
-        plain = np.stack([np.bincount(w, minlength=len(axes)) / n for w, n in zip(self.words, length)], axis=1)
-        self.table = np.hstack([latent, self.squares[:, None] * plain]).astype(np.float32)
+        self.table = latent.astype(np.float32)
+        cols, posting = np.concatenate(self.words), np.repeat(np.arange(len(length)), [len(w) for w in self.words])
+        order = np.argsort(cols, kind="stable")
+        self.posting, self.first = posting[order], np.searchsorted(cols[order], np.arange(len(axes) + 1))
+        self.plain = (self.squares[cols] / length[posting])[order]
 
 
-def sparse_passages(texts: DataFrame, items: Items, blocks: list[Block]) -> DataFrame:
+def sparse_passages(numbered: DataFrame, items: Items, blocks: list[Block]) -> DataFrame:
     """(words, half): of every chunk of the documents, the numbers of words that stand for items, and their passages."""
-    numbers = items.numbers
+    kind = _kind(items)
     kept = np.logical_or.reduce([block.column >= 0 for block in blocks])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = TokenReader(numbers)
         for b in batches:
-            for _, parts in reader.chunks(b.column("text")):
+            for _, parts in _chunks(_read_words(b.column("words"), kind)):
                 ids, half, _, _ = _halves(parts)
                 near = kept[ids]
                 if near.any():
                     own = [ids[near].astype(np.int32).tobytes(), half[near].astype(np.int32).tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in own], names=["words", "half"])
 
-    return texts.select("text").transform(map_batches, run, "words binary, half binary")
+    return numbered.filter("words IS NOT NULL").select("words").transform(map_batches, run, "words binary, half binary")
+
+
+def _add_pairs(total: np.ndarray, rows: np.ndarray, cols: np.ndarray, value: np.ndarray, low: int, high: int, size: int) -> None:
+    """Adds A'A of sparse rows A, on and above the diagonal, to the cells of matrix rows ``low`` to ``high``."""
+    ends = np.append(np.flatnonzero(rows[1:] != rows[:-1]) + 1, len(rows))
+    end = np.repeat(ends, np.diff(ends, prepend=0))
+    a = np.flatnonzero((cols >= low) & (cols < high))
+    times = end[a] - a
+    each = np.repeat(a, times)
+    other = each + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+    np.add.at(total, (cols[each] - low) * size + cols[other], value[each] * value[other])
+
+
+def gram(passages: DataFrame, block: Block) -> DataFrame:
+    """(slice, part): the products of all pairs of words summed over all sparse passages, on and above the diagonal.
+
+    The passages are gone through in at most ``SLICES`` tasks, each of which sends a matrix of fixed size in
+    slices of rows; a matrix of more than ``CELLS`` numbers is made in several goes.
+    """
+    column, weights, size = block.column, block.weights, len(block.weights)
+    edges = np.linspace(0, size, SLICES + 1).astype(int)
+
+    def part(low: int, high: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((high - low) * size)
+            for b in batches:
+                for words, half in zip(b.column("words"), b.column("half")):
+                    cols = column[np.frombuffer(words.as_py(), np.int32)]
+                    own = cols >= 0
+                    if own.any():
+                        _add_pairs(total, *_tfidf(cols[own], np.frombuffer(half.as_py(), np.int32)[own], weights), low, high, size)
+            at = np.flatnonzero(total)
+            cuts = np.searchsorted(at + low * size, edges * size)
+            for i in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                own = at[cuts[i] : cuts[i + 1]]
+                cells = (own + (low - edges[i]) * size).astype(np.int32).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int32()), pa.array([cells], pa.binary()), pa.array([total[own].astype(np.float32).tobytes()], pa.binary())],
+                    names=["slice", "cells", "sums"],
+                )
+
+        return passages.coalesce(SLICES).transform(map_batches, run, "slice int, cells binary, sums binary")
+
+    def add(table: pa.Table) -> pa.Table:
+        i = table["slice"][0].as_py()
+        total = np.zeros((edges[i + 1] - edges[i]) * size)
+        for cells, sums in zip(table["cells"], table["sums"]):
+            total[np.frombuffer(cells.as_buffer(), np.int32)] += np.frombuffer(sums.as_buffer(), np.float32)
+        return pa.table({"slice": table["slice"][:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    step = max(1, CELLS // size)
+    parts = [part(low, min(low + step, size)) for low in range(0, size, step)]
+    return reduce(DataFrame.unionByName, parts).groupBy("slice").applyInArrow(add, "slice int, part binary")
 
 
 def latent_axes(passages: DataFrame, block: Block) -> np.ndarray:
     """(words, rank) right singular directions by randomised subspace iteration over all sparse passages.
 
-    In a round every task sends one matrix of words x (rank + oversample), in single precision and in
-    slices, which are summed before they reach the driver.
+    The products of the passages' words are summed once (``gram``). In a round every task multiplies its slices
+    of them and sends one matrix of words x (rank + oversample), in single precision and in slices, which are
+    summed before they reach the driver.
     """
-    column, weights = block.column, block.weights
-    rank = min(RANK, max(1, len(block.words) // 2), len(weights))
-    width = min(rank + OVERSAMPLE, len(weights))
-    edges = np.linspace(0, len(weights), SLICES + 1).astype(int)
+    weights, size = block.weights, len(block.weights)
+    rank = min(RANK, max(1, len(block.words) // 2), size)
+    width = min(rank + OVERSAMPLE, size)
+    edges = np.linspace(0, size, SLICES + 1).astype(int)
+    products = saved(gram(passages, block), "lsa-gram")
 
     def multiply(exact: np.ndarray) -> np.ndarray:
         matrix = exact.astype(np.float32)
@@ -300,11 +438,12 @@ def latent_axes(passages: DataFrame, block: Block) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(exact)
             for b in batches:
-                for words, half in zip(b.column("words"), b.column("half")):
-                    cols = column[np.frombuffer(words.as_py(), np.int32)]
-                    own = cols >= 0
-                    if own.any():
-                        total += _product(*_tfidf(cols[own], np.frombuffer(half.as_py(), np.int32)[own], weights), matrix)
+                for at, part in zip(b.column("slice"), b.column("part")):
+                    i, j = edges[at.as_py()], edges[at.as_py() + 1]
+                    upper = np.frombuffer(part.as_buffer(), np.float32).reshape(j - i, size)
+                    total[i:j] += upper @ matrix
+                    total += upper.T @ matrix[i:j]
+                    total[i:j] -= upper[np.arange(j - i), np.arange(i, j)][:, None] * matrix[i:j]
             parts = [total[i:j].astype(np.float32).tobytes() for i, j in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], names=["slice", "part"])
 
@@ -315,16 +454,16 @@ def latent_axes(passages: DataFrame, block: Block) -> np.ndarray:
         own = np.concatenate(block.words)
         rows = np.repeat(np.arange(len(block.words)), [len(w) for w in block.words])
         total = _product(*_tfidf(own, rows, weights), exact)
-        for r in passages.transform(map_batches, run, "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary").collect():
+        for r in products.transform(map_batches, run, "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary").collect():
             i, j = edges[r["slice"]], edges[r["slice"] + 1]
             total[i:j] += np.frombuffer(r["part"], np.float64).reshape(j - i, width)
         return total
 
-    q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(weights), width)))[0]
+    q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, width)))[0]
     for _ in range(POWER_ROUNDS):
         q = np.linalg.qr(multiply(q))[0]
-    gram = q.T @ multiply(q)
-    values, turn = np.linalg.eigh((gram + gram.T) / 2)
+    inner = q.T @ multiply(q)
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
     return q @ turn[:, np.argsort(-values)[:rank]]
 
 
@@ -355,12 +494,12 @@ class Searcher:
         self.__dict__.update(state)
         self.reader = TokenReader(self.items.numbers)
 
-    def search(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
-        """(row, item place, cosine, LCS share, answer share) of every leak; the best check of each row and item.
+    def search(self, words: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
+        """(row, item place, cosine, LCS share, answer share) of every leak into texts whose words are given by number.
 
-        The cosine is 0 where only the contained share made it a candidate.
+        The best check of each row and item counts. The cosine is 0 where only the contained share made it a candidate.
         """
-        for rows, parts in self.reader.chunks(texts):
+        for rows, parts in _chunks(_read_words(words, _kind(self.items))):
             ids, half, first, n = _halves(parts)
             text = np.repeat(np.arange(len(parts)), np.diff(np.append(first, n)))
             near: dict[tuple[int, int], float] = {}
@@ -397,17 +536,20 @@ class Searcher:
             own_c, own_h = c[a:b][near], h[a:b][near]
             cut = np.concatenate([[0], 1 + np.flatnonzero(own_h[1:] != own_h[:-1])])
             halves = own_h[cut]
-            sums = np.add.reduceat(block.table[own_c], cut, axis=0)
+            sums = np.add.reduceat(block.table.take(own_c, axis=0), cut, axis=0)
             squares = np.add.reduceat(block.squares[own_c], cut)
+            each, place = _spread(block.first[own_c], block.first[own_c + 1])
+            row, members = np.repeat(np.arange(len(halves)), np.diff(np.append(cut, len(own_h)))), len(block.members)
+            plain = np.bincount(row[each] * members + block.posting[place], block.plain[place], minlength=len(halves) * members)
+            plain = plain.astype(np.float32).reshape(-1, members)
 
-            def at(place: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            def at(place: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
                 k = np.minimum(np.searchsorted(halves, place), len(halves) - 1)
                 there = there & (halves[k] == place)
-                return sums[k] * there[:, None], squares[k] * there
+                return sums[k] * there[:, None], squares[k] * there, plain[k] * there[:, None]
 
-            (x, s), (y, r) = at(part, np.ones(len(part), bool)), at(part + 1, more[part])
-            both = x + y
-            cosine = np.maximum(both[:, : block.rank] @ block.vectors.T, both[:, block.rank :]) / np.sqrt(np.maximum(s + r, 1e-12))[:, None]
+            (x, s, p), (y, r, q) = at(part, np.ones(len(part), bool)), at(part + 1, more[part])
+            cosine = np.maximum((x + y) @ block.vectors.T, p + q) / np.sqrt(np.maximum(s + r, 1e-12))[:, None]
             for w, k in zip(*np.nonzero(cosine >= CANDIDATE)):
                 yield int(part[w]), block.members[k], float(cosine[w, k])
 
@@ -423,7 +565,12 @@ class Searcher:
 
 def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
     """A searcher for each pass, its statistics counted over all of ``docs`` (doc_id and text)."""
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    for searcher, _ in _passes(docs.select("doc_id", text_or_empty().alias("text")), benchmark):
+        yield searcher
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Searcher, DataFrame]]:
+    """For each pass a searcher, and ``rows`` with numbered words (column words) in place of text."""
     named = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
     passes = max(1, -(-named.count() // ITEMS_A_PASS))
     for n in range(passes):
@@ -431,12 +578,13 @@ def searchers(docs: DataFrame, benchmark: DataFrame) -> Iterator[Searcher]:
         items = Items(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1])))
         if not items.words:
             continue
-        frequency, passages = passage_frequencies(texts, items)
+        numbered = numbered_words(rows, items)
+        frequency, passages = passage_frequencies(numbered, items)
         blocks = [Block(items, range(i, min(i + BLOCK, len(items.passages))), frequency, passages) for i in range(0, len(items.passages), BLOCK)]
-        sparse = saved(sparse_passages(texts, items, blocks), "lsa-passages")
+        sparse = saved(sparse_passages(numbered, items, blocks), "lsa-passages")
         for block in blocks:
             block.fit(latent_axes(sparse, block))
-        yield Searcher(items, blocks, Pieces(items, frequency, passages))
+        yield Searcher(items, blocks, Pieces(items, frequency, passages)), numbered.filter("words IS NOT NULL").drop("tally")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -449,13 +597,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     item_type = pa.int64() if out["item_id"].dataType == T.LongType() else None
     found = spark.createDataFrame([], out)
-    for searcher in searchers(docs, benchmark):
+    for searcher, numbered in _passes(docs.select("doc_id", text_or_empty().alias("text")), benchmark):
         shared = spark.sparkContext.broadcast(searcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             s = shared.value
             for b in batches:
-                hits = list(s.search(b.column("text")))
+                hits = list(s.search(b.column("words")))
                 if hits:
                     rows, items, *figures = zip(*hits)
                     yield pa.RecordBatch.from_arrays(
@@ -463,25 +611,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         names=out.names,
                     )
 
-        found = found.unionByName(docs.select("doc_id", text_or_empty().alias("text")).transform(map_batches, run, out))
+        found = found.unionByName(numbered.transform(map_batches, run, out))
     return found
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no item leaks into, with all their columns."""
+    """The rows of ``docs`` that no item leaks into, with all their columns.
+
+    Rows travel with their numbered words, and every pass marks those it finds: its statistics cover all rows.
+    """
     ship_code(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("_row"), text_or_empty().alias("text"))
-    for searcher in searchers(docs, benchmark):
+    rows = docs.select(F.struct("*").alias("_row"), F.lit(False).alias("_leak"))
+    for searcher, numbered in _passes(rows.withColumn("text", text_or_empty("_row.text")), benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(searcher)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                clean = np.ones(b.num_rows, bool)
-                clean[[h[0] for h in shared.value.search(b.column("text"))]] = False
-                yield b.filter(pa.array(clean))
+                leak = b.column("_leak").to_numpy(zero_copy_only=False).copy()
+                leak[[h[0] for h in shared.value.search(b.column("words"))]] = True
+                yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(leak)], names=["_row", "_leak"])
 
-        rows = rows.transform(map_batches, run, rows.schema)
-    return rows.select("_row.*")
+        rows = numbered.transform(map_batches, run, rows.schema)
+    return rows.filter("NOT _leak").select("_row.*")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

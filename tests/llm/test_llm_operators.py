@@ -669,6 +669,87 @@ def test_axes_come_from_all_documents(spark):
     assert all(block.vectors[k] @ block.vectors[k ^ 1] > 0.3 for k in range(len(items)))
 
 
+def test_texts_are_read_once_in_a_pass(spark, tmp_path):
+    rows = [(n, " ".join(f"w{(n * k) % 89}" for k in range(1, 50))) for n in range(40)]
+
+    def count(batches):
+        for b in batches:
+            (tmp_path / f"{b.num_rows}-{random.SystemRandom().getrandbits(64)}").touch()
+            yield b
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").mapInArrow(count, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, rows[3][1])], "item_id bigint, text string")
+    read = lambda: sum(int(p.name.split("-")[0]) for p in tmp_path.iterdir())
+    assert [r["doc_id"] for r in decontamination.find_leaks(docs, bench).collect()] == [3] and read() == len(rows)
+    assert decontamination.without_leaks(docs, bench).count() == len(rows) - 1 and read() == 2 * len(rows)
+
+
+def test_items_of_many_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEMS_A_PASS", 1)
+    rows = [(n, " ".join(f"w{n * 7 + k}" for k in range(30))) for n in range(12)]
+    docs = spark.createDataFrame([*rows, (None, rows[2][1]), (50, None)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(n, rows[n][1]) for n in (2, 7, 7)], "item_id bigint, text string")
+    got = sorted({(r["doc_id"] or -1, r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()})
+    assert got == [(-1, 2), (2, 2), (7, 7)]
+    assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs, bench).collect()) == [0, 1, 3, 4, 5, 6, 8, 9, 10, 11, 50]
+
+
+def test_products_of_passages_are_summed_once(spark, monkeypatch):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(90)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 150))) for _ in range(60)]
+    items = decontamination.Items([(k, " ".join(rng.sample(vocabulary, 40))) for k in range(6)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    numbered = decontamination.numbered_words(docs, items)
+    frequency, passages = decontamination.passage_frequencies(numbered, items)
+    halves = [[items.numbers.get(w, -1) for w in t.split()[i : i + 32]] for t in texts for i in range(0, max(1, len(t.split())), 32)]
+    assert passages == len(halves)
+    assert frequency.tolist() == [sum(w in h for h in halves) for w in range(len(items.numbers))]
+    block = decontamination.Block(items, range(len(items.passages)), frequency, passages)
+    size = len(block.weights)
+    want = np.zeros((size, size))
+    for h in halves:
+        tf = Counter(int(block.column[w]) for w in h if w >= 0 and block.column[w] >= 0)
+        row = np.zeros(size)
+        row[list(tf)] = [(1 + math.log(n)) * block.weights[c] for c, n in tf.items()]
+        want += np.outer(row, row)
+    sparse = decontamination.sparse_passages(numbered, items, [block]).cache()
+    edges = np.linspace(0, size, decontamination.SLICES + 1).astype(int)
+    for cells in (decontamination.CELLS, 7 * size):
+        monkeypatch.setattr(decontamination, "CELLS", cells)
+        got = np.zeros((size, size))
+        for r in decontamination.gram(sparse, block).collect():
+            got[edges[r["slice"]] : edges[r["slice"] + 1]] = np.frombuffer(r["part"], np.float32).reshape(-1, size)
+        assert np.allclose(got, np.triu(want), rtol=1e-5)
+
+
+@pytest.mark.parametrize("cells", [1 << 18, 40])
+def test_pieces_held_by_windows(monkeypatch, cells):
+    monkeypatch.setattr(decontamination, "CELLS_AT_ONCE", cells)
+    rng = random.Random(22)
+    items = decontamination.Items([(k, " ".join(f"w{rng.randrange(120)}" for _ in range(rng.randint(3, 90)))) for k in range(30)])
+    size = len(items.numbers)
+    pieces = decontamination.Pieces(items, np.array([rng.randint(1, 50) for _ in range(size)]), 60)
+    parts = [np.array([rng.randrange(-1, size) for _ in range(rng.choice([0, 1, 31, 32, 33, 64, 200]))], np.int16) for _ in range(60)]
+    ids, half, first, n = decontamination._halves(parts)
+    text = np.repeat(np.arange(len(parts)), np.diff(np.append(first, n)))
+    assert n == sum(max(1, -(-len(p) // 32)) for p in parts)
+    got = {}
+    for w, k, share in pieces.candidates(ids, half, text):
+        got[w, k] = max(share, got.get((w, k), 0.0))
+    want = {}
+    cut = [(k, w) for k, words_ in enumerate(items.words) for w in decontamination.cut_evenly(words_, 32)]
+    for t, part in enumerate(parts):
+        for i in range(0, max(1, len(part)), 32):
+            held = set(part[i : i + 64].tolist())
+            for k, own in cut:
+                weights = {w: pieces.weights[pieces.column[w]] for w in own if pieces.column[w] >= 0}
+                share = sum(x for w, x in weights.items() if w in held) / sum(weights.values())
+                if share >= decontamination.CONTAINED:
+                    want[first[t] + i // 32, k] = max(share, want.get((first[t] + i // 32, k), 0.0))
+    assert len(want) > 100 and got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_decontamination_edges(edge, empty, spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six"), (None, "nothing of this kind at all anywhere")], "item_id bigint, text string")
     got = decontamination.find_leaks(edge, bench).collect()
