@@ -24,8 +24,9 @@ are zero, and the base score of a token is log10(1/1).
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,10 @@ def _word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED)
 
 
+def _word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, n)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -90,27 +95,28 @@ class Words:
     """Hashes and exact head counts of words, remembered for a bounded number of them."""
 
     def __init__(self, head: dict[bytes, int]):
-        self.head, self.place = head, {}
+        self.head, self.place = head, _numbering()
         self.hashes, self.counts = np.zeros(MEMORY + CHUNK_TOKENS, np.uint64), np.zeros(MEMORY + CHUNK_TOKENS, np.int64)
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Places of the words in ``hashes`` and ``counts`` (-1: not in the head), good until the next call."""
         if len(self.place) > MEMORY:
-            self.place = {}
-        place = self.place
-        out = np.array([place.get(w, -1) for w in words], np.int64)
-        missing = np.flatnonzero(out < 0)
-        if len(missing):
-            known = len(place)
-            late = [words[i] for i in missing.tolist()]
-            new = list(dict.fromkeys(late))
-            place.update(zip(new, range(known, known + len(new))))
-            self.hashes[known : known + len(new)] = np.array([_word_hash(w) for w in new], np.uint64)
-            self.counts[known : known + len(new)] = [self.head.get(w, -1) for w in new]
-            out[missing] = [place[w] for w in late]
+            self.place = _numbering()
+        place, known = self.place, len(self.place)
+        out = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        n = len(place) - known
+        if n:
+            new = list(islice(reversed(place), n))[::-1]
+            self.hashes[known : known + n] = _word_hashes(new, n)
+            self.counts[known : known + n] = np.fromiter(map(self.head.get, new, repeat(-1)), np.int64, n)
         return out
 
 
+def _numbering() -> defaultdict:
+    """Numbers words in the order in which they are first asked for."""
+    return defaultdict(count().__next__)
+
+
 def _chunks(texts: pa.Array) -> Iterator[tuple[list[int], list[list[bytes]]]]:
     """Rows and their tokens, about ``CHUNK_TOKENS`` a time; a longer text is a chunk alone."""
     rows, tokens, n = [], [], 0
@@ -184,7 +190,7 @@ def key_counts(training: DataFrame, vocabulary: DataFrame, bits: int) -> DataFra
 
     def word_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.array([_word_hash(w.as_py()) for w in b.column("word")], np.uint64)
+            h = _word_hashes(b.column("word").to_pylist(), b.num_rows)
             yield from _blobs(*_summed(_trim(unigram_keys(h), bits), b.column("n").to_numpy()), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +220,7 @@ def key_counts(training: DataFrame, vocabulary: DataFrame, bits: int) -> DataFra
 
 def _parts(tokens: list[list[bytes]]) -> Iterator[list[bytes]]:
     """The tokens of several texts in a row, in runs that ``Words`` can hold."""
-    flat = [w for t in tokens for w in t]
+    flat = list(chain.from_iterable(tokens))
     for i in range(0, len(flat), CHUNK_TOKENS):
         yield flat[i : i + CHUNK_TOKENS]
 
@@ -251,20 +257,26 @@ class CountFilter:
         step = np.atleast_1d(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([n + 1], np.uint64) * np.uint64(0xD1B54A32D192ED03)
         return _mix(keys + step) & np.uint64(segment - 1)
 
-    def estimate(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts: probes level after level until one is missing; equal keys are probed once."""
-        keys, whose = np.unique(_trim(keys, self.bits), return_inverse=True)
-        level = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
-        origin = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.segment)
+    def estimate(self, keys: np.ndarray, entered: np.ndarray | None = None) -> np.ndarray:
+        """Quantised counts: probes level after level until one is missing; equal keys are probed once.
+
+        Keys known to have ``entered``, once at least, are found on the first level and not probed there if its floor is one.
+        """
+        every, whose = np.unique(_trim(keys, self.bits), return_inverse=True)
+        level = np.zeros(len(every), np.int64)
+        if entered is not None and self.floor <= 1:
+            level[whose[entered]] = 1
         for j in range(1, LEVELS + 1):
+            alive = np.flatnonzero(level == j - 1)
+            keys = every[alive]
+            origin = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.segment)
             for n in range(HASHES):
                 at = origin + self.places(keys, j, n, self.segment)
                 met = np.flatnonzero((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
                 alive, keys, origin = alive[met], keys[met], origin[met]
-            if not len(alive):
-                break
             level[alive] = j
+            if level.max(initial=0) < j:
+                break
         return np.where(level > 0, self.floor * BASE ** (level - 1.0), 0.0)[whose]
 
 
@@ -315,18 +327,18 @@ class Model:
     def __init__(self, counts: CountFilter, head: dict[bytes, int], tokens: int, distinct: int):
         self.counts, self.head, self.tokens, self.distinct = counts, head, tokens, distinct
 
-    def look(self, words: Words, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every token: hash, exact head count (-1 outside the head), and count for the model."""
+    def look(self, words: Words, tokens: list[bytes], trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every token: hash, exact head count (-1 outside the head), and count for the model. ``trained``: tokens of training rows."""
         at = words.look_up(tokens)
         h, exact = words.hashes[at], words.counts[at]
         known = exact.astype(float)
         tail = np.flatnonzero(exact < 0)
-        known[tail] = self.counts.estimate(unigram_keys(h[tail]))
+        known[tail] = self.counts.estimate(unigram_keys(h[tail]), trained[tail])
         return h, exact, known
 
-    def parts(self, h: np.ndarray, known: np.ndarray, before: np.ndarray, seen_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def parts(self, h: np.ndarray, known: np.ndarray, before: np.ndarray, seen_before: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unigram probability, and how often the word follows the word before."""
-        pairs = np.minimum(self.counts.estimate(pair_keys(before, h)), seen_before)
+        pairs = np.minimum(self.counts.estimate(pair_keys(before, h), trained), seen_before)
         return (known + 1) / (self.tokens + self.distinct + 1), pairs
 
 
@@ -338,21 +350,39 @@ def mixed(pairs: np.ndarray, seen_before: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def by_weight(unigram: np.ndarray, follow: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """(groups, weights): log10 probabilities summed by group, for every weight of the grid."""
+    """(groups, weights): log10 probabilities summed by group, for every weight of the grid.
+
+    A word that never follows the word before has the weighted unigram probability alone: one logarithm serves all weights.
+    """
+    follows = follow > 0
+    alone = group[~follows]
+    times, sums = np.bincount(alone, minlength=groups), np.bincount(alone, np.log(unigram[~follows]), minlength=groups)
+    unigram, follow, group = unigram[follows], follow[follows], group[follows]
     out = np.empty((groups, len(GRID)))
     for g, w in enumerate(GRID):
-        out[:, g] = np.bincount(group, np.log(w * follow + (1 - w) * unigram), minlength=groups)
+        out[:, g] = sums + times * np.log(1 - w) + np.bincount(group, np.log(w * follow + (1 - w) * unigram), minlength=groups)
     return out / np.log(10)  # numpy takes natural logarithms several at a time
 
 
-def _framed(model: Model, words: Words, tokens: list[list[bytes]]):
+def _framed(model: Model, words: Words, tokens: list[list[bytes]], trained: np.ndarray):
     """Of the tokens of several texts in a row: model.look() and the word before each."""
-    parts = [model.look(words, p) for p in _parts(tokens)]
+    parts = [model.look(words, p, trained[n * CHUNK_TOKENS :][: len(p)]) for n, p in enumerate(_parts(tokens))]
     h, exact, known = (np.concatenate(x) for x in zip(*parts))
     end_hash, end_count = np.uint64(_word_hash(END)), float(model.head.get(END, 0))
     return h, exact, known, np.concatenate([[end_hash], h[:-1]]), np.concatenate([[end_count], known[:-1]])
 
 
+def _tails(tokens: list[list[bytes]], outside: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    """For each text its words at the places ``outside`` of the head, with how often they occur there."""
+    flat = list(chain.from_iterable(tokens))
+    words = [flat[i] for i in outside.tolist()]
+    cuts = np.searchsorted(outside, np.append(starts, len(flat))).tolist()
+    counted = [Counter(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    pairs = [pa.array(list(chain.from_iterable(counted)), pa.binary()), pa.array(list(chain.from_iterable(c.values() for c in counted)), pa.int64())]
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counted])]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(pairs, names=["word", "n"]))
+
+
 def train(training: DataFrame, size: int | None = None) -> tuple[Model, DataFrame]:
     """The model and the exact vocabulary (word, n)."""
     vocabulary = saved(word_counts(training), "lm-vocabulary")
@@ -396,33 +426,30 @@ def score_documents(docs: DataFrame, size: int | None = None) -> DataFrame:
         words = Words(m.head)
         for b in batches:
             for at, tokens in _chunks(b.column("text")):
-                h, exact, known, before, seen = _framed(m, words, tokens)
-                unigram, pairs = m.parts(h, known, before, seen)
-                follow, slot, any_seen = mixed(pairs, seen)
                 lengths = [len(t) for t in tokens]
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 row = np.repeat(np.arange(len(tokens)), lengths)
-                sums = by_weight(unigram[any_seen], follow[any_seen], (row * BINS + slot)[any_seen], len(tokens) * BINS)
-                # Training tokens are left out of their own counts.
                 held_out = b.column("held_out").take(pa.array(at))
                 own = ~held_out.to_numpy(zero_copy_only=False)[row]
+                h, exact, known, before, seen = _framed(m, words, tokens, own)
+                unigram, pairs = m.parts(h, known, before, seen, own)
+                follow, slot, any_seen = mixed(pairs, seen)
+                sums = by_weight(unigram[any_seen], follow[any_seen], (row * BINS + slot)[any_seen], len(tokens) * BINS)
+                # Training tokens are left out of their own counts.
                 follow, slot, others_seen = mixed(np.maximum(pairs[own] - 1, 0), seen[own] - 1)
                 tuning = by_weight(unigram[own][others_seen], follow[others_seen], slot[others_seen], BINS)
                 in_head = exact >= 0
                 unseen = np.add.reduceat(np.where(any_seen, 0.0, np.log10(unigram)), starts)
                 base = np.add.reduceat(np.log10(np.where(in_head, (exact + 1) / space, 1.0)), starts)
                 known_head = np.add.reduceat((exact > 0).astype(np.int64), starts)
-                tails = []
-                for t, a in zip(tokens, starts):
-                    out = np.flatnonzero(~in_head[a : a + len(t)])
-                    tails.append([{"word": k, "n": v} for k, v in Counter(t[i] for i in out).items()])
+                tails = _tails(tokens, np.flatnonzero(~in_head), starts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("row_no").take(pa.array(at)), b.column("doc_id").take(pa.array(at)), held_out,
                         pa.array(lengths, pa.int64()), pa.array(known_head), pa.array(base), pa.array(unseen),
                         pa.array(list(sums.reshape(len(tokens), -1)), pa.list_(pa.float64())),
                         pa.array([tuning.ravel()] + [None] * (len(tokens) - 1), pa.list_(pa.float64())),
-                        pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                        tails,
                     ],
                     names=["row_no", "doc_id", "held_out", "n_tokens", "known_head", "base_head", "unseen", "sums", "tuning", "tail"],
                 )

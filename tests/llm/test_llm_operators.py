@@ -360,6 +360,47 @@ def test_filter_probes_equal_keys_alike():
     assert f.estimate(keys[:0]).shape == (0,) and (f.estimate(keys) > 0).any()
 
 
+def test_entered_keys_are_not_probed_on_the_first_level(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    keys = np.unique(language_model._trim(rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2), 6))
+    counts = rng.integers(1, 60, len(keys))
+    entries = spark.createDataFrame([r for b in language_model._blobs(keys, counts, 6) for r in b.to_pylist()], language_model.BLOBS)
+    for f in (language_model.build_filter(entries, 6, None, 1), language_model.build_filter(entries, 6, 1 << 12, 1)):
+        asked = np.concatenate([keys, keys[:50], rng.integers(0, 2**63, 3000).astype(np.uint64)])
+        entered = np.arange(len(asked)) % 3 > 0
+        entered[len(keys) + 50 :] = False
+        probes, places = [], language_model.CountFilter.places
+        monkeypatch.setattr(language_model.CountFilter, "places", staticmethod(lambda k, j, n, s: probes.append((j, n, len(k))) or places(k, j, n, s)))
+        assert (f.estimate(asked, entered) == f.estimate(asked)).all()
+        once, plain = ([n for j, h, n in probes if (j, h) == (1, 0)])
+        assert once < plain if f.floor == 1 else once == plain
+        monkeypatch.setattr(language_model.CountFilter, "places", staticmethod(places))
+
+
+def test_words_that_follow_nothing_take_one_logarithm(monkeypatch):
+    rng = np.random.default_rng(6)
+    unigram, group = rng.uniform(1e-6, 1e-2, 1000), rng.integers(0, 5, 1000)
+    follow = np.where(rng.random(1000) < 0.7, 0.0, rng.random(1000))
+    terms = np.log10(language_model.GRID * follow[:, None] + (1 - language_model.GRID) * unigram[:, None])
+    taken, log = [], np.log
+    monkeypatch.setattr(np, "log", lambda x: taken.append(np.size(x)) or log(x))
+    got = language_model.by_weight(unigram, follow, group, 6)
+    assert sum(taken) <= (follow == 0).sum() + len(language_model.GRID) * ((follow > 0).sum() + 1) + 1
+    assert np.allclose(got, [terms[group == g].sum(0) for g in range(6)], rtol=1e-12, atol=0)
+
+
+def test_words_are_looked_up_alike(monkeypatch):
+    monkeypatch.setattr(language_model, "MEMORY", 30)
+    rng = random.Random(7)
+    head = {b"w%d" % i: i for i in range(40)}
+    words_ = language_model.Words(head)
+    for _ in range(40):
+        tokens = [b"w%d" % rng.randrange(80) for _ in range(rng.randint(0, 25))]
+        at = words_.look_up(tokens)
+        assert words_.hashes[at].tolist() == [language_model._word_hash(t) for t in tokens]
+        assert words_.counts[at].tolist() == [head.get(t, -1) for t in tokens]
+
+
 def test_filter_follows_the_corpus_and_every_row_tunes(docs, texts):
     import zlib
 
