@@ -24,9 +24,9 @@ are zero, and the base score of a token is log10(1/1).
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, count, islice, repeat
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -95,28 +95,27 @@ class Words:
     """Hashes and exact head counts of words, remembered for a bounded number of them."""
 
     def __init__(self, head: dict[bytes, int]):
-        self.head, self.place = head, _numbering()
+        self.head, self.place = head, {}
         self.hashes, self.counts = np.zeros(MEMORY + CHUNK_TOKENS, np.uint64), np.zeros(MEMORY + CHUNK_TOKENS, np.int64)
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Places of the words in ``hashes`` and ``counts`` (-1: not in the head), good until the next call."""
         if len(self.place) > MEMORY:
-            self.place = _numbering()
-        place, known = self.place, len(self.place)
-        out = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        n = len(place) - known
-        if n:
-            new = list(islice(reversed(place), n))[::-1]
-            self.hashes[known : known + n] = _word_hashes(new, n)
-            self.counts[known : known + n] = np.fromiter(map(self.head.get, new, repeat(-1)), np.int64, n)
+            self.place = {}
+        place = self.place
+        out = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            known = len(place)
+            late = [words[i] for i in missing.tolist()]
+            new = dict(zip(dict.fromkeys(late), count(known)))
+            place.update(new)
+            self.hashes[known : known + len(new)] = _word_hashes(new, len(new))
+            self.counts[known : known + len(new)] = np.fromiter(map(self.head.get, new, repeat(-1)), np.int64, len(new))
+            out[missing] = np.fromiter(map(new.__getitem__, late), np.int64, len(late))
         return out
 
 
-def _numbering() -> defaultdict:
-    """Numbers words in the order in which they are first asked for."""
-    return defaultdict(count().__next__)
-
-
 def _chunks(texts: pa.Array) -> Iterator[tuple[list[int], list[list[bytes]]]]:
     """Rows and their tokens, about ``CHUNK_TOKENS`` a time; a longer text is a chunk alone."""
     rows, tokens, n = [], [], 0
@@ -372,17 +371,6 @@ def _framed(model: Model, words: Words, tokens: list[list[bytes]], trained: np.n
     return h, exact, known, np.concatenate([[end_hash], h[:-1]]), np.concatenate([[end_count], known[:-1]])
 
 
-def _tails(tokens: list[list[bytes]], outside: np.ndarray, starts: np.ndarray) -> pa.ListArray:
-    """For each text its words at the places ``outside`` of the head, with how often they occur there."""
-    flat = list(chain.from_iterable(tokens))
-    words = [flat[i] for i in outside.tolist()]
-    cuts = np.searchsorted(outside, np.append(starts, len(flat))).tolist()
-    counted = [Counter(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-    pairs = [pa.array(list(chain.from_iterable(counted)), pa.binary()), pa.array(list(chain.from_iterable(c.values() for c in counted)), pa.int64())]
-    offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counted])]), pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(pairs, names=["word", "n"]))
-
-
 def train(training: DataFrame, size: int | None = None) -> tuple[Model, DataFrame]:
     """The model and the exact vocabulary (word, n)."""
     vocabulary = saved(word_counts(training), "lm-vocabulary")
@@ -442,14 +430,17 @@ def score_documents(docs: DataFrame, size: int | None = None) -> DataFrame:
                 unseen = np.add.reduceat(np.where(any_seen, 0.0, np.log10(unigram)), starts)
                 base = np.add.reduceat(np.log10(np.where(in_head, (exact + 1) / space, 1.0)), starts)
                 known_head = np.add.reduceat((exact > 0).astype(np.int64), starts)
-                tails = _tails(tokens, np.flatnonzero(~in_head), starts)
+                tails = []
+                for t, a in zip(tokens, starts):
+                    out = np.flatnonzero(~in_head[a : a + len(t)])
+                    tails.append([{"word": k, "n": v} for k, v in Counter(t[i] for i in out).items()])
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("row_no").take(pa.array(at)), b.column("doc_id").take(pa.array(at)), held_out,
                         pa.array(lengths, pa.int64()), pa.array(known_head), pa.array(base), pa.array(unseen),
                         pa.array(list(sums.reshape(len(tokens), -1)), pa.list_(pa.float64())),
                         pa.array([tuning.ravel()] + [None] * (len(tokens) - 1), pa.list_(pa.float64())),
-                        tails,
+                        pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
                     ],
                     names=["row_no", "doc_id", "held_out", "n_tokens", "known_head", "base_head", "unseen", "sums", "tuning", "tail"],
                 )
