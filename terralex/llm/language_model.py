@@ -1,22 +1,26 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-1. Words of the training rows are counted exactly (shuffled by word). The base score needs exact
-   counts: the ``HEAD`` most frequent words travel as a bounded table, the rest of a text's words are
-   joined with the full vocabulary.
-2. Pairs of neighbouring words of all training rows are counted exactly as 64-bit keys, combined in
-   the task before the shuffle and dealt out, with the words, in buckets whose number follows the corpus.
-   A bucket is one row, so the filter needs no shuffle of its own.
+1. Texts are cut into words once. About ``FLUSH_KEYS`` tokens become one row, a stack: the distinct words,
+   the tokens as numbers of these, and the texts' ids.
+2. Every stack asks for its distinct words and its distinct pairs of neighbouring words, pairs as 64-bit
+   keys, dealt out in buckets by the key; the number of buckets follows the corpus. A bucket sums the exact
+   counts in the training rows of its words and pairs.
 3. A key with count c enters a Bloom filter at the levels 1 .. 1 + floor(log_b(c / floor)), the log
-   frequency. Every bucket owns a segment of the filter and builds it alone. A reader probes level
-   after level until one is missing, which gives the quantised count, never above it but for the
-   filter's false positives. Keys seen once enter too. The filter's size follows the counted levels, so
-   that at most half of it is filled, and it is broadcast whole: about a byte for each distinct key and
-   level. Only a caller that names a size gets a filter of that size, whose floor rises until it fits.
-4. A word's probability mixes its relative frequency after the word before with its smoothed unigram
+   frequency. Every bucket owns a segment of the filter, builds it alone and probes it for all that was
+   asked: level after level until one is missing, which gives the quantised count, never above it but for
+   the filter's false positives. Keys seen once enter too. A segment's size follows its counted levels, so
+   that at most half of it is filled. Only a caller that names a size gets a filter of that size, whose
+   floors rise until it fits.
+4. The answers go back to the stacks by a shuffle, so no filter, vocabulary or segment reaches the driver
+   or is broadcast: exact counts of words, for the base score, and levels of words and pairs. The model
+   knows the ``HEAD`` most frequent words exactly and the rest by their levels.
+5. A word's probability mixes its relative frequency after the word before with its smoothed unigram
    probability. The weight, by how often the word before was seen, is estimated by leaving one out over
    all training rows. Scoring sums every document's logarithms for each weight in question, so that
    the tuning needs no pass of its own.
 
+``train`` gathers the whole filter for a caller that wants it as one object; scoring does without.
+
 Nulls: a null text is the empty text: one end token. A null id falls into the fold of the empty id.
 Repeated rows are scored each. An empty table gives an empty result; without training rows all counts
 are zero, and the base score of a token is log10(1/1).
@@ -24,7 +28,7 @@ are zero, and the base score of a token is log10(1/1).
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain, count, repeat
 
@@ -52,6 +56,7 @@ KEY_BITS = 40
 MEMORY = 150_000
 CHUNK_TOKENS = 1 << 17
 FLUSH_KEYS = 1 << 21
+FLUSH_ROWS = 1 << 16
 GRID = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99])
 BINS = 8
 #: Spark's xxhash64 of a string with its default seed, so that both sides agree.
@@ -175,13 +180,17 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.Recor
     )
 
 
+def _cut(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones of sorted keys, at least one, and the sums of their counts."""
+    first = np.concatenate([[0], 1 + np.flatnonzero(keys[1:] != keys[:-1])])
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.concatenate([[0], 1 + np.flatnonzero(keys[1:] != keys[:-1])])
-    return keys[first], np.add.reduceat(counts, first)
+    return _cut(keys[order], counts[order])
 
 
 def key_counts(training: DataFrame, vocabulary: DataFrame, bits: int) -> DataFrame:
@@ -245,11 +254,14 @@ def levels_of(counts: np.ndarray, floor: int) -> np.ndarray:
 
 
 class CountFilter:
-    """The filter: ``bits`` leading key bits choose the segment, hashes of key and level its places."""
+    """The filter: ``bits`` leading key bits choose the segment, hashes of key and level its places.
+
+    With ``bucket`` it holds that bucket's segment alone, for the bucket's keys.
+    """
 
-    def __init__(self, data: np.ndarray, bits: int, floor: int):
-        self.data, self.bits, self.floor = data, bits, floor
-        self.segment = len(data) * 8 >> bits
+    def __init__(self, data: np.ndarray, bits: int, floor: int, bucket: int | None = None):
+        self.data, self.bits, self.floor, self.bucket = data, bits, floor, bucket
+        self.segment = len(data) * 8 >> (bits if bucket is None else 0)
 
     @staticmethod
     def places(keys: np.ndarray, level: int | np.ndarray, n: int, segment: int) -> np.ndarray:
@@ -265,10 +277,15 @@ class CountFilter:
         level = np.zeros(len(every), np.int64)
         if entered is not None and self.floor <= 1:
             level[whose[entered]] = 1
+        return quantised(self.levels(every, level), self.floor)[whose]
+
+    def levels(self, every: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """The levels of trimmed keys, from those that are known already (1, else 0)."""
+        level = level.copy()
         for j in range(1, LEVELS + 1):
             alive = np.flatnonzero(level == j - 1)
             keys = every[alive]
-            origin = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.segment)
+            origin = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.segment) if self.bucket is None else np.zeros(len(keys), np.uint64)
             for n in range(HASHES):
                 at = origin + self.places(keys, j, n, self.segment)
                 met = np.flatnonzero((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
@@ -276,7 +293,43 @@ class CountFilter:
             level[alive] = j
             if level.max(initial=0) < j:
                 break
-        return np.where(level > 0, self.floor * BASE ** (level - 1.0), 0.0)[whose]
+        return level
+
+
+def quantised(level: np.ndarray, floor: int | np.ndarray) -> np.ndarray:
+    """The least count of a level; 0 below the first."""
+    return np.where(level > 0, floor * BASE ** (level - 1.0), 0.0)
+
+
+def _filled(keys: np.ndarray, counts: np.ndarray, floor: int, segment: int) -> np.ndarray:
+    """The bytes of one segment of ``segment`` bits."""
+    flags = np.zeros(segment, bool)
+    level = levels_of(counts, floor)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        own = keys[level >= j]
+        for n in range(HASHES):
+            flags[CountFilter.places(own, j, n, segment)] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def _floor(spectrum: dict[int, int], size: int, least: int) -> int:
+    """The least floor from ``least`` on at which the counted levels fill half of ``size`` bits at most."""
+    lowest = 1
+    while 2 * HASHES * sum(n * (level - lowest + 1) for level, n in spectrum.items() if level >= lowest) > size:
+        lowest += 1
+    return int(np.ceil(least * BASE ** (lowest - 1) - 1e-9))
+
+
+def bucket_filter(keys: np.ndarray, counts: np.ndarray, bits: int, bucket: int, size: int | None = None, least: int = FLOOR) -> CountFilter:
+    """One bucket's segment, as wide as its counted levels ask for, or its share of a filter of ``size`` bytes."""
+    spectrum = dict(zip(*(x.tolist() for x in np.unique(levels_of(counts, least), return_counts=True))))
+    if size is None:
+        wanted = 2 * HASHES * sum(n * level for level, n in spectrum.items())
+        segment = 1 << (max(LEAST_FILTER_BYTES * 8 >> bits, 8, wanted) - 1).bit_length()
+    else:
+        segment = size * 8 >> bits
+    floor = _floor(spectrum, segment, least)
+    return CountFilter(_filled(keys, counts, floor, segment), bits, floor, bucket)
 
 
 def build_filter(entries: DataFrame, bits: int, size: int | None = None, least: int = 2) -> CountFilter:
@@ -295,23 +348,14 @@ def build_filter(entries: DataFrame, bits: int, size: int | None = None, least:
     if size is None:
         wanted = HASHES * sum(n * level for level, n in spectrum.items()) // 4
         size = 1 << (max(LEAST_FILTER_BYTES, 1 << bits, wanted) - 1).bit_length()
-    lowest = 1
-    while HASHES * sum(n * (level - lowest + 1) for level, n in spectrum.items() if level >= lowest) > 4 * size:
-        lowest += 1
-    floor = int(np.ceil(least * BASE ** (lowest - 1) - 1e-9))
+    floor = _floor(spectrum, 8 * size, least)
     segment = size * 8 >> bits
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in (b.slice(i, 1) for i in range(b.num_rows)):
                 keys, counts = _read_blobs(row, bits)
-                flags = np.zeros(segment, bool)
-                level = levels_of(counts, floor)
-                for j in range(1, int(level.max(initial=0)) + 1):
-                    own = keys[level >= j]
-                    for n in range(HASHES):
-                        flags[CountFilter.places(own, j, n, segment)] = True
-                yield pa.RecordBatch.from_arrays([row["bucket"], pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
+                yield pa.RecordBatch.from_arrays([row["bucket"], pa.array([_filled(keys, counts, floor, segment).tobytes()], pa.binary())], names=["bucket", "bits"])
 
     data = np.zeros(size, np.uint8)
     width = size >> bits
@@ -321,25 +365,11 @@ def build_filter(entries: DataFrame, bits: int, size: int | None = None, least:
 
 
 class Model:
-    """What the workers need: filter, head counts and totals."""
+    """The whole filter, head counts and totals."""
 
     def __init__(self, counts: CountFilter, head: dict[bytes, int], tokens: int, distinct: int):
         self.counts, self.head, self.tokens, self.distinct = counts, head, tokens, distinct
 
-    def look(self, words: Words, tokens: list[bytes], trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every token: hash, exact head count (-1 outside the head), and count for the model. ``trained``: tokens of training rows."""
-        at = words.look_up(tokens)
-        h, exact = words.hashes[at], words.counts[at]
-        known = exact.astype(float)
-        tail = np.flatnonzero(exact < 0)
-        known[tail] = self.counts.estimate(unigram_keys(h[tail]), trained[tail])
-        return h, exact, known
-
-    def parts(self, h: np.ndarray, known: np.ndarray, before: np.ndarray, seen_before: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unigram probability, and how often the word follows the word before."""
-        pairs = np.minimum(self.counts.estimate(pair_keys(before, h), trained), seen_before)
-        return (known + 1) / (self.tokens + self.distinct + 1), pairs
-
 
 def mixed(pairs: np.ndarray, seen_before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Relative frequency after the word before, the bin of its weight, and whether there is one."""
@@ -363,16 +393,8 @@ def by_weight(unigram: np.ndarray, follow: np.ndarray, group: np.ndarray, groups
     return out / np.log(10)  # numpy takes natural logarithms several at a time
 
 
-def _framed(model: Model, words: Words, tokens: list[list[bytes]], trained: np.ndarray):
-    """Of the tokens of several texts in a row: model.look() and the word before each."""
-    parts = [model.look(words, p, trained[n * CHUNK_TOKENS :][: len(p)]) for n, p in enumerate(_parts(tokens))]
-    h, exact, known = (np.concatenate(x) for x in zip(*parts))
-    end_hash, end_count = np.uint64(_word_hash(END)), float(model.head.get(END, 0))
-    return h, exact, known, np.concatenate([[end_hash], h[:-1]]), np.concatenate([[end_count], known[:-1]])
-
-
 def train(training: DataFrame, size: int | None = None) -> tuple[Model, DataFrame]:
-    """The model and the exact vocabulary (word, n)."""
+    """The model, gathered by the driver, and the exact vocabulary (word, n)."""
     vocabulary = saved(word_counts(training), "lm-vocabulary")
     tokens, distinct = vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens = tokens or 0
@@ -399,83 +421,290 @@ def best_weights(scored: DataFrame) -> np.ndarray:
     return sums.reshape(BINS, len(GRID)).argmax(1)
 
 
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _array(parts: Iterable[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(bytearray().join(parts), kind)
+
+
+ASKS = "stack bigint, bucket int, keys binary, counts binary, words binary, word_counts binary"
+ANSWERS = "stack bigint, bucket int, levels binary, totals binary, word_levels binary, floor bigint, words binary"
+
+
+def stacks(rows: DataFrame) -> DataFrame:
+    """(stack, tokens, trained, words, ids, counts, lengths, held_out, doc_id): many texts a row, cut into words.
+
+    ``words`` are the distinct ones, the frequent first, with a blank between; ``ids`` their numbers for every token, the four
+    bytes of a number apart; ``counts`` how often they occur in training rows, ``trained`` the tokens there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, ids, held = defaultdict(count().__next__), [], []
+        n = 0
+        for b in batches:
+            kept, start = b.select(["row_no", "held_out", "doc_id"]), 0
+            for i, t in enumerate(b.column("text").cast(pa.large_binary())):
+                words = t.as_py().lower().split()
+                words.append(END)
+                if ids and (n + len(words) > FLUSH_KEYS or len(ids) == FLUSH_ROWS):
+                    yield stack(place, ids, [*held, kept.slice(start, i - start)])
+                    place, ids, held, start, n = defaultdict(count().__next__), [], [], i, 0
+                ids.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+                n += len(words)
+            held.append(kept.slice(start))
+        if ids:
+            yield stack(place, ids, held)
+
+    def stack(place: dict[bytes, int], ids: list[np.ndarray], held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        texts = pa.Table.from_batches(held).combine_chunks()
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = np.concatenate(ids)
+        words = list(place)
+        order = np.argsort(-np.bincount(ids), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        ids = rank[ids]
+        own = np.repeat(~texts["held_out"].to_numpy(), lengths)
+        return pa.RecordBatch.from_arrays(
+            [
+                texts["row_no"].chunk(0)[:1],
+                pa.array([len(ids)], pa.int64()),
+                pa.array([int(own.sum())], pa.int64()),
+                pa.array([_pack(b" ".join([words[i] for i in order.tolist()]))], pa.binary()),
+                pa.array([_pack(ids.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
+                pa.array([_pack(np.bincount(ids[own], minlength=len(words)).astype(np.uint32).tobytes())], pa.binary()),
+                pa.array([lengths.tolist()], pa.list_(pa.int64())),
+                *(pa.ListArray.from_arrays([0, len(texts)], texts[c].chunk(0)) for c in ("held_out", "doc_id")),
+            ],
+            names=["stack", "tokens", "trained", "words", "ids", "counts", "lengths", "held_out", "doc_id"],
+        )
+
+    out = T.StructType(
+        [T.StructField(n, T.LongType()) for n in ("stack", "tokens", "trained")]
+        + [T.StructField(n, T.BinaryType()) for n in ("words", "ids", "counts")]
+        + [T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("held_out", T.ArrayType(T.BooleanType()))]
+        + [T.StructField("doc_id", T.ArrayType(rows.schema["doc_id"].dataType))]
+    )
+    return rows.withColumn("row_no", F.monotonically_increasing_id()).transform(map_batches, run, out)
+
+
+class Stack:
+    """One row of ``stacks``, unpacked, with the keys of its words and of every token and the token before."""
+
+    def __init__(self, row: pa.Table | pa.RecordBatch, bits: int):
+        self.words = _unpack(row["words"][0].as_py()).split(b" ")
+        self.ids = _array([_unpack(row["ids"][0].as_py())], np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0]
+        self.lengths = row["lengths"][0].values.to_numpy()
+        self.held_out, end = row["held_out"][0].values, np.uint64(_word_hash(END))
+        self.own = np.repeat(~self.held_out.to_numpy(zero_copy_only=False), self.lengths)
+        hashes = _word_hashes(self.words, len(self.words))
+        self.word_keys = _trim(unigram_keys(hashes), bits)
+        #: The words by their buckets.
+        self.order = np.argsort(self.word_keys >> np.uint64(64 - bits), kind="stable")
+        h = np.concatenate([[end], hashes[self.ids]])
+        self.pair_keys = _trim(pair_keys(h[:-1], h[1:]), bits)
+
+
+def asks(stacked: DataFrame, bits: int) -> DataFrame:
+    """(stack, bucket, keys, counts, words, word_counts): a stack's distinct pairs and words in each bucket, with their counts in its training rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in (b.slice(i, 1) for i in range(b.num_rows)):
+                yield ask(row)
+
+    def ask(row: pa.RecordBatch) -> pa.RecordBatch:
+        s = Stack(row, bits)
+        # The last bit of a trimmed key is free.
+        keys, n = np.unique(s.pair_keys | s.own, return_counts=True)
+        n *= (keys & np.uint64(1)).astype(np.int64)
+        keys, counts = _cut(keys >> np.uint64(1) << np.uint64(1), n)
+        words = [s.words[i] for i in s.order.tolist()]
+        word_counts = _array([_unpack(row["counts"][0].as_py())], np.uint32)[s.order]
+        packed = (keys << np.uint64(bits) >> np.uint64(64 - KEY_BITS)).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+        buckets = np.arange((1 << bits) + 1, dtype=np.uint64)
+        pairs_at = np.searchsorted(keys >> np.uint64(64 - bits), buckets)
+        words_at = np.searchsorted((s.word_keys >> np.uint64(64 - bits))[s.order], buckets)
+        some = np.flatnonzero(np.diff(pairs_at) + np.diff(words_at))
+        pairs = list(zip(pairs_at[some].tolist(), pairs_at[some + 1].tolist()))
+        spans = list(zip(words_at[some].tolist(), words_at[some + 1].tolist()))
+        counts = np.minimum(counts, 2**32 - 1).astype(np.uint32)
+        return pa.RecordBatch.from_arrays(
+            [
+                row["stack"].take(pa.array(np.zeros(len(some), np.int64))),
+                pa.array(some.astype(np.int32)),
+                pa.array([packed[x:y].tobytes() for x, y in pairs], pa.binary()),
+                pa.array([counts[x:y].tobytes() for x, y in pairs], pa.binary()),
+                pa.array([b" ".join(words[x:y]) for x, y in spans], pa.binary()),
+                pa.array([word_counts[x:y].tobytes() for x, y in spans], pa.binary()),
+            ],
+            names=["stack", "bucket", "keys", "counts", "words", "word_counts"],
+        )
+
+    return stacked.select("stack", "words", "ids", "counts", "lengths", "held_out").transform(map_batches, run, ASKS)
+
+
+def answers(asked: DataFrame, bits: int, size: int | None = None) -> DataFrame:
+    """(stack, bucket, levels, totals, word_levels, floor): to every ask the levels of its pairs, and exact counts and levels of its words.
+
+    A row without a stack has a bucket's ``words`` in the training rows and their ``totals``.
+    """
+
+    def answer(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        keys, counts = _read_blobs(table, bits)
+        cuts = np.cumsum([0, *(len(k.as_buffer()) // (KEY_BITS // 8) for k in table["keys"])]).tolist()
+        keys, whose = np.unique(keys, return_inverse=True)
+        counts = np.bincount(whose, counts, len(keys)).astype(np.int64)
+        place, word_cuts, word_ids = defaultdict(count().__next__), [0], []
+        for words, n in zip(table["words"], table["word_counts"]):
+            n = len(n.as_buffer()) // 4
+            if n:
+                word_ids.append(np.fromiter(map(place.__getitem__, words.as_py().split(b" ")), np.int64, n))
+            word_cuts.append(word_cuts[-1] + n)
+        word_ids = np.concatenate([np.empty(0, np.int64), *word_ids])
+        totals = np.bincount(word_ids, _array((n.as_buffer() for n in table["word_counts"]), np.uint32), len(place)).astype(np.int64)
+        words = list(place)
+        word_keys = _trim(unigram_keys(_word_hashes(words, len(words))), bits)
+        every, n = np.concatenate([keys, word_keys]), np.concatenate([counts, totals])
+        own = bucket_filter(every, n, bits, bucket, size)
+        level = own.levels(every, ((n > 0) & (own.floor <= 1)).astype(np.int64)).astype(np.uint8)
+        levels, word_levels = level[: len(keys)][whose], level[len(keys) :][word_ids]
+        seen, told = np.flatnonzero(totals), totals[word_ids]
+        spans, word_spans = list(zip(cuts[:-1], cuts[1:])), list(zip(word_cuts[:-1], word_cuts[1:]))
+        return pa.table(
+            [
+                pa.array([*table["stack"].to_pylist(), None], pa.int64()),
+                pa.array([bucket] * (len(spans) + 1), pa.int32()),
+                pa.array([*(levels[a:b].tobytes() for a, b in spans), None], pa.binary()),
+                pa.array([*(told[a:b].tobytes() for a, b in word_spans), totals[seen].tobytes()], pa.binary()),
+                pa.array([*(word_levels[a:b].tobytes() for a, b in word_spans), None], pa.binary()),
+                pa.array([own.floor] * (len(spans) + 1), pa.int64()),
+                pa.array([*[None] * len(spans), b" ".join([words[i] for i in seen.tolist()])], pa.binary()),
+            ],
+            names=["stack", "bucket", "levels", "totals", "word_levels", "floor", "words"],
+        )
+
+    return asked.groupBy("bucket").applyInArrow(answer, ANSWERS)
+
+
+def vocabulary_of(answered: DataFrame) -> DataFrame:
+    """(word, n): exact counts of all training tokens, the end token as the empty word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, totals in zip(b.column("words"), b.column("totals")):
+                n = _array([totals.as_buffer()], np.int64)
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.array(words.as_py().split(b" "), pa.binary()), pa.array(n)], names=["word", "n"])
+
+    return answered.filter("stack IS NULL").select("words", "totals").transform(map_batches, run, "word binary, n bigint")
+
+
 def score_documents(docs: DataFrame, size: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
-    context = docs.sparkSession.sparkContext
     ship_code(docs.sparkSession)
     rows = docs.select("doc_id", text_or_empty().alias("text"), in_fold("doc_id", FOLDS, HELD_OUT).alias("held_out"))
-    training = rows.filter(~F.col("held_out"))
-    model, vocabulary = train(training, size)
-    shared = context.broadcast(model)
-    space = float(model.tokens + model.distinct + 1)
+    stacked = saved(stacks(rows), "lm-stacks")
+    tokens, train_tokens = (n or 0 for n in stacked.agg(F.sum("tokens"), F.sum("trained")).first())
+    # Held-out texts ask too, so buckets follow all tokens; BUCKET_TOKENS are of training rows, as a rule all folds but one.
+    bits = (max(LEAST_BUCKETS, -(-tokens * (FOLDS - 1) // (FOLDS * BUCKET_TOKENS))) - 1).bit_length()
+    answered = saved(answers(asks(stacked, bits), bits, size), "lm-answers")
+    vocabulary = vocabulary_of(answered)
+    distinct = vocabulary.count()
+    space = float(train_tokens + distinct + 1)
+    last = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).orderBy("n", F.desc("word")).first()
+    last_count, last_word = (last["n"], bytes(last["word"])) if last else (0, END)
+
+    def head(words: list[bytes], totals: np.ndarray) -> np.ndarray:
+        """Which of the words are among the most frequent; the end token counts as such."""
+        out = totals > last_count
+        for i in np.flatnonzero((totals == last_count) & (totals > 0)).tolist():
+            out[i] = words[i] <= last_word
+        out[words.index(END)] = True
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        words = Words(m.head)
-        for b in batches:
-            for at, tokens in _chunks(b.column("text")):
-                lengths = [len(t) for t in tokens]
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                row = np.repeat(np.arange(len(tokens)), lengths)
-                held_out = b.column("held_out").take(pa.array(at))
-                own = ~held_out.to_numpy(zero_copy_only=False)[row]
-                h, exact, known, before, seen = _framed(m, words, tokens, own)
-                unigram, pairs = m.parts(h, known, before, seen, own)
-                follow, slot, any_seen = mixed(pairs, seen)
-                sums = by_weight(unigram[any_seen], follow[any_seen], (row * BINS + slot)[any_seen], len(tokens) * BINS)
-                # Training tokens are left out of their own counts.
-                follow, slot, others_seen = mixed(np.maximum(pairs[own] - 1, 0), seen[own] - 1)
-                tuning = by_weight(unigram[own][others_seen], follow[others_seen], slot[others_seen], BINS)
-                in_head = exact >= 0
-                unseen = np.add.reduceat(np.where(any_seen, 0.0, np.log10(unigram)), starts)
-                base = np.add.reduceat(np.log10(np.where(in_head, (exact + 1) / space, 1.0)), starts)
-                known_head = np.add.reduceat((exact > 0).astype(np.int64), starts)
-                tails = []
-                for t, a in zip(tokens, starts):
-                    out = np.flatnonzero(~in_head[a : a + len(t)])
-                    tails.append([{"word": k, "n": v} for k, v in Counter(t[i] for i in out).items()])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("row_no").take(pa.array(at)), b.column("doc_id").take(pa.array(at)), held_out,
-                        pa.array(lengths, pa.int64()), pa.array(known_head), pa.array(base), pa.array(unseen),
-                        pa.array(list(sums.reshape(len(tokens), -1)), pa.list_(pa.float64())),
-                        pa.array([tuning.ravel()] + [None] * (len(tokens) - 1), pa.list_(pa.float64())),
-                        pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                    ],
-                    names=["row_no", "doc_id", "held_out", "n_tokens", "known_head", "base_head", "unseen", "sums", "tuning", "tail"],
-                )
+    def score(row: pa.Table, told: pa.Table) -> pa.Table:
+        s = Stack(row, bits)
+        told = told.sort_by("bucket")
+        floors = np.ones(1 << bits)
+        floors[told["bucket"].to_numpy()] = told["floor"].to_numpy()
+        told = {c: _array((x.as_buffer() for x in told[c]), k) for c, k in (("levels", np.uint8), ("totals", np.int64), ("word_levels", np.uint8))}
+        exact, guess = np.empty(len(s.words), np.int64), np.empty(len(s.words))
+        exact[s.order] = told["totals"]
+        guess[s.order] = quantised(told["word_levels"], floors[s.word_keys[s.order] >> np.uint64(64 - bits)])
+        of_word = np.where(head(s.words, exact), exact, guess)
+        keys, whose = np.unique(s.pair_keys, return_inverse=True)
+        pairs = quantised(told["levels"], floors[keys >> np.uint64(64 - bits)])[whose]
+        known = of_word[s.ids]
+        seen = np.concatenate([[of_word[s.words.index(END)]], known[:-1]])
+        pairs = np.minimum(pairs, seen)
+        unigram = ((of_word + 1) / space)[s.ids]
+        base, in_training = np.log10((exact + 1) / space)[s.ids], (exact > 0).astype(np.int64)[s.ids]
+        ends = np.cumsum(s.lengths)
+        starts = ends - s.lengths
+        have: tuple[list, ...] = ([], [], [], [], [])
+        for a, z in _runs(ends):
+            at, lengths = slice(starts[a], ends[z - 1]), s.lengths[a:z]
+            parts = summed(unigram[at], pairs[at], seen[at], s.own[at], lengths)
+            for held, x in zip(have, (np.add.reduceat(in_training[at], starts[a:z] - starts[a]), np.add.reduceat(base[at], starts[a:z] - starts[a]), *parts)):
+                held.append(x)
+        n_known, base_score, unseen, sums, tuning = have
+        return pa.table(
+            [
+                row["doc_id"][0].values,
+                s.held_out,
+                pa.array(s.lengths),
+                *(pa.array(np.concatenate(x)) for x in (n_known, base_score, unseen)),
+                _lists(np.concatenate(sums)),
+                pa.concat_arrays([x for t, u in zip(tuning, unseen) for x in (_lists(t), pa.nulls(len(u) - 1, _lists(t).type))]),
+            ],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "unseen", "sums", "tuning"],
+        )
 
     out = T.StructType(
-        [T.StructField("row_no", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType())]
-        + [T.StructField(n, T.LongType()) for n in ("n_tokens", "known_head")]
-        + [T.StructField(n, T.DoubleType()) for n in ("base_head", "unseen")]
+        [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType())]
+        + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")]
+        + [T.StructField(n, T.DoubleType()) for n in ("base_score", "unseen")]
         + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("sums", "tuning")]
-        + [T.StructField("tail", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])))]
     )
-    scored = saved(rows.withColumn("row_no", F.monotonically_increasing_id()).transform(map_batches, run, out), "lm-scored")
-    score = F.col("unseen")
+    told = answered.filter("stack IS NOT NULL").drop("words")
+    scored = saved(stacked.drop("tokens", "trained", "counts").groupBy("stack").cogroup(told.groupBy("stack")).applyInArrow(score, out), "lm-scored")
+    total = F.col("unseen")
     for slot, g in enumerate(best_weights(scored)):
-        score = score + F.col("sums")[int(slot * len(GRID) + g)]
-    counted = (
-        scored.select("row_no", F.explode("tail").alias("t"))
-        .select("row_no", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
-        .join(vocabulary, "word", "left")
-        .select("row_no", "times", F.coalesce("n", F.lit(0)).alias("n"))
-        .groupBy("row_no")
-        .agg(
-            F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(space))).alias("base_tail"),
-            F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("known_tail"),
-        )
-    )
-    return scored.join(counted, "row_no", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known_head") + F.coalesce("known_tail", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_head") + F.coalesce("base_tail", F.lit(0.0))).alias("base_score"),
-        score.alias("score"),
-    )
+        total = total + F.col("sums")[int(slot * len(GRID) + g)]
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", total.alias("score"))
+
+
+def summed(unigram: np.ndarray, pairs: np.ndarray, seen: np.ndarray, own: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts in a row: logarithms where the word before was never seen, those of the rest by bin and weight, and those for the tuning."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    follow, slot, any_seen = mixed(pairs, seen)
+    sums = by_weight(unigram[any_seen], follow[any_seen], (row * BINS + slot)[any_seen], len(lengths) * BINS)
+    # Training tokens are left out of their own counts.
+    follow, slot, others_seen = mixed(np.maximum(pairs[own] - 1, 0), seen[own] - 1)
+    tuning = by_weight(unigram[own][others_seen], follow[others_seen], slot[others_seen], BINS)
+    unseen = np.add.reduceat(np.where(any_seen, 0.0, np.log10(unigram)), np.cumsum(lengths) - lengths)
+    return unseen, sums.reshape(len(lengths), -1), tuning.reshape(1, -1)
+
+
+def _runs(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Texts that hold about ``CHUNK_TOKENS`` together, from their ends; a longer text is alone."""
+    a = 0
+    while a < len(ends):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK_TOKENS, "right")))
+        yield a, z
+        a = z
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1]), rows.ravel())
 
 
 def op6_language_model(spark, sf_dir: str) -> DataFrame:

@@ -444,6 +444,48 @@ def test_filter_follows_the_corpus_and_every_row_tunes(docs, texts):
             assert got[i] == pytest.approx(want)
 
 
+def test_no_filter_reaches_the_driver(spark, docs, edge, monkeypatch):
+    rows = lambda df: sorted(map(repr, ((*r[:5], *(f"{x:.9g}" for x in r[5:])) for r in language_model.score_documents(df).collect())))
+    some = docs.filter("doc_id % 5 = 0").select("doc_id", "text")
+    some = some.unionAll(some.limit(3)).unionAll(edge.select("doc_id", "text"))
+    want = rows(some)
+
+    def gathered(*_):
+        raise AssertionError("the filter grows with the corpus")
+
+    monkeypatch.setattr(language_model, "build_filter", gathered)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", gathered)
+    # Texts cut into many stacks, some longer than a stack.
+    monkeypatch.setattr(language_model, "FLUSH_KEYS", 300)
+    monkeypatch.setattr(language_model, "FLUSH_ROWS", 3)
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", 100)
+    assert rows(some) == want
+
+
+def test_answers_are_exact_counts_and_levels(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FLUSH_ROWS", 2)
+    texts = [("A b a b", False), ("a\u00a0b c", False), ("", False), ("a b zz", True), ("a b", False)]
+    rows = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(texts)], "doc_id long, text string, held_out boolean").coalesce(1)
+    stacked = language_model.stacks(rows).cache()
+    assert [r["doc_id"] for r in stacked.orderBy("stack").collect()] == [[0, 1], [2, 3], [4]]
+    answered = language_model.answers(language_model.asks(stacked, 6), 6).cache()
+    cut = [([b"", *language_model.words_of(t), b""], h) for t, h in texts]
+    counts = Counter(w for ws, h in cut if not h for w in ws[1:])
+    pairs = Counter(p for ws, h in cut if not h for p in zip(ws, ws[1:]))
+    assert {bytes(r["word"]): r["n"] for r in language_model.vocabulary_of(answered).collect()} == counts
+    held = stacked.toArrow()
+    for row in (held.slice(i, 1) for i in range(len(held))):
+        s = language_model.Stack(row, 6)
+        told = sorted((r for r in answered.collect() if r["stack"] == row["stack"][0].as_py()), key=lambda r: r["bucket"])
+        totals = np.concatenate([np.frombuffer(r["totals"], np.int64) for r in told])
+        assert totals.tolist() == [counts[s.words[i]] for i in s.order.tolist()]
+        levels = dict(zip(np.unique(s.pair_keys).tolist(), np.concatenate([np.frombuffer(r["levels"], np.uint8) for r in told]).tolist()))
+        words = [s.words[i] for i in s.ids.tolist()]
+        for pair, key in zip(zip([b"", *words], words), s.pair_keys.tolist()):
+            assert levels[key] >= language_model.levels_of(np.array([pairs[pair]]), 1)[0]
+    stacked.unpersist(), answered.unpersist()
+
+
 def test_language_model_edges(edge, empty):
     got = language_model.score_documents(edge, size=1 << 16).collect()
     assert len(got) == len(EDGE) and all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (1, 2, 6))
