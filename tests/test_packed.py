@@ -82,3 +82,15 @@ def test_loss_of_packed_examples(spark, monkeypatch, cells):
         # Neither the examples nor their counts are shuffled as rows.
         plan = embed.forward_loss(packed, emb, parts)._jdf.queryExecution().executedPlan().toString()
         assert "label" not in plan and "steps" in plan
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 23])
+def test_gradients_of_packed_examples(spark, monkeypatch, cells):
+    monkeypatch.setattr(embed, "MATRIX_CELLS", cells)
+    monkeypatch.setattr(embed, "STRIP_CELLS", 20)
+    pairs, table, rows = drawn(spark)
+    emb = embedded(spark).filter("word_id < 35")
+    for parts, cap in ((1, None), (4, 3)):
+        packed = text.sampled_examples(pairs, table, 6, 200, parts=parts)
+        (ids, want), (same, got) = (moved(embed.gradient_step(x, emb, 0.1, 4, cap, parts)) for x in (rows, packed))
+        assert ids == same and np.allclose(got, want, atol=1e-12)
