@@ -94,3 +94,25 @@ def test_gradients_of_packed_examples(spark, monkeypatch, cells):
         packed = text.sampled_examples(pairs, table, 6, 200, parts=parts)
         (ids, want), (same, got) = (moved(embed.gradient_step(x, emb, 0.1, 4, cap, parts)) for x in (rows, packed))
         assert ids == same and np.allclose(got, want, atol=1e-12)
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 23])
+def test_packed_examples_move_vectors_in_the_same_order(spark, monkeypatch, cells):
+    """A turn's examples in order of their hash, in the same batches as rows, also where a batch goes on in the next turn."""
+    monkeypatch.setattr(embed, "MATRIX_CELLS", cells)
+    pairs, table, rows = drawn(spark)
+    sides, parts = embed._sides(embedded(spark)), 2
+    packed = text.sampled_examples(pairs, table, 6, 200, by=["turn"], parts=parts)
+    for shift in range(parts):
+        mine = rows.filter(F.pmod(F.col("other") % parts - F.col("center") % parts, F.lit(parts)) == shift)
+        pieces = packed.filter(F.col("block") % parts == shift)
+        done = lambda x: {tuple(r)[:2]: r["vec"] for r in embed._run_blocks(sides, x, parts, shift, 0.1, 50, 2).filter(F.col("kind") != embed.EXAMPLE).collect()}
+        want, got = done(mine), done(pieces)
+        assert want.keys() == got.keys() and len(want) == 80 and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
+def test_order_of_hashes(spark):
+    rows = [(a * 10**k, b, label) for a in range(5) for k in range(9) for b in (0, 1, 77, 2**40) for label in (0, 1)]
+    df = spark.createDataFrame(rows, "a long, b long, label int")
+    want = [tuple(r) for r in df.orderBy(F.xxhash64("a", "b", "label"), "a", "b", "label").collect()]
+    assert [rows[i] for i in embed._hash_order(*map(np.array, zip(*rows)))] == want
