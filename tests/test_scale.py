@@ -4,12 +4,14 @@ import collections
 import datetime as dt
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terralex.operators import metrics, profiles, quality, text
-from terralex.sources import observations
+from terralex.sources import observations, spread
 
 DAY = dt.date(2024, 1, 1)
 
@@ -82,3 +84,29 @@ def test_station_files_are_read_twice(spark, tmp_path):
     assert sorted((r["station"], r["day"].day, r["pH"]) for r in out.collect()) == [("S0", 1, 7.0), ("S1", 2, 8.0)]
     # The headers were read before; the plan itself reads the lines once.
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1
+
+
+def test_dates_are_tried_by_their_shape(spark):
+    texts = [
+        "2024-01-02 03:04:05", "2024-01-02 03:04", "2024-01-02", "2024/01/02 03:04:05", "2024/01/02 03:04", "2024/01/02", "01/02/2024 03:04", "01/02/2024", "2 Jan 2024",
+        "12 dec 2024", " 2024-01-02", "2024-1-2", "+12024-01-02", "-2024-01-02", "2024-13-02", "2024-02-30", "32 Jan 2024", "+2 Jan 2024", "2024-01-02\n", "", "NA", "not a date", "٢٠٢٤-01-02", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in observations.DATE_FORMATS])
+    rows = df.select("t", plain.cast("string").alias("plain"), observations.mixed_date(F.col("t")).cast("string").alias("mixed")).collect()
+    assert all(r["plain"] == r["mixed"] for r in rows) and sum(r["mixed"] is not None for r in rows) >= 10
+    # No text of one of the nine forms is tried on more forms than its own.
+    shapes = [observations.form_shape(f) for f in observations.DATE_FORMATS]
+    assert [[re.match(s, t) is not None for s in shapes] for t in texts[:9]] == [[i == j for i in range(9)] for j in range(9)]
+    assert observations.form_shape("yyyy-MM-dd'T'HH:mm") is None and observations.form_shape("h:mm a") is None
+
+
+def test_stations_are_written_by_many_tasks(spark, monkeypatch, sf_dir):
+    import __spark_entry__
+    from terralex.plans import q_tables
+
+    dealt = []
+    monkeypatch.setattr(q_tables, "spread", lambda df, key: dealt.append((df, key)) or spread.spread(df, key))
+    __spark_entry__.queries()["load_observations"](spark, sf_dir)
+    (raw, key), = dealt
+    assert key == "station" and spread.spread(raw, key).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
