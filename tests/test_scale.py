@@ -110,3 +110,12 @@ def test_stations_are_written_by_many_tasks(spark, monkeypatch, sf_dir):
     __spark_entry__.queries()["load_observations"](spark, sf_dir)
     (raw, key), = dealt
     assert key == "station" and spread.spread(raw, key).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_draws_are_made_once(spark):
+    pairs = spark.createDataFrame([(d, p, 1, p % 3, d % 3) for d in range(4) for p in range(5)], "doc_id long, place long, shift long, center long, context long")
+    table = spark.createDataFrame([(0, 0, 30), (1, 40, 70), (2, 70, 100)], "word_id long, slot_start long, slot_end long")
+    drawn = text.negative_samples(pairs, table, 6, 100).groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.sum("slot").alias("slots"))
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- ArrowEvalPython") == 1 and "md5" not in plan
+    assert 0 < drawn.agg(F.sum("n")).first()[0] < 120
