@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terralex.operators import metrics, profiles, quality, text
+from terralex.operators import metrics, profiles, quality, scan, text
+from terralex.session import cut_lineage, stored
 from terralex.sources import observations, spread
 
 DAY = dt.date(2024, 1, 1)
@@ -119,3 +120,24 @@ def test_draws_are_made_once(spark):
     plan = drawn._jdf.queryExecution().executedPlan().toString()
     assert plan.count("+- ArrowEvalPython") == 1 and "md5" not in plan
     assert 0 < drawn.agg(F.sum("n")).first()[0] < 120
+
+
+def test_corpus_is_numbered_without_keeping_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(text, "DOC_BLOCK", 4)
+    rows = [(d, p, p % 5) for d in (7, None, 3, 12) for p in range(0, 40 if d == 3 else 9, 1 if d else 2)]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, word_id long").repartition(5)
+    kept = []
+    # One row per document and segment is kept, no token.
+    monkeypatch.setattr(scan, "cut_lineage", lambda df: kept.append(df.count()) or cut_lineage(df))
+    got = text.renumber(tokens, "corpus")
+    assert got.columns == ["doc_id", "pos", "word_id", "place"] and kept == [3 + 3 + 10 + 3]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[3]) == [(*r, i) for i, r in enumerate(order)]
+    assert text.renumber(tokens.limit(0), "corpus").count() == 0
+
+
+def test_stored_rows_are_columns(spark, sf_dir):
+    df = spark.createDataFrame([(1, "a", 0.5), (2, None, None)], "n long, s string, x double")
+    out = stored(df, "some")
+    assert out.schema == df.schema and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+    assert all(f.endswith(".parquet") for f in out.inputFiles())
