@@ -141,3 +141,15 @@ def test_stored_rows_are_columns(spark, sf_dir):
     out = stored(df, "some")
     assert out.schema == df.schema and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
     assert all(f.endswith(".parquet") for f in out.inputFiles())
+
+
+def test_tokens_are_not_shuffled_by_word(spark):
+    tokens = spark.createDataFrame([(d, p, "abc"[p % 3]) for d in range(3) for p in range(6)], "doc_id long, pos int, word string")
+    words = spark.createDataFrame([("a", 0, 0.5), ("b", 1, 0.5)], "word string, word_id long, freq double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        got = text.encode(tokens, words)
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r[:3] for r in map(tuple, got.collect())) == sorted((d, p, p % 3) for d in range(3) for p in range(6) if p % 3 < 2)
